@@ -38,7 +38,7 @@ def with_chunks(rows: DataFrame, spacing: int, long_words: int) -> DataFrame:
     cut = cut.withColumn("_hashes", F.transform("_lines", line_hash)).withColumn("_long", F.transform("_lines", lambda x: _words(x) >= long_words))
     here, after = lambda i: F.element_at("_long", i), lambda i: F.try_element_at(F.col("_long"), i + 1)
     rolled = lambda i: F.pmod(F.coalesce(F.element_at("_hashes", F.greatest(i - 1, F.lit(1))), F.lit(0)) * 31 + F.element_at("_hashes", i), F.lit(spacing)) == 0
-    ends = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: (i == F.size("_lines")) | here(i) | F.coalesce(after(i), F.lit(True)) | (i > 1) & rolled(i))
+    ends = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: here(i) | F.coalesce(after(i), F.lit(True)) | (i > 1) & rolled(i))
     return cut.withColumn("_ends", F.when(F.col("text").isNotNull(), ends)).drop("_hashes", "_long")
 
 
@@ -53,7 +53,7 @@ def _counts(i: Column, text: Column, long_words: int) -> Column:
 
 
 def dedup(documents: DataFrame, spacing: int = SPACING, long_words: int = LONG_WORDS) -> DataFrame:
-    """Every row with its text without the repeated chunks, and _chunks, _removed (chunks) beside its columns."""
+    """Every row with its text without the repeated chunks, and _removed (chunks) beside its columns."""
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = documents.withColumns({"_id": order, "_k": F.xxhash64("doc_id", "text")})
     cut = with_chunks(rows.select("_id", "_k", "text"), spacing, long_words)
@@ -62,15 +62,32 @@ def dedup(documents: DataFrame, spacing: int = SPACING, long_words: int = LONG_W
     # hashes in more than one place; partial sums meet before anything is sorted by hash
     places = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
     held = hashed.join(places, "_hash").groupBy("_id", "_k").agg(F.collect_set("_i").alias("_at"))
-    texts = cut.join(held, ["_id", "_k"]).select("_id", "_k", F.explode("_at").alias("_i"), F.col("_lines"), F.col("_ends")).select("_id", "_k", "_i", chunk(F.col("_i") + 1).alias("_text"))
+    some = with_chunks(rows.select("_id", "_k", "text").join(held, ["_id", "_k"]), spacing, long_words)
+    texts = some.select("_id", "_k", F.explode(F.transform("_at", lambda i: F.struct(i.alias("_i"), chunk(i + 1).alias("_text")))).alias("_c")).select("_id", "_k", "_c.*")
     # the texts themselves are the key: equal bytes and nothing else fall together
     first = F.min(F.struct("_id", "_k", "_i"))
     groups = texts.groupBy("_text").agg(first.alias("_first"))
     repeated = texts.join(groups, "_text").where(F.struct("_id", "_k", "_i") != F.col("_first"))
     gone = repeated.groupBy("_id", "_k").agg(F.collect_set("_i").alias("_gone"))
-    whole = with_chunks(rows.join(gone, ["_id", "_k"], "left"), spacing, long_words)
+    whole = rows.join(gone, ["_id", "_k"], "left")
+    whole = with_chunks(whole.withColumns({"_text": F.col("text"), "text": F.when(F.col("_gone").isNotNull(), F.col("text"))}), spacing, long_words)
     left = F.filter(F.sequence(F.lit(1), F.size("_ends")), lambda i: ~F.array_contains("_gone", (i - 1).cast("int")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: chunk(i)), "\n"))
-    extra = {"_chunks": F.coalesce(F.size("_ends"), F.lit(0)), "_removed": F.coalesce(F.size("_gone"), F.lit(0))}
-    extra = {k: F.greatest(v, F.lit(0)) for k, v in extra.items()}
-    return whole.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns], *[v.alias(k) for k, v in extra.items()])
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: chunk(i)), "\n"))
+    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("_removed")
+    return whole.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns], removed)
+
+
+def dedup_sql(spacing: int = SPACING, long_words: int = LONG_WORDS) -> str:
+    """The same result as columns doc_id, text, removed in SQL, for ids that do not repeat."""
+    return f"""
+    WITH lines AS (SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) + 1 >= {long_words} AS is_long
+                   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    ends AS (SELECT *, is_long OR coalesce(lead(is_long) OVER w, true) OR (i > 1 AND (lag(h) OVER w * 31 + h) % {spacing} = 0) AS is_end
+             FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    numbered AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
+    chunks AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, bool_or(is_long) AS is_long FROM numbered GROUP BY 1, 2),
+    marked AS (SELECT *, (n > 1 OR is_long) AND regexp_matches(chunk, '[\p{{L}}\p{{N}}]')
+                         AND row_number() OVER (PARTITION BY chunk, (n > 1 OR is_long) ORDER BY doc_id, c) > 1 AS gone FROM chunks),
+    done AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS removed FROM marked GROUP BY 1)
+    SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE done.text END AS text, coalesce(done.removed, 0)::INTEGER AS removed FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
+    """
