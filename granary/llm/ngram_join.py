@@ -22,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.llm.common import map_groups, map_rows, mixed, shingle_hashes, stored
@@ -142,21 +143,23 @@ def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, recall
 
     def make():
         def of(batch):
-            out = {"id": [], "tree": [], "key": []}
+            ids, keys = [], []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
                 s = shingle_hashes(t.as_py(), WORDS)
                 if len(s):
-                    out["id"] += [i] * trees
-                    out["tree"] += range(trees)
-                    out["key"] += paths(s, trees, depth).tolist()
-            return out
+                    ids.append(i)
+                    keys.append(paths(s, trees, depth))
+            key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            return {"id": np.repeat(np.array(ids, np.int64), trees), "tree": np.tile(np.arange(trees, dtype=np.int32), len(ids)), "key": key}
 
         return of
 
     entries = stored(map_rows(texts, "id long, tree int, key long", make).join(reps.select("id"), "id", "left_semi"))
     nodes = entries.groupBy("tree", "key").agg(F.min("id").alias("to"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = entries.join(nodes, ["tree", "key"]).select("id", "to").distinct()
-    groups = components(near)
+    # a document's links go to the least of them: itself once, and the others, which many documents share, once each
+    stars = near.withColumn("least", F.min("to").over(W.partitionBy("id"))).select(F.explode(F.array(F.struct("id", F.col("least").alias("to")), F.struct(F.col("to").alias("id"), F.col("least").alias("to")))).alias("l")).select("l.*")
+    groups = components(stars)
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"))
     placed = groups.join(sizes, "root").join(reps, "id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -174,7 +177,7 @@ def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, recall
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
     """The rows of documents that are the first of their class; rows without an id stay."""
     first = jaccard_classes(documents, **how).where("doc_id = class_id").select(F.col("doc_id").alias("_first"))
-    kept = documents.join(first, F.col("doc_id").cast("long") == F.col("_first"), "left_semi")
+    kept = documents.join(first, documents["doc_id"].cast("long") == first["_first"], "left_semi")
     return kept.union(documents.where("doc_id is null"))
 
 
