@@ -93,11 +93,11 @@ def tokenized(documents: DataFrame, vocab: str | None = None, closing: int = CLO
 
 
 def before(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str) -> DataFrame:
-    """Adds `before`: the sum of value over the earlier rows of the same keys, by bucket and then by order. Sums of
-    buckets are added up first, so no task sorts more than a bucket's rows."""
+    """Adds `before`: the sum of value over the earlier rows of the same keys, by bucket and then by order, and `own`, the
+    keys' sum. Sums of buckets are added up first, so no task gets more than a bucket's rows."""
     sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
     w = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select(*keys, bucket, F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))
+    bases = sums.select(*keys, bucket, F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"), F.sum("_sum").over(W.partitionBy(*keys)).alias("own"))
     inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return df.withColumn("before", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(bases, [*keys, bucket]).withColumn("before", F.col("before") + F.col("_base")).drop("_base")
 
@@ -107,15 +107,14 @@ def placed(queue: DataFrame, shares: dict[str, float] | None = None, window: int
     h = F.xxhash64("uid")
     rows = queue.select("uid", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), "n", h.alias("h"), F.pmod(h, F.lit(buckets)).alias("bucket"))
     keys = ["source", "no_source"]
+    queued = before(rows, keys, "bucket", ["h", "uid"], "n")
     if shares is None:
-        total = rows.agg(F.sum("n").alias("all"))
-        by = rows.groupBy(*keys).agg(F.sum("n").alias("own")).join(F.broadcast(total)).select(*keys, (F.col("own") / F.col("all")).alias("share"))
+        share = F.col("own") / F.lit(float(rows.agg(F.sum("n")).first()[0] or 1))
     else:
-        goal = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]) if shares else F.create_map(F.lit(""), F.lit(0.0))
         rest = min([v for v in shares.values() if v > 0], default=1.0)
-        by = rows.select(*keys).distinct().withColumn("share", F.greatest(F.coalesce(F.try_element_at(goal, F.col("source")), F.lit(rest)), F.lit(1e-9)))
-    queued = before(rows, keys, "bucket", ["h", "uid"], "n").join(by, keys)
-    sent = queued.withColumn("window", F.floor(F.col("before") / (F.col("share") * window)).cast("long")).drop("before")
+        goal = F.create_map(*[F.lit(x) for kv in {**shares, "\0": rest}.items() for x in kv])
+        share = F.greatest(F.coalesce(F.try_element_at(goal, F.col("source")), F.lit(rest)), F.lit(1e-9))
+    sent = queued.withColumn("window", F.floor(F.col("before") / (share * window)).cast("long")).drop("before", "own")
     sent = sent.withColumn("span", F.floor(F.col("window") / SPAN))
     sums = sent.groupBy("span", "window").agg(F.sum("n").alias("_sum"))
     spans = sums.groupBy("span").agg(F.sum("_sum").alias("_span"))
