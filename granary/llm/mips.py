@@ -155,8 +155,10 @@ def search(vectors: DataFrame, queries: Column, k: int = K, slab: int = SLAB, id
             yield row()
 
     slabs = stored(sized.mapInArrow(cut, "len double, ids array<long>, raw binary").withColumn("shard", F.monotonically_increasing_id()))
-    head = slabs.orderBy(F.desc("len"), "shard").limit(1).collect()[0]  # one slab
-    head_x, head_ids = np.frombuffer(head.raw).reshape(-1, width), np.array(head.ids)
+    head = good.withColumn("len", length).orderBy(F.desc("len"), "id").limit(slab).select("id", "vec").toPandas()
+    head_ids, head_x = head["id"].to_numpy(), np.zeros((len(head), width))
+    for row, v in zip(head_x, head["vec"], strict=True):
+        row[: len(v)] = quantised(np.asarray(v, dtype=np.float64))
     n_slabs, asked = slabs.count(), good.where(queries)
     shards = max(1, -(-n_slabs // SHARD))
     many = F.lit(max(1, -(-asked.count() // QUERIES)))
