@@ -10,7 +10,7 @@ so compared byte by byte; texts that differ under one hash are each a group of t
 
 Defined results: null text stays null and has no lines; rows that repeat both id and text count as one document and get the
 same result; chunks without a letter or digit are never removed; a null id sorts first; an empty table gives an empty
-table; other columns pass through.
+table; other columns pass through, but for one named _removed, which is replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import stored
+
 #: One of so many line pairs closes a chunk.
 SPACING = 4
 #: Words from which on a line is a chunk of its own.
@@ -48,33 +50,36 @@ def chunk(i: Column) -> Column:
     return F.array_join(F.slice("_lines", start + 1, F.element_at("_ends", i) - start), "\n")
 
 
-def _counts(i: Column, text: Column, long_words: int) -> Column:
+def _counts(text: Column, long_words: int) -> Column:
     return (text.contains("\n") | (_words(text) >= long_words)) & text.rlike("[\\p{L}\\p{N}]")
 
 
 def dedup(documents: DataFrame, spacing: int = SPACING, long_words: int = LONG_WORDS) -> DataFrame:
     """Every row with its text without the repeated chunks, and _removed (chunks) beside its columns."""
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = documents.withColumns({"_id": order, "_k": F.xxhash64("doc_id", "text")})
+    others = [c for c in documents.columns if c not in ("text", "_removed")]  # in a struct their names clash with none here
+    rows = documents.select(F.struct(*others).alias("_row"), "text", order.alias("_id"), F.xxhash64("doc_id", "text").alias("_k"))
+    columns = [c for c in documents.columns if c != "_removed"]
+    own = lambda text: [text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns]
     cut = with_chunks(rows.select("_id", "_k", "text"), spacing, long_words)
-    parts = cut.select("_id", "_k", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_ends")), lambda i: chunk(i))).alias("_i", "_text")).where(_counts(F.col("_i"), F.col("_text"), long_words))
-    hashed = parts.select("_id", "_k", "_i", F.md5("_text").alias("_hash"))
+    parts = cut.select("_id", "_k", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_ends")), lambda i: chunk(i))).alias("_i", "_text")).where(_counts(F.col("_text"), long_words))
+    hashed = stored(parts.select("_id", "_k", "_i", F.md5("_text").alias("_hash")))
     # hashes in more than one place; partial sums meet before anything is sorted by hash
     places = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
     held = hashed.join(places, "_hash").groupBy("_id", "_k").agg(F.collect_set("_i").alias("_at"))
-    some = with_chunks(rows.select("_id", "_k", "text").join(held, ["_id", "_k"]), spacing, long_words)
-    texts = some.select("_id", "_k", F.explode(F.transform("_at", lambda i: F.struct(i.alias("_i"), chunk(i + 1).alias("_text")))).alias("_c")).select("_id", "_k", "_c.*")
+    # the one time that whole documents move; those without a candidate are done
+    marked = stored(rows.join(held, ["_id", "_k"], "left"))
+    some = with_chunks(marked.where("_at is not null"), spacing, long_words)
+    texts = some.select("_id", "_k", F.explode(F.transform("_at", lambda i: F.struct(i.alias("_i"), chunk(i + 1).alias("_text")))).alias("_c")).select("_id", "_k", "_c.*").distinct()
     # the texts themselves are the key: equal bytes and nothing else fall together
-    first = F.min(F.struct("_id", "_k", "_i"))
-    groups = texts.groupBy("_text").agg(first.alias("_first"))
+    groups = texts.groupBy("_text").agg(F.min(F.struct("_id", "_k", "_i")).alias("_first"))
     repeated = texts.join(groups, "_text").where(F.struct("_id", "_k", "_i") != F.col("_first"))
     gone = repeated.groupBy("_id", "_k").agg(F.collect_set("_i").alias("_gone"))
-    whole = rows.join(gone, ["_id", "_k"], "left")
-    whole = with_chunks(whole.withColumns({"_text": F.col("text"), "text": F.when(F.col("_gone").isNotNull(), F.col("text"))}), spacing, long_words)
     left = F.filter(F.sequence(F.lit(1), F.size("_ends")), lambda i: ~F.array_contains("_gone", (i - 1).cast("int")))
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: chunk(i)), "\n"))
-    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).alias("_removed")
-    return whole.select(*[text.alias("text") if c == "text" else F.col(c) for c in documents.columns], removed)
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: chunk(i)), "\n"))
+    changed = some.join(gone, ["_id", "_k"], "left").select(*own(text), F.coalesce(F.size("_gone"), F.lit(0)).alias("_removed"))
+    changed = changed.withColumn("_removed", F.greatest("_removed", F.lit(0)))
+    return marked.where("_at is null").select(*own(F.col("text")), F.lit(0).alias("_removed")).union(changed)
 
 
 def dedup_sql(spacing: int = SPACING, long_words: int = LONG_WORDS) -> str:
