@@ -14,7 +14,8 @@ with that number divided by seven ("src8" -> "src/1"); without a number the name
 
 Defined results: null text counts as no token and is part of an epoch's prefix as any other row; null lang or source are
 "(none)"; rows of one leaf whose order is the same (repeated ids) are taken or left together; a null id counts as the text
-"null"; an empty table gives an empty table; other columns pass through.
+"null"; an empty table gives an empty table; other columns pass through, but for those named _epoch, _domain
+or _tokens, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.llm.common import stored
+
 #: Target weights of domains and languages; all others have weight DEFAULT_WEIGHT, as have sources.
 DOMAIN_WEIGHTS = {"src/0": 5, "src/1": 3, "src/2": 2}
 LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
@@ -33,6 +36,8 @@ SEED = 17
 EPOCHS = 2
 #: Parts of an epoch's order whose tokens are summed before one of them is sorted: hex digits of the hash.
 DIGITS = 3
+#: Leaves up to which their cuts (a row of some 100 bytes each) go to every task; more are joined by a shuffle.
+MOST_LEAVES = 100_000
 _WORD = "[^ \\t\\n\\r]+"
 
 
@@ -101,8 +106,10 @@ def mix(
     order = lambda epoch: F.md5(F.concat_ws(":", F.lit(seed).cast("string"), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     leaf = ["_domain", "_lang", "_source"]
     count = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    named = documents.withColumns({"_domain": domain_of(source), "_lang": lang, "_source": source})
-    sized = named.select("doc_id", *leaf, count.alias("_tokens"))
+    columns = [c for c in documents.columns if c not in ("_epoch", "_domain", "_tokens")]
+    whole = F.struct(*columns).alias("_row")  # in a struct the table's names clash with none here
+    named = documents.select(whole, "doc_id", "text", domain_of(source).alias("_domain"), lang.alias("_lang"), source.alias("_source"))
+    sized = stored(named.select("doc_id", *leaf, count.alias("_tokens")))  # whole texts are read here and at the end
     every = F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("_epoch")
     keyed = sized.select("*", every).withColumn("_key", order(F.col("_epoch")))
     sums = keyed.groupBy(*leaf, "_epoch", F.substring("_key", 1, digits).alias("_bucket")).agg(F.sum("_tokens").alias("tokens"))
@@ -119,9 +126,11 @@ def mix(
     keys = keys.groupBy(*leaf, "_end", "_open", "_key").agg(F.sum("_tokens").alias("tokens"))
     inside = W.partitionBy(*leaf).orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
     cut = keys.where(F.col("_open") > 0).withColumn("_before", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).where(F.col("_before") < F.col("_open"))
-    cuts = cut.groupBy(*leaf, "_end").agg(F.max("_key").alias("_last"))
-    taken = named.join(cuts, leaf).select(*documents.columns, "_domain", count.alias("_tokens"), "_end", "_last", every)
-    return taken.where((F.col("_epoch") < F.col("_end")) | (F.col("_epoch") == F.col("_end")) & (order(F.col("_epoch")) <= F.col("_last"))).drop("_end", "_last")
+    cuts = stored(cut.groupBy(*leaf, "_end").agg(F.max("_key").alias("_last")))
+    if cuts.count() <= MOST_LEAVES:
+        cuts = F.broadcast(cuts)
+    taken = named.join(cuts, leaf).select("_row", "doc_id", "_domain", count.alias("_tokens"), "_end", "_last", every)
+    return taken.where((F.col("_epoch") < F.col("_end")) | (F.col("_epoch") == F.col("_end")) & (order(F.col("_epoch")) <= F.col("_last"))).select("_row.*", "_epoch", "_domain", "_tokens")
 
 
 def _divided_sql(rows: str, parent: str) -> str:
