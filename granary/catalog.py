@@ -1,11 +1,21 @@
-"""All registered queries."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
+import importlib
+
+from granary.queries.base import QUERIES, SQL
+
+#: Modules that register queries.
+MODULES = ("parsing", "tables", "analytics", "plans", "streams")
+
+for _name in MODULES:
+    importlib.import_module(f"granary.queries.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
