@@ -78,7 +78,7 @@ def cohort_stats(t):
 @query(
     "ag11_error_cohorts",
     """WITH e AS (SELECT year(deal_date)::VARCHAR || '-Q' || quarter(deal_date)::VARCHAR AS quarter, country || '_' || stage AS segment, CASE WHEN deal_id % 3 = 0 THEN 'high' ELSE 'low' END AS confidence, amount, pre_money FROM deals),
-    g AS (SELECT quarter, segment, confidence, count(*) AS n, count(pre_money) AS known, round(avg(abs(pre_money - amount)), 2) AS mae, round(avg(abs(pre_money - amount) / CASE WHEN abs(amount) > 1e-6 THEN abs(amount) ELSE 1 END), 6) AS mape FROM e GROUP BY 1, 2, 3),
+    g AS (SELECT quarter, segment, confidence, count(*) AS n, count(pre_money) AS known, round(sum(abs(pre_money - amount)), 2) / count(pre_money) AS mae, round(avg(abs(pre_money - amount) / CASE WHEN abs(amount) > 1e-6 THEN abs(amount) ELSE 1 END), 6) AS mape FROM e GROUP BY 1, 2, 3),
     w AS (SELECT *, round(known / sum(n) OVER (PARTITION BY quarter, segment), 6) AS coverage, dense_rank() OVER (ORDER BY quarter DESC) AS q FROM g) SELECT quarter, segment, confidence, n, mae, mape, coverage FROM w WHERE q <= 8""",
 )
 def error_cohorts(t):
@@ -87,7 +87,7 @@ def error_cohorts(t):
     e = t.deals.select(quarter_label(F.col("deal_date")).alias("quarter"), F.concat_ws("_", "country", "stage").alias("segment"), F.when(F.col("deal_id") % 3 == 0, "high").otherwise("low").alias("confidence"), "amount", "pre_money")
     gap = F.abs(F.col("pre_money") - F.col("amount"))
     base = F.when(F.abs("amount") > 1e-6, F.abs("amount")).otherwise(1.0)
-    g = e.groupBy("quarter", "segment", "confidence").agg(F.count("*").alias("n"), F.count("pre_money").alias("known"), F.round(F.avg(gap), 2).alias("mae"), F.round(F.avg(gap / base), 6).alias("mape"))
+    g = e.groupBy("quarter", "segment", "confidence").agg(F.count("*").alias("n"), F.count("pre_money").alias("known"), (F.round(F.sum(gap), 2) / F.count(gap)).alias("mae"), F.round(F.avg(gap / base), 6).alias("mape"))
     recent = g.select("quarter").distinct().orderBy(F.desc("quarter")).limit(8)
     share = F.round(F.col("known") / F.sum("n").over(W.partitionBy("quarter", "segment")), 6)
     return g.withColumn("coverage", share).join(recent, "quarter", "left_semi").drop("known")
@@ -184,10 +184,10 @@ def evidence_score(t):
     return t.rounds.select("round_id", n.alias("sources"), F.round(n / 3, 6).alias("ratio"))
 
 
-@query("ag27_model_health", "SELECT round(avg(abs(pre_money - amount)), 2) AS mae, count(*) AS n FROM (SELECT * FROM rounds ORDER BY round_date DESC, round_id DESC LIMIT 1000)")
+@query("ag27_model_health", "SELECT round(sum(abs(pre_money - amount)), 2) / count(pre_money) AS mae, count(*) AS n FROM (SELECT * FROM rounds ORDER BY round_date DESC, round_id DESC LIMIT 1000)")
 def model_health(t):
     last = t.rounds.orderBy(F.desc("round_date"), F.desc("round_id")).limit(1000)
-    return last.agg(F.round(F.avg(F.abs(F.col("pre_money") - F.col("amount"))), 2).alias("mae"), F.count("*").alias("n"))
+    return last.agg((F.round(F.sum(F.abs(F.col("pre_money") - F.col("amount"))), 2) / F.count("pre_money")).alias("mae"), F.count("*").alias("n"))
 
 
 @query("ag28_distinct_on", "SELECT DISTINCT ON (company_id) company_id, round_id, amount FROM rounds ORDER BY company_id, round_date DESC NULLS LAST, round_id")
