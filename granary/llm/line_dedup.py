@@ -91,7 +91,7 @@ def dedup_sql(spacing: int = SPACING, long_words: int = LONG_WORDS) -> str:
              FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
     numbered AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
     chunks AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, bool_or(is_long) AS is_long FROM numbered GROUP BY 1, 2),
-    marked AS (SELECT *, (n > 1 OR is_long) AND regexp_matches(chunk, '[\p{{L}}\p{{N}}]')
+    marked AS (SELECT *, (n > 1 OR is_long) AND regexp_matches(chunk, '[\\p{{L}}\\p{{N}}]')
                          AND row_number() OVER (PARTITION BY chunk, (n > 1 OR is_long) ORDER BY doc_id, c) > 1 AS gone FROM chunks),
     done AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS removed FROM marked GROUP BY 1)
     SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE done.text END AS text, coalesce(done.removed, 0)::INTEGER AS removed FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
