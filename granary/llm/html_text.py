@@ -32,6 +32,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset(
     "nav navbar navigation menu header masthead topbar footer sidebar aside ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments disqus reply replies respond discussion share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar copyright legal disclaimer form search skip hidden tags".split()
 )
+#: Of these, those that an article's own parts have too, and names of such parts.
+HEADS, ARTICLE_NAMES = frozenset("header masthead banner".split()), frozenset("article post entry story content".split())
+#: Names that count on a tag inside a line of text.
+INLINE_NAMES = frozenset("ad ads advert adverts advertisement sponsored hidden share sharing skip".split())
+#: Tags whose next one ends them.
+ITEMS = frozenset("p li td th tr dt dd option".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|type)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -88,86 +94,123 @@ def chance(row, node) -> float:
     return node
 
 
-def _odd(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether a tag opens a part that is no article."""
+def _words(value: str) -> set[str]:
+    """Words of a class or id; those after `has`, `with` or `no` describe what else the page has, not this part."""
+    parts = re.split(r"[^a-z]+", value)
+    return {w for before, w in zip(["", *parts], parts, strict=False) if before not in ("has", "with", "no")}
+
+
+def _odd(tag: str, attrs: str, in_article: bool) -> int:
+    """Whether a tag opens a part that is no article: 2 by tag, role or hiding, 1 by a word in its class or id, else 0."""
     if tag in PARTS or tag == "header" and not in_article:
-        return True
+        return 2
+    found = 0
     for k, v in _ATTR.findall(attrs) if attrs else ():
         k, v = k.lower(), v.strip("\"'").lower()
         if k == "role" and v in ROLES or k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
-            return True
-        if k in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES & set(re.split(r"[^a-z]+", v)):
-            return True
-    return False
+            return 2
+        if k in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            names = NAMES & _words(v)
+            if in_article or _words(v) & ARTICLE_NAMES:
+                names -= HEADS
+            if tag in INLINE:
+                names &= INLINE_NAMES
+            found = max(found, int(bool(names)))
+    return found
+
+
+class _Page:
+    """Collects blocks while the tags of a page go by."""
+
+    def __init__(self):
+        self.out: list[tuple[str, int, int, bool, bool]] = []
+        #: Open tags: name, kind of odd part, and the odd parts by name that an article has set aside.
+        self.stack: list[tuple[str, int, int]] = []
+        self.parts: list[str] = []
+        self.link_words = self.links = self.article = self.mute = 0
+        self.odd = [0, 0, 0]
+
+    def close(self) -> None:
+        """Ends the block."""
+        text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
+        if text:
+            n = text.count(" ") + 1
+            self.out.append((text, n, min(n, self.link_words), self.odd[1] + self.odd[2] > 0, self.article > 0))
+        self.parts.clear()
+        self.link_words = 0
+
+    def add(self, raw: str) -> None:
+        if raw and not self.mute:
+            self.parts.append(raw)
+            if self.links:
+                self.link_words += len(raw.split())
+
+    def push(self, tag: str, attrs: str) -> None:
+        kind, aside = _odd(tag, attrs, self.article > 0), 0
+        if tag in INLINE:
+            self.mute += kind > 0
+        elif tag in ("article", "main"):  # a wrapper's name says nothing about the article in it
+            aside, self.odd[1] = self.odd[1], 0
+        else:
+            self.odd[kind] += 1
+        self.stack.append((tag, kind, aside))
+        self.article += tag in ("article", "main")
+        self.links += tag == "a"
+
+    def pop(self) -> None:
+        tag, kind, aside = self.stack.pop()
+        if tag in INLINE:
+            self.mute -= kind > 0
+        elif tag in ("article", "main"):
+            self.odd[1] = aside
+        else:
+            self.odd[kind] -= 1
+        self.article -= tag in ("article", "main")
+        self.links -= tag == "a"
+
+    def end(self, tag: str) -> None:
+        """Ends the innermost such tag and what is open in it; an inline tag ends no block."""
+        if any(tag == x for x, _, _ in self.stack):
+            while self.stack[-1][0] != tag:
+                if tag in INLINE and self.stack[-1][0] not in INLINE:
+                    return
+                self.pop()
+            self.pop()
+
+    def begin(self, tag: str, attrs: str) -> None:
+        if tag in VOID or attrs.endswith("/") and tag in INLINE:
+            return
+        if tag in ITEMS:  # a new paragraph or item ends the one before, and inline tags left open in it
+            while self.stack and (self.stack[-1][0] == tag or self.stack[-1][0] in INLINE):
+                self.pop()
+        self.push(tag, attrs)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, odd part, in an article) of each flat block in page order."""
-    out, stack, parts, link_words = [], [], [], 0
-    odd = article = links = pos = 0
-    low = None
-
-    def close():
-        nonlocal link_words
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        if text:
-            n = text.count(" ") + 1
-            out.append((text, n, min(n, link_words), odd > 0, article > 0))
-        parts.clear()
-        link_words = 0
-
-    def add(raw: str):
-        nonlocal link_words
-        if raw:
-            parts.append(raw)
-            if links:
-                link_words += len(raw.split())
-
-    def pop():
-        nonlocal odd, article, links
-        tag, was = stack.pop()
-        odd -= was
-        article -= tag in ("article", "main")
-        links -= tag == "a"
-
+    p, pos, low = _Page(), 0, None
     while m := _TOKEN.search(page, pos):
-        add(page[pos : m.start()])
+        p.add(page[pos : m.start()])
         pos = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if tag in RAW and not m[1]:
-            if tag not in INLINE:
-                close()
+        if tag not in INLINE and tag not in RAW:
+            p.close()
+        elif tag == "br":
+            p.add(" ")
+        if m[1]:
+            p.end(tag)
+        elif tag in RAW:
             if not m[3].endswith("/"):
                 low = low or page.lower()
                 end = low.find(f"</{tag}", pos)
                 pos = len(page) if end < 0 else max(pos, low.find(">", end) + 1 or len(page))
-            continue
-        if tag not in INLINE:
-            close()
-        elif tag == "br":
-            parts.append(" ")
-        if m[1]:
-            if any(tag == x for x, _ in stack):
-                while stack[-1][0] != tag:
-                    if tag in INLINE and stack[-1][0] not in INLINE:
-                        break  # a line's tag ends no block
-                    pop()
-                if stack[-1][0] == tag:
-                    pop()
-        elif tag not in VOID and not (m[3].endswith("/") and tag in INLINE):
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
-                while stack and (stack[-1][0] == tag or stack[-1][0] in INLINE):
-                    pop()  # a new paragraph or item ends the one before, and links left open in it
-            was = _odd(tag, m[3], article > 0)
-            stack.append((tag, was))
-            odd += was
-            article += tag in ("article", "main")
-            links += tag == "a"
-    add(page[pos:])
-    close()
-    return out
+        else:
+            p.begin(tag, m[3])
+    p.add(page[pos:])
+    p.close()
+    return p.out
 
 
 def main_text(page: str | None) -> str:

@@ -224,6 +224,22 @@ def test_main_text_of_articles(spark, duck):
     assert html_text.main_text(page) == "Title & more\nHello link world é"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body class="has-sidebar"><div class="wrap with-sidebar nav-open"><article><h1 class="post-header">One</h1><p>Two words</p></article></div>', "One\nTwo words"),
+        ('<ARTICLE><P>Big <B>tags</B> here<P>and open<UL><LI>one<LI>two</UL></ARTICLE><DIV ID="Comments">I liked it a lot, thanks</DIV>', "Big tags here\nand open\none\ntwo"),
+        ('<main><p>Text<!-- <p>not</p> --> goes on&nbsp;&#8212; <span class="ad">Buy now</span>fine</p><div style="display:none">gone</div></main>', "Text goes on \u2014 fine"),
+        ("<main><p>a<script>document.write('<p>x</p>')</script>b</p></main><script>if (a < b) {}", "ab"),
+        ('<article><p>Kept text</p><aside><article><p>A teaser of another story</p></article></aside></article><div role="contentinfo">Imprint</div>', "Kept text"),
+        ("<div><p>" + "Some long plain text without any article tag around it. " * 12 + "</p></div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul>", ("Some long plain text without any article tag around it. " * 12).strip()),
+        ("<p>no tags <", "no tags <"),
+    ],
+)
+def test_main_text_of_odd_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
