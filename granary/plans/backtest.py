@@ -77,3 +77,28 @@ def train_and_score(train: DataFrame, test: DataFrame, inputs: list[str], label:
     model = GBTClassifier(labelCol=label, featuresCol="_x", weightCol="_w", maxIter=10, maxDepth=3, seed=42).fit(filled(weighted))
     p = vector_to_array("probability")[1]
     return model.transform(filled(test)).withColumn("p_failed", p).withColumn("score", (1 - F.col("p_failed")) * 100).drop("_x", "rawPrediction", "probability", "prediction")
+
+
+def progress_model(train: DataFrame, test: DataFrame, inputs: list[str], label: str, least_train: int = 30, least_test: int = 10) -> DataFrame | None:
+    """train_and_score() for progress labels; None with too few rows or one class."""
+    counts = train.agg(F.count(label).alias("n"), F.min(label).alias("a"), F.max(label).alias("b")).first()
+    if counts.n < least_train or counts.a == counts.b or test.limit(least_test).count() < least_test:
+        return None
+    return train_and_score(train, test, inputs, label)
+
+
+def permutation_importance(score, rows: DataFrame, inputs: list[str], key: str, repeats: int = 5, seed: int = 42) -> dict[str, float]:
+    """How much score(rows), a number, falls on average when one input is shuffled: its values are dealt out anew by two
+    hashed orders of the rows, joined by rank. It is for test sets, which are sorted in one task."""
+    from pyspark.sql import Window as W
+
+    base, out = score(rows), {}
+    ranked = lambda df, salt: df.withColumn("_o", F.xxhash64(F.lit(salt), key)).withColumn("_r", F.row_number().over(W.orderBy("_o", key)))
+    for column in inputs:
+        drops = []
+        for i in range(repeats):
+            values = ranked(rows.select(key, column), seed + i).select("_r", F.col(column).alias("_v"))
+            mixed = ranked(rows, -seed - i - 1).join(values, "_r").withColumn(column, F.col("_v")).drop("_r", "_v", "_o")
+            drops.append(base - score(mixed))
+        out[column] = sum(drops) / repeats
+    return out

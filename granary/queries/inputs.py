@@ -33,3 +33,16 @@ def xml(t):
 def quoted(t):
     line = F.concat(F.lit('"Say ""'), "name", F.lit('"", Inc",'), "country")
     return t.companies.select("company_id", S.quoted_fields(line, ["listed", "place"]).alias("c")).select("company_id", "c.listed", F.col("c.place").alias("country"))
+
+
+@query("src8_latest_link", "SELECT p_brand, max(DATE '2020-01-01' + (p_partkey % 900)::INTEGER) AS day FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1")
+def latest_link(t):
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") % 900).cast("int"))
+    name = F.when(F.col("p_partkey") % 5 == 0, "https://x/ia-latest.zip").when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("https://x/ia"), F.date_format(day, "MMddyy"), F.lit(".zip"))).otherwise(F.concat(F.lit("https://x/adv-"), F.date_format(day, "yyyyMMdd"), F.lit(".zip")))
+    return S.latest_link(t.part.select("p_brand", name.alias("url")), "url", ["p_brand"]).select("p_brand", "day")
+
+
+@query("src14_uploads", "SELECT conv_id, turn, substr(text, 1, 8000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE strlen(text) <= 2000000) WHERE r <= 3")
+def uploads(t):
+    files = t.conversations.select("conv_id", "turn", "text", F.octet_length("text").alias("bytes"))
+    return S.accepted_uploads(files, "conv_id", "turn", "bytes", "text").select("conv_id", "turn", "text")

@@ -152,3 +152,37 @@ def company_profiles(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(schema).json(path)
     active = F.filter("officers", lambda o: o["resigned_on"].isNull())
     return raw.select("company_number", "company_name", F.lower("company_status").alias("status"), F.try_to_date("date_of_creation", "yyyy-MM-dd").alias("created"), F.coalesce("accounts.overdue", F.lit(False)).alias("overdue"), F.coalesce(F.size(active), F.lit(0)).alias("officers"))
+
+
+def quarter_archive(year: int, quarter: int) -> str:
+    """The name of a quarter's archive; refuses quarters that no archive covers."""
+    #: Years that archives cover.
+    if not 2017 <= year <= 2030 or quarter not in (1, 2, 3, 4):
+        raise ValueError(f"no archive for {year} Q{quarter}")
+    return f"{year}q{quarter}.zip"
+
+
+def latest_link(links: DataFrame, url: str, by: list[str]) -> DataFrame:
+    """Of each group the link whose name has the latest date (MMDDYY or YYYYMMDD); links without a date are left out."""
+    short, long = F.regexp_extract(url, r"(\d{2})(\d{2})(\d{2})(?!\d)", 0), F.regexp_extract(url, r"(20\d{2})(\d{2})(\d{2})(?!\d)", 0)
+    day = F.coalesce(F.try_to_date(F.nullif(long, F.lit("")), "yyyyMMdd"), F.try_to_date(F.nullif(short, F.lit("")), "MMddyy"))
+    return links.withColumn("day", day).where("day is not null").groupBy(*by).agg(F.max(F.struct("day", url)).alias("_l")).select(*by, F.col("_l.day").alias("day"), F.col(f"_l.{url}").alias(url))
+
+
+#: Documents of an upload, bytes of each, and characters of text kept from each.
+UPLOAD_FILES, UPLOAD_BYTES, UPLOAD_CHARS = 3, 2_000_000, 8000
+
+
+def accepted_uploads(files: DataFrame, upload: str, order: str, size: str, text: str) -> DataFrame:
+    """The first files of each upload that are small enough, with the beginning of their texts."""
+    from granary.operators.windows import W
+
+    fit = files.where(F.col(size) <= UPLOAD_BYTES).withColumn("_r", F.row_number().over(W.partitionBy(upload).orderBy(order)))
+    return fit.where(F.col("_r") <= UPLOAD_FILES).withColumn(text, F.substring(text, 1, UPLOAD_CHARS)).drop("_r")
+
+
+def official_signals(spark: SparkSession, path: str) -> DataFrame:
+    """Landed JSON of official sources as long rows (company_id, signal, observed, value)."""
+    raw = spark.read.schema("company_id long, observed string, grants double, patents double, tenders double").json(path)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).alias("value")) for c in ("grants", "patents", "tenders")])).alias("_s")
+    return raw.select("company_id", F.try_to_date("observed", "yyyy-MM-dd").alias("observed"), pairs).select("company_id", "observed", "_s.*").where("value is not null and observed is not null")

@@ -149,3 +149,42 @@ def test_walk_forward_training_has_precedence(spark):
     df = spark.createDataFrame([("2020-01-01",), ("2021-01-01",), ("2023-01-01",)], "d string").withColumn("d", F.col("d").cast("date"))
     got = sorted((str(r.d), r.window, r.split) for r in V.walk_forward(df, "d", [("a", "2020-06-30", "2020-01-01", "2021-06-30")]).collect())
     assert got == [("2020-01-01", "a", "train"), ("2021-01-01", "a", "test")]
+
+
+def test_archives_and_signals(spark, tmp_path):
+    assert S.quarter_archive(2024, 3) == "2024q3.zip"
+    for year, quarter in ((2016, 1), (2024, 5)):
+        with pytest.raises(ValueError, match="no archive"):
+            S.quarter_archive(year, quarter)
+    (tmp_path / "s.json").write_text('{"company_id": 1, "observed": "2024-01-02", "grants": 3}\n{"company_id": 2, "observed": "bad", "patents": 1}\n')
+    assert [(r.company_id, r.signal, r.value) for r in S.official_signals(spark, str(tmp_path / "s.json")).collect()] == [(1, "grants", 3.0)]
+
+
+def test_models(spark):
+    rows = [(i, int(i % 4 == 0), float(i % 4), float(i * 7 % 10)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    scored = B.train_and_score(df.where("id < 300"), df.where("id >= 300"), ["a", "b"], "y")
+    area = lambda d: A.auc(d.withColumn("s", -F.col("a") + 0 * F.col("b")), "y", "s").first().auc
+    assert A.auc(scored, "y", "p_failed").first().auc == 1.0 and {c for c in ("p_failed", "score")} <= set(scored.columns)
+    fall = B.permutation_importance(area, df, ["a", "b"], "id", repeats=2)
+    assert fall["a"] > 0.2 and fall["b"] == 0.0
+    assert B.progress_model(df.where("y = 1"), df, ["a"], "y") is None
+
+
+def test_tree_json_scores_like_the_model(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), int((i % 7) > 3)) for i in range(200)], "a double, b double, y int")
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df)
+    model = GBTClassifier(labelCol="y", featuresCol="x", maxIter=3, maxDepth=2, seed=1).fit(x)
+    out = reports.tree_json(model, ["a", "b"])
+    assert len(out["trees"]) == 3 and len(out["weights"]) == 3 and out["trees"][0]["feature"] in ("a", "b")
+
+
+def test_diverse_selection(spark):
+    from granary.plans import pilot
+
+    rows = [(1, "x", "s", "UK", 9.0), (2, "x", "s", "UK", 8.5), (3, "y", "s", "UK", 5.0), (4, "x", "t", "UK", 7.0), (5, None, None, None, 1.0)]
+    got = pilot.diverse(spark.createDataFrame(rows, "id long, class string, sector string, country string, evidence double"), 4).orderBy("pick").collect()
+    assert [r.id for r in got] == [1, 3, 5, 4]
