@@ -15,9 +15,7 @@ id are in no fold: not learned from, held_out false.
 from __future__ import annotations
 
 import functools
-import operator
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -48,32 +46,33 @@ def measures(text: str | None) -> list[float]:
     """The model's inputs for one text."""
     t = text or ""
     n = max(1, len(t))
-    share = np.bincount(kinds()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=KINDS) / n
-    words, lines = t.split(), t.split("\n")
-    m = max(1, len(words))
-    top = [k for _, k in Counter(words).most_common(3)] + [0, 0, 0]
-    lengths = list(map(len, words))
-    pairs = set(zip(words, words[1:], strict=False))
-    same = sum(map(operator.eq, words, words[1:]))
-    odd_end = sum(not (w[-1].isalnum() or w[-1] in _MARKS) for w in words)
-    alone = sum(k == 1 and not w.isalnum() for w, k in zip(words, lengths, strict=True))
-    mean = sum(lengths) / m
+    kind = kinds()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    share = np.bincount(kind, minlength=KINDS) / n
+    gap = np.concatenate(([True], kind == 5, [True]))
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:]) - 1
+    lengths, last = ends - starts + 1, kind[ends] if len(ends) else kind[:0]
+    m, lines = max(1, len(starts)), t.split("\n")
+    # words stand for themselves by their hashes, of which only equality counts
+    words = np.fromiter(map(hash, t.split()), np.int64, len(starts)).view(np.uint64)
+    pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+    top = np.sort(np.unique(words, return_counts=True)[1])[::-1]
+    mean = lengths.sum() / m
     return [
         *share.tolist(),
         np.log1p(len(words)),
-        len(set(words)) / m**0.85,
-        (len(pairs) + 1) / m,
-        same / m,
-        odd_end / m,
-        alone / m,
-        top[0] / m,
-        top[2] / m,
+        len(top) / m**0.85,
+        (len(np.unique(pairs)) + 1) / m,
+        float((words[1:] == words[:-1]).sum()) / m,
+        float(((last == 7) | (last == 0)).sum()) / m,
+        float(((lengths == 1) & ((last == 6) | (last == 7) | (last == 0))).sum()) / m,
+        (int(top[0]) if len(top) else 0) / m,
+        (int(top[2]) if len(top) > 2 else 0) / m,
         mean,
-        np.sqrt(sum((x - mean) ** 2 for x in lengths) / m),
+        np.sqrt(((lengths - mean) ** 2).sum() / m),
         np.log1p(len(lines)),
         len(set(lines)) / len(lines),
         np.log1p(n / len(lines)),
-        float(not words),
+        float(not len(words)),
     ]
 
 
