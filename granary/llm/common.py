@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -163,19 +164,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Words of more bytes stand in a shingle by a digest; words of a text that are hashed at once.
+LONG_WORD, SLICE = 64, 100_000
+
+
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles: runs of `words` words of the lower-cased text, split at ASCII
-    white space. A text of fewer words has one shingle of all its words, a text without words none."""
+    white space. A text of fewer words has one shingle of all its words, a text without words none. Long texts are hashed
+    in slices that overlap by all but one word of a shingle, so memory is bounded."""
     parts = (text or "").lower().encode("utf-8", "surrogatepass").split()
     if not parts:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    raw = np.frombuffer(joined, np.uint8)
+    if max(map(len, parts)) > LONG_WORD:
+        parts = [p if len(p) <= LONG_WORD else b"#" + hashlib.blake2b(p, digest_size=16).digest() for p in parts]
+    k = min(words, len(parts))
+    if len(parts) - k < SLICE:
+        return np.unique(_shingles(parts, k))
+    return np.unique(np.concatenate([np.unique(_shingles(parts[a : a + SLICE + k - 1], k)) for a in range(0, len(parts) - k + 1, SLICE)]))
+
+
+def _shingles(parts: list[bytes], k: int) -> np.ndarray:
+    """Hashes of all runs of k words. The sum of byte * base^position over a run, divided by base^start, depends on the
+    run's bytes alone."""
+    raw = np.frombuffer(b" ".join(parts), np.uint8)
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:], dtype=np.uint64)
-    gaps = np.flatnonzero(raw == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(raw)]))
-    k = min(words, len(parts))
-    a, b = starts[: len(starts) - k + 1], ends[k - 1 :]
-    return np.unique(mixed((sums[b] - sums[a]) * down[a]))
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    a, b = starts[: len(parts) - k + 1], ends[k - 1 :]
+    return mixed((sums[b] - sums[a]) * down[a])

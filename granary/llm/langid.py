@@ -72,9 +72,28 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.diff(np.append(at, len(keys)))
 
 
+def slices(text: str, size: int = 1 << 20):
+    """The text in slices of bounded length, cut at a blank where there is one."""
+    a = 0
+    while len(text) - a > size:
+        b = text.rfind(" ", a + 1, a + size) + 1 or a + size
+        yield text[a:b]
+        a = b
+    yield text[a:] if a else text
+
+
+def all_ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the text's n-grams and their numbers."""
+    held = [counted(ngrams(codes(part))) for part in slices(text)]
+    if len(held) == 1:
+        return held[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+
 def ranking(text: str, size: int) -> np.ndarray:
     """The text's most frequent n-grams, most frequent first."""
-    keys, n = counted(ngrams(codes(text)))
+    keys, n = all_ngrams(text)
     return keys[np.argsort(-n, kind="stable")[:size]]
 
 
@@ -117,7 +136,7 @@ def train(documents: DataFrame, size: int = PROFILE, text_col: str = "text", lan
                 by.setdefault(lang, []).append(text.as_py())
             for lang, texts in by.items():
                 parts, held = [], 0
-                for t in [*texts, None]:
+                for t in [x for text in texts for x in slices(text)] + [None]:
                     if t is not None:
                         parts.append(ngrams(codes(t)))
                         held += len(parts[-1])

@@ -173,6 +173,20 @@ def test_ngram_join_of_a_large_near_group(spark):
     assert {k: r.class_id for k, r in got.items()} == root
 
 
+def test_slices_change_nothing(monkeypatch):
+    from granary.llm import common
+
+    rng = random.Random(11)
+    text = " ".join(["".join(rng.choices("abcd é", k=6)) for _ in range(900)] + ["x" * 3000, "y" * 3000])
+    whole, ranks = shingle_hashes(text, 5), langid.ranking(text, 300)
+    monkeypatch.setattr(common, "SLICE", 50)
+    assert (shingle_hashes(text, 5) == whole).all()
+    cut = langid.slices
+    monkeypatch.setattr(langid, "slices", lambda t: cut(t, 4000))
+    assert "".join(langid.slices(text)) == text and len(list(langid.slices(text))) > 2
+    assert (langid.ranking(text, 300) == ranks).all()
+
+
 def test_shingles_and_level():
     assert len(shingle_hashes("a b c d e f", 5)) == 2 and len(shingle_hashes(" A  b ", 5)) == 1 and not len(shingle_hashes(None, 5))
     assert len(set(shingle_hashes("q a b c d e z", 5)) & set(shingle_hashes("Q a b c d  e", 5))) == 2
