@@ -269,3 +269,14 @@ def test_pipeline(spark):
         before = after
     pieces = corpus_pipeline.packed(spark, before, SF).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_shortages_go_to_siblings_before_ancestors(spark):
+    from granary.llm import mixing
+
+    leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 500), ("a", "y", "1", 5), ("b", "x", "1", 40), ("b", "y", "1", 1000)], "_domain string, _lang string, _source string, capacity long")
+    part = {(r._domain, r._lang, r._source): int(r.part) for r in mixing.budgets(leaves, F.lit(400), {"a": 1, "b": 1}, {}, {}).collect()}
+    # a gets 200: y holds 5, so x has 195, of which source 1 holds 10; b gets 200: x holds 40, y takes the rest
+    assert part == {("a", "x", "1"): 10, ("a", "x", "2"): 185, ("a", "y", "1"): 5, ("b", "x", "1"): 40, ("b", "y", "1"): 160}
+    part = {(r._domain, r._lang, r._source): int(r.part) for r in mixing.budgets(leaves, F.lit(1500), {"a": 3, "b": 1}, {}, {}).collect()}
+    assert part == {("a", "x", "1"): 10, ("a", "x", "2"): 500, ("a", "y", "1"): 5, ("b", "x", "1"): 40, ("b", "y", "1"): 945}  # what all of a lacks goes to b
