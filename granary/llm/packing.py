@@ -17,10 +17,11 @@ that repeat an id are packed one by one; an empty table gives no pieces; other c
 
 from __future__ import annotations
 
-import base64
 import functools
 import re
+import unicodedata
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,47 +45,81 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Characters of plain texts, about whose kinds this module and the tokenizer agree.
+_PLAIN = [chr(i) for i in (*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x2010, 0x2028))]
+#: Distinct pieces whose ids a task remembers, twice over, the characters of the longest of them, and those of a text
+#: that are cut into pieces at once.
+HELD, LONGEST, SLICE = 250_000, 64, 1 << 20
+
+
+def splitter() -> re.Pattern:
+    """The byte-level pre-tokenizer's pieces of a plain text: contractions, words, numbers, marks and white space."""
+    of = lambda kind: "".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] == kind)
+    letter, digit, space = of("L"), of("N"), "".join(re.escape(c) for c in _PLAIN if c.isspace())
+    return re.compile(f"'(?:[smtd]|ll|ve|re)| ?[{letter}]+| ?[{digit}]+| ?[^{space}{letter}{digit}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+class Held(dict):
+    """piece -> its ids as bytes. What has not been asked for while HELD others came is forgotten."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        self.ids_of, self.older = ids_of, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece) or self.ids_of(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= HELD:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+_BETWEEN = re.compile("(?<=[a-z]) (?=[a-z])")
+
+
+def parts_of(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about `size` characters, cut where a word ends and a blank and a word follow: never in a piece."""
+    a = 0
+    while len(text) - a > size and (m := _BETWEEN.search(text, a + size)):
+        yield text[a : m.start()]
+        a = m.start()
+    yield text[a:] if a else text
+
+
 @functools.cache
 def encoder(vocab: str):
-    """texts -> lists of ids of the tokenizers file. Where the same vocabulary lies beside it as ranks, texts of plain
-    Latin letters, on which both libraries agree, go through the faster one."""
+    """(text -> ids of the tokenizers file as bytes, their type). Ids never reach over the pre-tokenizer's pieces, so a
+    plain text is cut into these and tokenizers is asked for each distinct one; it gets every other text whole."""
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(vocab)
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
-    try:
-        import public_tokenizers
-        import tiktoken
-
-        with open(re.sub(r"\.json$", ".tiktoken", vocab), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    except (ImportError, OSError):
-        fast = None
-    odd = re.compile("[^\\x00-\\u024f\\u2010-\\u2027]" + "".join(f"|{re.escape(x)}" for x in special))
+    tokenizer = Tokenizer.from_file(vocab)
+    kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    odd = re.compile("|".join([f"[^{''.join(map(re.escape, _PLAIN))}]", *added]))
+    ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
+    split, held = splitter(), Held(ids_of)
 
-    def encode(text: str) -> list[int]:
-        if fast is None or odd.search(text):
-            return slow.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+    def encode(text: str) -> bytes:
+        if odd.search(text):
+            return ids_of(text)
+        return b"".join(b"".join(map(held.__getitem__, split.findall(part))) for part in parts_of(text, SLICE))
 
-    return encode
+    return encode, kind
 
 
 def tokenized(documents: DataFrame, vocab: str | None = None, closing: int = CLOSING) -> DataFrame:
     """uid (one for each row), doc_id, source, n (tokens with the closing id) and ids (little-endian: two bytes each if
-    all fit, else four), stored."""
+    the vocabulary fits, else four), stored."""
     vocab = vocab or vocabulary("byte_bpe_50k.json")
 
     def make():
-        encode = encoder(vocab)
+        encode, kind = encoder(vocab)
+        last = np.array([closing], kind).tobytes()
 
         def of(batch):
-            ids = []
-            for t in batch.column("text"):
-                x = np.array([*encode(t.as_py() or ""), closing], "<u4")
-                ids.append((len(x), (x.astype("<u2") if x.max() < 65536 else x).tobytes()))
-            return {"doc_id": batch.column("doc_id").to_pylist(), "source": batch.column("source").to_pylist(), "n": [k for k, _ in ids], "ids": [b for _, b in ids]}
+            ids = [encode(t.as_py() or "") + last for t in batch.column("text")]
+            return {"doc_id": batch.column("doc_id").to_pylist(), "source": batch.column("source").to_pylist(), "n": [len(x) // len(last) for x in ids], "ids": ids}
 
         return of
 

@@ -123,6 +123,20 @@ def test_packing_round_trip(spark, texts):
     assert all(sorted(v)[0][0] == 0 for v in seen.values()) and sum(n < 2048 for n in ends.values()) <= 1
 
 
+def test_pieces_have_the_ids_of_whole_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    vocab = packing.vocabulary("byte_bpe_50k.json")
+    slow, (encode, kind), rng = Tokenizer.from_file(vocab), packing.encoder(vocab), random.Random(9)
+    monkeypatch.setattr(packing, "SLICE", 100)
+    monkeypatch.setattr(packing, "HELD", 50)
+    wide = [chr(i) for i in (*range(0x250), *range(0x2010, 0x2030), 0x300, 0x3B1, 0x3000, 0x4E00, 0x1F600)]
+    near = list("abcdefghijklmnopqrstuvwxyz    \n\t'\u2019.,0123456789ABCDE\u00e9")
+    texts = ["".join(rng.choices(wide if i % 3 == 0 else near + packing._PLAIN if i % 3 == 1 else near, k=rng.randint(0, 400))) for i in range(1500)]
+    for text in [*texts, " " * 300_000, "\n" * 300_000 + "x", "a" * 100_000, "a <|endoftext|> b", "don't we'll I'D"]:
+        assert np.frombuffer(encode(text), kind).tolist() == slow.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_keeps_proportions(spark):
     rows = [(i, "w " * (5 + i % 40), "en", f"s{i % 3}" if i % 2 else "s0") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
