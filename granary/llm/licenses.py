@@ -10,6 +10,8 @@ ids and rows each get their own result; other columns of the input are ignored,
 
 from __future__ import annotations
 
+import bisect
+
 import ahocorasick
 import regex
 from pyspark.sql import DataFrame
@@ -56,6 +58,16 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def blanks_before(text: str | bytes, places: list[int]) -> list[int]:
+    """The number of blanks before each of the ascending places, in one pass over the text."""
+    blank, last, n, out = " " if isinstance(text, str) else b" ", 0, 0, []
+    for at in places:
+        n += text.count(blank, last, at)
+        last = at
+        out.append(n)
+    return out
+
+
 class Scanner:
     """Finds phrases exactly and notices with bounded edits in whole texts."""
 
@@ -74,13 +86,14 @@ class Scanner:
 
     def exact(self, words: list[bytes]) -> list[tuple[int, str]]:
         """(word index, label) of every place of a phrase."""
-        joined, found = b" " + b" ".join(words) + b" ", []
+        joined, starts = b" " + b" ".join(words) + b" ", []
         for phrase, label in self.phrases:
             at = joined.find(phrase)
             while at >= 0:
-                found.append((joined.count(b" ", 0, at), label))
+                starts.append((at, label))
                 at = joined.find(phrase, at + 1)
-        return sorted(found)
+        starts.sort()
+        return list(zip(blanks_before(joined, [at for at, _ in starts]), [label for _, label in starts], strict=True))
 
     def fuzzy(self, words: list[bytes]) -> list[tuple[int, int, str, int, float]]:
         """(first word, last word, label, edits, similarity) of every best match of a notice; of matches that
@@ -93,24 +106,28 @@ class Scanner:
                 a = end + 1 - size - at - e
                 span = (max(0, a), min(len(joined), a + n + 2 * e))
                 own = places.setdefault(i, [])
-                if own and span[0] <= own[-1][1]:
+                if own and abs(span[0] - own[-1][0]) <= 2 * e:  # another piece of the same place
                     own[-1] = (min(own[-1][0], span[0]), max(own[-1][1], span[1]))
                 else:
                     own.append(span)
-        found = []
-        for i, spans in places.items():
-            label, n, _, pattern = self.notices[i]
-            for a, b in spans:
-                pos = a
-                while (m := pattern.search(joined, pos, b)) and m.end() > m.start():
-                    edits = sum(m.fuzzy_counts)
-                    found.append((-(1 - edits / n), m.start(), m.end(), label, edits))
-                    pos = m.end()
-        kept = []
+        found = set()
+        for i, open_spans in places.items():
+            label, n, e, pattern = self.notices[i]
+            while open_spans:
+                a, b = open_spans.pop()
+                if b - a < n - e or not (m := pattern.search(joined, a, b)):
+                    continue
+                edits = sum(m.fuzzy_counts)
+                found.add((-(1 - edits / n), m.start(), m.end(), label, edits))
+                open_spans += [(a, m.start()), (m.end(), b)]  # the best match may have others before it
+        starts, kept = [], []
         for s, a, b, label, edits in sorted(found):
-            if not any(a < x[2] and x[1] < b for x in kept):
-                kept.append((s, a, b, label, edits))
-        return sorted((joined.count(" ", 0, a), joined.count(" ", 0, b), label, edits, -s) for s, a, b, label, edits in kept)
+            at = bisect.bisect_left(starts, a)
+            if (at == 0 or kept[at - 1][1] <= a) and (at == len(starts) or starts[at] >= b):
+                starts.insert(at, a)
+                kept.insert(at, (a, b, label, edits, -s))
+        first, last = blanks_before(joined, starts), blanks_before(joined, [x[1] for x in kept])
+        return [(u, v, *x[2:]) for u, v, x in zip(first, last, kept, strict=True)]
 
 
 def scan(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

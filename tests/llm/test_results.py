@@ -234,6 +234,11 @@ def test_fuzzy_notices():
                 chars[rng.randrange(1, len(chars) - 1)] = rng.choice("abcxyz")
             w = licenses.words_of("foo bar " + "".join(chars) + " tail")
             assert any(x[4] >= 1 - 1 / licenses.LETTERS_PER_EDIT - 1e-9 for x in s.fuzzy(w)), (label, "".join(chars))
+    notice, edited = "licensed under the mit license", "licensed under tha mit license"
+    spans = s.fuzzy(licenses.words_of(f"{edited} {notice} {edited} and {notice} {edited}"))
+    assert [(x[0], x[1], x[2], x[3]) for x in spans] == [(0, 4, "mit", 1), (5, 9, "mit", 0), (10, 14, "mit", 1), (16, 20, "mit", 0), (21, 25, "mit", 1)]
+    many = licenses.words_of(f"{edited} " * 3000)
+    assert len(s.fuzzy(many)) == 3000 and s.exact(many) == [] and len(s.exact(licenses.words_of(f"{notice} " * 3000))) == 3000
     assert s.fuzzy(licenses.words_of("nothing of the kind is said in this text at all")) == []
 
 
