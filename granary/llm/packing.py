@@ -87,6 +87,14 @@ def parts_of(text: str, size: int) -> Iterator[str]:
     yield text[a:] if a else text
 
 
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes other than blanks and the soft hyphen stand for themselves, the others for
+    the characters from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)}
+
+
 @functools.cache
 def encoder(vocab: str):
     """(text -> ids of the tokenizers file as bytes, their type). Ids never reach over the pre-tokenizer's pieces, so a
@@ -98,7 +106,13 @@ def encoder(vocab: str):
     added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
     odd = re.compile("|".join([f"[^{''.join(map(re.escape, _PLAIN))}]", *added]))
     ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
-    split, held = splitter(), Held(ids_of)
+    model, letters = tokenizer.model, byte_letters()
+
+    def ids_of_piece(piece: str) -> bytes:
+        """As ids_of, by the tokenizer's model alone, since a piece is not cut again."""
+        return np.array([x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))], kind).tobytes()
+
+    split, held = splitter(), Held(ids_of_piece)
 
     def encode(text: str) -> bytes:
         if odd.search(text):
