@@ -7,7 +7,7 @@ import importlib
 from granary.queries.base import QUERIES, SQL
 
 #: Modules that register queries.
-MODULES = ("parsing", "tables", "analytics", "plans", "streams", "inputs", "flows")
+MODULES = ("parsing", "tables", "analytics", "plans", "streams", "inputs", "flows", "whole")
 
 for _name in MODULES:
     importlib.import_module(f"granary.queries.{_name}")

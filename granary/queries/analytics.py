@@ -144,24 +144,24 @@ def majority(t):
 _RUNS = "runs AS (SELECT deal_id, i::INTEGER AS run, CASE WHEN (deal_id * 31 + i * 17) % 11 < 5 THEN 'invest' WHEN (deal_id * 31 + i * 17) % 11 < 8 THEN 'watch' ELSE 'pass' END AS class, ((deal_id * 31 + i * 17) % 101)::DOUBLE AS conviction FROM deals, range(1, 5) t(i) WHERE deal_id % 50 = 0)"
 
 
-def runs(t):
+def runs(t, only="deal_id % 50 = 0"):
     h = F.col("deal_id") * 31 + F.col("run") * 17
-    return t.deals.where("deal_id % 50 = 0").select("deal_id", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("run")).withColumn("class", F.when(h % 11 < 5, "invest").when(h % 11 < 8, "watch").otherwise("pass")).withColumn("conviction", (h % 101).cast("double"))
+    return t.deals.where(only).select("deal_id", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("run")).withColumn("class", F.when(h % 11 < 5, "invest").when(h % 11 < 8, "watch").otherwise("pass")).withColumn("conviction", (h % 101).cast("double"))
 
 
 @query("ag21_run_agreement", f"WITH {_RUNS} SELECT a.run AS run_a, b.run AS run_b, count(*) AS n, round(avg(CASE WHEN a.class = b.class THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement FROM runs a JOIN runs b ON a.deal_id = b.deal_id AND a.run < b.run GROUP BY 1, 2")
-def agreement(t):
-    return A.pairwise_agreement(runs(t), ["deal_id"], "run", "class").withColumn("agreement", F.round("agreement", 6))
+def agreement(t, **how):
+    return A.pairwise_agreement(runs(t, **how), ["deal_id"], "run", "class").withColumn("agreement", F.round("agreement", 6))
 
 
 @query("ag22_conviction", f"WITH {_RUNS} SELECT run, round(avg(conviction), 6) AS mean, quantile_cont(conviction, 0.5) AS median, round(stddev_samp(conviction), 6) AS sd FROM runs GROUP BY 1")
-def conviction(t):
-    return runs(t).groupBy("run").agg(F.round(F.avg("conviction"), 6).alias("mean"), F.percentile("conviction", 0.5).alias("median"), F.round(F.stddev_samp("conviction"), 6).alias("sd"))
+def conviction(t, **how):
+    return runs(t, **how).groupBy("run").agg(F.round(F.avg("conviction"), 6).alias("mean"), F.percentile("conviction", 0.5).alias("median"), F.round(F.stddev_samp("conviction"), 6).alias("sd"))
 
 
 @query("ag23_class_drift", f"WITH {_RUNS}, c AS (SELECT run, count(*) FILTER (class = 'invest') AS i, count(*) FILTER (class = 'watch') AS w, count(*) FILTER (class = 'pass') AS p FROM runs GROUP BY 1) SELECT a.run AS run_a, b.run AS run_b, (abs(a.i - b.i) + abs(a.w - b.w) + abs(a.p - b.p))::BIGINT AS drift FROM c a JOIN c b ON a.run < b.run")
-def drift(t):
-    return A.drift(runs(t), "run", "class", ["invest", "watch", "pass"])
+def drift(t, **how):
+    return A.drift(runs(t, **how), "run", "class", ["invest", "watch", "pass"])
 
 
 @query("ag24_missing_fields", "SELECT field, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN pre_money IS NULL THEN 'pre_money' END, CASE WHEN equity IS NULL THEN 'equity' END, CASE WHEN NOT has_revenue THEN 'revenue' END], lambda x: x IS NOT NULL)) AS field FROM deals) GROUP BY 1 ORDER BY n DESC LIMIT 8")

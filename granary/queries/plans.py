@@ -85,8 +85,8 @@ def outcomes(t):
     a AS (SELECT o.round_id, max(revenue) AS v FROM o JOIN filings f ON f.company_id = o.company_id AND filing_date > round_date + INTERVAL 6 MONTH AND filing_date <= least(round_date + INTERVAL 24 MONTH, TIMESTAMP '1998-06-01') GROUP BY 1)
     SELECT o.round_id, coalesce(a.v >= 2 * b.m.v, false) AS progress FROM o LEFT JOIN b ON b.round_id = o.round_id LEFT JOIN a ON a.round_id = o.round_id""",
 )
-def progress(t):
-    rounds = t.rounds.where("round_id % 20 = 1").withColumn("company_id", F.col("company_id") % 200)
+def progress(t, only="round_id % 20 = 1"):
+    rounds = t.rounds.where(only).withColumn("company_id", F.col("company_id") % 200)
     return L.progress(rounds, t.filings, "1998-06-01")
 
 

@@ -1,0 +1,27 @@
+"""Whole-table forms of the queries that are registered, with their SQL, over a share of the ids: NAME_whole gives every id a
+result. The SQL of each is that of NAME without the filter."""
+
+from __future__ import annotations
+
+from granary.queries import analytics, flows, plans, tables
+from granary.queries.base import QUERIES, SQL, Tables
+
+#: Query, its function, and the filter in its SQL.
+CUT = (
+    ("lb5_progress_labels", plans.progress, "round_id % 20 = 1 AND "),
+    ("tt1_round_facts", flows.round_facts, " WHERE round_id % 5 = 1"),
+    ("tt3_narrative_terms", flows.narrative_terms, " WHERE r.round_id % 5 = 1"),
+    ("pl4_run_summary", flows.run_summary, " WHERE deal_id % 40 = 0"),
+    ("pl5_stability_gates", flows.stability_gates, " WHERE deal_id % 40 = 0"),
+    ("ag21_run_agreement", analytics.agreement, " WHERE deal_id % 50 = 0"),
+    ("ag22_conviction", analytics.conviction, " WHERE deal_id % 50 = 0"),
+    ("ag23_class_drift", analytics.drift, " WHERE deal_id % 50 = 0"),
+    ("er8_matched_pairs", flows.matched_pairs, " WHERE company_id % 3 = 0"),
+    ("jn10_name_match", tables.name_match, " WHERE p_partkey % 3 = 0"),
+)
+
+for _name, _of, _filter in CUT:
+    if SQL[_name].count(_filter) != 1:
+        raise ValueError(f"{_name}: the filter is not once in the SQL")
+    QUERIES[f"{_name}_whole"] = lambda spark, sf_dir, of=_of: of(Tables(spark, sf_dir), only="true")
+    SQL[f"{_name}_whole"] = SQL[_name].replace(_filter, "")
