@@ -2,7 +2,8 @@
 
 A vector's two halves are quantised separately with `codes` centroids each; a cell is a pair of them. A query walks the
 cells by the sum of its two squared distances to the centroids, with a heap over the pairs, until the cells it has met
-hold the share `probe` of all entries; the entries are reranked by their exact distances.
+hold the share `probe` of all entries and also of all distinct vectors, so that copies in a walked cell take no place of
+others; the entries are reranked by their exact distances.
 
 Cells are dealt to groups of at most GROUP entries in the order of cells; a cell with more (many equal vectors) is split
 by hash. A query goes once to each group that holds a cell it walks, and gets that group's nearest back. Centroids are
@@ -50,7 +51,7 @@ def centroids(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndar
 
 
 class Index:
-    """The two codebooks; `held` counts the entries of each cell."""
+    """The two codebooks; `held` counts the entries of each cell, `distinct` its different vectors."""
 
     def __init__(self, sample: np.ndarray, codes: int = CODES):
         self.width, self.half = sample.shape[1], (sample.shape[1] + 1) // 2
@@ -58,17 +59,18 @@ class Index:
         rest = sample[:, self.half :]
         self.second = centroids(rest, codes) if rest.shape[1] else np.zeros((1, 0))
         self.held: dict[int, int] = {}
+        self.distinct: dict[int, int] = {}
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return squares(x[:, : self.half], self.first).argmin(1) * len(self.second) + squares(x[:, self.half :], self.second).argmin(1)
 
-    def walk(self, q: np.ndarray, least: int) -> list[int]:
-        """Cells that have entries, nearest first, until they hold at least so many."""
+    def walk(self, q: np.ndarray, least: int, least_distinct: int = 0) -> list[int]:
+        """Cells that have entries, nearest first, until they hold at least so many, and so many different vectors."""
         one, two = squares(q[None, : self.half], self.first)[0], squares(q[None, self.half :], self.second)[0]
         a, b = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
         one, two, wide = one[a], two[b], len(b)
-        heap, out, met = [(one[0] + two[0], 0, 0)], [], 0
-        while heap and met < least:
+        heap, out, met, met_distinct = [(one[0] + two[0], 0, 0)], [], 0, 0
+        while heap and (met < least or met_distinct < least_distinct):
             _, i, j = heapq.heappop(heap)
             if j + 1 < wide:
                 heapq.heappush(heap, (one[i] + two[j + 1], i, j + 1))
@@ -78,6 +80,7 @@ class Index:
             if n := self.held.get(cell, 0):
                 out.append(cell)
                 met += n
+                met_distinct += self.distinct.get(cell, 0)
         return out
 
 
@@ -131,18 +134,20 @@ def search(vectors: DataFrame, queries: Column, k: int = K, codes: int = CODES,
         return lambda b: {"id": b.column("id").to_pylist(), "vec": list(v := vectors_of(b.column("vec"), width)), "cell": index.cells(v).tolist()}
 
     cells = stored(map_rows(good, "id long, vec array<double>, cell int", make_cells))
-    index.held = {r.cell: r.n for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # codes ** 2 rows at most
-    groups, total = grouped(index.held, GROUP), sum(index.held.values())
+    each = cells.groupBy("cell", F.xxhash64("vec").alias("h")).agg(F.count("*").alias("n"))
+    counts = each.groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()  # codes ** 2 rows at most
+    index.held, index.distinct = {r.cell: r.n for r in counts}, {r.cell: r.distinct for r in counts}
+    groups = grouped(index.held, GROUP)
     where = spark.createDataFrame([(c, g[0], len(g)) for c, g in groups.items()], "cell int, g int, parts int")
     entries = cells.join(F.broadcast(where), "cell").select((F.col("g") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("g"), "id", "vec", "cell")
-    least = int(np.ceil(probe * total))
+    least, least_distinct = (int(np.ceil(probe * sum(n.values()))) for n in (index.held, index.distinct))
 
     def make_walks():
         def of(b):
             out = {x: [] for x in ("g", "id", "vec", "cells")}
             for i, q in zip(b.column("id").to_pylist(), vectors_of(b.column("vec"), width), strict=True):
                 by: dict[int, list[int]] = {}
-                for cell in index.walk(q, least):
+                for cell in index.walk(q, least, least_distinct):
                     for g in groups[cell]:
                         by.setdefault(g, []).append(cell)
                 for g, own in by.items():
