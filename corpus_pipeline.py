@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each an operator of granary.llm. Every stage reads what the one before it wrote; all
 but the last return the columns of documents.
 
-The quality classifier keeps what it takes for good; line dedup removes repeated chunks, and documents of which nothing
+The quality classifier keeps what it takes for good; line dedup removes repeated chunks and runs of lines, and documents of which nothing
 is left; the n-gram join keeps the first document of each class; mixing takes each leaf's part of the budget; packing
 cuts the rest into sequences. Documents without text or id go through every stage by the operators' rules.
 """
@@ -22,7 +22,7 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(docs.select(*COLUMNS)).where((F.col("_removed") == 0) | (F.trim("text") != ""))
+    done = line_dedup.dedup_runs(docs.select(*COLUMNS)).where((F.col("_removed") == 0) | (F.trim("text") != ""))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -82,6 +82,49 @@ def dedup(documents: DataFrame, spacing: int = SPACING, long_words: int = LONG_W
     return marked.where("_at is null").select(*own(F.col("text")), F.lit(0).alias("_removed")).union(changed)
 
 
+def with_spans(rows: DataFrame, spacing: int, long_words: int) -> DataFrame:
+    """Adds _lines and _spans, (s, e) from 1: the chunks that count, and from each line with a letter or digit to the next one."""
+    cut = with_chunks(rows, spacing, long_words)
+    start = lambda i: F.when(i > 1, F.element_at("_ends", F.greatest(i - 1, F.lit(1)))).otherwise(0) + 1
+    chunks = F.filter(F.transform(F.sequence(F.lit(1), F.size("_ends")), lambda i: F.struct(start(i).cast("int").alias("s"), F.element_at("_ends", i).cast("int").alias("e"))), lambda x: _counts(span(x), long_words))
+    cut = cut.withColumn("_full", F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.element_at("_lines", i).rlike("[\\p{L}\\p{N}]")))
+    n = F.size("_full")
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at("_full", i).alias("s"), F.element_at("_full", i + 1).alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    return cut.withColumn("_spans", F.when(F.col("text").isNotNull(), F.array_union(chunks, pairs))).drop("_full", "_ends")
+
+
+def span(x: Column) -> Column:
+    return F.array_join(F.slice("_lines", x["s"], x["e"] - x["s"] + 1), "\n")
+
+
+def dedup_runs(documents: DataFrame, spacing: int = SPACING, long_words: int = LONG_WORDS) -> DataFrame:
+    """As dedup(), and every run of two or more lines that occurs before, wherever chunks are cut: each two lines in a row
+    (white space or marks alone between them count as part) are compared like a chunk, so the whole run goes. A removed
+    line is always at an earlier place too; lines of a pair's own first place are kept where a later one overlaps it.
+    _removed is the number of lines."""
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    others = [c for c in documents.columns if c not in ("text", "_removed")]
+    rows = documents.select(F.struct(*others).alias("_row"), "text", order.alias("_id"), F.xxhash64("doc_id", "text").alias("_k"))
+    columns = [c for c in documents.columns if c != "_removed"]
+    own = lambda text: [text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns]
+    cut = with_spans(rows.select("_id", "_k", "text"), spacing, long_words)
+    hashed = stored(cut.select("_id", "_k", F.explode(F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(span(x)).alias("_hash")))).alias("_c")).select("_id", "_k", "_c.*"))
+    places = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
+    held = hashed.join(places, "_hash").groupBy("_id", "_k").agg(F.collect_set(F.struct("s", "e")).alias("_at"))
+    marked = stored(rows.join(held, ["_id", "_k"], "left"))
+    some = marked.where("_at is not null").withColumn("_lines", F.split("text", "\n", -1))
+    texts = some.select("_id", "_k", F.explode(F.transform("_at", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), span(x).alias("_text")))).alias("_c")).select("_id", "_k", "_c.*").distinct()
+    groups = texts.groupBy("_text").agg(F.min(F.struct("_id", "_k", "s", "e")).alias("_first"))
+    repeated = texts.join(groups, "_text").where(F.struct("_id", "_k", "s", "e") != F.col("_first"))
+    same = (F.col("_first._id") == F.col("_id")) & (F.col("_first._k") == F.col("_k"))
+    since = F.when(same, F.greatest("s", F.col("_first.e") + 1)).otherwise(F.col("s"))
+    gone = repeated.select("_id", "_k", F.explode(F.sequence(since, F.col("e"))).alias("i")).groupBy("_id", "_k").agg(F.collect_set("i").alias("_gone"))
+    left = F.filter(F.transform("_lines", lambda x, i: F.when(~F.array_contains("_gone", i + 1), x)), lambda x: x.isNotNull())
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    changed = some.join(gone, ["_id", "_k"], "left").select(*own(text), F.greatest(F.coalesce(F.size("_gone"), F.lit(0)), F.lit(0)).alias("_removed"))
+    return marked.where("_at is null").select(*own(F.col("text")), F.lit(0).alias("_removed")).union(changed)
+
+
 def dedup_sql(spacing: int = SPACING, long_words: int = LONG_WORDS) -> str:
     """The same result as columns doc_id, text, removed in SQL, for ids that do not repeat."""
     return f"""

@@ -90,6 +90,30 @@ def test_line_dedup(docs, none, spark):
     assert got == {9: ("a\nb", 1), 4: (f"c\n{long_line}", 0), None: ("z", 0), 11: ("one\ntwo", 0)}
 
 
+def test_line_dedup_of_runs(docs, none, spark):
+    rows = line_dedup.dedup_runs(docs).collect()
+    assert len(rows) == len(ROWS) and line_dedup.dedup_runs(none).count() == 0
+    assert line_dedup.dedup_runs(docs).columns == [*docs.columns, "_removed"]
+    assert {r.doc_id for r in rows if r.text is None} == {3}
+    texts, want = {}, {}
+    for n in range(2, 9):  # passages of 2 to 8 short lines between other lines
+        for j in range(6):
+            passage = [f"passage {n} {j} line {i} of some plain words here" for i in range(n)]
+            if n > 4:
+                passage[2] = ""
+            for k in (0, 1000):
+                i = n * 10 + j + k
+                around = [f"own {i} {m}" for m in range(6)]
+                texts[i] = "\n".join([*around[:3], *passage, *around[3:]])
+                want[i] = texts[i] if k == 0 else "\n".join(around)
+    texts |= {5000: "x one\nx one\nx one", 5001: "short heading\n\nown words a", 5002: "short heading\n\nown words b"}
+    # lines that overlap the first place stay; of one short line in common nothing goes
+    want |= {5000: "x one\nx one", 5001: texts[5001], 5002: texts[5002]}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    odd = [i for i in want if got[i] != want[i]]
+    assert not odd, [(got[i], want[i]) for i in odd[:2]]
+
+
 def test_mixing(docs, none):
     mixed = mixing.mix(docs)
     rows = mixed.collect()
