@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,42 +18,70 @@ _TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Only where that is unset (local
-    tests) a temporary folder is set and used."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the context's checkpoint folder. Only
+    where both are unset and all runs in this process (local tests) a temporary folder is made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
+    if where:
+        return where
+    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not jvm_dir.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="granary-"))
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        where = tempfile.mkdtemp(prefix="granary-")
-        spark.sparkContext.setCheckpointDir(where)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where
+    return jvm_dir.get()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: it cuts the lineage, survives lost executors and
-    lets later plans read single columns. The files go when the session's process ends, or with drop_stored()."""
+    lets later plans read single columns. The files go when the session's process ends, with drop_stored(), or with
+    forget()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/granary-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _TABLES.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored() tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path and (df.sparkSession, path) in _TABLES:
+            _TABLES.remove((df.sparkSession, path))
+            _delete(df.sparkSession, path)
 
 
 @atexit.register
 def drop_stored() -> None:
     """Deletes what stored() has written; queries that still read it fail afterwards."""
     while _TABLES:
-        spark, path = _TABLES.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_TABLES.pop())
         except Exception:  # the session has ended, and with it the way to reach the files
             return
 
 
+#: A key that more than one of so many rows have is hot.
+HOT_SHARE = 1000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, size: Column, total: int) -> DataFrame:
+    """rows joined with table, which has one row for each key; `size` is the number of rows of the key, `total` that of
+    all rows. The table's rows of hot keys, fewer than HOT_SHARE, go to every task, so that no key's rows must meet in
+    one; the others are joined by a shuffle."""
+    hot = F.broadcast(table.where(size * HOT_SHARE > total))
+    others = rows.join(hot.select(key), key, "left_anti").join(table.where(size * HOT_SHARE <= total), key)
+    return rows.join(hot, key).unionByName(others)
+
+
 def arrow_schema(fields: str) -> T.StructType:
     return T._parse_datatype_string(fields)
 

@@ -205,6 +205,70 @@ def test_ngram_join_of_a_large_near_group(spark):
     assert {k: r.class_id for k, r in got.items()} == root
 
 
+def linked_pairs(spark, docs):
+    return {r.doc_id: r for r in ngram_join.jaccard_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+
+
+def test_recall_at_the_least_similarity(spark):
+    rng, docs = random.Random(12), {}
+    for i in range(3000):  # pairs that share 89 of 111 shingles, at any place of the text
+        common, at = words(rng, 93), rng.randint(0, 1)
+        for k in (0, 1):
+            own = [f"{w}{i}x{k}" for w in words(rng, 11)]
+            docs[2 * i + k] = " ".join(own + common if at else common + own)
+    found = linked_pairs(spark, docs)
+    assert sum(r.n_links == 1 for r in found.values()) >= 0.997 * 6000 and {r.n_links for r in found.values()} <= {0, 1}
+
+
+def test_chains_are_not_compared_as_a_whole(spark, monkeypatch):
+    """Neighbours of a long chain are a little less similar than links must be: no text is verified with far ones."""
+    rng, moved = random.Random(13), []
+    line = words(rng, 13 * 1000 + 104)
+    docs = {i: " ".join(line[13 * i : 13 * i + 104]) for i in range(1000)}  # 87 of 113 shingles
+    plain = ngram_join.map_groups
+    monkeypatch.setattr(ngram_join, "map_groups", lambda df, *a: (moved.append(df.count()), plain(df, *a))[1])
+    found = linked_pairs(spark, docs)
+    assert all(r.n_links == 0 and r.class_id == i for i, r in found.items())
+    assert len(moved) == 3 and moved[0] < 2000 and moved[1] < 32 * 2000 and moved[2] < 8000
+
+
+def test_families_that_meet(spark):
+    """Groups of near copies whose members are also just similar to those of another group; one shingle in many texts."""
+    rng, docs = random.Random(14), {}
+    base = words(rng, 150)
+    for f in range(3):
+        start = base[: 150 - 14 * f] + [f"f{f}w{i}" for i in range(14 * f)]
+        for k in range(90):
+            w = list(start)
+            for _ in range(k % 3):
+                w[rng.randrange(150)] = f"x{f}x{k}"
+            docs[f * 100 + k] = " ".join(w)
+    for i in range(500, 620):
+        docs[i] = " ".join(words(rng, 8) + base[:9])
+    links, degree = brute_links(docs), dict.fromkeys(docs, 0)
+    for pair in links:
+        for x in pair:
+            degree[x] += 1
+    found = linked_pairs(spark, docs)
+    far = [k for k in docs if found[k].n_links != degree[k]]
+    assert len(far) <= 2, far  # chance may miss one pair in thousands at 0.8
+    assert {found[k].class_id for k in docs if k < 200} == {0} and {found[k].class_id for k in docs if 200 <= k < 300} == {200}
+    assert any(a < 100 <= b for a, b in links)
+
+
+def test_ids_that_repeat(spark):
+    t, other = " ".join(words(random.Random(1), 40)), " ".join(words(random.Random(2), 40))
+    rows = [(1, t), (5, t), (5, None), (7, t), (7, t), (5, other), (9, other + " end"), (2, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = sorted((r.doc_id, r.rep, r.class_id, r.n_links) for r in ngram_join.jaccard_classes(df).collect())
+    assert [x for x in got if x[0] != 5] == [(1, 1, 1, 2), (2, 2, 2, 2), (7, 1, 1, 2), (9, 9, 2, 2)]
+    assert [x for x in got if x[0] == 5] == [(5, 1, 1, 2), (5, 2, 2, 2), (5, 5, 5, 0)]
+    kept = [tuple(r) for r in ngram_join.one_of_each(df).collect()]
+    assert sorted(kept, key=str) == [(1, t, "en"), (2, other, "en"), (5, None, "en")]
+    two = spark.createDataFrame([(3, t), (3, other)], "doc_id long, text string")
+    assert len({r.class_id for r in ngram_join.jaccard_classes(two).collect()}) == 2 and ngram_join.one_of_each(two).count() == 2
+
+
 def test_slices_change_nothing(monkeypatch):
     from granary.llm import common
 
