@@ -1,18 +1,23 @@
 """Mixture-controlled packing into fixed token sequences (operator 5).
 
-Each source is a queue of documents in an order drawn by hash. A window of `window` tokens grants every source its target
-share as credit; a source sends whole documents while its credit lasts, and what the last one takes too much, or the
-credit that is left, goes on to the next window: deficit round-robin. A document that begins p tokens into its queue is
-therefore sent in window floor(p / (share * window)). That closed form needs only sums of tokens before a document, taken
-in two steps (sums of hash buckets, then inside a bucket), so deficits carry over all windows and partitions at once.
-The windows' documents, one after the other, fill sequences of `size` tokens without gaps; a document is cut where a
-sequence ends. Only the last sequence has padding.
-
-Without given shares the target is each source's share of all tokens, so that all queues last until the end; with given
-shares a queue that is empty drops out and the others go on.
-
-Defined results: null text counts as empty and gives its closing id alone; a null source is a source of its own; rows
-that repeat an id are packed one by one; an empty table gives no pieces; other columns are ignored.
+Each source with a target is a queue of documents, in an order drawn by a hash of id and content; all other sources are
+one more queue. A window of `window` tokens grants the queues their target shares of it as credit. A queue sends whole
+documents while its credit lasts, and what the last one takes too much is owed from the next window's credit: deficit
+round-robin. A queue that is about to end gets no more credit than it can use; the others share the rest by their
+targets, so every window is filled as long as there are documents.
+
+In closed form: let v be the credit for each unit of target granted so far. Queue r has then been granted min(total of r,
+target of r * v), and their sum says how many windows that is. A document that begins p tokens into queue q is sent in
+the window in which v reaches p / target of q. That needs only sums of tokens: of queues, of hash buckets of a queue, and
+inside a bucket; so deficits carry over all windows and partitions at once. The windows' documents, one after the other,
+fill sequences of `size` tokens without gaps; a document is cut where a sequence ends. Only the last one has padding.
+
+Targets are relative: {"a": 0.3, "b": 0.2} leaves 0.5 to all other sources, {"a": 5, "b": 3} gives these the least of the
+named. Without targets each source's is its share of all tokens, so that all queues last until the end.
+
+Defined results: null text counts as empty and gives its closing id alone; a null source is a source of its own; a source
+with a target but no documents takes no part; rows that repeat an id are packed one by one; an empty table gives no
+pieces; other columns are ignored. Rows in another order or other files give the same pieces.
 """
 
 from __future__ import annotations
@@ -33,8 +38,12 @@ from granary.llm.common import map_rows, stored
 SIZE = 2048
 WINDOW = 32 * SIZE
 CLOSING = 1
-#: Hash buckets of each source's queue: a bucket's documents are sorted in one task.
-BUCKETS = 256
+#: The registered mixture: these sources' shares of every window, the rest is for all others.
+TARGETS = {"src0": 0.1, "src1": 0.08, "src2": 0.06, "src3": 0.04}
+#: Tokens of a hash bucket of a queue, on average: a bucket's documents are sorted in one task.
+BUCKET_TOKENS = 1 << 24
+#: Queues at most where no targets are given: beyond the largest sources the others are one queue.
+MOST_QUEUES = 10_000
 #: Windows whose sums are added up in one task.
 SPAN = 1024
 
@@ -123,8 +132,8 @@ def encoder(vocab: str):
 
 
 def tokenized(documents: DataFrame, vocab: str | None = None, closing: int = CLOSING) -> DataFrame:
-    """uid (one for each row), doc_id, source, n (tokens with the closing id) and ids (little-endian: two bytes each if
-    the vocabulary fits, else four), stored."""
+    """uid (one for each row), h (the order of queues), doc_id, source, n (tokens with the closing id) and ids (little-endian:
+    two bytes each if the vocabulary fits, else four), stored."""
     vocab = vocab or vocabulary("byte_bpe_50k.json")
 
     def make():
@@ -138,45 +147,89 @@ def tokenized(documents: DataFrame, vocab: str | None = None, closing: int = CLO
         return of
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("source").cast("string").alias("source"))
-    return stored(map_rows(rows, "doc_id long, source string, n long, ids binary", make).withColumn("uid", F.monotonically_increasing_id()))
+    made = map_rows(rows, "doc_id long, source string, n long, ids binary", make)
+    return stored(made.select("*", F.monotonically_increasing_id().alias("uid"), F.xxhash64("doc_id", "ids").alias("h")))
 
 
-def before(df: DataFrame, keys: list[str], bucket: str, order: list[str], value: str) -> DataFrame:
-    """Adds `before`: the sum of value over the earlier rows of the same keys, by bucket and then by order, and `own`, the
-    keys' sum. Sums of buckets are added up first, so no task gets more than a bucket's rows."""
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
-    w = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select(*keys, bucket, F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"), F.sum("_sum").over(W.partitionBy(*keys)).alias("own"))
-    inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("before", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(bases, [*keys, bucket]).withColumn("before", F.col("before") + F.col("_base")).drop("_base")
+def before(df: DataFrame, key: str, bucket: str, order: list[str], value: str) -> DataFrame:
+    """Adds `before`: the sum of value over the earlier rows of the same key, by bucket and then by order. Sums of buckets
+    are added up first, so no task gets more than a bucket's rows."""
+    sums = df.groupBy(key, bucket).agg(F.sum(value).alias("_sum"))
+    w = W.partitionBy(key).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select(key, bucket, F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base"))
+    inside = W.partitionBy(key, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumn("before", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(bases, [key, bucket]).withColumn("before", F.col("before") + F.col("_base")).drop("_base")
 
 
-def placed(queue: DataFrame, shares: dict[str, float] | None = None, window: int = WINDOW, buckets: int = BUCKETS) -> DataFrame:
-    """uid, n, window and at (tokens before it in the whole output) of rows (uid, source, n)."""
-    h = F.xxhash64("uid")
-    rows = queue.select("uid", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), "n", h.alias("h"), F.pmod(h, F.lit(buckets)).alias("bucket"))
-    keys = ["source", "no_source"]
-    queued = before(rows, keys, "bucket", ["h", "uid"], "n")
+class Schedule:
+    """How many tokens all queues have been granted when each unit of target has been granted v."""
+
+    def __init__(self, totals: list[float], targets: list[float]):
+        self.totals, self.targets = np.asarray(totals, float), np.asarray(targets, float)
+        ends = self.totals / self.targets
+        by = np.argsort(ends, kind="stable")
+        self.ends = ends[by]
+        self.ended = np.concatenate(([0.0], np.cumsum(self.totals[by])))
+        self.active = np.concatenate((np.cumsum(self.targets[by][::-1])[::-1], [0.0]))
+
+    def granted(self, v: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.ends, v, "left")
+        return self.ended[k] + self.active[k] * v
+
+    def window(self, queue: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
+        """The window that sends a document that begins so many tokens into its queue."""
+        return np.floor(self.granted(begins / self.targets[queue]) / size).astype(np.int64)
+
+
+def queues(tokens: DataFrame, shares: dict[str | None, float] | None) -> tuple[list[tuple[str | None, int, float]], int, float]:
+    """(source, tokens, target) of each queue of one source, MOST_QUEUES or those of shares; tokens and target of all others."""
+    sums = tokens.groupBy("source").agg(F.sum("n").alias("n"))
+    total = sums.agg(F.sum("n")).first()[0] or 0
     if shares is None:
-        share = F.col("own") / F.lit(float(rows.agg(F.sum("n")).first()[0] or 1))
+        named = [(r.source, r.n, float(r.n)) for r in sums.orderBy(F.desc("n"), "source").limit(MOST_QUEUES).collect()]
     else:
-        rest = min([v for v in shares.values() if v > 0], default=1.0)
-        goal = F.create_map(*[F.lit(x) for kv in {**shares, "\0": rest}.items() for x in kv])
-        share = F.greatest(F.coalesce(F.try_element_at(goal, F.col("source")), F.lit(rest)), F.lit(1e-9))
-    sent = queued.withColumn("window", F.floor(F.col("before") / (share * window)).cast("long")).drop("before", "own")
-    sent = sent.withColumn("span", F.floor(F.col("window") / SPAN))
+        if any(not v > 0 for v in shares.values()):
+            raise ValueError("targets must be above zero")
+        own = F.col("source").isin([x for x in shares if x is not None]) | (F.col("source").isNull() & F.lit(None in shares))
+        named = [(r.source, r.n, float(shares[r.source])) for r in sums.where(own).collect()]
+    rest = total - sum(n for _, n, _ in named)
+    if shares is None:
+        return named, rest, float(rest)
+    left = 1 - sum(shares.values())
+    return named, rest, left if left > 1e-9 else min(shares.values())
+
+
+def placed(tokens: DataFrame, shares: dict[str | None, float] | None = None, window: int = WINDOW, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+    """uid, n, window and at (tokens before it in the whole output) of rows (uid, h, source, n)."""
+    named, rest, rest_target = queues(tokens, shares)
+    granted = [(n, t) for _, n, t in named] + [(rest, rest_target)] * (rest > 0) or [(1, 1.0)]
+    schedule = Schedule(*zip(*granted, strict=True))
+    names = tokens.sparkSession.createDataFrame([(s, i, -(-n // bucket_tokens)) for i, (s, n, _) in enumerate(named)], "name string, queue int, buckets long")
+    rows = tokens.select("uid", "source", "n", "h").join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name")), "left")
+    buckets = F.coalesce("buckets", F.lit(max(1, -(-rest // bucket_tokens))))
+    rows = rows.select("uid", "n", "h", F.coalesce("queue", F.lit(len(named))).alias("queue"), F.pmod("h", buckets).alias("bucket"))
+
+    def make():
+        def of(batch):
+            queue, begins = batch.column("queue").to_numpy(), batch.column("before").to_numpy()
+            return {c: batch.column(c) for c in ("uid", "n", "queue", "before")} | {"window": schedule.window(queue, begins.astype(float), window)}
+
+        return of
+
+    queued = before(rows, "queue", "bucket", ["h", "uid"], "n").select("uid", "n", "queue", "before")
+    sent = stored(map_rows(queued, "uid long, n long, queue int, before long, window long", make).withColumn("span", F.floor(F.col("window") / SPAN)))
     sums = sent.groupBy("span", "window").agg(F.sum("n").alias("_sum"))
     spans = sums.groupBy("span").agg(F.sum("_sum").alias("_span"))
     over_all = spans.select("span", F.coalesce(F.sum("_span").over(W.orderBy("span").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_from"))
     starts = sums.join(over_all, "span").select("window", (F.col("_from") + F.coalesce(F.sum("_sum").over(W.partitionBy("span").orderBy("window").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("_base"))
-    inside = W.partitionBy("window").orderBy("source", "no_source", "bucket", "h", "uid").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("window").orderBy("queue", "before").rowsBetween(W.unboundedPreceding, -1)
     return sent.withColumn("at", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, "window").select("uid", "n", "window", (F.col("at") + F.col("_base")).alias("at"))
 
 
-def pack(documents: DataFrame, size: int = SIZE, shares: dict[str, float] | None = None, window: int = WINDOW, vocab: str | None = None, closing: int = CLOSING) -> DataFrame:
+def pack(documents: DataFrame, size: int = SIZE, shares: dict[str | None, float] | None = None, window: int = WINDOW, vocab: str | None = None, closing: int = CLOSING) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, source, ids."""
     tokens = tokenized(documents, vocab, closing)
-    plan = placed(tokens.select("uid", "source", "n"), shares, window).select("uid", "window", "at")
+    plan = placed(tokens, shares, window).select("uid", "window", "at")
 
     def make():
         def of(batch):

@@ -29,7 +29,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "source")
+    return packing.pack(table(spark, sf_dir, "documents"), shares=packing.TARGETS).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "source")
 
 
 def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:

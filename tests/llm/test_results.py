@@ -155,21 +155,64 @@ def test_pieces_have_the_ids_of_whole_texts(monkeypatch):
         assert np.frombuffer(encode(text), kind).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
-def test_packing_keeps_proportions(spark):
-    rows = [(i, "w " * (5 + i % 40), "en", f"s{i % 3}" if i % 2 else "s0") for i in range(900)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    tokens = packing.tokenized(docs)
-    plan = packing.placed(tokens.select("uid", "source", "n"), window=1500).join(tokens.select("uid", "source"), "uid").collect()
-    total = sum(r.n for r in plan)
-    share = {s: sum(r.n for r in plan if r.source == s) / total for s in ("s0", "s1", "s2")}
+def grants(totals, targets, window):
+    """Tokens that each queue has been granted at the end of each window, dealt out round by round."""
+    granted, out = dict.fromkeys(totals, 0.0), []
+    while any(totals[q] - granted[q] > 1e-6 for q in totals):
+        left = window
+        while left > 1e-6:
+            open_ = [q for q in totals if totals[q] - granted[q] > 1e-6]
+            if not open_:
+                break
+            each = min(left / sum(targets[q] for q in open_), min((totals[q] - granted[q]) / targets[q] for q in open_))
+            for q in open_:
+                granted[q] += targets[q] * each
+                left -= targets[q] * each
+        out.append(dict(granted))
+    return out
+
+
+@pytest.mark.parametrize(
+    ("shares", "targets"),
+    [
+        (None, None),
+        ({"s0": 0.9}, {"s0": 0.9, "rest": 0.1}),
+        ({"s0": 5, "s1": 3, "s2": 2, "absent": 7}, {"s0": 5, "s1": 3, "s2": 2, "rest": 2}),
+        ({"s1": 0.5, None: 0.3}, {"s1": 0.5, "null": 0.3, "rest": 0.2}),
+    ],
+)
+@pytest.mark.parametrize("window", [700, 5000])
+def test_packing_against_a_plain_round_robin(spark, shares, targets, window):
+    rows = [(i, "w " * (5 + i % 40), f"s{i % 3}" if i % 2 else "s0" if i % 10 else None) for i in range(900)] + [(5000, "giant " * 9000, "s1")]
+    tokens = packing.tokenized(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    plan = packing.placed(tokens, shares, window, bucket_tokens=4000).join(tokens.select("uid", "source"), "uid").collect()
     order = sorted(plan, key=lambda r: r["at"])
-    assert [r["at"] for r in order] == list(itertools.accumulate([0, *[r.n for r in order[:-1]]]))
-    sent = dict.fromkeys(share, 0)
-    for k, window in itertools.groupby(order, key=lambda r: r["window"]):
-        for r in window:
-            sent[r.source] += r.n
-        done = (k + 1) * 1500
-        assert all(abs(sent[s] - share[s] * min(done, total)) <= 60 for s in share), k  # a document at most
+    assert [r["at"] for r in order] == list(itertools.accumulate([0, *[r.n for r in order[:-1]]])) and len(plan) == len(rows)
+    queue = lambda s: (str(s) if s else "null") if targets is None or (str(s) if s else "null") in targets else "rest"
+    totals, longest = {}, {}
+    for r in plan:
+        totals[queue(r.source)] = totals.get(queue(r.source), 0) + r.n
+        longest[queue(r.source)] = max(longest.get(queue(r.source), 0), r.n)
+    dealt = grants(totals, targets or totals, window)
+    sent, at = dict.fromkeys(totals, 0), 0
+    for k, granted in enumerate(dealt):
+        while at < len(order) and order[at].window == k:
+            sent[queue(order[at].source)] += order[at].n
+            at += 1
+        for q in totals:  # a queue sends while its credit lasts, and owes what the last document takes too much
+            assert granted[q] - 1e-3 <= sent[q] < granted[q] + longest[q] + 1e-3, (k, q)
+        assert abs(sum(granted.values()) - min((k + 1) * window, sum(totals.values()))) < 1e-3
+    assert at == len(order) and all(a.window <= b.window for a, b in itertools.pairwise(order))
+
+
+def test_packing_does_not_depend_on_files(spark):
+    rows = [(i, "w " * (5 + i % 40), f"s{i % 3}") for i in range(300)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cols = ["doc_id", "start", "length", "ids_crc32", "sequence_id", "offset", "window"]
+    one, two = (sorted(map(tuple, packing.pack(x, size=128, window=512, shares={"s1": 0.6}).select(*cols).collect())) for x in (df.coalesce(1), df.repartition(7)))
+    assert one == two
+    with pytest.raises(ValueError, match="above zero"):
+        packing.pack(df, shares={"s1": 0})
 
 
 def words(rng, n):
