@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm import ann, html_text, langid, licenses, mips, ngram_join, packing, queries
+from granary.llm import ann, html_text, langid, licenses, mips, ngram_join, packing, quality, queries
 from granary.llm.common import shingle_hashes
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +103,43 @@ def test_quality_held_out(spark, duck):
     assert len(held) > 50 and sum(a == b for a, b in held) >= 0.9 * len(held)
 
 
+@pytest.mark.parametrize("prior", [0.25, 0.5, 0.8])
+def test_class_prior_and_risk_on_known_data(spark, prior):
+    rng = np.random.default_rng(int(prior * 100))
+    draw = lambda n, good: rng.normal(size=(n, 4)) + (1.6 if good else -1.6) * np.array([1, 0.5, 0, -1])
+    many, positive = 6000, draw(1500, True)
+    x = np.concatenate((draw(int(prior * many), True), draw(many - int(prior * many), False)))
+    rows = spark.createDataFrame([(v.tolist(), int(h)) for v, h in zip(x, rng.integers(0, 2, many), strict=True)], "x array<double>, half int").repartition(5)
+    model, found = quality.fit(positive, rows)
+    assert abs(found - prior) < 0.06, found
+    right = prior * (model.raw(draw(4000, True)) > 0).mean() + (1 - prior) * (model.raw(draw(4000, False)) < 0).mean()
+    assert right > 0.97, right
+    # the sums of all tasks are those of the whole table, and the expression gives the same scores as numpy
+    whole = quality.losses(model.expand(x), model.w)
+    assert np.allclose(quality.added(rows, lambda v, half: quality.losses(model.expand(v), model.w)), whole)
+    got = sorted(r[0] for r in rows.select(quality.scored(model, F.col("x"))).collect())
+    assert np.allclose(got, np.sort(quality.sigmoid(model.raw(x))))
+    # at the minimum: a small step in any direction of the risk does not lower it
+    phi_p, phi_u = model.expand(positive), model.expand(x)
+
+    def risk(w):
+        left = quality.softplus(phi_u @ w).mean() - found * quality.softplus(phi_p @ w).mean()
+        return found * quality.softplus(-phi_p @ w).mean() + np.hypot(left, quality.CORNER) + quality.DECAY / 2 * w @ w
+
+    steps = rng.normal(size=(200, len(model.w))) * 0.02
+    assert min(risk(model.w + s) for s in steps) > risk(model.w) - 1e-4
+
+
+def test_quality_learns_from_all_unlabelled_rows(spark, monkeypatch):
+    seen, plain = [], quality.added
+    monkeypatch.setattr(quality, "added", lambda rows, of: (seen.append(rows.count()), plain(rows, of))[1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    quality.classify(docs, labels, fit_rows=5).count()
+    left = docs.join(labels, "doc_id", "left_anti").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1).count()
+    assert len(seen) > 3 and set(seen) == {left}
+
+
 def test_language_held_out(spark, duck):
     rows = queries.op4_language(spark, SF).collect()
     truth = dict(duck.sql("SELECT doc_id, lang FROM documents").fetchall())
