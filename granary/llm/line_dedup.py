@@ -1,12 +1,17 @@
 """Line dedup by content-defined chunks (operator 7); DataFrame functions only.
 
 A text is cut into chunks of lines. A rolling hash over the hashes of each two lines in a row closes a chunk where it is
-divisible by `spacing`, so an inserted or changed line moves no boundary but its own. A line of `long_words` words or
-more is a passage by itself and makes a chunk of its own. A chunk of several lines, or of one such long line, that
-occurs more than once anywhere in the table is removed except for its first place by id, row and position.
+divisible by `spacing`, so an inserted or changed line moves no boundary but its own. Chunks find long repeated runs; the
+first and last lines of a run lie in chunks with other lines, so each two lines in a row (white space or marks alone
+between them count as part) are compared as well, which follows a repeated run line by line to both its ends.
 
-Hashes only find the candidates: chunks whose md5 occurs once drop out, for the rest the texts themselves are grouped and
-so compared byte by byte; texts that differ under one hash are each a group of their own.
+A chunk, or two lines, that occurs anywhere before goes: all lines of repeated runs of two or more, wherever chunks are
+cut. A line of `long_words` words or more is a passage by itself, and a chunk of its own; without long_words, single
+lines always stay. The first place by id, position and length keeps its lines, also where a later one overlaps it.
+
+Hashes only find the candidates: what has a hash of its own drops out, the texts of the rest are grouped, and so compared
+byte by byte; texts that differ under one hash are each a group of their own. Hashes that many places share are joined
+apart from the others, so no common chunk's places meet in one task.
 
 Defined results: null text stays null and has no lines; rows that repeat both id and text count as one document and get the
 same result; chunks without a letter or digit are never removed; a null id sorts first; an empty table gives an empty
@@ -18,12 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored
+from granary.llm.common import forget, join_by_key, stored
 
 #: One of so many line pairs closes a chunk.
 SPACING = 4
-#: Words from which on a line is a chunk of its own.
+#: Words from which on a single line is a passage.
 LONG_WORDS = 40
+_LETTER = "[\\p{L}\\p{N}]"
 
 
 def line_hash(line: Column) -> Column:
@@ -34,88 +40,58 @@ def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def with_chunks(rows: DataFrame, spacing: int, long_words: int) -> DataFrame:
-    """Adds _lines and _ends, the last line of each chunk (from 1)."""
+def span(x: Column) -> Column:
+    """The text of lines s to e."""
+    return F.array_join(F.slice("_lines", x["s"], x["e"] - x["s"] + 1), "\n")
+
+
+def with_spans(rows: DataFrame, spacing: int, long_words: int | None) -> DataFrame:
+    """Adds _lines and _spans, (s, e) from 1: the chunks of two lines or one long one, and from each line with a letter or
+    digit to the next one."""
+    long_line = lambda x: _words(x) >= long_words if long_words else F.lit(False)
     cut = rows.withColumn("_lines", F.split("text", "\n", -1))
-    cut = cut.withColumn("_hashes", F.transform("_lines", line_hash)).withColumn("_long", F.transform("_lines", lambda x: _words(x) >= long_words))
+    cut = cut.withColumn("_hashes", F.transform("_lines", line_hash)).withColumn("_long", F.transform("_lines", long_line))
     here, after = lambda i: F.element_at("_long", i), lambda i: F.try_element_at(F.col("_long"), i + 1)
     rolled = lambda i: F.pmod(F.coalesce(F.element_at("_hashes", F.greatest(i - 1, F.lit(1))), F.lit(0)) * 31 + F.element_at("_hashes", i), F.lit(spacing)) == 0
-    ends = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: here(i) | F.coalesce(after(i), F.lit(True)) | (i > 1) & rolled(i))
-    return cut.withColumn("_ends", F.when(F.col("text").isNotNull(), ends)).drop("_hashes", "_long")
-
-
-def chunk(i: Column) -> Column:
-    """The text of the chunk that is i-th (from 1)."""
-    start = F.when(i > 1, F.element_at("_ends", F.greatest(i - 1, F.lit(1)))).otherwise(0)
-    return F.array_join(F.slice("_lines", start + 1, F.element_at("_ends", i) - start), "\n")
-
-
-def _counts(text: Column, long_words: int) -> Column:
-    return (text.contains("\n") | (_words(text) >= long_words)) & text.rlike("[\\p{L}\\p{N}]")
-
-
-def dedup(documents: DataFrame, spacing: int = SPACING, long_words: int = LONG_WORDS) -> DataFrame:
-    """Every row with its text without the repeated chunks, and _removed (chunks) beside its columns."""
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    others = [c for c in documents.columns if c not in ("text", "_removed")]  # in a struct their names clash with none here
-    rows = documents.select(F.struct(*others).alias("_row"), "text", order.alias("_id"), F.xxhash64("doc_id", "text").alias("_k"))
-    columns = [c for c in documents.columns if c != "_removed"]
-    own = lambda text: [text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns]
-    cut = with_chunks(rows.select("_id", "_k", "text"), spacing, long_words)
-    parts = cut.select("_id", "_k", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_ends")), lambda i: chunk(i))).alias("_i", "_text")).where(_counts(F.col("_text"), long_words))
-    hashed = stored(parts.select("_id", "_k", "_i", F.md5("_text").alias("_hash")))
-    # hashes in more than one place; partial sums meet before anything is sorted by hash
-    places = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
-    held = hashed.join(places, "_hash").groupBy("_id", "_k").agg(F.collect_set("_i").alias("_at"))
-    # the one time that whole documents move; those without a candidate are done
-    marked = stored(rows.join(held, ["_id", "_k"], "left"))
-    some = with_chunks(marked.where("_at is not null"), spacing, long_words)
-    texts = some.select("_id", "_k", F.explode(F.transform("_at", lambda i: F.struct(i.alias("_i"), chunk(i + 1).alias("_text")))).alias("_c")).select("_id", "_k", "_c.*").distinct()
-    # the texts themselves are the key: equal bytes and nothing else fall together
-    groups = texts.groupBy("_text").agg(F.min(F.struct("_id", "_k", "_i")).alias("_first"))
-    repeated = texts.join(groups, "_text").where(F.struct("_id", "_k", "_i") != F.col("_first"))
-    gone = repeated.groupBy("_id", "_k").agg(F.collect_set("_i").alias("_gone"))
-    left = F.filter(F.sequence(F.lit(1), F.size("_ends")), lambda i: ~F.array_contains("_gone", (i - 1).cast("int")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: chunk(i)), "\n"))
-    changed = some.join(gone, ["_id", "_k"], "left").select(*own(text), F.coalesce(F.size("_gone"), F.lit(0)).alias("_removed"))
-    changed = changed.withColumn("_removed", F.greatest("_removed", F.lit(0)))
-    return marked.where("_at is null").select(*own(F.col("text")), F.lit(0).alias("_removed")).union(changed)
-
-
-def with_spans(rows: DataFrame, spacing: int, long_words: int) -> DataFrame:
-    """Adds _lines and _spans, (s, e) from 1: the chunks that count, and from each line with a letter or digit to the next one."""
-    cut = with_chunks(rows, spacing, long_words)
+    cut = cut.withColumn("_ends", F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: here(i) | F.coalesce(after(i), F.lit(True)) | (i > 1) & rolled(i)))
     start = lambda i: F.when(i > 1, F.element_at("_ends", F.greatest(i - 1, F.lit(1)))).otherwise(0) + 1
-    chunks = F.filter(F.transform(F.sequence(F.lit(1), F.size("_ends")), lambda i: F.struct(start(i).cast("int").alias("s"), F.element_at("_ends", i).cast("int").alias("e"))), lambda x: _counts(span(x), long_words))
-    cut = cut.withColumn("_full", F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.element_at("_lines", i).rlike("[\\p{L}\\p{N}]")))
+    pair = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    chunks = F.transform(F.sequence(F.lit(1), F.size("_ends")), lambda i: pair(start(i), F.element_at("_ends", i)))
+    chunks = F.filter(chunks, lambda x: ((x["e"] > x["s"]) | F.element_at("_long", x["s"])) & span(x).rlike(_LETTER))
+    cut = cut.withColumn("_full", F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.element_at("_lines", i).rlike(_LETTER)))
     n = F.size("_full")
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at("_full", i).alias("s"), F.element_at("_full", i + 1).alias("e")))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
-    return cut.withColumn("_spans", F.when(F.col("text").isNotNull(), F.array_union(chunks, pairs))).drop("_full", "_ends")
-
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: pair(F.element_at("_full", i), F.element_at("_full", i + 1)))).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    return cut.withColumn("_spans", F.when(F.col("text").isNotNull(), F.array_union(chunks, pairs))).drop("_full", "_ends", "_hashes", "_long")
 
-def span(x: Column) -> Column:
-    return F.array_join(F.slice("_lines", x["s"], x["e"] - x["s"] + 1), "\n")
 
-
-def dedup_runs(documents: DataFrame, spacing: int = SPACING, long_words: int = LONG_WORDS) -> DataFrame:
-    """As dedup(), and every run of two or more lines that occurs before, wherever chunks are cut: each two lines in a row
-    (white space or marks alone between them count as part) are compared like a chunk, so the whole run goes. A removed
-    line is always at an earlier place too; lines of a pair's own first place are kept where a later one overlaps it.
-    _removed is the number of lines."""
+def dedup(documents: DataFrame, spacing: int = SPACING, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """Every row with its text without the repeated runs of lines, and _removed (lines) beside its columns."""
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    others = [c for c in documents.columns if c not in ("text", "_removed")]
+    others = [c for c in documents.columns if c not in ("text", "_removed")]  # in a struct their names clash with none here
     rows = documents.select(F.struct(*others).alias("_row"), "text", order.alias("_id"), F.xxhash64("doc_id", "text").alias("_k"))
     columns = [c for c in documents.columns if c != "_removed"]
     own = lambda text: [text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns]
+    hashes = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(span(x)).alias("h"))
+    place = ["_id", "_k", "s", "e"]
+
     cut = with_spans(rows.select("_id", "_k", "text"), spacing, long_words)
-    hashed = stored(cut.select("_id", "_k", F.explode(F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(span(x)).alias("_hash")))).alias("_c")).select("_id", "_k", "_c.*"))
-    places = hashed.groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").select("_hash")
-    held = hashed.join(places, "_hash").groupBy("_id", "_k").agg(F.collect_set(F.struct("s", "e")).alias("_at"))
-    marked = stored(rows.join(held, ["_id", "_k"], "left"))
+    hashed = stored(cut.select("_id", "_k", F.explode(F.transform("_spans", hashes)).alias("_c")).select("_id", "_k", "_c.*"))
+    shared = hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    held = stored(join_by_key(hashed, shared, "h", F.col("n"), hashed.count()).select(*place, "h").distinct())
+    forget(hashed)
+    # the one time that whole documents move; those without a candidate are done
+    marked = stored(rows.join(held.groupBy("_id", "_k").agg(F.collect_list(F.struct("s", "e", "h")).alias("_at")), ["_id", "_k"], "left"))
     some = marked.where("_at is not null").withColumn("_lines", F.split("text", "\n", -1))
-    texts = some.select("_id", "_k", F.explode(F.transform("_at", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), span(x).alias("_text")))).alias("_c")).select("_id", "_k", "_c.*").distinct()
-    groups = texts.groupBy("_text").agg(F.min(F.struct("_id", "_k", "s", "e")).alias("_first"))
-    repeated = texts.join(groups, "_text").where(F.struct("_id", "_k", "s", "e") != F.col("_first"))
+    with_text = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["h"].alias("h"), span(x).alias("_text"))
+    texts = some.select("_id", "_k", F.explode(F.transform("_at", with_text)).alias("_c")).select("_id", "_k", "_c.*")
+    # the texts themselves are the key: equal bytes and nothing else fall together
+    groups = stored(texts.groupBy("h", "_text").agg(F.min(F.struct(*place)).alias("_first"), F.count("*").alias("n")))
+    by_hash = stored(groups.groupBy("h").agg(F.count("*").alias("texts"), F.min("_first").alias("_first"), F.sum("n").alias("n")))
+    repeated = join_by_key(held, by_hash.where("texts = 1"), "h", F.col("n"), held.count()).select(*place, "_first")
+    if by_hash.where("texts > 1").limit(1).count():
+        several = texts.join(by_hash.where("texts > 1").select("h"), "h", "left_semi").distinct()
+        repeated = repeated.union(several.join(groups, ["h", "_text"]).select(*place, "_first"))
+    repeated = repeated.where(F.struct(*place) != F.col("_first"))
     same = (F.col("_first._id") == F.col("_id")) & (F.col("_first._k") == F.col("_k"))
     since = F.when(same, F.greatest("s", F.col("_first.e") + 1)).otherwise(F.col("s"))
     gone = repeated.select("_id", "_k", F.explode(F.sequence(since, F.col("e"))).alias("i")).groupBy("_id", "_k").agg(F.collect_set("i").alias("_gone"))
@@ -128,14 +104,20 @@ def dedup_runs(documents: DataFrame, spacing: int = SPACING, long_words: int = L
 def dedup_sql(spacing: int = SPACING, long_words: int = LONG_WORDS) -> str:
     """The same result as columns doc_id, text, removed in SQL, for ids that do not repeat."""
     return f"""
-    WITH lines AS (SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h, length(line) - length(replace(line, ' ', '')) + 1 >= {long_words} AS is_long
-                   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+    WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    lines AS (SELECT doc_id, i, l[i] AS line, ('0x' || substr(md5(l[i]), 1, 7))::BIGINT AS h, length(l[i]) - length(replace(l[i], ' ', '')) + 1 >= {long_words} AS is_long,
+                     regexp_matches(l[i], '[\\p{{L}}\\p{{N}}]') AS is_full FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM docs)),
     ends AS (SELECT *, is_long OR coalesce(lead(is_long) OVER w, true) OR (i > 1 AND (lag(h) OVER w * 31 + h) % {spacing} = 0) AS is_end
              FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
     numbered AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM ends),
-    chunks AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, bool_or(is_long) AS is_long FROM numbered GROUP BY 1, 2),
-    marked AS (SELECT *, (n > 1 OR is_long) AND regexp_matches(chunk, '[\\p{{L}}\\p{{N}}]')
-                         AND row_number() OVER (PARTITION BY chunk, (n > 1 OR is_long) ORDER BY doc_id, c) > 1 AS gone FROM chunks),
-    done AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS removed FROM marked GROUP BY 1)
-    SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE done.text END AS text, coalesce(done.removed, 0)::INTEGER AS removed FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
+    chunks AS (SELECT doc_id, min(i) AS s, max(i) AS e FROM numbered GROUP BY doc_id, c HAVING (count(*) > 1 OR bool_or(is_long)) AND bool_or(is_full)),
+    pairs AS (SELECT doc_id, i AS s, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM lines WHERE is_full),
+    spans AS (SELECT * FROM chunks UNION SELECT * FROM pairs WHERE e IS NOT NULL),
+    texts AS (SELECT doc_id, s, e, array_to_string(l[s:e], chr(10)) AS t FROM spans JOIN docs USING (doc_id)),
+    firsts AS (SELECT doc_id, s, e, first_value(doc_id) OVER w AS first_id, first_value(s) OVER w AS first_s, first_value(e) OVER w AS first_e
+               FROM texts WINDOW w AS (PARTITION BY t ORDER BY doc_id, s, e)),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN first_id = doc_id THEN greatest(s, first_e + 1) ELSE s END, e + 1)) AS i
+             FROM firsts WHERE (doc_id, s, e) <> (first_id, first_s, first_e)),
+    done AS (SELECT lines.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.i IS NULL), '') AS text, count(gone.i) AS removed FROM lines LEFT JOIN gone USING (doc_id, i) GROUP BY 1)
+    SELECT d.doc_id, done.text, coalesce(done.removed, 0)::INTEGER AS removed FROM documents d LEFT JOIN done ON d.doc_id = done.doc_id
     """

@@ -90,11 +90,7 @@ def test_line_dedup(docs, none, spark):
     assert got == {9: ("a\nb", 1), 4: (f"c\n{long_line}", 0), None: ("z", 0), 11: ("one\ntwo", 0)}
 
 
-def test_line_dedup_of_runs(docs, none, spark):
-    rows = line_dedup.dedup_runs(docs).collect()
-    assert len(rows) == len(ROWS) and line_dedup.dedup_runs(none).count() == 0
-    assert line_dedup.dedup_runs(docs).columns == [*docs.columns, "_removed"]
-    assert {r.doc_id for r in rows if r.text is None} == {3}
+def test_line_dedup_of_runs(spark, monkeypatch):
     texts, want = {}, {}
     for n in range(2, 9):  # passages of 2 to 8 short lines between other lines
         for j in range(6):
@@ -109,9 +105,26 @@ def test_line_dedup_of_runs(docs, none, spark):
     texts |= {5000: "x one\nx one\nx one", 5001: "short heading\n\nown words a", 5002: "short heading\n\nown words b"}
     # lines that overlap the first place stay; of one short line in common nothing goes
     want |= {5000: "x one\nx one", 5001: texts[5001], 5002: texts[5002]}
-    got = {r.doc_id: r.text for r in line_dedup.dedup_runs(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
     odd = [i for i in want if got[i] != want[i]]
     assert not odd, [(got[i], want[i]) for i in odd[:2]]
+    # different texts under one hash are told apart by their bytes
+    plain = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *cols: plain(*cols) if len(cols) == 2 else F.pmod(F.crc32(cols[0].cast("binary")), F.lit(3)))
+    got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
+    assert not [i for i in want if got[i] != want[i]]
+
+
+def test_line_dedup_of_single_lines(spark):
+    long_line = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, f"a\n{long_line}\nb"), (2, f"c\n{long_line}\nd"), (3, long_line)], "doc_id long, text string")
+    assert {r.doc_id: r._removed for r in line_dedup.dedup(df).collect()} == {1: 0, 2: 1, 3: 1}
+    assert {r.doc_id: r._removed for r in line_dedup.dedup(df, long_words=None).collect()} == {1: 0, 2: 0, 3: 0}
+    # a passage that a third of all rows share, and one text in many rows
+    rows = [(i, f"own {i}\n{long_line}\nshared end" if i % 3 == 0 else "x y\nz" if i % 3 == 1 else f"other {i}") for i in range(3000)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i < 3 or i % 3 == 2 else f"own {i}" if i % 3 == 0 else "" for i, t in rows}
 
 
 def test_mixing(docs, none):
