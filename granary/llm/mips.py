@@ -26,7 +26,8 @@ from granary.llm.common import map_rows, sound_vectors, stored, vectors_of
 
 K = 20
 SCALE = 64
-SLAB = 8192
+#: Vectors of a slab and their bytes, whichever is less; the first slab goes to every task.
+SLAB, SLAB_BYTES = 8192, 1 << 24
 #: Queries that are compared to a slab at once.
 QUERIES = 1024
 #: Slabs that share a key of the join with the queries.
@@ -113,6 +114,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, slab: int = SLAB, id
     if not size[1]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(1, size[0])
+    slab = max(k + 1, min(slab, SLAB_BYTES // (8 * width)))
 
     def make_gram():
         def of(b):

@@ -74,6 +74,36 @@ def test_nearest_recall_beside_copies(spark):
     assert hits >= 0.9 * 10 * len(asked)
 
 
+def recall_of(rows, x, ids, asked):
+    by, hits = {}, 0
+    for r in rows:
+        by.setdefault(r.query_id, []).append(r.score)
+    for q in asked:
+        i = int(np.flatnonzero(ids == q)[0])
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        hits += sum(s <= np.sort(d)[9] + 1e-9 for s in by[q])
+    return hits / (10 * len(asked))
+
+
+def test_nearest_query_recall(spark):
+    folder = SF.replace("0.001", "0.1")
+    rows = [r for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect() if r.embedding]
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    sound = np.isfinite(x).all(1) & (x != 0).any(1)
+    got = queries.op1_multi_index(spark, folder).collect()
+    assert recall_of(got, x[sound], ids[sound], [q for q in ids[sound] if q % 100 == 0]) >= 0.9
+
+
+def test_clustered_vectors_need_a_short_walk(spark, monkeypatch):
+    rng, shares, plain = np.random.default_rng(6), [], ann.probe_share
+    monkeypatch.setattr(ann, "probe_share", lambda *a: (shares.append(plain(*a)), shares[-1])[1])
+    x = (rng.normal(size=(60, 32)) * 4)[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 32)) * 0.4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.search(df, F.col("id") % 50 == 0).collect()
+    assert shares[0] < 0.1 and recall_of(rows, x, np.arange(6000), range(0, 6000, 50)) >= 0.9
+
+
 def test_walk_order_is_by_summed_distance():
     index = ann.Index(np.random.default_rng(1).normal(size=(300, 6)), 8)
     index.held = dict.fromkeys(range(64), 1)
