@@ -1,7 +1,8 @@
 """License scans: fuzzy search for short notices (operator 10).
 
 A notice of n letters with at most e edits, cut into e + 1 pieces, keeps at least one piece unchanged (pigeonhole).
-One automaton finds all pieces of all notices in a single pass over the text; around each hit the regex library's
+One automaton finds all pieces of all notices in a single pass over the text. Around a hit most of the notice's runs of
+three letters must be there too: an edit spoils no more than three of them. Where they are, the regex library's
 bounded-error matching checks the whole notice and gives its span and number of edits.
 
 Defined results: a null text counts as empty and gives zeros, nulls and empty strings; rows are independent, so repeated
@@ -41,6 +42,8 @@ NOTICES = (
 )
 #: Letters of a notice for each edit allowed.
 LETTERS_PER_EDIT = 12
+#: Letters of the runs that a candidate must share.
+GRAM = 3
 
 _SEPARATORS = bytes(range(0x00, 0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _TABLE = bytes(32 if i in _SEPARATORS else i for i in range(256))
@@ -76,7 +79,8 @@ class Scanner:
         self.notices, seeds = [], {}
         for i, (notice, label) in enumerate(notices):
             edits = len(notice) // letters_per_edit
-            self.notices.append((label, len(notice), edits, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}")))
+            grams = [notice[j : j + GRAM] for j in range(len(notice) - GRAM + 1)]
+            self.notices.append((label, len(notice), edits, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={edits}}}"), grams))
             for at, piece in pieces(notice, edits):
                 seeds.setdefault(piece, []).append((i, at))
         self.machine = ahocorasick.Automaton()
@@ -102,7 +106,7 @@ class Scanner:
         places: dict[int, list[tuple[int, int]]] = {}
         for end, (size, uses) in self.machine.iter(joined):
             for i, at in uses:
-                _, n, e, _ = self.notices[i]
+                _, n, e, _, _ = self.notices[i]
                 a = end + 1 - size - at - e
                 span = (max(0, a), min(len(joined), a + n + 2 * e))
                 own = places.setdefault(i, [])
@@ -112,10 +116,11 @@ class Scanner:
                     own.append(span)
         found = set()
         for i, open_spans in places.items():
-            label, n, e, pattern = self.notices[i]
+            label, n, e, pattern, grams = self.notices[i]
             while open_spans:
                 a, b = open_spans.pop()
-                if b - a < n - e or not (m := pattern.search(joined, a, b)):
+                part = joined[a:b]
+                if len(part) < n - e or sum(g in part for g in grams) < len(grams) - GRAM * e or not (m := pattern.search(joined, a, b)):
                     continue
                 edits = sum(m.fuzzy_counts)
                 found.add((-(1 - edits / n), m.start(), m.end(), label, edits))

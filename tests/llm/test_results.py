@@ -465,6 +465,43 @@ class Articles(HTMLParser):
         return "\n".join(x for b in p.parts if (x := " ".join("".join(b).split())))
 
 
+def least_edits(notice, text):
+    """The fewest edits that make a part of the text the notice."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        now = [i]
+        for j, d in enumerate(text, 1):
+            now.append(min(row[j] + 1, now[-1] + 1, row[j - 1] + (c != d)))
+        row = now
+    return min(row)
+
+
+def test_fuzzy_spans_against_all_windows():
+    rng, found_some, missed_some = random.Random(17), 0, 0
+    for notice, label in licenses.NOTICES:
+        scanner = licenses.Scanner(notices=[(notice, label)])
+        allowed = len(notice) // licenses.LETTERS_PER_EDIT
+        for _ in range(14):
+            chars = list(notice)
+            for _ in range(rng.randint(0, allowed + 2)):
+                at = rng.randrange(len(chars))
+                chars[at : at + 1] = rng.choice([[], ["x"], [chars[at], "e"], [" "]])
+            words_ = licenses.words_of(f"some words {''.join(chars)} and {notice[: len(notice) // 2]} more")
+            text, spans = b" ".join(words_).decode(), scanner.fuzzy(words_)
+            least = least_edits(notice, text)
+            assert bool(spans) == (least <= allowed), (notice, text)
+            if spans:
+                assert min(x[3] for x in spans) == least
+            found_some, missed_some = found_some + bool(spans), missed_some + (not spans)
+    assert found_some > 50 and missed_some > 10
+
+
+def test_repeated_seeds_take_little_time():
+    began = time.process_time()
+    assert licenses.Scanner().fuzzy(licenses.words_of("permission is hereby " * 30_000)) == []
+    assert time.process_time() - began < 6
+
+
 def test_main_text_of_articles(spark, duck):
     rows = {r.page_id: r for r in queries.op9_main_text(spark, SF).collect()}
     for page_id, url, page in duck.sql("SELECT page_id, url, html FROM pages").fetchall():
