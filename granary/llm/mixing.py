@@ -116,7 +116,8 @@ def mix(
     leaves = sums.groupBy(*leaf).agg(F.sum("tokens").alias("capacity"))
     budget = F.expr(f"cast(_all * {share[0]} div ({share[1]} * {epochs}) as decimal(38,0))")
     parts = budgets(leaves, budget, domain_weights, lang_weights, source_weights or {})
-    # the bucket in which a leaf's part ends, and what is left of the part there
+    # the bucket in which a leaf's part ends, and what is left of the part there; a leaf has at most 16 ** digits sums an
+    # epoch, however many documents it holds
     w = W.partitionBy(*leaf).orderBy("_epoch", "_bucket").rowsBetween(W.unboundedPreceding, -1)
     run = sums.withColumn("_before", F.coalesce(F.sum("tokens").over(w), F.lit(0))).join(parts.select(*leaf, "part"), leaf)
     ends = run.where((F.col("_before") < F.col("part")) & (F.col("_before") + F.col("tokens") >= F.col("part")))

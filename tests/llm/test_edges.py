@@ -187,3 +187,28 @@ def test_products(spark):
     big = spark.createDataFrame([(0, [3e30, 1.0]), (1, [2.0, 5.0]), (2, [3e30, 0.0])], "vec_id long, embedding array<float>")
     got = sorted(mips.search(big, F.col("id") == 0).collect(), key=lambda r: r.rank)
     assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, 2**63 - 1)]  # beyond 64 bits they stop there
+
+
+def test_pipeline_stages(docs, none, labels, spark, tmp_path):
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for table in (docs, none):
+        before = table
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, before, str(tmp_path)).cache()
+            if name == "packing":
+                check_pieces(after.collect(), 2048)
+                assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
+            else:
+                assert after.columns == columns and after.count() <= 2 * before.count()
+                assert not after.select("doc_id").subtract(table.select("doc_id")).count()
+            before = after
+    got = corpus_pipeline.first_of_class(spark, docs, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.text == TEXT) for r in got) == [("1", True), ("3", False), ("4", False), ("5", False), ("6", False), ("7", False), ("8", False), ("None", True)]
+    kept = corpus_pipeline.without_repeats(spark, spark.createDataFrame([(1, "a b\nc d", "en", "s", 7), (2, "a b\nc d", "en", "s", 7), (3, None, "en", "s", None), (4, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in kept.collect() if r.text is not None) == [(1, "a b\nc d", 7), (4, "", 0)]
+    assert [r.doc_id for r in kept.collect() if r.text is None] == [3]
+    docs.select(*columns).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "source"]
