@@ -101,7 +101,7 @@ def map_rows(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordB
         for batch in batches:
             f = f or make()
             cols = f(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], type=x.type) for x in out], schema=out)
+            yield pa.RecordBatch.from_arrays([v if isinstance(v := cols[x.name], pa.Array) and v.type == x.type else pa.array(v, type=x.type) for x in out], schema=out)
 
     return df.mapInArrow(run, schema)
 

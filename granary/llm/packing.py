@@ -22,8 +22,11 @@ pieces; other columns are ignored. Rows in another order or other files give the
 
 from __future__ import annotations
 
+import array
 import functools
+import math
 import re
+import sys
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -40,8 +43,9 @@ WINDOW = 32 * SIZE
 CLOSING = 1
 #: The registered mixture: these sources' shares of every window, the rest is for all others.
 TARGETS = {"src0": 0.1, "src1": 0.08, "src2": 0.06, "src3": 0.04}
-#: Tokens of a hash bucket of a queue, on average: a bucket's documents are sorted in one task.
-BUCKET_TOKENS = 1 << 24
+#: A queue of n tokens has sqrt(n) / SPREAD hash buckets. A bucket's documents are sorted in one task, and so are a
+#: queue's buckets; both grow with the root of the input alone.
+SPREAD = 8
 #: Queues at most where no targets are given: beyond the largest sources the others are one queue.
 MOST_QUEUES = 10_000
 #: Windows whose sums are added up in one task.
@@ -58,7 +62,7 @@ def vocabulary(name: str) -> str:
 _PLAIN = [chr(i) for i in (*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x2010, 0x2028))]
 #: Distinct pieces whose ids a task remembers, twice over, the characters of the longest of them, and those of a text
 #: that are cut into pieces at once.
-HELD, LONGEST, SLICE = 250_000, 64, 1 << 20
+HELD, LONGEST, SLICE = 400_000, 64, 1 << 20
 
 
 def splitter() -> re.Pattern:
@@ -115,18 +119,21 @@ def encoder(vocab: str):
     added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
     odd = re.compile("|".join([f"[^{''.join(map(re.escape, _PLAIN))}]", *added]))
     ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
-    model, letters = tokenizer.model, byte_letters()
+    model, letters, code = tokenizer.model, byte_letters(), "H" if kind == "<u2" else "I"
 
     def ids_of_piece(piece: str) -> bytes:
         """As ids_of, by the tokenizer's model alone, since a piece is not cut again."""
-        return np.array([x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))], kind).tobytes()
+        ids = array.array(code, [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     split, held = splitter(), Held(ids_of_piece)
 
     def encode(text: str) -> bytes:
         if odd.search(text):
             return ids_of(text)
-        return b"".join(b"".join(map(held.__getitem__, split.findall(part))) for part in parts_of(text, SLICE))
+        return b"".join([b"".join(map(held.__getitem__, split.findall(part))) for part in parts_of(text, SLICE)])
 
     return encode, kind
 
@@ -141,8 +148,8 @@ def tokenized(documents: DataFrame, vocab: str | None = None, closing: int = CLO
         last = np.array([closing], kind).tobytes()
 
         def of(batch):
-            ids = [encode(t.as_py() or "") + last for t in batch.column("text")]
-            return {"doc_id": batch.column("doc_id").to_pylist(), "source": batch.column("source").to_pylist(), "n": [len(x) // len(last) for x in ids], "ids": ids}
+            ids = [encode(t or "") + last for t in batch.column("text").to_pylist()]
+            return {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "n": [len(x) // len(last) for x in ids], "ids": ids}
 
         return of
 
@@ -199,14 +206,15 @@ def queues(tokens: DataFrame, shares: dict[str | None, float] | None) -> tuple[l
     return named, rest, left if left > 1e-9 else min(shares.values())
 
 
-def placed(tokens: DataFrame, shares: dict[str | None, float] | None = None, window: int = WINDOW, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def placed(tokens: DataFrame, shares: dict[str | None, float] | None = None, window: int = WINDOW, spread: int = SPREAD) -> DataFrame:
     """uid, n, window and at (tokens before it in the whole output) of rows (uid, h, source, n)."""
     named, rest, rest_target = queues(tokens, shares)
     granted = [(n, t) for _, n, t in named] + [(rest, rest_target)] * (rest > 0) or [(1, 1.0)]
     schedule = Schedule(*zip(*granted, strict=True))
-    names = tokens.sparkSession.createDataFrame([(s, i, -(-n // bucket_tokens)) for i, (s, n, _) in enumerate(named)], "name string, queue int, buckets long")
+    many = lambda n: math.isqrt(n) // spread + 1
+    names = tokens.sparkSession.createDataFrame([(s, i, many(n)) for i, (s, n, _) in enumerate(named)], "name string, queue int, buckets long")
     rows = tokens.select("uid", "source", "n", "h").join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name")), "left")
-    buckets = F.coalesce("buckets", F.lit(max(1, -(-rest // bucket_tokens))))
+    buckets = F.coalesce("buckets", F.lit(many(rest)))
     rows = rows.select("uid", "n", "h", F.coalesce("queue", F.lit(len(named))).alias("queue"), F.pmod("h", buckets).alias("bucket"))
 
     def make():

@@ -252,7 +252,7 @@ def grants(totals, targets, window):
 def test_packing_against_a_plain_round_robin(spark, shares, targets, window):
     rows = [(i, "w " * (5 + i % 40), f"s{i % 3}" if i % 2 else "s0" if i % 10 else None) for i in range(900)] + [(5000, "giant " * 9000, "s1")]
     tokens = packing.tokenized(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    plan = packing.placed(tokens, shares, window, bucket_tokens=4000).join(tokens.select("uid", "source"), "uid").collect()
+    plan = packing.placed(tokens, shares, window, spread=2).join(tokens.select("uid", "source"), "uid").collect()
     order = sorted(plan, key=lambda r: r["at"])
     assert [r["at"] for r in order] == list(itertools.accumulate([0, *[r.n for r in order[:-1]]])) and len(plan) == len(rows)
     queue = lambda s: (str(s) if s else "null") if targets is None or (str(s) if s else "null") in targets else "rest"
