@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Legal suffixes that one name may end in.
-LEGAL_SUFFIXES = ("limited", "ltd", "inc", "incorporated", "llc", "llp", "plc", "corp", "corporation", "co", "company", "lp", "gmbh", "sa", "bv", "ag")
+LEGAL_SUFFIXES = ("limited", "ltd", "inc", "incorporated", "llc", "l.l.c.", "plc", "p.l.c.", "corp", "corporation", "co", "company", "gmbh", "ag", "sa", "sas", "sarl", "pty", "pvt", "private")
 #: Words without meaning in an investor's name.
 INVESTOR_WORDS = ("the", "inc", "llc", "ltd", "limited", "plc", "corp", "corporation", "partners", "capital", "ventures")
-#: Letters with marks and the plain ones that replace them.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Letters that are no plain letter with a mark, and what stands for them.
+SPELLED = {"Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "ss", "ẞ": "SS", "Þ": "Th", "þ": "th", "Ĳ": "IJ", "ĳ": "ij", "Ŋ": "NG", "ŋ": "ng"}
+_STROKES = {"Ł": "L", "ł": "l", "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Ħ": "H", "ħ": "h", "Ŧ": "T", "ŧ": "t", "ı": "i", "ĸ": "k", "ſ": "s", "\u00a0": " "}
+
+
+def _plain_letters() -> dict[str, str]:
+    """Each Latin letter with marks and the plain one."""
+    found = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])}
+    return {c: x for c, x in found.items() if x != c and x.isascii()} | _STROKES
+
+
+MARKED, PLAIN = map("".join, zip(*_plain_letters().items(), strict=True))
+
+
+def plain(x: Column) -> Column:
+    """Latin letters without marks, ligatures spelled out."""
+    for c, spelled in SPELLED.items():
+        x = F.replace(x, F.lit(c), F.lit(spelled))
+    return F.translate(x, MARKED, PLAIN)
 
 
 def blank_to_null(x: Column) -> Column:
@@ -19,8 +39,8 @@ def blank_to_null(x: Column) -> Column:
 
 def normalized_name(x: Column) -> Column:
     """Plain lower-case letters and digits, without one legal suffix at the end, single blanks."""
-    low = F.lower(F.trim(F.translate(x, MARKED, PLAIN)))
-    cut = F.regexp_replace(low, rf"\b({'|'.join(LEGAL_SUFFIXES)})\.?\s*$", "")
+    low = F.lower(F.trim(plain(x)))
+    cut = F.regexp_replace(low, rf"\b({'|'.join(map(re.escape, LEGAL_SUFFIXES))})\.?\s*$", "")
     return F.trim(F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 
@@ -152,14 +172,22 @@ def is_quiet(hour: Column, start: int, end: int) -> Column:
     return (hour >= start) & (hour < end) if start < end else (hour >= start) | (hour < end)
 
 
+def character(code: Column) -> Column:
+    """The character of a code point, the replacement character where there is none."""
+    sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(sound, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+
 def html_text(html: Column) -> Column:
     """Readable text of a page: no scripts, styles, comments or tags, common character references decoded."""
     x = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"(?i)</?(p|div|br|li|ul|h[1-6]|tr|table|section|article|header|footer|nav)\b[^>]*>", " ")
     x = F.regexp_replace(x, r"<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(char))
+    numbers = F.array_distinct(F.regexp_extract_all(x, F.lit("&#([0-9]{1,7});"), 1))
+    x = F.aggregate(numbers, x, lambda done, n: F.replace(done, F.concat(F.lit("&#"), n, F.lit(";")), character(n.cast("int"))))
     return F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " "))
 
 
@@ -171,20 +199,64 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+_AMOUNT = r"([\d,]+(?:\.\d+)?\s*(?:k|m|b|million|billion)?)"
+_IS = r"(?:\s*(?:of|is|:|=))?\s*"
+_OF = r"(?:\s*(?:of|:|=))?\s*"
+_SHARE = r"(\d{1,2}(?:\.\d+)?)\s*%"
+_DATE = r"([A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})"
+#: Patterns of terms in offering texts (lower case but for dates and names), tried in order.
+TERM_PATTERNS = {
+    "pre_money": (rf"pre[-\s]?money\s+valuation{_IS}\$?\s*{_AMOUNT}",),
+    "post_money": (rf"post[-\s]?money\s+valuation{_IS}\$?\s*{_AMOUNT}",),
+    "valuation_cap": (rf"valuation\s+cap{_OF}\$?\s*{_AMOUNT}",),
+    "discount_rate": (rf"discount(?:\s+rate)?{_OF}{_SHARE}", rf"{_SHARE}\s*discount"),
+    "interest_rate": (rf"interest(?:\s+rate)?{_OF}{_SHARE}", rf"{_SHARE}\s*interest"),
+    "maturity_date": (rf"(?i)matur(?:ity|es?)(?:\s+date)?(?:\s*(?:on|:|=))?\s*{_DATE}",),
+    "liquidation_pref": (r"(\d(?:\.\d+)?)x\s+liquidation\s+preference", rf"liquidation\s+preference{_OF}(\d(?:\.\d+)?)x"),
+    "lead_investor": (r"(?:led\s+by|lead\s+investor[:\s])\s*([A-Z][A-Za-z0-9&.,' -]{2,60})",),
+}
+#: Patterns of terms in filings of notes.
+FILING_PATTERNS = {
+    "valuation_cap": (r"valuation\s+cap[^\d$]{0,40}\$?([\d,]{4,})",),
+    "discount_rate": (r"([0-9]{1,2}(?:\.[0-9]+)?)\s*%\s*discount",),
+    "liquidation_pref": (r"([0-9](?:\.[0-9])?)x\s+liquidation\s+preference",),
+}
+_NO_RATA, _RATA, _NOT_PARTICIPATING, _PARTICIPATING = r"no\s+pro[-\s]?rata", r"pro[-\s]?rata", r"non[-\s]?participating", r"\bparticipating\b"
+
+
+def _first(text: Column, patterns: tuple[str, ...]) -> Column:
+    return F.coalesce(*[_found(text, p) for p in patterns])
+
+
 def terms(text: Column) -> dict[str, Column]:
-    """Deal terms named in a text, by name; null where the text has none."""
-    money = r"\$?\s*([0-9][0-9,.]*\s*(?:billion|million|thousand|bn|mm|m|k)?)"
-    amount = lambda lead: scaled_amount(_found(text, rf"(?i){lead}[^0-9$]{{0,30}}{money}"))
-    percent = lambda lead: _found(text, rf"(?i){lead}[^0-9%]{{0,30}}([0-9]+(?:\.[0-9]+)?)\s*%").try_cast("double") / 100
+    """Deal terms named in an offering text, by name; null where the text has none. Dates are ISO dates alone."""
+    low = F.lower(text)
+    of = lambda name: _first(text if name in ("maturity_date", "lead_investor") else low, TERM_PATTERNS[name])
+    share = lambda name: of(name).try_cast("double") / 100
+    return {
+        "valuation_cap": scaled_amount(of("valuation_cap")),
+        "pre_money": scaled_amount(of("pre_money")),
+        "post_money": scaled_amount(of("post_money")),
+        "discount_rate": share("discount_rate"),
+        "interest_rate": share("interest_rate"),
+        "maturity_date": F.date_format(F.try_to_date(F.substring(of("maturity_date"), 1, 10), "yyyy-MM-dd"), "yyyy-MM-dd"),
+        "liquidation_pref": of("liquidation_pref").try_cast("double"),
+        "participation": F.when(low.rlike(_NOT_PARTICIPATING), "non_participating").when(low.rlike(_PARTICIPATING), "participating"),
+        "pro_rata": F.when(low.rlike(_NO_RATA), False).when(low.rlike(_RATA), True),
+        "lead_investor": F.btrim(of("lead_investor"), F.lit(" .,")),
+    }
+
+
+def filing_terms(text: Column) -> dict[str, Column]:
+    """Terms named in a filing of notes: stricter patterns, and any mention of pro rata counts."""
+    low = F.lower(text)
+    of = lambda name: _first(low, FILING_PATTERNS[name])
     return {
-        "valuation_cap": amount("valuation cap"),
-        "pre_money": amount("pre-?money"),
-        "post_money": amount("post-?money"),
-        "discount_rate": percent("discount"),
-        "interest_rate": percent("interest"),
-        "liquidation_pref": _found(text, r"(?i)([0-9]+(?:\.[0-9]+)?)\s*x\s+(?:non-participating\s+|participating\s+)?liquidation").try_cast("double"),
-        "pro_rata": F.when(text.rlike("(?i)pro[- ]rata"), True),
-        "lead_investor": _found(text, r"led by ([A-Z][A-Za-z]*(?: [A-Z][A-Za-z]*)*)"),
+        "valuation_cap": number(of("valuation_cap")),
+        "discount_rate": of("discount_rate").try_cast("double") / 100,
+        "liquidation_pref": of("liquidation_pref").try_cast("double"),
+        "pro_rata": F.when(low.contains("pro rata") | low.contains("pro-rata"), True),
+        "participation": F.when(low.contains("participating preferred"), "participating").when(low.contains("non-participating"), "non_participating"),
     }
 
 

@@ -7,14 +7,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _timeline(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: Column, strict: bool) -> DataFrame:
+    """Rows of both sides on one time line for each key: _on, _time, _side (0 right rows that count at their own time, 1 left
+    rows, 2 right rows that count after it), _month, _v of right rows and _l of left rows. Right rows without a key or time drop out."""
+    r = right.where(F.col(on).isNotNull() & F.col(right_time).isNotNull()).select(F.col(on).alias("_on"), F.col(right_time).alias("_time"), F.lit(2 if strict else 0).alias("_side"), value.alias("_v"))
+    l = left.select(F.col(on).alias("_on"), F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))  # noqa: E741
+    return r.unionByName(l, allowMissingColumns=True).withColumn("_month", F.date_trunc("month", "_time"))
+
+
+def _within_months(rows: DataFrame, of_months: Column, before: Column, inside: Column) -> DataFrame:
+    """Left rows of a time line with _before, over the key's earlier months, and _inside, over the earlier rows of its own. No
+    task holds more than one month's rows of a key, however many rows the key has."""
+    months = rows.groupBy("_on", "_month").agg(of_months.alias("_m"))
+    earlier = W.partitionBy("_on").orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
+    months = months.select("_on", "_month", before.over(earlier).alias("_before"))
+    own = W.partitionBy("_on", "_month").orderBy("_time", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    known = rows.where("_on is not null and _month is not null").join(months, ["_on", "_month"]).withColumn("_inside", inside.over(own)).where("_side = 1")
+    lost = rows.where("_side = 1 and (_on is null or _month is null)").withColumn("_before", F.lit(None)).withColumn("_inside", F.lit(None))
+    return known.unionByName(lost)
+
+
 def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, values: list[str], tie: str, left_id: str, strict: bool = False) -> DataFrame:
-    """For each left row the right row of its key that is latest at or before its time (before it if strict): an
-    equi-join, then one aggregation by the left id that keeps the greatest (time, tie)."""
-    r = right.select(F.col(on).alias("_on"), F.col(right_time).alias("_time"), F.col(tie).alias("_tie"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    before = F.col("_time") < F.col(left_time) if strict else F.col("_time") <= F.col(left_time)
-    hits = left.select(left_id, on, left_time).join(r, (F.col(on) == F.col("_on")) & before)
-    best = hits.groupBy(left_id).agg(F.max(F.struct("_time", "_tie", *[f"_v_{v}" for v in values])).alias("_b"))
-    return left.join(best, left_id, "left").select(*left.columns, F.col("_b._time").alias(right_time), *[F.col(f"_b._v_{v}").alias(v) for v in values])
+    """For each left row the right row of its key that is latest at or before its time (before it if strict), of equal
+    times the one with the greatest tie: both sides on one time line, the last right row seen so far. Each row moves once;
+    no pair of rows is made."""
+    value = F.struct(F.col(right_time).alias("_time"), F.col(tie).alias("_tie"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    rows = _timeline(left, right, on, left_time, right_time, value, strict)
+    found = _within_months(rows, F.max("_v"), F.last("_m", ignorenulls=True), F.last("_v", ignorenulls=True))
+    best = F.coalesce("_inside", "_before").alias("_b")
+    return found.select("_l", best).select("_l.*", F.col("_b._time").alias(right_time), *[F.col(f"_b._v_{v}").alias(v) for v in values])
 
 
 def latest(right: DataFrame, on: str, order: list[Column], values: list[str]) -> DataFrame:
@@ -24,10 +45,11 @@ def latest(right: DataFrame, on: str, order: list[Column], values: list[str]) ->
 
 
 def prior_sum(left: DataFrame, right: DataFrame, on: str, left_id: str, left_time: str, right_time: str, value: str, name: str) -> DataFrame:
-    """Adds the sum of the right values of the same key before each left row's time."""
-    r = right.select(F.col(on).alias("_on"), F.col(right_time).alias("_time"), F.col(value).alias("_v"))
-    sums = left.select(left_id, on, left_time).join(r, (F.col(on) == F.col("_on")) & (F.col("_time") < F.col(left_time))).groupBy(left_id).agg(F.sum("_v").alias(name))
-    return left.join(sums, left_id, "left")
+    """Adds the sum of the right values of the same key before each left row's time: running sums, of months and then in one."""
+    rows = _timeline(left, right, on, left_time, right_time, F.col(value), True)
+    found = _within_months(rows, F.sum("_v"), F.sum("_m"), F.sum("_v"))
+    total = F.coalesce(F.col("_before") + F.col("_inside"), "_before", "_inside")
+    return found.select("_l", total.alias("_total")).select("_l.*", F.col("_total").alias(name))
 
 
 def within(left: DataFrame, right: DataFrame, on: str, low: Column, high: Column, time: str, name: str, left_id: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granary.operators.aggregates import majority, pairwise_agreement
@@ -11,8 +12,6 @@ from granary.operators.aggregates import majority, pairwise_agreement
 STABILITY = (("fallback_rate", "<=", 0.25), ("majority_agreement", ">=", 0.75), ("least_pairwise", ">=", 0.80), ("disagreement_sd", "<=", 0.10), ("model_coverage", ">=", 0.30), ("classes", ">=", 3.0))
 #: Bonus of an unseen class, sector and country.
 BONUS = {"class": 3, "sector": 2, "country": 1}
-#: Candidates that the sequential choice reads, best evidence first.
-MOST_CANDIDATES = 5000
 
 
 def summary(decisions: DataFrame, by: list[str]) -> DataFrame:
@@ -42,21 +41,24 @@ def stability(decisions: DataFrame) -> DataFrame:
     return wide.select(F.explode(rows).alias("_g")).select("_g.*")
 
 
-def diverse(items: DataFrame, n: int, most: int = MOST_CANDIDATES) -> DataFrame:
+def diverse(items: DataFrame, n: int) -> DataFrame:
     """n of rows (id, class, sector, country, evidence): the best of each class first, then one by one the item with the
-    best evidence plus bonus for what is not yet chosen. Choosing is sequential, so the driver does it, over the `most`
-    best items and the best of each class."""
+    best evidence plus bonus for what is not yet chosen. Choosing is sequential, so the driver does it, over all items
+    that can be chosen: of items with the same class, sector and country, which have the same bonus, the n best, if their
+    evidence with every bonus reaches the n-th best evidence, since one of the n best items is always left."""
     from granary.operators.windows import first_by
 
     cols = ["id", "class", "sector", "country", "evidence"]
-    heads = first_by(items.select(*cols), ["class"], F.desc("evidence"), "id").orderBy(F.desc("evidence"), "id").limit(most)
-    best = items.select(*cols).orderBy(F.desc("evidence"), "id").limit(most)
-    first = [r for r in heads.collect()]
-    pool = {r.id: r for r in [*first, *best.collect()]}
-    chosen = first[:n]
+    order, rows = [F.desc("evidence"), F.col("id")], items.select(*cols)
+    first = first_by(rows, ["class"], *order).orderBy(*order).limit(n).collect()
+    best = [r.evidence for r in rows.orderBy(*order).limit(n).collect()]
+    least = best[-1] - sum(BONUS.values()) if len(best) == n else float("-inf")
+    alike = W.partitionBy("class", "sector", "country").orderBy(*order)
+    able = rows.where(F.col("evidence") >= least).withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= n)
+    pool, chosen = {r.id: r for r in able.collect()}, list(first)
     seen = {k: {r[k] for r in chosen} - {None} for k in BONUS}
     for r in chosen:
-        pool.pop(r.id)
+        pool.pop(r.id, None)
     while pool and len(chosen) < n:
         bonus = lambda r: sum(v for k, v in BONUS.items() if r[k] is not None and r[k] not in seen[k])
         r = min(pool.values(), key=lambda r: (-(r.evidence + bonus(r)), r.id))

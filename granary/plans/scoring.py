@@ -25,11 +25,13 @@ def points(start: float, *ladders: list[tuple[Column, float]]) -> Column:
 
 def rubric(d: dict[str, Column]) -> dict[str, Column]:
     """Category scores from 0 to 100. d has ml, text, founder, problem, depth, revenue, pre_revenue, growth, over, target,
-    raised, signal, instrument, cap, discount, investors, days, debt, assets, cash, institution, sector, pre_money."""
+    raised, signal, instrument, cap, discount, maturity, interest, preference, participation,
+    pro_rata, investors, days, debt, assets, cash, institution, sector, pre_money."""
     grow, over, inst = d["growth"], d["over"], F.lower(F.coalesce(d["instrument"], F.lit("")))
     bonus = F.when(over > 1, F.least(F.lit(15.0), (over - 1) * 10)).otherwise(0.0)
     traction = points(START, [(d["revenue"] > 0, 15)], [(grow > 1, 20), (grow > 0.5, 15), (grow > 0.2, 10), (grow > 0, 5), (grow.isNotNull(), -5)]) + bonus
     ratio = F.when((d["target"] != 0) & (d["raised"] != 0), d["raised"] / d["target"])
+    share = F.lower(d["participation"])
     loose = inst.contains("safe") | inst.contains("convertible")
     terms = points(
         START,
@@ -40,7 +42,11 @@ def rubric(d: dict[str, Column]) -> dict[str, Column]:
         [(inst.contains("debt"), -8)],
         [(loose & d["cap"].isNotNull(), 4), (loose, -6)],
         [(loose & d["discount"].between(0.1, 0.25), 3), (loose & ((d["discount"] > 0.35) | (d["discount"] < 0.05)), -2), (loose & d["discount"].isNull(), -3)],
-        [(inst.contains("convertible"), -2)],
+        [(inst.contains("convertible") & d["maturity"].isNotNull(), 1), (inst.contains("convertible"), -2)],
+        [(d["interest"] > 0.12, -4), (d["interest"] > 0.08, -2)],
+        [(d["preference"] > 1, -8), (d["preference"] == 1, 2)],
+        [(share.contains("participating") & ~share.contains("non"), -6)],
+        [(d["pro_rata"], 3), (~d["pro_rata"], -1)],
         [(d["investors"] > 300, -8), (d["investors"] > 150, -4)],
         [(d["days"] <= 14, 8), (d["days"] <= 30, 4), (d["days"] > 90, -4)],
     )
@@ -65,6 +71,15 @@ def overall(ml: Column, categories: dict[str, Column]) -> Column:
     return clamp(half_up(ml * 0.6 + weighted * 0.4), 0, 100)
 
 
+#: Inputs that count for the completeness of a deal's data.
+MEASURED = ("revenue", "assets", "debt", "cash", "target", "raised", "over", "pre_money", "instrument", "investors", "days", "multiple", "cohort_multiple", "sector", "growth", "text")
+
+
+def completeness(d: dict[str, Column]) -> Column:
+    """The share of the sixteen measured inputs that are known."""
+    return sum((d[k].isNotNull().cast("int") for k in MEASURED), F.lit(0)) / len(MEASURED)
+
+
 def confidence_range(completeness: Column, has_text: Column) -> Column:
     return F.when((completeness > 0.8) & has_text, 8).when((completeness > 0.5) & has_text, 15).when(completeness > 0.5, 20).otherwise(25)
 

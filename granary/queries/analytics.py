@@ -141,27 +141,27 @@ def majority(t):
     return A.majority(t.facts, ["entity_id"], "feature_name", "fact_id").select("entity_id", "majority", F.round("disagreement", 6).alias("disagreement"))
 
 
-_RUNS = "runs AS (SELECT deal_id, i::INTEGER AS run, CASE WHEN (deal_id * 31 + i * 17) % 11 < 5 THEN 'invest' WHEN (deal_id * 31 + i * 17) % 11 < 8 THEN 'watch' ELSE 'pass' END AS class, ((deal_id * 31 + i * 17) % 101)::DOUBLE AS conviction FROM deals, range(1, 5) t(i) WHERE deal_id % 50 = 0)"
+_RUNS = "runs AS (SELECT deal_id, i::INTEGER AS run, CASE WHEN (deal_id * 31 + i * 17) % 11 < 5 THEN 'invest' WHEN (deal_id * 31 + i * 17) % 11 < 8 THEN 'watch' ELSE 'pass' END AS class, ((deal_id * 31 + i * 17) % 101)::DOUBLE AS conviction FROM deals, range(1, 5) t(i))"
 
 
-def runs(t, only="deal_id % 50 = 0"):
+def runs(t):
     h = F.col("deal_id") * 31 + F.col("run") * 17
-    return t.deals.where(only).select("deal_id", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("run")).withColumn("class", F.when(h % 11 < 5, "invest").when(h % 11 < 8, "watch").otherwise("pass")).withColumn("conviction", (h % 101).cast("double"))
+    return t.deals.select("deal_id", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("run")).withColumn("class", F.when(h % 11 < 5, "invest").when(h % 11 < 8, "watch").otherwise("pass")).withColumn("conviction", (h % 101).cast("double"))
 
 
 @query("ag21_run_agreement", f"WITH {_RUNS} SELECT a.run AS run_a, b.run AS run_b, count(*) AS n, round(avg(CASE WHEN a.class = b.class THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement FROM runs a JOIN runs b ON a.deal_id = b.deal_id AND a.run < b.run GROUP BY 1, 2")
-def agreement(t, **how):
-    return A.pairwise_agreement(runs(t, **how), ["deal_id"], "run", "class").withColumn("agreement", F.round("agreement", 6))
+def agreement(t):
+    return A.pairwise_agreement(runs(t), ["deal_id"], "run", "class").withColumn("agreement", F.round("agreement", 6))
 
 
 @query("ag22_conviction", f"WITH {_RUNS} SELECT run, round(avg(conviction), 6) AS mean, quantile_cont(conviction, 0.5) AS median, round(stddev_samp(conviction), 6) AS sd FROM runs GROUP BY 1")
-def conviction(t, **how):
-    return runs(t, **how).groupBy("run").agg(F.round(F.avg("conviction"), 6).alias("mean"), F.percentile("conviction", 0.5).alias("median"), F.round(F.stddev_samp("conviction"), 6).alias("sd"))
+def conviction(t):
+    return runs(t).groupBy("run").agg(F.round(F.avg("conviction"), 6).alias("mean"), F.percentile("conviction", 0.5).alias("median"), F.round(F.stddev_samp("conviction"), 6).alias("sd"))
 
 
 @query("ag23_class_drift", f"WITH {_RUNS}, c AS (SELECT run, count(*) FILTER (class = 'invest') AS i, count(*) FILTER (class = 'watch') AS w, count(*) FILTER (class = 'pass') AS p FROM runs GROUP BY 1) SELECT a.run AS run_a, b.run AS run_b, (abs(a.i - b.i) + abs(a.w - b.w) + abs(a.p - b.p))::BIGINT AS drift FROM c a JOIN c b ON a.run < b.run")
-def drift(t, **how):
-    return A.drift(runs(t, **how), "run", "class", ["invest", "watch", "pass"])
+def drift(t):
+    return A.drift(runs(t), "run", "class", ["invest", "watch", "pass"])
 
 
 @query("ag24_missing_fields", "SELECT field, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN pre_money IS NULL THEN 'pre_money' END, CASE WHEN equity IS NULL THEN 'equity' END, CASE WHEN NOT has_revenue THEN 'revenue' END], lambda x: x IS NOT NULL)) AS field FROM deals) GROUP BY 1 ORDER BY n DESC LIMIT 8")
@@ -211,7 +211,7 @@ def capped(t):
 
 
 #: Expanding windows: label, end of training, begin and end of test.
-WINDOWS = [("w1", "1996-06-30", "1996-07-01", "1997-06-30"), ("w2", "1997-06-30", "1997-07-01", "1998-06-30"), ("w3", "1998-06-30", "1998-07-01", "1999-12-31")]
+WINDOWS = [("w1", "1994-06-30", "1994-07-01", "1995-06-30"), ("w2", "1995-06-30", "1995-07-01", "1996-06-30"), ("w3", "1996-06-30", "1996-07-01", "1997-06-30"), ("w4", "1997-06-30", "1997-07-01", "1998-06-30"), ("w5", "1998-06-30", "1998-07-01", "1999-12-31")]
 _WINDOWS = "windows(w, a, b, c) AS (VALUES " + ", ".join(f"('{w}', DATE '{a}', DATE '{b}', DATE '{c}')" for w, a, b, c in WINDOWS) + ")"
 
 
@@ -250,6 +250,31 @@ def rolling(t):
     return V.first_by(t.deals.groupBy("sector", "deal_date").agg(F.count("*").alias("n")).withColumn("_k", F.row_number().over(W.partitionBy("sector").orderBy(F.desc("deal_date")))), ["sector", "_k"], "deal_date").where("_k <= 5").drop("_k")
 
 
+@query(
+    "wn12_frames",
+    """SELECT round_id, lag(amount) OVER w AS previous, lead(round_date, 2) OVER w AS after_next, ntile(4) OVER w AS quarter, first_value(amount) OVER w AS first_amount, dense_rank() OVER (PARTITION BY company_id ORDER BY round_date) AS nth_day,
+    round(avg(amount) OVER (PARTITION BY company_id ORDER BY round_date, round_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS mean_of_three, count(*) OVER (PARTITION BY company_id ORDER BY round_date RANGE BETWEEN INTERVAL 180 DAY PRECEDING AND CURRENT ROW) AS in_half_a_year
+    FROM rounds WINDOW w AS (PARTITION BY company_id ORDER BY round_date, round_id)""",
+)
+def frames(t):
+    w, days = W.partitionBy("company_id").orderBy("round_date", "round_id"), W.partitionBy("company_id").orderBy("_day")
+    return t.rounds.withColumn("_day", F.unix_date("round_date")).select(
+        "round_id", F.lag("amount").over(w).alias("previous"), F.lead("round_date", 2).over(w).alias("after_next"), F.ntile(4).over(w).alias("quarter"), F.first("amount").over(w).alias("first_amount"), F.dense_rank().over(days).alias("nth_day"),
+        F.round(F.avg("amount").over(w.rowsBetween(-2, 0)), 4).alias("mean_of_three"), F.count("*").over(days.rangeBetween(-180, 0)).alias("in_half_a_year"),
+    )
+
+
+@query("jn21_all_kinds", "SELECT r_regionkey, n_nationkey, n_name, r_name FROM region FULL JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) n ON r_regionkey = n_regionkey AND n_nationkey % 2 = 0 UNION ALL SELECT a.r_regionkey, b.r_regionkey, NULL, a.r_name FROM region a CROSS JOIN region b WHERE a.r_name < b.r_name UNION ALL SELECT r_regionkey, n_nationkey, n_name, r_name FROM nation RIGHT JOIN region ON r_regionkey = n_regionkey AND n_nationkey > 15")
+def all_kinds(t):
+    """Full, cross (of two tables of five rows) and right joins."""
+    region, cols = t.region, ["r_regionkey", "n_nationkey", "n_name", "r_name"]
+    same = F.col("r_regionkey") == F.col("n_regionkey")
+    full = region.join(t.nation.where("n_regionkey <> 1"), same & (F.col("n_nationkey") % 2 == 0), "full").select(*cols)
+    other = region.select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("other"))
+    cross = region.crossJoin(F.broadcast(other)).where("r_name < other").select("r_regionkey", "n_nationkey", F.lit(None).cast("string").alias("n_name"), "r_name")
+    return full.unionByName(cross).unionByName(t.nation.join(region, same & (F.col("n_nationkey") > 15), "right").select(*cols))
+
+
 @query(
     "set_operations",
     "SELECT company_id, 'both' AS part FROM (SELECT company_id FROM companies WHERE stage = 'seed' INTERSECT SELECT company_id FROM rounds WHERE status = 'F') UNION ALL SELECT company_id, 'only' FROM (SELECT company_id FROM companies WHERE stage = 'seed' EXCEPT SELECT company_id FROM rounds WHERE status = 'F')",

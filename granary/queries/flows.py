@@ -26,35 +26,35 @@ def financials(t):
 
 @query(
     "tt1_round_facts",
-    f"""WITH {_FIN}, r AS (SELECT round_id, company_id % 200 AS company_id, round_date, amount, pre_money FROM rounds WHERE round_id % 5 = 1), b AS (SELECT r.round_id, max({{'d': period_end, 'c': cash, 'b': burn}}) AS m FROM r JOIN fin f ON f.company_id = r.company_id AND period_end <= round_date GROUP BY 1),
+    f"""WITH {_FIN}, r AS (SELECT round_id, company_id % 200 AS company_id, round_date, amount, pre_money FROM rounds), b AS (SELECT r.round_id, max({{'d': period_end, 'c': cash, 'b': burn}}) AS m FROM r JOIN fin f ON f.company_id = r.company_id AND period_end <= round_date GROUP BY 1),
     w AS (SELECT r.round_id, amount, pre_money, b.m.c AS cash, b.m.b AS burn, b.m.c / nullif(b.m.b, 0) AS runway FROM r LEFT JOIN b ON b.round_id = r.round_id)
     SELECT round_id, field, value FROM (UNPIVOT w ON amount, pre_money, cash, burn, runway INTO NAME field VALUE value)""",
 )
-def round_facts(t, only="round_id % 5 = 1"):
-    rounds = t.rounds.where(only).withColumn("company_id", F.col("company_id") % 200)
+def round_facts(t):
+    rounds = t.rounds.withColumn("company_id", F.col("company_id") % 200)
     return N.round_facts(rounds, financials(t))
 
 
 @query(
     "tt3_narrative_terms",
     """WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS text_id, l_partkey % 200 AS company_id, l_shipdate::DATE AS filed, (l_orderkey % 9 + 1) * 1000000.0::DOUBLE AS cap, CASE WHEN l_linenumber = 2 THEN true END AS rata FROM lineitem WHERE l_linenumber IN (2, 3)),
-    m AS (SELECT r.round_id, max({'d': filed, 'i': text_id, 'c': cap, 'p': rata}) AS m FROM rounds r JOIN x ON x.company_id = r.company_id AND filed <= round_date WHERE r.round_id % 5 = 1 GROUP BY 1)
+    m AS (SELECT r.round_id, max({'d': filed, 'i': text_id, 'c': cap, 'p': rata}) AS m FROM rounds r JOIN x ON x.company_id = r.company_id AND filed <= round_date GROUP BY 1)
     SELECT round_id, m.c AS valuation_cap, NULL::DOUBLE AS discount_rate, m.p AS pro_rata FROM m""",
 )
-def narrative_terms(t, only="round_id % 5 = 1"):
-    cap = F.concat(F.lit("The valuation cap is $"), (F.col("l_orderkey") % 9 + 1).cast("string"), F.lit(" million."), F.when(F.col("l_linenumber") == 2, " Pro rata rights apply.").otherwise(""))
+def narrative_terms(t):
+    cap = F.concat(F.lit("A valuation cap of $"), (F.col("l_orderkey") % 9 + 1).cast("string"), F.lit(" million."), F.when(F.col("l_linenumber") == 2, " Pro rata rights apply.").otherwise(""))
     texts = t.lineitem.where("l_linenumber in (2, 3)").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("text_id"), (F.col("l_partkey") % 200).alias("company_id"), F.to_date("l_shipdate").alias("filed"), cap.alias("text"))
-    return N.narrative_terms(t.rounds.where(only), texts)
+    return N.narrative_terms(t.rounds, texts)
 
 
 @query(
     "lb4_cross_reference",
     """SELECT c.company_id, CASE WHEN f.cik IS NOT NULL THEN 'trading' ELSE 'unknown' END AS outcome, CASE WHEN f.cik IS NOT NULL THEN 2 ELSE 3 END::INTEGER AS tier FROM (SELECT company_id, cik, min(round_date) AS d FROM companies JOIN rounds USING (company_id) GROUP BY 1, 2) c
-    LEFT JOIN (SELECT DISTINCT cik FROM filings WHERE form_type = 'C-TR' AND cik % 2 = 0) f ON f.cik = c.cik WHERE c.company_id NOT IN (SELECT company_id FROM companies WHERE outcome = 'exited') AND (f.cik IS NOT NULL OR d < DATE '1998-06-01')""",
+    LEFT JOIN (SELECT DISTINCT cik FROM filings WHERE form_type = 'C-TR') f ON f.cik = c.cik WHERE c.company_id NOT IN (SELECT company_id FROM companies WHERE outcome = 'exited') AND (f.cik IS NOT NULL OR d < DATE '1998-06-01')""",
 )
 def cross_reference(t):
     first = t.companies.join(t.rounds, "company_id").groupBy("company_id", "cik").agg(F.min("round_date").alias("campaign_date"))
-    return N.cross_referenced(first, t.filings.where("form_type = 'C-TR' and cik % 2 = 0"), t.companies.where("outcome = 'exited'").select("company_id"), "2001-06-01")
+    return N.cross_referenced(first, t.filings.where("form_type = 'C-TR'"), t.companies.where("outcome = 'exited'").select("company_id"), "2001-06-01")
 
 
 @query("lb3_rebuild", "SELECT company_id, CASE WHEN outcome = 'unknown' AND n >= 5 THEN 'trading' ELSE outcome END AS outcome, CASE WHEN outcome = 'unknown' AND n >= 5 THEN 3 WHEN outcome = 'unknown' THEN NULL ELSE 2 END::INTEGER AS tier FROM (SELECT c.company_id, c.outcome, count(r.round_id) AS n FROM companies c LEFT JOIN rounds r ON r.company_id = c.company_id GROUP BY 1, 2)")
@@ -70,9 +70,9 @@ def bulk_create(t):
     return N.created(known, t.companies.select((F.col("company_id") % 70).alias("id"), "country", "company_id"), ["id"], "company_id")
 
 
-@query("er8_matched_pairs", "SELECT a.company_id, CASE WHEN b.company_id IS NULL OR c.company_id IS NULL THEN 'missing' WHEN b.cik = c.cik THEN 'match' ELSE 'differ' END AS verdict FROM (SELECT company_id FROM companies WHERE company_id % 3 = 0) a LEFT JOIN companies b ON b.company_id = a.company_id LEFT JOIN companies c ON c.company_id = a.company_id + 500")
-def matched_pairs(t, only="company_id % 3 = 0"):
-    pairs = t.companies.where(only).select("company_id", (F.col("company_id") + 500).alias("other"))
+@query("er8_matched_pairs", "SELECT a.company_id, CASE WHEN b.company_id IS NULL OR c.company_id IS NULL THEN 'missing' WHEN b.cik = c.cik THEN 'match' ELSE 'differ' END AS verdict FROM (SELECT company_id FROM companies) a LEFT JOIN companies b ON b.company_id = a.company_id LEFT JOIN companies c ON c.company_id = a.company_id + 500")
+def matched_pairs(t):
+    pairs = t.companies.select("company_id", (F.col("company_id") + 500).alias("other"))
     left, right = t.companies.select("company_id", F.col("cik").alias("a")), t.companies.select(F.col("company_id").alias("other"), F.col("cik").alias("b"))
     both = pairs.join(left, "company_id", "left").join(right, "other", "left")
     return both.select("company_id", F.when(F.col("a").isNull() | F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "match").otherwise("differ").alias("verdict"))
@@ -130,7 +130,7 @@ def portfolio_sectors(t):
 @query("bt13_quarantine", "SELECT entity_id, holdout FROM (SELECT company_id AS entity_id, 'w2' AS holdout FROM deals WHERE deal_date BETWEEN DATE '1997-07-01' AND DATE '1998-06-30' UNION SELECT company_id, 'w1' FROM companies WHERE company_id % 10 = 0)")
 def quarantine(t):
     held = t.companies.where("company_id % 10 = 0").select(F.col("company_id").alias("entity_id"), F.lit("w1").alias("holdout"))
-    new = t.deals.where(F.col("deal_date").between(*[F.lit(d).cast("date") for d in WINDOWS[1][2:]])).select(F.col("company_id").alias("entity_id"), F.lit("w2").alias("holdout")).distinct()
+    new = t.deals.where(F.col("deal_date").between(*[F.lit(d).cast("date") for d in WINDOWS[3][2:]])).select(F.col("company_id").alias("entity_id"), F.lit("w2").alias("holdout")).distinct()
     return U.insert_absent(held, new, ["entity_id", "holdout"])
 
 
@@ -186,13 +186,13 @@ def quick_score(t):
     return scored.select("deal_id", "overall", F.when(kind == "abstain", "deep_diligence").otherwise(kind).alias("class"))
 
 
-_DECISIONS = "d AS (SELECT deal_id AS item, a::INTEGER AS agent, r::INTEGER AS run, deal_id * 10 + a AS ord, CASE (deal_id * 3 + a * (deal_id % 3) + (deal_id % 11 = r)::INT) % 4 WHEN 0 THEN 'invest' WHEN 1 THEN 'watch' WHEN 2 THEN 'pass' ELSE 'abstain' END AS class, (deal_id + a) % 6 = 0 AS fallback, CASE WHEN deal_id % 3 = 0 THEN 'watch' END AS model_class FROM deals, range(1, 4) x(a), range(1, 4) y(r) WHERE deal_id % 40 = 0)"
+_DECISIONS = "d AS (SELECT deal_id AS item, a::INTEGER AS agent, r::INTEGER AS run, deal_id * 10 + a AS ord, CASE (deal_id * 3 + a * (deal_id % 3) + (deal_id % 11 = r)::INT) % 4 WHEN 0 THEN 'invest' WHEN 1 THEN 'watch' WHEN 2 THEN 'pass' ELSE 'abstain' END AS class, (deal_id + a) % 6 = 0 AS fallback, CASE WHEN deal_id % 3 = 0 THEN 'watch' END AS model_class FROM deals, range(1, 4) x(a), range(1, 4) y(r))"
 
 
-def decisions(t, only="deal_id % 40 = 0"):
+def decisions(t):
     each = lambda n: F.explode(F.array(*map(F.lit, range(1, 4)))).alias(n)
     k = F.col("item")
-    base = t.deals.where(only).select(F.col("deal_id").alias("item"), each("agent")).select("*", each("run"))
+    base = t.deals.select(F.col("deal_id").alias("item"), each("agent")).select("*", each("run"))
     h = (k * 3 + F.col("agent") * (k % 3) + (k % 11 == F.col("run")).cast("int")) % 4
     return base.select("item", "agent", "run", (k * 10 + F.col("agent")).alias("ord"), F.when(h == 0, "invest").when(h == 1, "watch").when(h == 2, "pass").otherwise("abstain").alias("class"), ((k + F.col("agent")) % 6 == 0).alias("fallback"), F.when(k % 3 == 0, "watch").alias("model_class"))
 
@@ -202,8 +202,8 @@ def decisions(t, only="deal_id % 40 = 0"):
     f"""WITH {_DECISIONS}, i AS (SELECT run, item, count(DISTINCT class) AS c, count(model_class) AS m, count(*) AS n FROM d GROUP BY 1, 2), a AS (SELECT run, count(*) AS items, sum(n)::BIGINT AS decisions, round(avg((c > 1)::INT), 6) AS disagreement_rate, round(avg((m > 0)::INT), 6) AS model_coverage FROM i GROUP BY 1),
     b AS (SELECT run, round(avg(fallback::INT), 6) AS fallback_rate, round(avg((class = 'abstain')::INT), 6) AS abstain_rate, count(DISTINCT class)::DOUBLE AS classes FROM d GROUP BY 1) SELECT a.*, b.fallback_rate, b.abstain_rate, b.classes FROM a JOIN b ON a.run = b.run""",
 )
-def run_summary(t, **how):
-    s = P.summary(decisions(t, **how), ["run"])
+def run_summary(t):
+    s = P.summary(decisions(t), ["run"])
     return s.select("run", "items", "decisions", *[F.round(c, 6).alias(c) for c in ("disagreement_rate", "model_coverage", "fallback_rate", "abstain_rate")], "classes")
 
 
@@ -214,8 +214,8 @@ def run_summary(t, **how):
     UNION ALL SELECT 'least_pairwise', (SELECT min(s) FROM (SELECT avg((a.class = b.class)::INT) AS s FROM o a JOIN o b ON a.item = b.item AND a.agent = b.agent AND a.run < b.run GROUP BY a.run, b.run)), '>=', 0.80 UNION ALL SELECT 'disagreement_sd', (SELECT stddev_samp(x) FROM (SELECT avg(odd) AS x FROM v GROUP BY run)), '<=', 0.10
     UNION ALL SELECT 'model_coverage', (SELECT avg((m > 0)::INT) FROM (SELECT count(model_class) AS m FROM d GROUP BY item)), '>=', 0.30 UNION ALL SELECT 'classes', (SELECT count(DISTINCT class) FROM d), '>=', 3) SELECT gate, round(value, 6) AS value, CASE op WHEN '<=' THEN value <= t ELSE value >= t END AS passed FROM g""",
 )
-def stability_gates(t, **how):
-    return P.stability(decisions(t, **how)).withColumn("value", F.round("value", 6))
+def stability_gates(t):
+    return P.stability(decisions(t)).withColumn("value", F.round("value", 6))
 
 
 @query("wn9_diverse_selection", None)

@@ -8,14 +8,21 @@ from granary.functions import parsing as P
 from granary.queries.base import query
 
 
+#: Endings of names: two legal suffixes, none, and letters beyond ASCII.
+_ENDINGS = ("", " SARL", " L.L.C.", " LP", " Pvt", " Œuvre Ltd", " Łódź Private", " Straße GmbH", " Søn Co.")
+_ENDING = "CASE company_id % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ENDINGS)) + " END"
+
+
 @query(
     "fn_names",
-    """SELECT company_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '\\b(limited|ltd|inc|incorporated|llc|llp|plc|corp|corporation|co|company|lp|gmbh|sa|bv|ag)\\.?\\s*$', ''), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS legal,
+    f"""WITH n AS (SELECT company_id, name, lower(trim(strip_accents(replace(replace(replace(replace(name || {_ENDING}, 'Œ', 'OE'), 'Ł', 'L'), 'ß', 'ss'), 'ø', 'o')))) AS low FROM companies)
+    SELECT company_id, trim(regexp_replace(regexp_replace(regexp_replace(low, '\\b(limited|ltd|inc|incorporated|llc|l\\.l\\.c\\.|plc|p\\.l\\.c\\.|corp|corporation|co|company|gmbh|ag|sa|sas|sarl|pty|pvt|private)\\.?\\s*$', ''), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS legal,
     trim(regexp_replace(regexp_replace(regexp_replace(lower('The ' || name || ' Capital Partners'), '[^a-z0-9]+', ' ', 'g'), '\\b(the|inc|llc|ltd|limited|plc|corp|corporation|partners|capital|ventures)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS investor,
-    trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS watchlist FROM companies""",
+    trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS watchlist FROM n""",
 )
 def names(t):
-    return t.companies.select("company_id", P.normalized_name(F.col("name")).alias("legal"), P.investor_name(F.concat(F.lit("The "), "name", F.lit(" Capital Partners"))).alias("investor"), P.watchlist_name(F.col("name")).alias("watchlist"))
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("company_id") % 9 + 1).cast("int"))
+    return t.companies.select("company_id", P.normalized_name(F.concat("name", ending)).alias("legal"), P.investor_name(F.concat(F.lit("The "), "name", F.lit(" Capital Partners"))).alias("investor"), P.watchlist_name(F.col("name")).alias("watchlist"))
 
 
 _RAW = """raw AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d, CASE o_orderkey % 6 WHEN 0 THEN '$' || floor(o_totalprice)::BIGINT::VARCHAR || '.50' WHEN 1 THEN 'n/a' WHEN 2 THEN (o_orderkey % 90)::VARCHAR || '%'
@@ -98,37 +105,78 @@ def categories(t):
     )
 
 
+#: Sentences of offering texts; which of them a text has is drawn by its number.
+_SENTENCES = (
+    ("true", "'We offer SAFEs with a valuation cap of $' || (k % 40 + 1)::STRING || ' million.'"),
+    ("k % 2 = 0", "'Holders get a ' || (k % 30)::STRING || '% discount. 5% interest accrues.'"),
+    ("k % 2 = 1", "'Discount rate of ' || (k % 30)::STRING || '.5%, interest rate: 7%.'"),
+    ("k % 3 = 0", "'The pre-money valuation is $8,000,000 and post money valuation = 9.5m.'"),
+    ("k % 4 = 0", "'With a 1.5x liquidation preference, non-participating.'"),
+    ("k % 4 = 1", "'Participating preferred with liquidation preference of 2x.'"),
+    ("k % 5 = 0", "'No pro rata rights are granted.'"),
+    ("k % 5 = 1", "'Pro-rata rights apply.'"),
+    ("k % 7 < 2", "'The notes mature on 2027-0' || (k % 9 + 1)::STRING || '-15.'"),
+    ("k % 7 = 2", "'Maturity date: March 3, 2027.'"),
+    ("k % 6 = 0", "'The round was led by Example Ventures, L.P.'"),
+)
+_TEXT = "concat_ws(' ', " + ", ".join(f"CASE WHEN {w} THEN {x} END" for w, x in _SENTENCES) + ")"
+_TEXTS = f"texts AS (SELECT k, {_TEXT} AS t FROM (SELECT round_id AS k FROM rounds))"
+
+
+def offering_texts(t):
+    return t.rounds.select(F.col("round_id").alias("k")).withColumn("t", F.expr(_TEXT))
+
+
+def _sql(patterns: tuple[str, ...], text: str) -> str:
+    return "coalesce(" + ", ".join("nullif(regexp_extract({}, '{}', 1), '')".format(text, p.replace("'", "''")) for p in patterns) + ")"
+
+
+def _amount_sql(name: str) -> str:
+    x = _sql(P.TERM_PATTERNS[name], "lower(t)")
+    return f"try_cast(replace(regexp_extract({x}, '[\\d,.]+'), ',', '') AS DOUBLE) * CASE regexp_extract({x}, '[a-z]+') WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'b' THEN 1e9 WHEN 'billion' THEN 1e9 ELSE 1 END"
+
+
+_SHOWN = ("valuation_cap", "pre_money", "post_money", "discount_rate", "interest_rate", "maturity_date", "liquidation_pref", "participation", "pro_rata", "lead_investor")
+
+
 @query(
     "fn_terms",
-    """SELECT round_id, (round_id % 40 + 1) * 1000000.0::DOUBLE AS valuation_cap, CASE WHEN round_id % 2 = 0 THEN (round_id % 30) / 100.0::DOUBLE END AS discount_rate, CASE WHEN round_id % 3 = 0 THEN 8000000.0::DOUBLE END AS pre_money,
-    CASE WHEN round_id % 4 = 0 THEN 1.5::DOUBLE END AS liquidation_pref, CASE WHEN round_id % 5 = 0 THEN true END AS pro_rata, CASE WHEN round_id % 6 = 0 THEN 'Example Ventures' END AS lead_investor,
-    CASE WHEN n >= 4 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, 1 + (round_id % 2 = 0)::INT + (round_id % 3 = 0)::INT + (round_id % 4 = 0)::INT + (round_id % 5 = 0)::INT + (round_id % 6 = 0)::INT AS n FROM rounds)""",
+    f"""WITH {_TEXTS}, f AS (SELECT k, {_amount_sql('valuation_cap')} AS valuation_cap, {_amount_sql('pre_money')} AS pre_money, {_amount_sql('post_money')} AS post_money,
+    try_cast({_sql(P.TERM_PATTERNS['discount_rate'], 'lower(t)')} AS DOUBLE) / 100 AS discount_rate, try_cast({_sql(P.TERM_PATTERNS['interest_rate'], 'lower(t)')} AS DOUBLE) / 100 AS interest_rate,
+    strftime(try_cast(CASE WHEN {_sql(P.TERM_PATTERNS['maturity_date'], 't')} LIKE '____-__-__' THEN {_sql(P.TERM_PATTERNS['maturity_date'], 't')} END AS DATE), '%Y-%m-%d') AS maturity_date,
+    try_cast({_sql(P.TERM_PATTERNS['liquidation_pref'], 'lower(t)')} AS DOUBLE) AS liquidation_pref,
+    CASE WHEN regexp_matches(lower(t), 'non[-\\s]?participating') THEN 'non_participating' WHEN regexp_matches(lower(t), '\\bparticipating\\b') THEN 'participating' END AS participation,
+    CASE WHEN regexp_matches(lower(t), 'no\\s+pro[-\\s]?rata') THEN false WHEN regexp_matches(lower(t), 'pro[-\\s]?rata') THEN true END AS pro_rata,
+    trim({_sql(P.TERM_PATTERNS['lead_investor'], 't')}, ' .,') AS lead_investor FROM texts)
+    SELECT *, CASE WHEN n >= 4 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT k AS round_id, * EXCLUDE (k) FROM f) JOIN (SELECT k AS id, ({' + '.join(f'({c} IS NOT NULL)::INT' for c in _SHOWN)}) AS n FROM f) ON id = round_id""".replace("SELECT *, CASE", "SELECT * EXCLUDE (n, id), CASE"),
 )
 def terms(t):
-    k = F.col("round_id")
-    text = F.concat_ws(
-        " ",
-        F.concat(F.lit("A valuation cap of $"), (k % 40 + 1).cast("string"), F.lit(" million applies.")),
-        F.when(k % 2 == 0, F.concat(F.lit("Holders get a discount of "), (k % 30).cast("string"), F.lit("%."))),
-        F.when(k % 3 == 0, "The pre-money value is $8,000,000."),
-        F.when(k % 4 == 0, "With a 1.5x non-participating liquidation preference."),
-        F.when(k % 5 == 0, "Pro-rata rights are granted."),
-        F.when(k % 6 == 0, "The round was led by Example Ventures."),
-    )
-    found = P.terms(text)
-    shown = ["valuation_cap", "discount_rate", "pre_money", "liquidation_pref", "pro_rata", "lead_investor"]
-    return t.rounds.select("round_id", *[found[c].alias(c) for c in shown], P.term_confidence(found).alias("confidence"))
+    found = P.terms(F.col("t"))
+    return offering_texts(t).select(F.col("k").alias("round_id"), *[found[c].alias(c) for c in _SHOWN], P.term_confidence(found).alias("confidence"))
+
+
+@query(
+    "fn_filing_terms",
+    f"""WITH {_TEXTS}, x AS (SELECT k, lower(replace(t, ' million', ',000,000')) AS t FROM texts) SELECT k AS round_id, try_cast(replace({_sql(P.FILING_PATTERNS['valuation_cap'], 't')}, ',', '') AS DOUBLE) AS valuation_cap, try_cast({_sql(P.FILING_PATTERNS['discount_rate'], 't')} AS DOUBLE) / 100 AS discount_rate,
+    try_cast({_sql(P.FILING_PATTERNS['liquidation_pref'], 't')} AS DOUBLE) AS liquidation_pref, CASE WHEN contains(t, 'pro rata') OR contains(t, 'pro-rata') THEN true END AS pro_rata,
+    CASE WHEN contains(t, 'participating preferred') THEN 'participating' WHEN contains(t, 'non-participating') THEN 'non_participating' END AS participation FROM x""",
+)
+def filing_terms(t):
+    found = P.filing_terms(F.replace(F.col("t"), F.lit(" million"), F.lit(",000,000")))
+    return offering_texts(t).select(F.col("k").alias("round_id"), *[v.alias(c) for c, v in found.items()])
 
 
 @query(
     "fn_html_text",
-    """WITH a AS (SELECT page_id, html, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', ' ', 'g') AS x FROM pages),
-    b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(p|div|br|li|ul|h[1-6]|tr|table|section|article|header|footer|nav)\\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a)
-    SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
-    trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM b""",
+    """WITH p AS (SELECT page_id, html || '<p>Caf&#233; &#8212; &apos;x&apos; &#128512;</p>' AS html FROM pages), a AS (SELECT page_id, html, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', ' ', 'g') AS x FROM p),
+    b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(p|div|br|li|ul|h[1-6]|tr|table|section|article|header|footer|nav)\\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+    c AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') AS x FROM b),
+    d AS (SELECT page_id, html, list_reduce(list_prepend(x, list_distinct(regexp_extract_all(x, '&#([0-9]{1,7});', 1))), lambda done, n: replace(done, '&#' || n || ';', chr(n::INTEGER))) AS x FROM c)
+    SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, trim(regexp_replace(x, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM d""",
 )
 def html(t):
-    return t.pages.select("page_id", P.html_title(F.col("html")).alias("title"), P.html_text(F.col("html")).alias("text"))
+    page = F.concat("html", F.lit("<p>Caf&#233; &#8212; &apos;x&apos; &#128512;</p>"))
+    return t.pages.select("page_id", P.html_title(page).alias("title"), P.html_text(page).alias("text"))
 
 
 @query("fn_json_value", "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, json_extract_string(props, '$.missing') AS missing FROM events")

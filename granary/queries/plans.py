@@ -25,15 +25,15 @@ def validate(t):
 
 @query(
     "fs2_write_features",
-    """WITH old AS (SELECT deal_id, deal_date, 'sector' AS feature, 'unknown' AS value FROM deals WHERE deal_id % 2 = 0 UNION ALL SELECT deal_id, deal_date, 'gross_margin', '0.5' FROM deals WHERE deal_id % 10 = 0),
-    new AS (SELECT deal_id, deal_date, 'sector' AS feature, sector AS value FROM deals WHERE deal_id % 4 = 0 UNION ALL SELECT deal_id, deal_date, 'qualified_institutional', has_institution::VARCHAR FROM deals WHERE deal_id % 4 = 0)
+    """WITH old AS (SELECT deal_id, deal_date, 'sector' AS feature, 'unknown' AS value FROM deals WHERE stage = 'seed' UNION ALL SELECT deal_id, deal_date, 'gross_margin', '0.5' FROM deals WHERE has_revenue),
+    new AS (SELECT deal_id, deal_date, 'sector' AS feature, sector AS value FROM deals UNION ALL SELECT deal_id, deal_date, 'qualified_institutional', has_institution::VARCHAR FROM deals)
     SELECT * FROM new UNION ALL SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.deal_id = o.deal_id AND n.feature = o.feature)""",
 )
 def write_features(t):
     d = t.deals
     fact = lambda rows, name, value: rows.select("deal_id", "deal_date", F.lit(name).alias("feature"), F.lit(value).alias("value"))
-    store = fact(d.where("deal_id % 2 = 0"), "sector", "unknown").unionByName(fact(d.where("deal_id % 10 = 0"), "gross_margin", "0.5"))
-    wide = S.extracted(d.where("deal_id % 4 = 0")).select("deal_id", "deal_date", "sector", "qualified_institutional")
+    store = fact(d.where("stage = 'seed'"), "sector", "unknown").unionByName(fact(d.where("has_revenue"), "gross_margin", "0.5"))
+    wide = S.extracted(d).select("deal_id", "deal_date", "sector", "qualified_institutional")
     return S.written(store, wide, ["deal_id", "deal_date"])
 
 
@@ -70,23 +70,23 @@ def tiers(t):
 
 @query(
     "lb2_outcomes_from_filings",
-    """WITH s AS (SELECT cik, bool_or(form_type IN ('C-TR', 'C-W')) AS a, bool_or(form_type = 'C-AR' AND filing_date >= DATE '2001-06-01' - 540) AS b, bool_or(form_type = 'C-U' AND filing_date >= DATE '2001-06-01' - 360) AS c, max(filing_date) - min(filing_date) > 730 AS d FROM filings WHERE cik % 3 <> 0 OR filing_date < DATE '1997-01-01' GROUP BY 1),
+    """WITH s AS (SELECT cik, bool_or(form_type IN ('C-TR', 'C-W')) AS a, bool_or(form_type = 'C-AR' AND filing_date >= DATE '2001-06-01' - 540) AS b, bool_or(form_type = 'C-U' AND filing_date >= DATE '2001-06-01' - 360) AS c, max(filing_date) - min(filing_date) > 730 AS d FROM filings GROUP BY 1),
     r AS (SELECT company_id, outcome, CASE WHEN outcome <> 'unknown' THEN 0 WHEN a THEN 1 WHEN b THEN 2 WHEN c THEN 3 WHEN d THEN 4 ELSE 0 END AS rule FROM companies LEFT JOIN s USING (cik))
     SELECT company_id, CASE rule WHEN 0 THEN outcome WHEN 1 THEN 'failed' ELSE 'trading' END AS outcome, CASE rule WHEN 1 THEN 'terminated_or_withdrawn' WHEN 2 THEN 'annual_report_filed' WHEN 3 THEN 'progress_update_filed' WHEN 4 THEN 'sustained_filing_activity' END AS detail, CASE WHEN rule = 4 THEN 3 WHEN rule > 0 THEN 2 END::INTEGER AS tier FROM r""",
 )
 def outcomes(t):
-    return L.from_filings(t.companies, t.filings.where("cik % 3 <> 0 or filing_date < date '1997-01-01'"), "2001-06-01")
+    return L.from_filings(t.companies, t.filings, "2001-06-01")
 
 
 @query(
     "lb5_progress_labels",
-    """WITH o AS (SELECT round_id, company_id % 200 AS company_id, round_date FROM rounds WHERE round_id % 20 = 1 AND round_date + INTERVAL 18 MONTH <= DATE '1998-06-01'),
+    """WITH o AS (SELECT round_id, company_id % 200 AS company_id, round_date FROM rounds WHERE round_date + INTERVAL 18 MONTH <= DATE '1998-06-01'),
     b AS (SELECT o.round_id, max({'d': filing_date, 'v': revenue}) AS m FROM o JOIN filings f ON f.company_id = o.company_id AND filing_date <= round_date GROUP BY 1),
     a AS (SELECT o.round_id, max(revenue) AS v FROM o JOIN filings f ON f.company_id = o.company_id AND filing_date > round_date + INTERVAL 6 MONTH AND filing_date <= least(round_date + INTERVAL 24 MONTH, TIMESTAMP '1998-06-01') GROUP BY 1)
     SELECT o.round_id, coalesce(a.v >= 2 * b.m.v, false) AS progress FROM o LEFT JOIN b ON b.round_id = o.round_id LEFT JOIN a ON a.round_id = o.round_id""",
 )
-def progress(t, only="round_id % 20 = 1"):
-    rounds = t.rounds.where(only).withColumn("company_id", F.col("company_id") % 200)
+def progress(t):
+    rounds = t.rounds.withColumn("company_id", F.col("company_id") % 200)
     return L.progress(rounds, t.filings, "1998-06-01")
 
 
@@ -257,13 +257,13 @@ def recency(t):
 
 @query(
     "cv1_cohort_fallback",
-    """WITH p AS (SELECT * FROM deals WHERE deal_id % 4 = 0 AND sector <> 'MACHINERY'), x AS (SELECT c.company_id, 1 AS level, g.n, g.f FROM companies c JOIN (SELECT sector, country, count(*) AS n, avg(failed) AS f FROM p GROUP BY 1, 2) g ON g.sector = c.sector AND g.country = c.country
+    """WITH p AS (SELECT * FROM deals WHERE sector <> 'MACHINERY'), x AS (SELECT c.company_id, 1 AS level, g.n, g.f FROM companies c JOIN (SELECT sector, country, count(*) AS n, avg(failed) AS f FROM p GROUP BY 1, 2) g ON g.sector = c.sector AND g.country = c.country
     UNION ALL SELECT c.company_id, 2, g.n, g.f FROM companies c JOIN (SELECT sector, count(*) AS n, avg(failed) AS f FROM p GROUP BY 1) g ON g.sector = c.sector UNION ALL SELECT c.company_id, 3, g.n, g.f FROM companies c JOIN (SELECT country, count(*) AS n, avg(failed) AS f FROM p GROUP BY 1) g ON g.country = c.country
     UNION ALL SELECT c.company_id, 4, g.n, g.f FROM companies c JOIN (SELECT stage, count(*) AS n, avg(failed) AS f FROM p GROUP BY 1) g ON g.stage = c.stage UNION ALL SELECT c.company_id, 5, g.n, g.f FROM companies c, (SELECT count(*) AS n, avg(failed) AS f FROM p) g)
     SELECT company_id, level::INTEGER AS level, n, round(f, 6) AS failure_rate FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY level) AS r FROM x WHERE n >= 20) WHERE r = 1""",
 )
 def cohort_fallback(t):
-    pool = t.deals.where("deal_id % 4 = 0 and sector <> 'MACHINERY'")
+    pool = t.deals.where("sector <> 'MACHINERY'")
     return C.cohort_levels(t.companies.select("company_id", "sector", "country", "stage"), pool, "company_id").withColumn("failure_rate", F.round("failure_rate", 6))
 
 
@@ -311,7 +311,8 @@ def rubric_inputs():
     return {
         "ml": F.col("score"), "text": some(4, (k % 97).cast("double")), "founder": some(4, (k % 101).cast("double")), "problem": some(4, (k % 89).cast("double")), "depth": some(4, (k % 83).cast("double")),
         "revenue": F.when(F.col("has_revenue"), F.col("amount") / 4), "pre_revenue": ~F.col("has_revenue"), "growth": some(3, (k % 30 - 5) / F.lit(10.0)), "over": some(5, (k % 35) / F.lit(10.0)), "target": F.col("amount") * 0.8, "raised": F.col("amount"),
-        "signal": F.when(k % 5 == 0, "aggressive").when(k % 5 == 1, "attractive").otherwise("fair"), "instrument": F.when(k % 4 == 0, "convertible_note").when(k % 4 == 1, "safe").otherwise("equity"), "cap": some(2, F.lit(5e6)), "discount": some(6, (k % 40) / F.lit(100.0)),
+        "signal": F.when(k % 5 == 0, "aggressive").when(k % 5 == 1, "attractive").otherwise("fair"), "instrument": F.when(k % 4 == 0, "convertible_note").when(k % 4 == 1, "safe").otherwise("equity"), "cap": some(2, F.lit(5e6)), "discount": some(6, (k % 40) / F.lit(100.0)), "maturity": some(3, F.lit("2030-01-01")), "interest": some(9, (k % 20) / F.lit(100.0)), "preference": some(5, (k % 3).cast("double")),
+        "participation": F.when(k % 6 == 0, "participating").when(k % 6 == 1, "non_participating"), "pro_rata": F.when(k % 7 == 0, True).when(k % 7 == 1, False), "multiple": some(10, k / F.lit(7.0)), "cohort_multiple": some(11, F.lit(6.0)),
         "investors": some(7, k % 400), "days": some(8, k % 120), "debt": F.col("amount") * (k % 10), "assets": F.col("amount") * 10, "cash": F.col("amount") - 50000, "institution": F.col("has_institution"), "sector": F.col("sector"), "pre_money": F.col("pre_money"),
     }
 
@@ -321,8 +322,9 @@ _RUBRIC = """x AS (SELECT deal_id, score AS ml, has_revenue, CASE WHEN deal_id %
       CASE WHEN deal_id % 7 <> 0 THEN deal_id % 400 END AS inv, CASE WHEN deal_id % 8 <> 0 THEN deal_id % 120 END AS days, amount * (deal_id % 10) / (amount * 10) AS dta FROM deals),
     c AS (SELECT *, CASE WHEN text_ IS NULL OR text_ = 0 THEN 35.0::DOUBLE ELSE text_ END AS text_score,
       CASE WHEN NOT has_revenue THEN 30.0::DOUBLE ELSE least(100.0::DOUBLE, 35 + 15 + CASE WHEN g > 1 THEN 20 WHEN g > 0.5 THEN 15 WHEN g > 0.2 THEN 10 WHEN g > 0 THEN 5 WHEN g IS NOT NULL THEN -5 ELSE 0 END + CASE WHEN o > 1 THEN least(15.0::DOUBLE, (o - 1) * 10) ELSE 0.0::DOUBLE END) END AS traction,
-      (35 + 10 + CASE k % 5 WHEN 0 THEN -20 WHEN 1 THEN 20 ELSE 8 END + CASE WHEN inst > 1 THEN 4 ELSE -4 + CASE WHEN k % 2 <> 0 THEN 4 ELSE -6 END + CASE WHEN disc BETWEEN 0.1 AND 0.25 THEN 3 WHEN disc > 0.35 OR disc < 0.05 THEN -2 WHEN disc IS NULL THEN -3 ELSE 0 END + CASE WHEN inst = 0 THEN -2 ELSE 0 END END
-        + CASE WHEN inv > 300 THEN -8 WHEN inv > 150 THEN -4 ELSE 0 END + CASE WHEN days <= 14 THEN 8 WHEN days <= 30 THEN 4 WHEN days > 90 THEN -4 ELSE 0 END)::DOUBLE AS terms,
+      greatest(0.0::DOUBLE, least(100.0::DOUBLE, 35 + 10 + CASE k % 5 WHEN 0 THEN -20 WHEN 1 THEN 20 ELSE 8 END + CASE WHEN inst > 1 THEN 4 ELSE -4 + CASE WHEN k % 2 <> 0 THEN 4 ELSE -6 END + CASE WHEN disc BETWEEN 0.1 AND 0.25 THEN 3 WHEN disc > 0.35 OR disc < 0.05 THEN -2 WHEN disc IS NULL THEN -3 ELSE 0 END + CASE WHEN inst = 0 THEN CASE WHEN k % 3 <> 0 THEN 1 ELSE -2 END ELSE 0 END END
+        + CASE WHEN k % 9 <> 0 AND k % 20 > 12 THEN -4 WHEN k % 9 <> 0 AND k % 20 > 8 THEN -2 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 0 WHEN k % 3 = 2 THEN -8 WHEN k % 3 = 1 THEN 2 ELSE 0 END + CASE WHEN k % 6 = 0 THEN -6 ELSE 0 END + CASE k % 7 WHEN 0 THEN 3 WHEN 1 THEN -1 ELSE 0 END
+        + CASE WHEN inv > 300 THEN -8 WHEN inv > 150 THEN -4 ELSE 0 END + CASE WHEN days <= 14 THEN 8 WHEN days <= 30 THEN 4 WHEN days > 90 THEN -4 ELSE 0 END))::DOUBLE AS terms,
       least(100.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(35 + (founder - 50) / 50 * 30, 35.0::DOUBLE))) AS team,
       (35 + CASE WHEN dta < 0.3 THEN 15 WHEN dta < 0.5 THEN 10 WHEN dta < 0.8 THEN 5 ELSE -10 END + CASE WHEN amount - 50000 > 100000 THEN 10 WHEN amount - 50000 > 0 THEN 5 ELSE 0 END)::DOUBLE AS financial,
       (35 + CASE WHEN has_institution THEN 15 ELSE 0 END + CASE WHEN o > 2 THEN 10 WHEN o > 1.5 THEN 5 ELSE 0 END)::DOUBLE AS signal, least(100.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(35 + (md - 50) / 50 * 25, 35.0::DOUBLE))) AS market FROM x)"""
@@ -339,6 +341,17 @@ def overall(t):
     return t.deals.select("deal_id", R.overall(d["ml"], R.rubric(d)).alias("overall"))
 
 
+@query(
+    "sc1_completeness",
+    """WITH n AS (SELECT deal_id, deal_id % 4 <> 0 AS has_text, (has_revenue::INT + 5 + (deal_id % 5 <> 0)::INT + (pre_money IS NOT NULL)::INT + 1 + (deal_id % 7 <> 0)::INT + (deal_id % 8 <> 0)::INT + (deal_id % 10 <> 0)::INT + (deal_id % 11 <> 0)::INT + (sector IS NOT NULL)::INT + (deal_id % 3 <> 0)::INT + (deal_id % 4 <> 0)::INT) / 16 AS c FROM deals)
+    SELECT deal_id, round(c, 6) AS completeness, CASE WHEN c > 0.8 AND has_text THEN 8 WHEN c > 0.5 AND has_text THEN 15 WHEN c > 0.5 THEN 20 ELSE 25 END::INTEGER AS margin FROM n""",
+)
+def completeness(t):
+    d = rubric_inputs()
+    known = R.completeness(d)
+    return t.deals.select("deal_id", F.round(known, 6).alias("completeness"), R.confidence_range(known, d["text"].isNotNull()).alias("margin"))
+
+
 def gate_inputs():
     k = F.col("deal_id")
     return {

@@ -154,13 +154,13 @@ def preferred(t):
 
 @query(
     "jn10_name_match",
-    """WITH l AS (SELECT p_partkey AS id, lower(trim(split_part(p_name, ' ', 1))) AS n FROM part), r AS (SELECT p_partkey AS rid, lower(trim(p_name)) AS rn FROM part WHERE p_partkey % 3 = 0),
+    """WITH l AS (SELECT p_partkey AS id, lower(trim(split_part(p_name, ' ', 1))) AS n FROM part), r AS (SELECT p_partkey AS rid, lower(trim(p_name)) AS rn FROM part),
     e AS (SELECT id, min(rid) AS rid, 'exact' AS how FROM l JOIN r ON n = rn GROUP BY 1), c AS (SELECT id, min(rid) AS rid, 'contains' AS how FROM l JOIN r ON contains(rn, n) AND list_contains(string_split(rn, ' '), n) WHERE id NOT IN (SELECT id FROM e) GROUP BY 1)
     SELECT l.id, x.rid, x.how FROM l LEFT JOIN (SELECT * FROM e UNION ALL SELECT * FROM c) x ON x.id = l.id""",
 )
-def name_match(t, only="p_partkey % 3 = 0"):
+def name_match(t):
     left = t.part.select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[0].alias("name"))
-    right = t.part.where(only).select(F.col("p_partkey").alias("rid"), F.col("p_name").alias("full"))
+    right = t.part.select(F.col("p_partkey").alias("rid"), F.col("p_name").alias("full"))
     return J.by_name(left, right, "id", "name", "full", "rid").select("id", "rid", "how")
 
 

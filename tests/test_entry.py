@@ -46,4 +46,4 @@ def test_entry(spark):
     sys.path.insert(0, ROOT)
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 3
+    assert __spark_entry__.entry(spark).count() == 5

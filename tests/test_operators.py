@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from granary.functions import parsing as P
 from granary.operators import aggregates as A
+from granary.operators import joins as J
 from granary.operators import windows as V
 from granary.operators.graph import components
 from granary.plans import backtest as B
+from granary.plans import pilot
 from granary.plans import truth as T
 from granary.sources import files as S
 from granary.sources import reports
@@ -32,12 +34,6 @@ def test_names(spark):
     assert (r.a, r.b, r.c, r.d) == ("cafe sohne", "incorporate", "alpha", "a b c")
 
 
-def test_terms(spark):
-    text = F.lit("The SAFE has a valuation cap of $10 million and a discount of 20%. Pre-money $8,000,000; post-money of $10M. A 1x non-participating liquidation preference and pro rata rights. The round was led by Example Ventures.")
-    r = one(spark, **P.terms(text))
-    assert (r.valuation_cap, r.discount_rate, r.pre_money, r.post_money, r.liquidation_pref, r.pro_rata, r.lead_investor) == (1e7, 0.2, 8e6, 1e7, 1.0, True, "Example Ventures")
-
-
 @pytest.mark.parametrize(("y", "p", "want"), [([0, 1] * 5, [0.5] * 10, 0.0), ([0] * 5, [0.99] * 5, 0.99), ([1], [0.7], 0.3), ([], [], 0.0), ([1, 0], [1.0, 1.5], 0.0)])
 def test_calibration(spark, y, p, want):
     df = spark.createDataFrame(list(zip(y, p, strict=True)), "y int, p double")
@@ -188,3 +184,64 @@ def test_diverse_selection(spark):
     rows = [(1, "x", "s", "UK", 9.0), (2, "x", "s", "UK", 8.5), (3, "y", "s", "UK", 5.0), (4, "x", "t", "UK", 7.0), (5, None, None, None, 1.0)]
     got = pilot.diverse(spark.createDataFrame(rows, "id long, class string, sector string, country string, evidence double"), 4).orderBy("pick").collect()
     assert [r.id for r in got] == [1, 3, 5, 4]
+
+
+def test_names_and_terms(spark):
+    names = ["Foo SARL", "Foo L.L.C.", "Foo LP", "Łódź Œuvre Ltd", "Straße  GmbH.", "A Pvt", "Foo Ltd Inc", "Ærø Co"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(P.normalized_name(F.col("n"))).collect()]
+    assert got == ["foo", "foo", "foo lp", "lodz oeuvre", "strasse", "a", "foo ltd", "aero"]
+    texts = [
+        "We are raising on a SAFE with a valuation cap of $10 million and a 20% discount.\nThe pre-money valuation is $8,000,000 and post-money valuation is $10,000,000.\nInvestors have pro rata rights and 1x liquidation preference.\nThis round is led by Example Ventures.\n",
+        "No pro rata rights are granted to noteholders.",
+        "20% discount. 5% interest",
+        "Discount rate: 15%; interest of 8.5%. Matures on 2027-01-31. Non-participating. Liquidation preference of 2x.",
+        "Maturity date: March 3, 2027. Participating preferred.",
+        None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = [r.asDict() for r in df.select(*[v.alias(k) for k, v in P.terms(F.col("t")).items()]).collect()]
+    assert rows[0] == {"valuation_cap": 1e7, "pre_money": 8e6, "post_money": 1e7, "discount_rate": 0.2, "interest_rate": None, "maturity_date": None, "liquidation_pref": 1.0, "participation": None, "pro_rata": True, "lead_investor": "Example Ventures"}
+    assert rows[1]["pro_rata"] is False and (rows[2]["discount_rate"], rows[2]["interest_rate"]) == (0.2, 0.05)
+    assert (rows[3]["discount_rate"], rows[3]["interest_rate"], rows[3]["maturity_date"], rows[3]["participation"], rows[3]["liquidation_pref"]) == (0.15, 0.085, "2027-01-31", "non_participating", 2.0)
+    assert (rows[4]["maturity_date"], rows[4]["participation"]) == (None, "participating") and set(rows[5].values()) == {None}
+    filing = df.select(*[v.alias(k) for k, v in P.filing_terms(F.lit("a 20% discount and a valuation cap of $12000000. 1x liquidation preference and pro rata rights")).items()]).first()
+    assert (filing.valuation_cap, filing.discount_rate, filing.liquidation_pref, filing.pro_rata, filing.participation) == (12e6, 0.2, 1.0, True, None)
+    page = spark.createDataFrame([("<p>Caf&#233; &#8212; &apos;&#128512;&#55555;</p>",)], "h string").select(P.html_text(F.col("h"))).first()[0]
+    assert page == "Café — '\U0001f600�"
+
+
+def test_asof_on_a_hot_key(spark):
+    import datetime
+    import random
+
+    rng, day = random.Random(3), lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(days=n)
+    pick = lambda: rng.choice(["hot", "hot", "hot", "a", None])
+    left = [(i, pick(), day(rng.randrange(200)) if rng.random() > 0.05 else None) for i in range(400)]
+    right = [(i, pick(), day(rng.randrange(200)) if rng.random() > 0.05 else None, float(i) if i % 5 else None) for i in range(300)]
+    l, r = spark.createDataFrame(left, "id long, k string, d date"), spark.createDataFrame(right, "rid long, k string, filed date, v double")  # noqa: E741
+    for strict in (False, True):
+        got = {x.id: (x.filed, x.rid, x.v) for x in J.asof(l, r, "k", "d", "filed", ["rid", "v"], "rid", "id", strict).collect()}
+        for i, k, d in left:
+            hits = [x for x in right if k and d and x[1] == k and x[2] and (x[2] < d if strict else x[2] <= d)]
+            best = max(hits, key=lambda x: (x[2], x[0]), default=None)
+            assert got[i] == ((best[2], best[0], best[3]) if best else (None, None, None)), (i, strict)
+    sums = {x.id: x.total for x in J.prior_sum(l, r, "k", "id", "d", "filed", "v", "total").collect()}
+    for i, k, d in left:
+        hits = [x[3] for x in right if k and d and x[1] == k and x[2] and x[2] < d and x[3] is not None]
+        assert (sums[i] is None and not hits) or abs(sums[i] - sum(hits)) < 1e-6
+    plan = J.asof(l, r, "k", "d", "filed", ["rid", "v"], "rid", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=" not in plan  # no pairs of rows with a condition on their times
+
+
+def test_diverse_choice_is_exact(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abc"), rng.choice([None, "s", "t"]), rng.choice("uvw"), float(rng.randrange(40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, class string, sector string, country string, evidence double")
+    order = sorted(rows, key=lambda r: (-r[4], r[0]))
+    chosen = sorted((next(r for r in order if r[1] == c) for c in "abc"), key=lambda r: (-r[4], r[0]))
+    while len(chosen) < 12:
+        new = lambda r: sum(w for w, j in ((3, 1), (2, 2), (1, 3)) if r[j] is not None and r[j] not in {c[j] for c in chosen})
+        chosen.append(min((r for r in rows if r not in chosen), key=lambda r: (-(r[4] + new(r)), r[0])))
+    assert [r.id for r in pilot.diverse(df, 12).orderBy("pick").collect()] == [r[0] for r in chosen]
