@@ -27,13 +27,17 @@ def _within_months(rows: DataFrame, of_months: Column, before: Column, inside: C
     return known.unionByName(lost)
 
 
-def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, values: list[str], tie: str, left_id: str, strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, values: list[str], tie: str, left_id: str, strict: bool = False, hot: bool = True) -> DataFrame:
     """For each left row the right row of its key that is latest at or before its time (before it if strict), of equal
     times the one with the greatest tie: both sides on one time line, the last right row seen so far. Each row moves once;
-    no pair of rows is made."""
+    no pair of rows is made. Where no key can have many rows (hot=False), a key's time line is not cut into months."""
     value = F.struct(F.col(right_time).alias("_time"), F.col(tie).alias("_tie"), *[F.col(v).alias(f"_v_{v}") for v in values])
     rows = _timeline(left, right, on, left_time, right_time, value, strict)
-    found = _within_months(rows, F.max("_v"), F.last("_m", ignorenulls=True), F.last("_v", ignorenulls=True))
+    if hot:
+        found = _within_months(rows, F.max("_v"), F.last("_m", ignorenulls=True), F.last("_v", ignorenulls=True))
+    else:
+        whole = W.partitionBy("_on").orderBy("_time", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+        found = rows.withColumn("_inside", F.last("_v", ignorenulls=True).over(whole)).where("_side = 1").withColumn("_before", F.lit(None))
     best = F.coalesce("_inside", "_before").alias("_b")
     return found.select("_l", best).select("_l.*", F.col("_b._time").alias(right_time), *[F.col(f"_b._v_{v}").alias(v) for v in values])
 

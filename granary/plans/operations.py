@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,6 +16,26 @@ def new_alerts(rules: list[tuple[DataFrame, str, str, Column]], active: DataFram
     return found.dropDuplicates(["dedupe_key"]).join(active.select("dedupe_key"), "dedupe_key", "left_anti").select("type", "priority", "dedupe_key")
 
 
+def system_checks(reports: DataFrame, segments: DataFrame, windows: DataFrame, audits: DataFrame, today: str) -> list[tuple[DataFrame, str, str, Column]]:
+    """Rules for new_alerts() over evidence reports (report_quarter, ready), segments (segment, ece, auc, open), backtest
+    windows (segment, label, test_end, quality, failure) and audits (field, is_match, week)."""
+    now = F.lit(today).cast("date")
+    last = reports.orderBy(F.desc("report_quarter")).limit(1)
+    nothing = reports.sparkSession.range(1).join(last.select(F.lit(0).alias("id")), "id", "left_anti")
+    order = W.partitionBy("segment").orderBy(F.desc("test_end"), F.desc("label"))
+    newest = windows.withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    recent = audits.where(F.col("is_match").isNotNull() & (F.col("week") >= F.date_sub(now, 84)))
+    rates = recent.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.col("is_match").cast("double")).alias("rate"))
+    return [
+        (nothing, "evidence_missing", "critical", F.lit(None)),
+        (last.where(~F.coalesce("ready", F.lit(False))), "evidence_gate_closed", "critical", F.col("report_quarter")),
+        (last.where(F.col("report_quarter") < F.trunc(now, "quarter")), "evidence_stale", "high", F.col("report_quarter")),
+        (segments.where((F.col("ece") > 0.10) | (F.col("auc") < 0.65) | ~F.col("open")), "segment_drift", "high", F.col("segment")),
+        (newest.where((F.col("quality") <= 1.3) | (F.col("failure") >= 0.7)), "backtest_regression", "high", F.concat_ws(":", "segment", "label")),
+        (rates.where((F.col("n") >= 10) & (F.col("rate") < 0.85)), "transaction_qa_drift", "high", F.col("field")),
+    ]
+
+
 def delivery(due: Column, quiet: Column, priority: Column, sent: Column) -> Column:
     return F.when(sent, "sent").when(priority == "high", "send_now").when(quiet, "held").when(due, "queued").otherwise("waiting")
 

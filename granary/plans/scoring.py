@@ -126,16 +126,62 @@ def term_penalty(sources: dict[str, Column], confidence: Column) -> Column:
     return F.least(count("conflict"), F.lit(2)) + ((count("db_structured", "db_and_derived") == 0) & (confidence != "high")).cast("int")
 
 
-def readiness(checks: list[Column]) -> dict[str, Column]:
-    n = sum((F.coalesce(c, F.lit(False)).cast("int") for c in checks), F.lit(0))
-    return {"passed": n, "status": F.when(n == len(checks), "ready").when(n / len(checks) >= 0.6, "caution").otherwise("blocked")}
+def readiness_checks(d: dict[str, Column]) -> list[tuple[Column, str]]:
+    """The ten checks of a deal's evidence, each with what is said where it fails. d has completeness, failed_gates, segment_ok,
+    quarter_ok, valuation, peers, tier, tier_a, core, conflicts, warnings."""
+    return [
+        (d["completeness"] >= 0.60, "Data completeness is below 60%."),
+        (d["failed_gates"] == 0, "One or more reliability gates failed."),
+        (d["segment_ok"], "Segment backtest evidence is insufficient."),
+        (d["quarter_ok"], "Quarterly evidence report is stale or not release-ready."),
+        (d["valuation"] != "low", "Valuation confidence is low."),
+        (d["peers"] >= 80, "Stage-country-sector comparable sample is below 80."),
+        (~d["tier"].isin("C", "unknown") & (d["tier_a"] >= 0.30), "Tier-A pricing evidence share is below 30% or source tier is too weak."),
+        (d["core"] >= 0.85, "Core term completeness is below 85%."),
+        (d["conflicts"] == 0, "Valuation-critical term conflicts were detected across sources."),
+        (d["warnings"] == 0, "Operational data fetch warnings were encountered."),
+    ]
+
+
+def readiness(checks: list[tuple[Column, str]]) -> dict[str, Column]:
+    """How many checks pass, the status that follows and the reasons of those that fail, in order."""
+    ok = [F.coalesce(c, F.lit(False)) for c, _ in checks]
+    n = sum((c.cast("int") for c in ok), F.lit(0))
+    reasons = F.array_compact(F.array(*[F.when(~c, reason) for c, (_, reason) in zip(ok, checks, strict=True)]))
+    return {"passed": n, "status": F.when(n == len(checks), "ready").when(n / len(checks) >= 0.6, "caution").otherwise("blocked"), "reasons": reasons}
+
+
+def evidence_groups(d: dict[str, Column]) -> dict[str, list[Column]]:
+    """What is known of a deal in five groups: conditions over its columns."""
+    has = lambda *names: [d[n].isNotNull() for n in names]
+    return {
+        "identity": has("company_name", "country", "campaign_date", "stage"),
+        "financial": has("had_revenue", "revenue", "growth", "assets", "debt", "burn"),
+        "terms": [*has("target", "raised", "pre_money", "equity", "instrument"), F.coalesce(d["core"] >= 0.6, F.lit(False)), F.coalesce(d["gate_pass"], F.lit(False))],
+        "team": has("founders", "employees", "investors", "age_months"),
+        "narrative": has("text_score", "excerpt"),
+    }
+
+
+def missing_required(d: dict[str, Column]) -> Column:
+    """Names of the required facts of which no form is known."""
+    needs = {
+        "campaign_date": ["campaign_date"],
+        "amount_or_target": ["raised", "target"],
+        "revenue_or_flag": ["revenue", "had_revenue"],
+        "team_or_traction": ["founders", "employees", "investors"],
+        "narrative_or_text_score": ["excerpt", "text_score"],
+    }
+    return F.array_compact(F.array(*[F.when(F.coalesce(*[d[c].cast("string") for c in cols]).isNull(), name) for name, cols in needs.items()]))
 
 
-def sufficiency(groups: dict[str, list[Column]], complete: Column) -> dict[str, Column]:
-    """Evidence of twenty points for each group by its share of known fields, with up to ten for completeness."""
+def sufficiency(groups: dict[str, list[Column]], complete: Column, sources: Column | None = None) -> dict[str, Column]:
+    """Evidence of twenty points for each group by its share of known fields, with up to ten for completeness or, where
+    that is unknown, for the number of sources."""
     part = {k: F.bround(sum((c.cast("int") for c in v), F.lit(0)) / len(v) * 20).cast("int") for k, v in groups.items()}
-    bonus = F.coalesce(F.least(F.lit(10), F.bround(complete * 10).cast("int")), F.lit(0))
-    return {"score": F.least(F.lit(100), sum(part.values(), F.lit(0)) + bonus), "groups": sum(((v >= 10).cast("int") for v in part.values()), F.lit(0))}
+    other = F.least(F.lit(10), F.coalesce(sources.cast("int"), F.lit(0))) if sources is not None else F.lit(0)
+    bonus = F.when(complete.isNotNull(), F.least(F.lit(10), F.bround(complete * 10).cast("int"))).otherwise(other)
+    return {"score": F.least(F.lit(100), sum(part.values(), F.lit(0)) + bonus), "groups": sum(((v >= 10).cast("int") for v in part.values()), F.lit(0))} | part
 
 
 def seed_score(evidence: Column, d: dict[str, Column]) -> Column:

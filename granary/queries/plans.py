@@ -386,11 +386,22 @@ def term_audit(t):
     return t.rounds.select("round_id", s["pre_money"].alias("pre_money"), R.term_penalty(s, F.lit("medium")).alias("penalty"))
 
 
-@query("sc5_readiness", "WITH n AS (SELECT deal_id, ((deal_id % 10 >= 6)::INT + (deal_id % 2 = 0)::INT + (deal_id % 3 = 0)::INT + has_revenue::INT + (score >= 50)::INT)::INTEGER AS passed FROM deals) SELECT deal_id, passed, CASE WHEN passed = 5 THEN 'ready' WHEN passed / 5 >= 0.6 THEN 'caution' ELSE 'blocked' END AS status FROM n")
+@query(
+    "sc5_readiness",
+    """WITH c AS (SELECT deal_id AS k, [CASE WHEN NOT (k % 10) / 10 >= 0.60 THEN 'Data completeness is below 60%.' END, CASE WHEN k % 3 <> 0 THEN 'One or more reliability gates failed.' END, CASE WHEN k % 8 = 0 THEN 'Segment backtest evidence is insufficient.' END,
+      CASE WHEN k % 5 = 0 THEN 'Quarterly evidence report is stale or not release-ready.' END, CASE WHEN k % 9 = 0 THEN 'Valuation confidence is low.' END, CASE WHEN k % 200 < 80 THEN 'Stage-country-sector comparable sample is below 80.' END,
+      CASE WHEN k % 4 > 1 OR (k % 100) / 100 < 0.30 THEN 'Tier-A pricing evidence share is below 30% or source tier is too weak.' END, CASE WHEN (k % 20) / 20 < 0.85 THEN 'Core term completeness is below 85%.' END,
+      CASE WHEN k % 6 = 0 THEN 'Valuation-critical term conflicts were detected across sources.' END, CASE WHEN k % 11 = 0 THEN 'Operational data fetch warnings were encountered.' END] AS r FROM (SELECT deal_id, deal_id AS k FROM deals)),
+    n AS (SELECT k, list_filter(r, lambda x: x IS NOT NULL) AS r FROM c) SELECT k AS deal_id, (10 - len(r))::INTEGER AS passed, CASE WHEN len(r) = 0 THEN 'ready' WHEN len(r) <= 4 THEN 'caution' ELSE 'blocked' END AS status, array_to_string(r, ' ') AS reasons FROM n""",
+)
 def readiness(t):
     k = F.col("deal_id")
-    r = R.readiness([k % 10 >= 6, k % 2 == 0, k % 3 == 0, F.col("has_revenue"), F.col("score") >= 50])
-    return t.deals.select("deal_id", r["passed"].alias("passed"), r["status"].alias("status"))
+    d = {
+        "completeness": k % 10 / 10, "failed_gates": k % 3, "segment_ok": k % 8 != 0, "quarter_ok": k % 5 != 0, "valuation": F.when(k % 9 == 0, "low").otherwise("medium"), "peers": k % 200,
+        "tier": F.element_at(F.array(*map(F.lit, ("A", "B", "C", "unknown"))), (k % 4 + 1).cast("int")), "tier_a": k % 100 / 100, "core": k % 20 / 20, "conflicts": (k % 6 == 0).cast("int"), "warnings": (k % 11 == 0).cast("int"),
+    }
+    r = R.readiness(R.readiness_checks(d))
+    return t.deals.select("deal_id", r["passed"].alias("passed"), r["status"].alias("status"), F.array_join(r["reasons"], " ").alias("reasons"))
 
 
 @query("sc8_batch_score", f"WITH {_RUBRIC}, s AS (SELECT deal_id, greatest(0, least(100, floor(ml * 0.6::DOUBLE + (0.20 * text_score + 0.18 * traction + 0.15 * terms + 0.15 * team + 0.12 * financial + 0.10 * signal + 0.10 * market) * 0.4::DOUBLE + 0.5)))::BIGINT AS overall FROM c) SELECT deal_id, overall FROM s ORDER BY overall DESC, deal_id LIMIT 50")
@@ -407,13 +418,22 @@ def checklist(t):
 
 @query(
     "pl1_sufficiency",
-    """WITH g AS (SELECT deal_id, (round_even((3 + (pre_money IS NOT NULL)::INT) / 4 * 20, 0))::INT AS a, (round_even((has_revenue::INT + (equity IS NOT NULL)::INT) / 3 * 20, 0))::INT AS b, (round_even((deal_id % 100) / 100 * 10, 0))::INT AS bonus FROM deals)
-    SELECT deal_id, least(100, a + b + least(10, bonus))::INTEGER AS score, ((a >= 10)::INT + (b >= 10)::INT)::INTEGER AS groups FROM g""",
+    """WITH c AS (SELECT deal_id, deal_id AS k, 20 AS identity, (1 + has_revenue::INT + (k % 3 <> 0)::INT + (k % 5 <> 0)::INT + (k % 7 <> 0)::INT + (k % 2 = 0)::INT) / 6 AS f, (3 + (pre_money IS NOT NULL)::INT + (equity IS NOT NULL)::INT + (k % 10 >= 6)::INT + (k % 4 = 0)::INT) / 7 AS t,
+      ((k % 3 = 0)::INT + (k % 5 = 0)::INT + (k % 7 <> 0)::INT + 1) / 4 AS m, ((k % 4 <> 0)::INT + (k % 6 <> 0)::INT) / 2 AS n FROM (SELECT *, deal_id AS k FROM deals)),
+    g AS (SELECT *, round_even(f * 20, 0)::INT AS fi, round_even(t * 20, 0)::INT AS te, round_even(m * 20, 0)::INT AS tm, round_even(n * 20, 0)::INT AS na, CASE WHEN k % 9 <> 0 THEN least(10, round_even((k % 100) / 100 * 10, 0)::INT) ELSE least(10, (k % 13)::INT) END AS bonus FROM c)
+    SELECT deal_id, least(100, identity + fi + te + tm + na + bonus)::INTEGER AS score, (1 + (fi >= 10)::INT + (te >= 10)::INT + (tm >= 10)::INT + (na >= 10)::INT)::INTEGER AS groups, fi AS financial, te AS terms, tm AS team, na AS narrative,
+    concat_ws(',', CASE WHEN k % 3 <> 0 AND k % 5 <> 0 AND k % 7 = 0 THEN 'team_or_traction' END, CASE WHEN k % 4 = 0 AND k % 6 = 0 THEN 'narrative_or_text_score' END) AS missing FROM g""",
 )
 def sufficiency(t):
-    yes, no = F.lit(True), F.lit(False)
-    s = R.sufficiency({"identity": [yes, yes, yes, F.col("pre_money").isNotNull()], "financial": [F.col("has_revenue"), F.col("equity").isNotNull(), no]}, (F.col("deal_id") % 100) / 100)
-    return t.deals.select("deal_id", s["score"].alias("score"), s["groups"].alias("groups"))
+    k = F.col("deal_id")
+    some = lambda known: F.when(known, 1)
+    d = {
+        "company_name": k, "country": F.col("country"), "campaign_date": F.col("deal_date"), "stage": F.col("stage"), "had_revenue": F.col("has_revenue"), "revenue": some(F.col("has_revenue")), "growth": some(k % 3 != 0), "assets": some(k % 5 != 0),
+        "debt": some(k % 7 != 0), "burn": some(k % 2 == 0), "target": F.col("amount"), "raised": F.col("amount"), "pre_money": F.col("pre_money"), "equity": F.col("equity"), "instrument": F.lit("safe"), "core": k % 10 / 10, "gate_pass": k % 4 == 0,
+        "founders": some(k % 3 == 0), "employees": some(k % 5 == 0), "investors": some(k % 7 != 0), "age_months": k, "text_score": some(k % 4 != 0), "excerpt": some(k % 6 != 0),
+    }
+    s = R.sufficiency(R.evidence_groups(d), F.when(k % 9 != 0, k % 100 / 100), k % 13)
+    return t.deals.select("deal_id", *[s[c].alias(c) for c in ("score", "groups", "financial", "terms", "team", "narrative")], F.array_join(R.missing_required(d), ",").alias("missing"))
 
 
 @query(
@@ -438,12 +458,23 @@ def personas(t):
 
 @query(
     "ops1_alerts",
-    """WITH r AS (SELECT 'failed_round' AS type, 'high' AS priority, 'failed_round:' || company_id AS k FROM deals WHERE failed = 1 AND score > 90 UNION SELECT 'large_round', 'normal', 'large_round:' || company_id FROM rounds WHERE amount > 400000)
-    SELECT type, priority, k AS dedupe_key FROM r WHERE k NOT IN (SELECT 'failed_round:' || company_id FROM companies WHERE company_id % 2 = 0)""",
+    """WITH rep AS (SELECT date_trunc('quarter', round_date)::DATE AS q, count(*) % 2 = 0 AS ready FROM rounds GROUP BY 1), last AS (SELECT * FROM rep ORDER BY q DESC LIMIT 1),
+    seg AS (SELECT sector || '_' || country AS segment, abs(avg(failed) - 0.2::DOUBLE) AS ece, 0.6::DOUBLE + avg(score) / 1000 AS auc, count(*) % 3 <> 0 AS open FROM deals GROUP BY 1),
+    win AS (SELECT sector AS segment, 'y' || year(deal_date) AS label, max(deal_date) AS test_end, 1 + avg(score) / 150 AS quality, avg(failed) * 3.4::DOUBLE AS failure FROM deals GROUP BY 1, 2), lw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY test_end DESC, label DESC) AS r FROM win) WHERE r = 1),
+    qa AS (SELECT priority AS field, CASE WHEN round_id % 11 <> 0 THEN round_id % 7 <> 0 END AS ok FROM rounds WHERE round_date >= DATE '1998-08-02' - 84),
+    a AS (SELECT 'evidence_missing' AS type, 'critical' AS priority, 'evidence_missing' AS k WHERE NOT EXISTS (SELECT 1 FROM rep) UNION ALL SELECT 'evidence_gate_closed', 'critical', 'evidence_gate_closed:' || q FROM last WHERE NOT ready UNION ALL SELECT 'evidence_stale', 'high', 'evidence_stale:' || q FROM last WHERE q < date_trunc('quarter', DATE '1998-12-31')
+      UNION ALL SELECT 'segment_drift', 'high', 'segment_drift:' || segment FROM seg WHERE ece > 0.10 OR auc < 0.65 OR NOT open UNION ALL SELECT 'backtest_regression', 'high', 'backtest_regression:' || segment || ':' || label FROM lw WHERE quality <= 1.3 OR failure >= 0.7
+      UNION ALL SELECT 'transaction_qa_drift', 'high', 'transaction_qa_drift:' || field FROM qa WHERE ok IS NOT NULL GROUP BY field HAVING count(*) >= 10 AND avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) < 0.85)
+    SELECT type, priority, k AS dedupe_key FROM a WHERE k NOT IN (SELECT 'segment_drift:' || sector || '_US' FROM companies WHERE sector <> 'MACHINERY')""",
 )
 def alerts(t):
-    active = t.companies.where("company_id % 2 = 0").select(F.concat(F.lit("failed_round:"), "company_id").alias("dedupe_key"))
-    return O.new_alerts([(t.deals.where("failed = 1 and score > 90"), "failed_round", "high", F.col("company_id")), (t.rounds.where("amount > 400000"), "large_round", "normal", F.col("company_id"))], active)
+    d = t.deals
+    reports = t.rounds.groupBy(F.trunc("round_date", "quarter").alias("report_quarter")).agg((F.count("*") % 2 == 0).alias("ready"))
+    segments = d.groupBy(F.concat_ws("_", "sector", "country").alias("segment")).agg(F.abs(F.avg("failed") - 0.2).alias("ece"), (0.6 + F.avg("score") / 1000).alias("auc"), (F.count("*") % 3 != 0).alias("open"))
+    windows = d.groupBy(F.col("sector").alias("segment"), F.concat(F.lit("y"), F.year("deal_date")).alias("label")).agg(F.max("deal_date").alias("test_end"), (1 + F.avg("score") / 150).alias("quality"), (F.avg("failed") * 3.4).alias("failure"))
+    audits = t.rounds.select(F.col("priority").alias("field"), F.when(F.col("round_id") % 11 != 0, F.col("round_id") % 7 != 0).alias("is_match"), F.date_add("round_date", 151).alias("week"))
+    active = t.companies.where("sector <> 'MACHINERY'").select(F.concat(F.lit("segment_drift:"), "sector", F.lit("_US")).alias("dedupe_key")).distinct()
+    return O.new_alerts(O.system_checks(reports, segments, windows, audits, "1998-12-31"), active)
 
 
 @query("ops3_delivery", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'sent' WHEN event_type = 'error' THEN 'send_now' WHEN hour(ts) >= 22 OR hour(ts) < 7 THEN 'held' WHEN value > 50 THEN 'queued' ELSE 'waiting' END AS state FROM events")

@@ -103,7 +103,7 @@ def aligned(t):
 def asof(t):
     filings = t.filings.select("round_id", "filing_date", "filing_id", "revenue")
     left = t.rounds.select("round_id", "round_date").withColumn("key", F.col("round_id"))
-    return J.asof(left, filings.withColumnRenamed("round_id", "key"), "key", "round_date", "filing_date", ["filing_id", "revenue"], "filing_id", "round_id").select("round_id", "filing_date", "filing_id", "revenue")
+    return J.asof(left, filings.withColumnRenamed("round_id", "key"), "key", "round_date", "filing_date", ["filing_id", "revenue"], "filing_id", "round_id", hot=False).select("round_id", "filing_date", "filing_id", "revenue")
 
 
 @query("jn5_latest", "SELECT c.company_id, f.filing_id, f.filing_date FROM companies c LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY filing_date DESC, filing_id) AS r FROM filings) f ON f.company_id = c.company_id AND f.r = 1")

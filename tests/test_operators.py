@@ -219,8 +219,8 @@ def test_asof_on_a_hot_key(spark):
     left = [(i, pick(), day(rng.randrange(200)) if rng.random() > 0.05 else None) for i in range(400)]
     right = [(i, pick(), day(rng.randrange(200)) if rng.random() > 0.05 else None, float(i) if i % 5 else None) for i in range(300)]
     l, r = spark.createDataFrame(left, "id long, k string, d date"), spark.createDataFrame(right, "rid long, k string, filed date, v double")  # noqa: E741
-    for strict in (False, True):
-        got = {x.id: (x.filed, x.rid, x.v) for x in J.asof(l, r, "k", "d", "filed", ["rid", "v"], "rid", "id", strict).collect()}
+    for strict, hot in ((False, True), (True, True), (False, False), (True, False)):
+        got = {x.id: (x.filed, x.rid, x.v) for x in J.asof(l, r, "k", "d", "filed", ["rid", "v"], "rid", "id", strict, hot).collect()}
         for i, k, d in left:
             hits = [x for x in right if k and d and x[1] == k and x[2] and (x[2] < d if strict else x[2] <= d)]
             best = max(hits, key=lambda x: (x[2], x[0]), default=None)
