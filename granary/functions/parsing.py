@@ -160,8 +160,9 @@ def quarter_label(d: Column) -> Column:
 
 
 def age_months(start: Column, at: Column) -> Column:
-    """Whole spans of thirty days, none before the start."""
-    return F.floor(F.greatest(F.datediff(at, start), F.lit(0)) / 30).cast("int")
+    """Whole spans of thirty days, none before the start; null without both dates."""
+    days = F.datediff(at, start)
+    return F.when(days.isNotNull(), F.floor(F.greatest(days, F.lit(0)) / 30)).cast("int")
 
 
 def calendar_months(start: Column, at: Column) -> Column:

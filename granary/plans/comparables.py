@@ -35,6 +35,61 @@ def first_of_sources(parts: list[DataFrame], key: str) -> DataFrame:
     return both.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("_source"))).where("_r = 1").drop("_r", "_source")
 
 
+#: Sources of companies by tier; all others are of tier C.
+TIER_SOURCES = {"A": ("sec_edgar", "sec_dera_cf", "companies_house", "sec_cf_filings", "transaction_rounds_truth"), "B": ("sec_form_d", "manual", "academic")}
+
+
+def company_tier(source: Column) -> Column:
+    low = F.lower(F.coalesce(source, F.lit("unknown")))
+    return F.when(low.isin(*TIER_SOURCES["A"]), "A").when(low.isin(*TIER_SOURCES["B"]), "B").otherwise("C")
+
+
+def stage_bucket(stage: Column) -> Column:
+    low = F.lower(stage)
+    series = low.contains("series") & (low.contains("a") | low.contains("b"))
+    return F.when(low.contains("seed"), "seed").when(low.contains("early") | series, "early_growth")
+
+
+def latest_revenues(campaigns: DataFrame, filings: DataFrame) -> DataFrame:
+    """(company_id, revenue): of the latest campaign with a good label and revenue, else of the latest annual filing."""
+    first = lambda rows, order: rows.where("revenue > 0").groupBy("company_id").agg(F.max_by("revenue", F.struct(*order)).alias("revenue"))
+    by_campaign = first(campaigns.where("label_tier <= 2"), ["date", "id"]).withColumnRenamed("revenue", "_campaign")
+    by_filing = first(filings, ["date", "id"]).withColumnRenamed("revenue", "_filing")
+    return by_campaign.join(by_filing, "company_id", "full_outer").select("company_id", F.coalesce("_campaign", "_filing").alias("revenue"))
+
+
+def pricing_cohort(transactions: DataFrame, outcomes: DataFrame, features: DataFrame, rounds: DataFrame, revenues: DataFrame) -> DataFrame:
+    """Prices of four sources as (key, sector, country, stage, price, revenue, amount, source, tier, weight); of rows with a
+    key the first source's stays. A cap stands in for a missing price, which makes tier C where nothing vouches for it; failed
+    gates, low confidence and weak labels lower a tier."""
+    pre, cap, tier = F.col("pre_money"), F.col("cap"), F.col("tier")
+    price = F.when(pre > 0, pre).otherwise(cap)
+    proxy = (F.coalesce(pre, F.lit(0.0)) == 0) & (cap > 0)
+    as_is, low = F.col("tier"), F.lit("C")
+
+    def rows(df: DataFrame, key: Column, value: Column, source: Column, level: Column, stage: str = "stage") -> DataFrame:
+        return df.where(value > 0).select(key.alias("key"), "sector", "country", stage_bucket(F.col(stage)).alias("stage"), value.alias("price"), "revenue", "amount", source.alias("source"), level.alias("tier"))
+
+    key = lambda prefix, *more: F.concat(F.lit(f"{prefix}:"), F.col("id").cast("string"), *more)
+    gate, band = F.coalesce("gate_pass", F.lit(False)), F.coalesce("band", F.lit("low"))
+    tx = F.when(~gate | (band == "low"), low).when((band == "medium") & (tier == "A"), "B").otherwise(F.coalesce(as_is, low))
+    own = company_tier(F.col("company_source"))
+    label = F.coalesce("label_tier", F.lit(3))
+    labelled = F.when(label >= 3, low).when((label == 2) & (own == "A"), "B").otherwise(own)
+    name = F.coalesce("source", F.lower(F.coalesce("company_source", F.lit("unknown"))))
+    suffix = lambda c: F.when(c, ":valuation_cap_proxy").otherwise("")
+    parts = [
+        rows(transactions, key("tx"), price, F.when(gate, "transaction_rounds_truth").otherwise("transaction_rounds_truth:gate_failed"), tx),
+        rows(outcomes.where(F.col("label_tier") <= 3), key("co"), pre, F.concat(F.lit("crowdfunding_outcomes:"), F.coalesce("company_source", F.lit("unknown"))), labelled),
+        rows(features, key("tfw", F.when(proxy, ":cap").otherwise(":pre")), price, F.concat(F.lit("training_features"), suffix(proxy)), F.when(proxy, low).otherwise("B")),
+        rows(rounds.join(revenues, "company_id", "left"), key("round"), price, F.concat(F.lit("funding_rounds:"), name, suffix(proxy)), F.when(proxy, low).otherwise(own), "round_type"),
+    ]
+    weight = F.lit(None).cast("double")
+    for t, w in TIER_WEIGHT.items():
+        weight = F.when(F.col("tier") == t, w).otherwise(weight)
+    return first_of_sources(parts, "key").withColumn("weight", weight)
+
+
 def source_confidence(outcomes: Column, prices: Column, coverage: Column) -> Column:
     out = F.lit("low")
     for name, a, b, c in reversed(CONFIDENCE):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.parsing import age_months
 from granary.operators.aggregates import pivot_facts
 from granary.operators.upserts import upsert
 from granary.operators.windows import first_by
@@ -56,20 +57,30 @@ def training_matrix(facts: DataFrame, day: str, tier: int, features: list[str])
     return pivot_facts(last, ["entity_id"], "feature_name", {f: F.col("value") for f in features})
 
 
-def extracted(deals: DataFrame) -> DataFrame:
-    """Registered features of deals, by name."""
-    c = F.col
-    return deals.select(
-        "deal_id",
-        "deal_date",
-        c("amount").alias("amount_raised"),
-        (c("amount") * 0.8).alias("funding_target"),
-        F.try_divide(c("amount"), c("amount") * 0.8).alias("overfunding_ratio"),
-        (c("equity") * 100).alias("equity_offered_pct"),
-        c("pre_money").alias("pre_money_valuation"),
-        (~c("has_revenue")).alias("pre_revenue"),
-        c("eis_eligible").alias("eis_seis_eligible"),
-        c("has_institution").alias("qualified_institutional"),
-        "sector",
-        "country",
-    )
+#: Facts that count for a record's completeness.
+TRACKED = ("funding_target", "amount_raised", "pre_money_valuation", "investor_count", "employee_count", "revenue_at_raise", "total_assets", "total_debt", "instrument_type", "company_status", "country", "sector")
+
+
+def extracted(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Every registered feature of records, family by family: derived ones by their rules, the others as they are; a column
+    that the records lack is null."""
+    get = lambda name: F.col(name) if name in records.columns else F.lit(None).cast("string")
+    some = lambda name: F.nullif(get(name).cast("string"), F.lit(""))
+
+    def ratio(a: str, b: str) -> Column:
+        return F.when(get(a).isNotNull() & get(b).isNotNull(), F.when(get(b) > 0, get(a) / get(b)).otherwise(0.0))
+
+    sources = [some("source"), get("campaign_date"), get("round_date"), get("total_assets"), some("company_status")]
+    count = lambda cols: sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
+    derived = {
+        "overfunding_ratio": ratio("amount_raised", "funding_target"),
+        "debt_to_asset_ratio": ratio("total_debt", "total_assets"),
+        "company_age_months": age_months(get("incorporation_date"), get("campaign_date")),
+        "pre_revenue": F.coalesce(get("revenue_at_raise") == 0, F.lit(True)),
+        "company_status": F.coalesce(some("company_status"), get("current_status")),
+        "charges_count": F.coalesce(get("charges_count").cast("int"), F.when(get("has_charges").cast("boolean"), 1)),
+        "qualified_institutional": F.coalesce(get("qualified_institutional").cast("boolean"), get("qualified_institutional_coinvestor").cast("boolean")),
+        "data_source_count": count(sources),
+        "field_completeness_ratio": count([get(c) for c in TRACKED]) / len(TRACKED),
+    }
+    return records.select(*keys, *[derived.get(name, get(name)).alias(name) for name in FEATURES])

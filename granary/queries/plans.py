@@ -26,14 +26,14 @@ def validate(t):
 @query(
     "fs2_write_features",
     """WITH old AS (SELECT deal_id, deal_date, 'sector' AS feature, 'unknown' AS value FROM deals WHERE stage = 'seed' UNION ALL SELECT deal_id, deal_date, 'gross_margin', '0.5' FROM deals WHERE has_revenue),
-    new AS (SELECT deal_id, deal_date, 'sector' AS feature, sector AS value FROM deals UNION ALL SELECT deal_id, deal_date, 'qualified_institutional', has_institution::VARCHAR FROM deals)
+    new AS (SELECT deal_id, deal_date, 'sector' AS feature, sector AS value FROM deals UNION ALL SELECT deal_id, deal_date, 'qualified_institutional', CASE WHEN deal_id % 2 = 0 THEN has_institution ELSE deal_id % 7 = 0 END::VARCHAR FROM deals)
     SELECT * FROM new UNION ALL SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.deal_id = o.deal_id AND n.feature = o.feature)""",
 )
 def write_features(t):
     d = t.deals
     fact = lambda rows, name, value: rows.select("deal_id", "deal_date", F.lit(name).alias("feature"), F.lit(value).alias("value"))
     store = fact(d.where("stage = 'seed'"), "sector", "unknown").unionByName(fact(d.where("has_revenue"), "gross_margin", "0.5"))
-    wide = S.extracted(d).select("deal_id", "deal_date", "sector", "qualified_institutional")
+    wide = S.extracted(records(t), ["deal_id", "deal_date"]).select("deal_id", "deal_date", "sector", "qualified_institutional")
     return S.written(store, wide, ["deal_id", "deal_date"])
 
 
@@ -50,9 +50,31 @@ def training_matrix(t):
     return S.training_matrix(t.facts, "2024-12-31", 1, list(_KINDS))
 
 
-@query("fs5_extract", "SELECT deal_id, amount AS amount_raised, round(amount * 0.8, 2) AS funding_target, round(equity * 100, 6) AS equity_offered_pct, pre_money AS pre_money_valuation, NOT has_revenue AS pre_revenue, eis_eligible AS eis_seis_eligible, has_institution AS qualified_institutional, sector, country FROM deals")
+@query(
+    "fs5_extract",
+    """WITH r AS (SELECT deal_id, deal_id AS k, amount, CASE WHEN deal_id % 6 <> 0 THEN CASE WHEN deal_id % 12 = 1 THEN 0.0::DOUBLE ELSE amount * 0.8::DOUBLE END END AS target, pre_money, deal_date, sector, country, has_institution, CASE WHEN has_revenue THEN CASE WHEN deal_id % 10 = 3 THEN 0.0::DOUBLE ELSE amount / 4 END END AS rev,
+      CASE WHEN deal_id % 9 <> 0 THEN CASE WHEN deal_id % 9 = 1 THEN 0.0::DOUBLE ELSE amount * 10 END END AS assets, CASE WHEN deal_id % 8 <> 0 THEN amount * (deal_id % 10) END AS debt, CASE deal_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'active' END AS status, CASE WHEN deal_id % 2 = 0 THEN 'dormant' END AS now_status FROM deals)
+    SELECT deal_id, target AS funding_target, round(CASE WHEN target > 0 THEN amount / target WHEN target IS NOT NULL THEN 0.0::DOUBLE END, 6) AS overfunding_ratio, round(CASE WHEN assets IS NOT NULL AND debt IS NOT NULL THEN CASE WHEN assets > 0 THEN debt / assets ELSE 0.0::DOUBLE END END, 6) AS debt_to_asset_ratio,
+    CASE WHEN k % 5 <> 0 THEN greatest(k % 900 - 100, 0) // 30 END::INTEGER AS company_age_months, rev IS NULL OR rev = 0 AS pre_revenue, coalesce(nullif(status, ''), now_status) AS company_status, CASE WHEN k % 4 = 0 THEN 3 WHEN k % 4 = 1 THEN 1 END::INTEGER AS charges_count,
+    CASE WHEN k % 2 = 0 THEN has_institution ELSE k % 7 = 0 END AS qualified_institutional, (1 + 1 + (assets IS NOT NULL)::INT + (status = 'active' AND status IS NOT NULL)::INT)::INTEGER AS data_source_count,
+    round(((target IS NOT NULL)::INT + 1 + (pre_money IS NOT NULL)::INT + (k % 7 <> 0)::INT + 0 + (rev IS NOT NULL)::INT + (assets IS NOT NULL)::INT + (debt IS NOT NULL)::INT + 1 + (status IS NOT NULL)::INT + 1 + 1) / 12, 6) AS field_completeness_ratio, sector, CASE WHEN k % 3 = 0 THEN 0.15::DOUBLE END AS discount_rate FROM r""",
+)
 def extract(t):
-    return S.extracted(t.deals).drop("deal_date", "overfunding_ratio").withColumns({"funding_target": F.round("funding_target", 2), "equity_offered_pct": F.round("equity_offered_pct", 6)})
+    wide = S.extracted(records(t), ["deal_id"])
+    shown = ["funding_target", "company_age_months", "pre_revenue", "company_status", "charges_count", "qualified_institutional", "data_source_count", "sector", "discount_rate"]
+    return wide.select("deal_id", *shown, *[F.round(c, 6).alias(c) for c in ("overfunding_ratio", "debt_to_asset_ratio", "field_completeness_ratio")])
+
+
+def records(t):
+    """Raw records of deals as the feature store reads them."""
+    k, some = F.col("deal_id"), lambda n, v: F.when(F.col("deal_id") % n != 0, v)
+    return t.deals.select(
+        "deal_id", "deal_date", "sector", "country", F.col("amount").alias("amount_raised"), some(6, F.when(k % 12 == 1, 0.0).otherwise(F.col("amount") * 0.8)).alias("funding_target"), F.col("pre_money").alias("pre_money_valuation"), some(7, k % 400).alias("investor_count"),
+        F.when(F.col("has_revenue"), F.when(k % 10 == 3, 0.0).otherwise(F.col("amount") / 4)).alias("revenue_at_raise"), some(9, F.when(k % 9 == 1, 0.0).otherwise(F.col("amount") * 10)).alias("total_assets"), some(8, F.col("amount") * (k % 10)).alias("total_debt"),
+        F.col("deal_date").alias("campaign_date"), some(5, F.date_sub("deal_date", (k % 900 - 100).cast("int"))).alias("incorporation_date"), F.when(k % 3 == 0, "").when(k % 3 == 1, "active").alias("company_status"), F.when(k % 2 == 0, "dormant").alias("current_status"),
+        F.when(k % 4 == 0, 3).alias("charges_count"), (k % 4 == 1).alias("has_charges"), F.when(k % 2 == 1, k % 7 == 0).alias("qualified_institutional"), F.col("has_institution").alias("qualified_institutional_coinvestor"), F.lit("safe").alias("instrument_type"), F.lit("registry").alias("source"),
+        F.when(k % 3 == 0, 0.15).alias("discount_rate"),
+    )
 
 
 @query(
@@ -267,10 +289,33 @@ def cohort_fallback(t):
     return C.cohort_levels(t.companies.select("company_id", "sector", "country", "stage"), pool, "company_id").withColumn("failure_rate", F.round("failure_rate", 6))
 
 
-@query("cv2_pricing_sources", "SELECT company_id, CASE WHEN company_id % 3 = 0 THEN 'registry' WHEN company_id % 2 = 0 THEN 'filing' ELSE 'proxy' END AS source FROM companies")
+_ORIGINS = ("sec_edgar", "Companies_House", "manual", "web", "sec_form_d")
+_ORIGIN = "CASE {0} % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ORIGINS)) + " END"
+
+
+@query(
+    "cv2_pricing_sources",
+    f"""WITH c AS (SELECT company_id, sector, country, stage, {_ORIGIN.format('company_id')} AS origin FROM companies), o AS (SELECT *, CASE WHEN lower(origin) IN ('sec_edgar', 'sec_dera_cf', 'companies_house', 'sec_cf_filings', 'transaction_rounds_truth') THEN 'A' WHEN lower(origin) IN ('sec_form_d', 'manual', 'academic') THEN 'B' ELSE 'C' END AS own FROM c),
+    r AS (SELECT round_id AS id, company_id, sector, country, stage, CASE WHEN round_id % 10 = 0 THEN 0.0::DOUBLE ELSE pre_money END AS pre, CASE WHEN round_id % 2 = 0 THEN amount * 3 END AS cap, amount, CASE round_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' END AS tier, CASE round_id % 7 WHEN 0 THEN NULL ELSE round_id % 7 > 2 END AS gate, CASE round_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' END AS band,
+      1 + round_id % 4 AS label, CASE round_id % 5 WHEN 0 THEN 'Seed' WHEN 1 THEN 'Series A' WHEN 2 THEN 'Series C' WHEN 3 THEN 'early' END AS kind, origin, own, round_date FROM rounds JOIN o USING (company_id)), q AS (SELECT *, CASE WHEN pre > 0 THEN pre ELSE cap END AS price, coalesce(pre, 0) = 0 AND cap > 0 AS proxy FROM r),
+    a AS (SELECT company_id, max_by(amount / 4, round_date::VARCHAR || lpad(id::VARCHAR, 12, '0')) AS v FROM q WHERE label <= 2 AND id % 3 <> 0 GROUP BY 1), f AS (SELECT company_id, max_by(revenue, filing_date::VARCHAR || lpad(filing_id::VARCHAR, 12, '0')) AS v FROM filings WHERE form_type = 'C-AR' AND revenue > 0 GROUP BY 1),
+    x AS (SELECT 'tx:' || id AS key, sector, country, stage, price, CASE WHEN id % 3 <> 0 THEN amount / 4 END AS revenue, amount, CASE WHEN coalesce(gate, false) THEN 'transaction_rounds_truth' ELSE 'transaction_rounds_truth:gate_failed' END AS source, CASE WHEN NOT coalesce(gate, false) OR band IS NULL THEN 'C' WHEN band = 'medium' AND tier = 'A' THEN 'B' ELSE coalesce(tier, 'C') END AS tier FROM q WHERE price > 0
+      UNION ALL SELECT 'co:' || id, sector, country, stage, pre, CASE WHEN id % 3 <> 0 THEN amount / 4 END, amount, 'crowdfunding_outcomes:' || coalesce(origin, 'unknown'), CASE WHEN label >= 3 THEN 'C' WHEN label = 2 AND own = 'A' THEN 'B' ELSE own END FROM q WHERE pre > 0 AND label <= 3
+      UNION ALL SELECT 'tfw:' || id || CASE WHEN coalesce(proxy, false) THEN ':cap' ELSE ':pre' END, sector, country, stage, price, CASE WHEN id % 3 <> 0 THEN amount / 4 END, amount, 'training_features' || CASE WHEN coalesce(proxy, false) THEN ':valuation_cap_proxy' ELSE '' END, CASE WHEN coalesce(proxy, false) THEN 'C' ELSE 'B' END FROM q WHERE price > 0
+      UNION ALL SELECT 'round:' || id, sector, country, CASE kind WHEN 'Seed' THEN 'seed' WHEN 'Series A' THEN 'early_growth' WHEN 'early' THEN 'early_growth' END, price, coalesce(a.v, f.v), amount, 'funding_rounds:' || CASE WHEN id % 8 = 0 THEN 'press' ELSE lower(coalesce(origin, 'unknown')) END || CASE WHEN coalesce(proxy, false) THEN ':valuation_cap_proxy' ELSE '' END, CASE WHEN coalesce(proxy, false) THEN 'C' ELSE own END FROM q LEFT JOIN a USING (company_id) LEFT JOIN f USING (company_id) WHERE price > 0)
+    SELECT *, CASE tier WHEN 'A' THEN 1.0::DOUBLE WHEN 'B' THEN 0.7::DOUBLE ELSE 0.35::DOUBLE END AS weight FROM x""",
+)
 def pricing_sources(t):
-    own = lambda where, name: t.companies.where(where).select("company_id", F.lit(name).alias("source"))
-    return C.first_of_sources([own("company_id % 3 = 0", "registry"), own("company_id % 2 = 0", "filing"), own("true", "proxy")], "company_id")
+    origin = F.element_at(F.array(*map(F.lit, (*_ORIGINS, None))), (F.col("company_id") % 6 + 1).cast("int"))
+    k = F.col("id")
+    base = t.rounds.join(t.companies.select("company_id", "sector", "country", "stage", origin.alias("company_source")), "company_id").withColumnRenamed("round_id", "id").select(
+        "id", "company_id", "sector", "country", "stage", "company_source", "amount", "round_date", F.when(k % 10 == 0, 0.0).otherwise(F.col("pre_money")).alias("pre_money"), F.when(k % 2 == 0, F.col("amount") * 3).alias("cap"), F.when(k % 3 != 0, F.col("amount") / 4).alias("revenue"),
+        F.when(k % 4 == 0, "A").when(k % 4 == 1, "B").when(k % 4 == 2, "C").alias("tier"), F.when(k % 7 != 0, k % 7 > 2).alias("gate_pass"), F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").alias("band"), (1 + k % 4).alias("label_tier"),
+        F.when(k % 5 == 0, "Seed").when(k % 5 == 1, "Series A").when(k % 5 == 2, "Series C").when(k % 5 == 3, "early").alias("round_type"), F.when(k % 8 == 0, "press").alias("source"),
+    )
+    annual = t.filings.where("form_type = 'C-AR'").select("company_id", "revenue", F.col("filing_date").alias("date"), F.col("filing_id").alias("id"))
+    revenues = C.latest_revenues(base.withColumn("date", F.col("round_date")), annual)
+    return C.pricing_cohort(base, base, base, base.drop("revenue"), revenues)
 
 
 @query(
