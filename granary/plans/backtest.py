@@ -79,6 +79,73 @@ def train_and_score(train: DataFrame, test: DataFrame, inputs: list[str], label:
     return model.transform(filled(test)).withColumn("p_failed", p).withColumn("score", (1 - F.col("p_failed")) * 100).drop("_x", "rawPrediction", "probability", "prediction")
 
 
+#: Rows from which on probabilities are calibrated, and by an isotonic fit instead of a sigmoid.
+LEAST_CALIBRATED, LEAST_ISOTONIC = 120, 500
+FOLDS = 3
+
+
+def _fitted(kind: str, rows: DataFrame, label: str):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    common = {"labelCol": label, "featuresCol": "_x", "weightCol": "_w", "maxDepth": 5, "seed": 42}
+    maker = GBTClassifier(maxIter=10, stepSize=0.1, **common) if kind == "boosted" else RandomForestClassifier(numTrees=30, subsamplingRate=0.9, **common)
+    return maker.fit(rows)
+
+
+def _with_chance(model, rows: DataFrame, name: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(rows).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+
+
+def _calibrator(held: DataFrame, label: str, isotonic: bool):
+    """A function that replaces column _p by calibrated chances, fitted on rows with _p and the label."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    if isotonic:
+        fitted = IsotonicRegression(featuresCol="_p", labelCol=label, weightCol="_one").fit(held.withColumn("_one", F.lit(1.0)).withColumn(label, F.col(label).cast("double")))
+        return lambda df: fitted.transform(df).drop("_p").withColumnRenamed("prediction", "_p")
+    odds = lambda df: VectorAssembler(inputCols=["_o"], outputCol="_v").transform(df.withColumn("_o", F.log(F.greatest(F.col("_p"), F.lit(1e-6)) / F.greatest(1 - F.col("_p"), F.lit(1e-6)))))
+    fitted = LogisticRegression(labelCol=label, featuresCol="_v").fit(odds(held))
+    return lambda df: _with_chance(fitted, odds(df).drop("_p"), "_p").drop("_o", "_v")
+
+
+def trained(train: DataFrame, test: DataFrame, inputs: list[str], key: str, label: str = "failed", calibrate: bool = True) -> tuple[DataFrame, str, dict[str, float]]:
+    """Boosted trees, a forest as challenger and the mean of both, the one with the largest AUC on the test rows: these
+    with p_failed and score, its name, and all AUCs. With enough rows each model is fitted without one fold of hashed
+    keys after the other, calibrated on that fold, and the folds' chances are averaged."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from granary.operators.aggregates import auc
+
+    n, positive = train.agg(F.count("*"), F.sum(F.col(label).cast("long"))).first()
+    positive, negative = max(positive or 0, 1), max(n - (positive or 0), 1)
+    vectors = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep")
+    weight = F.when(F.col(label) == 1, min(negative / positive, 10.0)).otherwise(min(positive / negative, 10.0))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS))
+    known = vectors.transform(train.fillna(0.0, inputs)).withColumn("_w", weight).withColumn("_fold", fold)
+    scored = vectors.transform(test.fillna(0.0, inputs))
+    for kind in ("boosted", "forest"):
+        if not calibrate or n < LEAST_CALIBRATED:
+            scored = _with_chance(_fitted(kind, known, label), scored, f"_{kind}")
+            continue
+        for i in range(FOLDS):
+            model = _fitted(kind, known.where(F.col("_fold") != i).withColumn("_w", F.lit(1.0)), label)
+            held = _with_chance(model, known.where(F.col("_fold") == i), "_p")
+            to_chance = _calibrator(held, label, n >= LEAST_ISOTONIC)
+            scored = to_chance(_with_chance(model, scored, "_p")).withColumnRenamed("_p", f"_{kind}{i}")
+        parts = [f"_{kind}{i}" for i in range(FOLDS)]
+        scored = scored.withColumn(f"_{kind}", sum((F.col(c) for c in parts), F.lit(0.0)) / FOLDS).drop(*parts)
+    scored = scored.withColumn("_ensemble", (F.col("_boosted") + F.col("_forest")) / 2).drop("_x")
+    names = ["boosted", "forest", "ensemble"]
+    classes = test.agg(F.count_distinct(label)).first()[0]
+    areas = {name: auc(scored, label, f"_{name}", least=1).first().auc if classes > 1 else 0.5 for name in names}
+    best = max(names, key=lambda name: areas[name])  # of equal ones the first
+    return scored.withColumn("p_failed", F.col(f"_{best}")).withColumn("score", (1 - F.col("p_failed")) * 100).drop(*[f"_{x}" for x in names]), best, areas
+
+
 def progress_model(train: DataFrame, test: DataFrame, inputs: list[str], label: str, least_train: int = 30, least_test: int = 10) -> DataFrame | None:
     """train_and_score() for progress labels; None with too few rows or one class."""
     counts = train.agg(F.count(label).alias("n"), F.min(label).alias("a"), F.max(label).alias("b")).first()

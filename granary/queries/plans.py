@@ -240,7 +240,8 @@ def model_matrix(t):
 def train_and_score(t):
     rows = B.matrix(t.deals, ["pre_money", "equity", "amount"], ["sector", "country", "stage"]).join(t.deals.select("deal_id", "deal_date"), "deal_id")
     cut = F.lit("1997-12-31").cast("date")
-    return B.train_and_score(rows.where(F.col("deal_date") <= cut), rows.where(F.col("deal_date") > cut), ["pre_money", "equity", "amount", "sector", "country", "stage"]).select("deal_id", "failed", "p_failed", "score")
+    inputs = ["pre_money", "equity", "amount", "sector", "country", "stage"]
+    return B.trained(rows.where(F.col("deal_date") <= cut), rows.where(F.col("deal_date") > cut), inputs, "deal_id")[0].select("deal_id", "failed", "p_failed", "score")
 
 
 @query("bt9_baselines", "SELECT deal_id, round(('0x' || substr(md5('42' || deal_id::VARCHAR), 1, 8))::BIGINT / 4294967295.0::DOUBLE * 100, 6) AS random, CASE WHEN has_revenue AND has_institution AND eis_eligible THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS heuristic FROM deals")

@@ -90,6 +90,41 @@ def csv_by_synonyms(spark: SparkSession, path: str, synonyms: dict[str, tuple[st
     return raw.select(*[pick(names).alias(k) for k, names in synonyms.items()])
 
 
+#: Columns of four published datasets (tidy names) by the name that they get here.
+DATASETS = {
+    "walthoff_borm": {
+        "name": "company_name company", "platform": "platform", "campaign_date": "campaign_date", "campaign_year": "campaign_year", "amount_raised": "amount_raised", "funding_target": "target funding_target", "equity_offered": "equity_offered equity_offered_pct",
+        "pre_money_valuation": "pre_money_valuation valuation", "investor_count": "investor_count investors", "outcome": "outcome status", "outcome_date": "outcome_date", "sector": "sector industry", "country": "country", "company_age_at_raise_months": "age_months company_age",
+        "had_revenue": "had_revenue has_revenue", "revenue_at_raise": "revenue_at_raise", "eis_seis_eligible": "eis_eligible seis_eligible", "founder_count": "founder_count founders", "founder_prior_exits": "prior_exits founder_prior_exits",
+        "accelerator_alumni": "accelerator accelerator_alumni", "overfunding_ratio": "overfunding_ratio",
+    },
+    "signori_vismara": {
+        "name": "company_name firm_name", "platform": "platform", "campaign_date": "campaign_date", "campaign_year": "year", "amount_raised": "amount_raised raised_eur", "funding_target": "target_eur funding_target", "equity_offered": "equity_pct", "pre_money_valuation": "pre_money_eur",
+        "investor_count": "investors n_investors", "outcome": "outcome status", "sector": "sector", "country": "country", "company_age_at_raise_months": "age_at_campaign", "revenue_at_raise": "revenue_at_raise", "had_revenue": "has_revenue",
+    },
+    "kleinert": {
+        "name": "company_name startup_name", "platform": "platform", "campaign_date": "campaign_date", "campaign_year": "year", "amount_raised": "amount_raised raised_eur", "funding_target": "funding_goal target_eur", "equity_offered": "equity_pct", "pre_money_valuation": "valuation_eur",
+        "investor_count": "investors", "outcome": "outcome", "failure_flag": "failure", "sector": "sector industry", "country": "country", "company_age_at_raise_months": "age_months", "founder_count": "team_size", "founder_domain_experience_years": "experience_years",
+    },
+    "kingscrowd": {
+        "name": "company_name company", "platform": "platform", "campaign_date": "campaign_date date", "amount_raised": "amount_raised total_raised", "funding_target": "funding_target goal", "pre_money_valuation": "valuation pre_money_valuation", "investor_count": "investor_count investors",
+        "outcome": "outcome", "kingscrowd_rating": "rating", "sector": "sector category", "country": "country", "revenue_at_raise": "revenue", "had_revenue": "has_revenue", "revenue_model": "revenue_model",
+    },
+}
+
+
+def dataset(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The columns of a published dataset's CSV under the names used here, as strings; of columns that get one name the first
+    in the file stays, others keep their tidy names, names that the file lacks are null."""
+    known = {alias: column for column, aliases in DATASETS[name].items() for alias in aliases.split()}
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False)
+    found: dict[str, str] = {}
+    for c in raw.columns:
+        found.setdefault(known.get(tidy(c), tidy(c)), c)
+    lacking = [c for c in DATASETS[name] if c not in found]
+    return raw.select(*[F.col(f"`{c}`").alias(k) for k, c in found.items()], *[F.lit(None).cast("string").alias(c) for c in lacking])
+
+
 def delimiter(spark: SparkSession, path: str) -> str:
     """Tab or comma, whichever the file's beginning has more of."""
     head = "\n".join(r.value for r in spark.read.text(path).limit(20).collect())[:2048]

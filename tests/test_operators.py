@@ -245,3 +245,31 @@ def test_diverse_choice_is_exact(spark):
         new = lambda r: sum(w for w, j in ((3, 1), (2, 2), (1, 3)) if r[j] is not None and r[j] not in {c[j] for c in chosen})
         chosen.append(min((r for r in rows if r not in chosen), key=lambda r: (-(r[4] + new(r)), r[0])))
     assert [r.id for r in pilot.diverse(df, 12).orderBy("pick").collect()] == [r[0] for r in chosen]
+
+
+def test_published_datasets(spark, tmp_path):
+    path = tmp_path / "d.csv"
+    path.write_text('Startup Name,Raised EUR,amount_raised,Industry,Failure,Notes\n"A, Inc",5,6,fintech,1,x\n')
+    r = S.dataset(spark, str(path), "kleinert").first()
+    assert (r["name"], r.amount_raised, r.sector, r.failure_flag, r.notes, r.country) == ("A, Inc", "5", "fintech", "1", "x", None)
+    assert all(len(v) >= 14 for v in S.DATASETS.values())
+
+
+def test_trained_models_are_calibrated_and_chosen(spark):
+    import random
+
+    rng = random.Random(8)
+    make = lambda i: (i, int(rng.random() < (0.08 + 0.5 * (x := rng.random()) ** 2)), x, rng.random())
+    rows = [make(i) for i in range(1600)]
+    rows = [(i, y, x, z) for i, y, x, z in rows]
+    df = spark.createDataFrame(rows, "deal_id long, failed int, a double, b double").coalesce(2)
+    train, test = df.where("deal_id < 1000").cache(), df.where("deal_id >= 1000").cache()
+    plain, _, _ = B.trained(train, test, ["a", "b"], "deal_id", calibrate=False)
+    done, best, areas = B.trained(train, test, ["a", "b"], "deal_id")
+    done = done.cache()
+    assert set(areas) == {"boosted", "forest", "ensemble"} and areas[best] == max(areas.values()) > 0.6
+    before, after = (A.calibration_error(x, "failed", "p_failed").first().ece for x in (plain, done))
+    assert after < 0.08 and after < before
+    assert done.count() == test.count() and done.where("p_failed < 0 or p_failed > 1").count() == 0
+    few, _, _ = B.trained(train.limit(150), test, ["a", "b"], "deal_id")  # a sigmoid fit
+    assert few.where("p_failed between 0 and 1").count() == test.count()
