@@ -21,14 +21,26 @@ def resolve(rows: DataFrame, order: str, source: str, source_id: str, name: str,
     return named.join(own, "_lead").withColumn("how", how).drop("_lead", "_name")
 
 
+#: Names of a tile of a block: a block of more is compared tile by tile.
+TILE = 1000
+
+
 def fuzzy_clusters(rows: DataFrame, key: str, name: str, block: list[str], least: float = 0.85) -> DataFrame:
     """(id, root) of rows whose names are similar: candidates share the block's columns and the first four letters of
-    the normalised name, similarity is 1 - edit distance / length, clusters are connected components."""
+    the normalised name, similarity is 1 - edit distance / length, clusters are connected components. Equal names are
+    compared once; a large block is many pairs of tiles, so none is one task."""
     n = rows.withColumn("_n", normalized_name(F.col(name))).withColumn("_p", F.substring("_n", 1, 4)).select(key, "_n", "_p", *block)
-    a, b = n.select(F.col(key).alias("a"), F.col("_n").alias("na"), "_p", *block), n.select(F.col(key).alias("b"), F.col("_n").alias("nb"), "_p", *block)
+    by = ["_p", *block]
+    names = n.groupBy("_n", *by).agg(F.min(key).alias("a"))
+    same = n.join(names, ["_n", *by]).select("a", F.col(key).alias("b")).where("a <> b")
+    tiles = names.groupBy(*by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
+    placed = names.join(tiles, by).withColumn("_t", F.pmod(F.xxhash64("a"), F.col("_tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
+    left = placed.select("a", F.col("_n").alias("na"), *by, F.col("_t").alias("_i"), every.alias("_j"))
+    right = placed.select(F.col("a").alias("b"), F.col("_n").alias("nb"), *by, F.col("_t").alias("_j"), every.alias("_i"))
     far = F.levenshtein("na", "nb") / F.greatest(F.length("na"), F.length("nb"), F.lit(1))
-    links = a.join(b, ["_p", *block]).where((F.col("a") < F.col("b")) & (1 - far >= least)).select("a", "b")
-    return components(links, "a", "b")
+    links = left.join(right, [*by, "_i", "_j"]).where((F.col("a") < F.col("b")) & (1 - far >= least)).select("a", "b")
+    return components(links.union(same), "a", "b")
 
 
 def merged(facts: DataFrame, roots: DataFrame, key: str, drop: bool) -> DataFrame:

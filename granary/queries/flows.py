@@ -87,13 +87,37 @@ def investor_match(t):
 
 @query(
     "jn13_item_enrichment",
-    """WITH last AS (SELECT company_id, max({'d': round_date, 'i': round_id, 'a': amount}) AS m, sum(amount) AS total FROM rounds GROUP BY 1), f AS (SELECT company_id, count(*) AS filings, max(filing_date) AS last_filing FROM filings GROUP BY 1)
-    SELECT c.company_id, l.m.i AS last_round, l.m.a AS last_amount, round(l.total, 2) AS total, coalesce(f.filings, 0) AS filings, f.last_filing FROM companies c LEFT JOIN last l ON l.company_id = c.company_id LEFT JOIN f ON f.company_id = c.company_id""",
+    """WITH i AS (SELECT company_id, sector, cik, outcome, DATE '1995-06-01' + (company_id % 900)::INTEGER AS created FROM companies),
+    fund AS (SELECT i.company_id, max({'d': round_date, 'i': round_id, 'a': amount}) AS m, sum(amount) FILTER (round_date < created) AS total FROM i JOIN rounds r ON r.company_id = i.company_id AND round_date <= created GROUP BY 1),
+    ar AS (SELECT i.company_id, max({'d': filing_date, 'i': filing_id, 'v': revenue}) AS m FROM i JOIN filings f ON f.company_id = i.company_id AND form_type = 'C-AR' AND filing_date <= created GROUP BY 1), up AS (SELECT i.company_id, max(filing_date) AS d FROM i JOIN filings f ON f.company_id = i.company_id AND form_type = 'C-U' AND filing_date < created GROUP BY 1),
+    nf AS (SELECT i.company_id, count(*)::DOUBLE AS n FROM i JOIN filings f ON f.company_id = i.company_id AND filing_date < created GROUP BY 1), br AS (SELECT cik, min(company_id) AS bridge FROM companies GROUP BY 1),
+    ft AS (SELECT entity_id, max({'d': as_of_date, 'i': fact_id, 'v': value}) FILTER (feature_name = 'purchase') AS p, max({'d': as_of_date, 'i': fact_id, 'v': value}) FILTER (feature_name = 'error') AS e FROM facts GROUP BY 1),
+    ev AS (SELECT company_id, max({'d': deal_date, 'i': deal_id, 's': score}) AS m FROM deals GROUP BY 1), mo AS (SELECT i.company_id, sum(failed)::DOUBLE AS n FROM i JOIN deals d ON d.sector = i.sector AND d.deal_date < created GROUP BY 1)
+    SELECT i.company_id, fund.m.i AS last_round, fund.m.a AS last_amount, round(fund.total, 2) AS total_before, ar.m.d AS annual_date, ar.m.v AS annual_revenue, up.d AS update_date, nf.n AS filings_before, br.bridge, ft.p.v AS last_purchase, ft.e.v AS last_error, coalesce(own.m.i, other.m.i) AS evaluation, coalesce(own.m.s, other.m.s) AS score, mo.n AS sector_failures
+    FROM i LEFT JOIN fund USING (company_id) LEFT JOIN ar USING (company_id) LEFT JOIN up USING (company_id) LEFT JOIN nf USING (company_id) LEFT JOIN br USING (cik) LEFT JOIN ft ON ft.entity_id = i.company_id LEFT JOIN ev own ON own.company_id = i.company_id LEFT JOIN ev other ON other.company_id = br.bridge LEFT JOIN mo ON mo.company_id = i.company_id""",
 )
 def enrichment(t):
-    last = t.rounds.groupBy("company_id").agg(F.max(F.struct("round_date", "round_id", "amount")).alias("m"), F.sum("amount").alias("total"))
-    f = t.filings.groupBy("company_id").agg(F.count("*").alias("filings"), F.max("filing_date").alias("last_filing"))
-    return t.companies.select("company_id").join(last, "company_id", "left").join(f, "company_id", "left").select("company_id", F.col("m.round_id").alias("last_round"), F.col("m.amount").alias("last_amount"), F.round("total", 2).alias("total"), F.coalesce("filings", F.lit(0)).alias("filings"), "last_filing")
+    """Items with the latest round, annual report and update up to their date, sums before it, the first company of the same
+    number, the latest facts by name, an evaluation of their own or of that company, and failures in the sector before."""
+    items = t.companies.select("company_id", "sector", "cik", F.date_add(F.lit("1995-06-01").cast("date"), (F.col("company_id") % 900).cast("int")).alias("created"))
+    rounds, filings = t.rounds.select("company_id", "round_date", F.col("round_id").alias("last_round"), F.col("amount").alias("last_amount")), t.filings
+    done = J.asof(items, rounds, "company_id", "created", "round_date", ["last_round", "last_amount"], "last_round", "company_id").drop("round_date")
+    done = J.prior_sum(done, t.rounds, "company_id", "company_id", "created", "round_date", "amount", "total_before")
+    annual = filings.where("form_type = 'C-AR'").select("company_id", F.col("filing_date").alias("annual_date"), "filing_id", F.col("revenue").alias("annual_revenue"))
+    done = J.asof(done, annual, "company_id", "created", "annual_date", ["annual_revenue"], "filing_id", "company_id")
+    updates = filings.where("form_type = 'C-U'").select("company_id", F.col("filing_date").alias("update_date"), "filing_id")
+    done = J.asof(done, updates, "company_id", "created", "update_date", [], "filing_id", "company_id", strict=True)
+    done = J.prior_sum(done, filings.withColumn("one", F.lit(1.0)), "company_id", "company_id", "created", "filing_date", "one", "filings_before")
+    done = done.join(t.companies.groupBy("cik").agg(F.min("company_id").alias("bridge")), "cik", "left")
+    newest = lambda kind: F.max(F.when(F.col("feature_name") == kind, F.struct("as_of_date", "fact_id", "value")))["value"]
+    done = done.join(t.facts.groupBy(F.col("entity_id").alias("company_id")).agg(newest("purchase").alias("last_purchase"), newest("error").alias("last_error")), "company_id", "left")
+    last = t.deals.groupBy("company_id").agg(F.max(F.struct("deal_date", "deal_id", "score")).alias("m"))
+    done = done.join(last.select("company_id", F.col("m").alias("own")), "company_id", "left").join(last.select(F.col("company_id").alias("bridge"), F.col("m").alias("other")), "bridge", "left")
+    deals = t.deals.select("sector", "deal_date", F.col("failed").cast("double").alias("failed"))
+    done = J.prior_sum(done, deals, "sector", "company_id", "created", "deal_date", "failed", "sector_failures")
+    best = F.coalesce("own", "other")
+    shown = ["last_round", "last_amount", F.round("total_before", 2).alias("total_before"), "annual_date", "annual_revenue", "update_date", "filings_before", "bridge", "last_purchase", "last_error", best["deal_id"].alias("evaluation"), best["score"].alias("score"), "sector_failures"]
+    return done.select("company_id", *shown)
 
 
 @query("fs6_feature_dates", "SELECT c.company_id, coalesce(min(r.round_date) FILTER (r.status = 'F'), min(r.round_date), DATE '2000-01-01') AS as_of_date FROM companies c LEFT JOIN rounds r ON r.company_id = c.company_id GROUP BY 1")
