@@ -17,14 +17,15 @@ def _timeline(left: DataFrame, right: DataFrame, on: str, left_time: str, right_
 
 def _within_months(rows: DataFrame, of_months: Column, before: Column, inside: Column) -> DataFrame:
     """Left rows of a time line with _before, over the key's earlier months, and _inside, over the earlier rows of its own. No
-    task holds more than one month's rows of a key, however many rows the key has."""
-    months = rows.groupBy("_on", "_month").agg(of_months.alias("_m"))
+    task holds more than one month's rows of a key, however many rows the key has; left rows without a key or time, which
+    have neither, are spread by their hash. The rows are read twice: steps that follow each other should start from one table."""
+    months = rows.where("_on is not null and _month is not null").groupBy("_on", "_month").agg(of_months.alias("_m"))
     earlier = W.partitionBy("_on").orderBy("_month").rowsBetween(W.unboundedPreceding, -1)
     months = months.select("_on", "_month", before.over(earlier).alias("_before"))
-    own = W.partitionBy("_on", "_month").orderBy("_time", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
-    known = rows.where("_on is not null and _month is not null").join(months, ["_on", "_month"]).withColumn("_inside", inside.over(own)).where("_side = 1")
-    lost = rows.where("_side = 1 and (_on is null or _month is null)").withColumn("_before", F.lit(None)).withColumn("_inside", F.lit(None))
-    return known.unionByName(lost)
+    lost = F.col("_on").isNull() | F.col("_month").isNull()
+    own = W.partitionBy("_on", "_month", "_spread").orderBy("_time", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    spread = rows.withColumn("_spread", F.when(lost, F.pmod(F.xxhash64("_l"), F.lit(64))).otherwise(0))
+    return spread.join(months, ["_on", "_month"], "left").withColumn("_inside", inside.over(own)).where("_side = 1")
 
 
 def asof(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, values: list[str], tie: str, left_id: str, strict: bool = False, hot: bool = True) -> DataFrame:

@@ -101,20 +101,26 @@ def enrichment(t):
     number, the latest facts by name, an evaluation of their own or of that company, and failures in the sector before."""
     items = t.companies.select("company_id", "sector", "cik", F.date_add(F.lit("1995-06-01").cast("date"), (F.col("company_id") % 900).cast("int")).alias("created"))
     rounds, filings = t.rounds.select("company_id", "round_date", F.col("round_id").alias("last_round"), F.col("amount").alias("last_amount")), t.filings
-    done = J.asof(items, rounds, "company_id", "created", "round_date", ["last_round", "last_amount"], "last_round", "company_id").drop("round_date")
-    done = J.prior_sum(done, t.rounds, "company_id", "company_id", "created", "round_date", "amount", "total_before")
+    dated, key = items.select("company_id", "created"), "company_id"
     annual = filings.where("form_type = 'C-AR'").select("company_id", F.col("filing_date").alias("annual_date"), "filing_id", F.col("revenue").alias("annual_revenue"))
-    done = J.asof(done, annual, "company_id", "created", "annual_date", ["annual_revenue"], "filing_id", "company_id")
     updates = filings.where("form_type = 'C-U'").select("company_id", F.col("filing_date").alias("update_date"), "filing_id")
-    done = J.asof(done, updates, "company_id", "created", "update_date", [], "filing_id", "company_id", strict=True)
-    done = J.prior_sum(done, filings.withColumn("one", F.lit(1.0)), "company_id", "company_id", "created", "filing_date", "one", "filings_before")
+    deals = t.deals.select("sector", "deal_date", F.col("failed").cast("double").alias("failed"))
+    steps = [  # each starts from the items alone, so no step is computed again for the next
+        J.asof(dated, rounds, key, "created", "round_date", ["last_round", "last_amount"], "last_round", key).drop("round_date"),
+        J.prior_sum(dated, t.rounds, key, key, "created", "round_date", "amount", "total_before"),
+        J.asof(dated, annual, key, "created", "annual_date", ["annual_revenue"], "filing_id", key),
+        J.asof(dated, updates, key, "created", "update_date", [], "filing_id", key, strict=True),
+        J.prior_sum(dated, filings.withColumn("one", F.lit(1.0)), key, key, "created", "filing_date", "one", "filings_before"),
+        J.prior_sum(items.select("company_id", "created", "sector"), deals, "sector", key, "created", "deal_date", "failed", "sector_failures").drop("sector"),
+    ]
+    done = items
+    for step in steps:
+        done = done.join(step.drop("created"), key)
     done = done.join(t.companies.groupBy("cik").agg(F.min("company_id").alias("bridge")), "cik", "left")
     newest = lambda kind: F.max(F.when(F.col("feature_name") == kind, F.struct("as_of_date", "fact_id", "value")))["value"]
     done = done.join(t.facts.groupBy(F.col("entity_id").alias("company_id")).agg(newest("purchase").alias("last_purchase"), newest("error").alias("last_error")), "company_id", "left")
     last = t.deals.groupBy("company_id").agg(F.max(F.struct("deal_date", "deal_id", "score")).alias("m"))
     done = done.join(last.select("company_id", F.col("m").alias("own")), "company_id", "left").join(last.select(F.col("company_id").alias("bridge"), F.col("m").alias("other")), "bridge", "left")
-    deals = t.deals.select("sector", "deal_date", F.col("failed").cast("double").alias("failed"))
-    done = J.prior_sum(done, deals, "sector", "company_id", "created", "deal_date", "failed", "sector_failures")
     best = F.coalesce("own", "other")
     shown = ["last_round", "last_amount", F.round("total_before", 2).alias("total_before"), "annual_date", "annual_revenue", "update_date", "filings_before", "bridge", "last_purchase", "last_error", best["deal_id"].alias("evaluation"), best["score"].alias("score"), "sector_failures"]
     return done.select("company_id", *shown)
