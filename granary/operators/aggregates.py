@@ -31,13 +31,27 @@ def calibration_error(rows: DataFrame, y: str, p: str, n: int = 10, by: list[str
     return held.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("bin").isNotNull(), F.col("k") * F.col("gap"))) / F.sum("k"), F.lit(0.0)).alias("ece"))
 
 
+#: Ranges of scores that are sorted by themselves.
+RANGES = 64
+
+
 def auc(rows: DataFrame, y: str, score: str, by: list[str] | None = None, least: int = 10) -> DataFrame:
     """Area under the ROC curve from rank sums, ties at their mean rank; 0 with fewer than `least` rows or one class.
-    Rows are first counted by score, so no task sorts more than the distinct scores of a group."""
+    Rows are first counted by score, so no task sorts more than the distinct scores of a group; without groups the scores
+    are cut into RANGES by approximate quantiles, so none sorts all of them."""
     by = by or []
     counts = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_n"), F.sum(F.col(y).cast("long")).alias("_pos"))
     w = W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("_rank", F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2)
+    below = F.coalesce(F.sum("_n").over(w), F.lit(0))
+    if not by:
+        cuts = counts.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+        counts = counts.withColumn("_range", sum(((F.col(score) > c).cast("int") for c in cuts), F.lit(0)))
+        sums = counts.groupBy("_range").agg(F.sum("_n").alias("_all"))  # RANGES rows
+        earlier = F.coalesce(F.sum("_all").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.join(F.broadcast(sums.select("_range", earlier.alias("_earlier"))), "_range")
+        inside = W.partitionBy("_range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)
+        below = F.col("_earlier") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    ranked = counts.withColumn("_rank", below + (F.col("_n") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_pos").alias("pos"), F.sum(F.col("_rank") * F.col("_pos")).alias("_ranks"))
     neg = F.col("n") - F.col("pos")
     area = (F.col("_ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg)

@@ -113,6 +113,25 @@ def auc(t):
     return A.auc(t.deals, "failed", "score", ["sector"]).select("sector", "n", F.round("auc", 6).alias("auc"))
 
 
+#: Cuts by which the area is reported, beside all rows.
+_CUTS = ("country", "stage", "sector", "outcome_known", "has_revenue", "has_institution", "eis_eligible", "year")
+
+
+@query(
+    "ag14_auc_by_cuts",
+    """WITH d AS (SELECT failed, score, country, stage, sector, (outcome <> 'unknown')::VARCHAR AS outcome_known, has_revenue::VARCHAR AS has_revenue, has_institution::VARCHAR AS has_institution, eis_eligible::VARCHAR AS eis_eligible, year(deal_date)::VARCHAR AS year FROM deals),
+    u AS (SELECT 'all' AS cut, 'all' AS value, failed, score FROM d UNION ALL SELECT cut, value, failed, score FROM (UNPIVOT d ON country, stage, sector, outcome_known, has_revenue, has_institution, eis_eligible, year INTO NAME cut VALUE value)),
+    r AS (SELECT cut, value, failed, rank() OVER (PARTITION BY cut, value ORDER BY score) + (count(*) OVER (PARTITION BY cut, value, score) - 1) / 2.0::DOUBLE AS r FROM u),
+    s AS (SELECT cut, value, count(*) AS n, sum(failed) AS p, coalesce(sum(r) FILTER (failed = 1), 0) AS t FROM r GROUP BY 1, 2) SELECT cut, value, n, CASE WHEN n >= 10 AND p > 0 AND p < n THEN round((t - p * (p + 1) / 2) / (p * (n - p)), 6) ELSE 0.0::DOUBLE END AS auc FROM s""",
+)
+def auc_by_cuts(t):
+    d = t.deals.withColumn("outcome_known", F.col("outcome") != "unknown").withColumn("year", F.year("deal_date"))
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(c).cast("string").alias("value")) for c in _CUTS])).alias("c")
+    each = A.auc(d.select("failed", "score", parts).select("failed", "score", "c.*").where("value is not null"), "failed", "score", ["cut", "value"])
+    whole = A.auc(d, "failed", "score").select(F.lit("all").alias("cut"), F.lit("all").alias("value"), "n", "auc")
+    return whole.unionByName(each).withColumn("auc", F.round("auc", 6))
+
+
 @query(
     "ag15_precision_recall",
     """WITH c AS (SELECT sector, count(*) FILTER (score < 50 AND failed = 1) AS tp, count(*) FILTER (score < 50 AND failed = 0) AS fp, count(*) FILTER (score >= 50 AND failed = 1) AS fn FROM deals GROUP BY 1)
