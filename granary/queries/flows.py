@@ -261,10 +261,10 @@ def due_reminders(t):
     return due.select("event_id", F.concat(F.lit("reminder:"), "event_id").alias("dedupe_key"))
 
 
-@query("ops6_retention", "SELECT conv_id, turn, CASE WHEN conv_id % 4 <> 0 THEN text END AS text, CASE WHEN conv_id % 4 = 0 AND text IS NOT NULL THEN concat_ws(' ', role, '[retention purge applied]') ELSE role END AS role FROM conversations WHERE conv_id % 9 <> 0")
+@query("ops6_retention", "SELECT conv_id, turn, CASE WHEN conv_id % 4 <> 0 THEN text END AS text, CASE WHEN conv_id % 4 = 0 AND text IS NOT NULL THEN concat_ws(' ', role, '[retention purge applied]') ELSE role END AS role FROM conversations")
 def retention(t):
     old = (F.col("conv_id") % 4 == 0) & F.col("text").isNotNull()
-    return U.redact(t.conversations.where("conv_id % 9 <> 0"), ["text"], "role", "[retention purge applied]", old)
+    return U.redact(t.conversations, ["text"], "role", "[retention purge applied]", old)
 
 
 @query("ops8_backfills", "SELECT deal_id, CASE WHEN deal_id % 2 = 0 THEN 1.5::DOUBLE ELSE amount / nullif(amount * 0.5, 0) END AS over, CASE WHEN deal_id % 3 = 0 THEN 7 ELSE 24 END::INTEGER AS age_months, CASE WHEN deal_id % 5 = 0 THEN 100.0::DOUBLE WHEN balance < 0 THEN abs(balance) / 12 END AS burn FROM deals JOIN (SELECT company_id AS cid, balance FROM companies) ON cid = company_id")
