@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import ann, html_text, langid, licenses, line_dedup, mips, mixing, ngram_join, packing, quality
+from granary.llm import ann, bpe, html_text, langid, licenses, line_dedup, mips, mixing, ngram_join, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = [op1_multi_index, op2_ngram_join, op3_quality, op4_language, op5_packing, op6_top_products, op7_line_dedup, op8_mixing, op9_main_text, op10_licenses]
+    own = [op1_multi_index, op2_ngram_join, op3_quality, op4_language, op5_packing, op6_top_products, op7_line_dedup, op8_mixing, op9_main_text, op10_licenses, op13_bpe]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
