@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import ann, bpe, divergence, html_text, langid, licenses, line_dedup, mips, mixing, ngram_join, packing, quality
+from granary.llm import ann, bpe, divergence, html_text, langid, licenses, line_dedup, mips, mixing, ngram_join, packing, quality, spelling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labelled(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_multi_index, op2_ngram_join, op3_quality, op4_language, op5_packing, op6_top_products, op7_line_dedup, op8_mixing, op9_main_text, op10_licenses, op12_divergence, op13_bpe]
+    own = [op1_multi_index, op2_ngram_join, op3_quality, op4_language, op5_packing, op6_top_products, op7_line_dedup, op8_mixing, op9_main_text, op10_licenses, op11_spelling, op12_divergence, op13_bpe]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -78,4 +82,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.jaccard_sql(), "op6_top_products": _TOP_PRODUCTS, "op7_line_dedup": line_dedup.dedup_sql(), "op8_mixing": mixing.mix_sql(), "op12_divergence": divergence.audit_sql()}
+    return {"op2_ngram_join": ngram_join.jaccard_sql(), "op6_top_products": _TOP_PRODUCTS, "op7_line_dedup": line_dedup.dedup_sql(), "op8_mixing": mixing.mix_sql(), "op11_spelling": spelling.variants_sql(), "op12_divergence": divergence.audit_sql()}
