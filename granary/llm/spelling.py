@@ -3,12 +3,13 @@
 A word's mask has one bit for each letter, set if the word has it an odd number of times. An inserted or deleted letter turns one bit,
 a replaced letter two, so of three bands of bits one at least is equal in two near words. Words are grouped
 by band, the band's bits and length (each word once as a word of that length and once as one that is a letter shorter than the words it
-meets), masks that differ in one or two bits are candidates, and candidates are verified letter by letter. A pair belongs
-to the first band in which its words agree.
+meets). Masks that differ in one or two bits are candidates, which are verified letter by letter. So that no task looks at all
+pairs of a group, only words that share the letters before or after their middle, as one edit leaves one of these halves, are
+compared. A pair belongs to the first band in which its words agree.
 
 Bits are dealt to the bands by how even each letter's parities are, so the bands tell words apart alike. A group of more than
-GROUP words is cut again by three bands of the bits left, as often as needed, which keeps every pair; in a task the same is
-done by sorting. Words of one mask are never near, so a group without bits left has no pair.
+GROUP words is cut again by three bands of the bits left, CUTS times at most, which keeps every pair. What is too large
+then, as its words have few masks, is dealt to tiles, and each two tiles are compared.
 
 Of near words the one with the largest count, the first in code-point order of ties, is a word's form if it is `times` as
 frequent. Counts grow by that factor along forms, so a root is a few steps away and steps are doubled until all are there.
@@ -34,13 +35,16 @@ from granary.llm.common import arrow_schema, forget, join_by_key, map_groups, ma
 
 #: Letters of a word at least, its occurrences at least, by how much a form is more frequent, and in how many runs one loses a letter.
 SHORTEST, OFTEN, TIMES, SLIPS = 7, 2, 10, 31
-#: Words of a group that one task compares, words of a run that are compared pair by pair, letters compared at once.
-GROUP, RUN, AT_ONCE = 50_000, 512, 1 << 22
+#: Words of a group that one task compares, how often larger groups are cut by bands (each time three copies of their rows), and
+#: letters compared at once.
+GROUP, CUTS, AT_ONCE = 50_000, 3, 1 << 22
 #: Counts that a task holds before it sends them on, characters of a text looked at at once.
 HELD, SLICE = 300_000, 1 << 20
 #: The letters: A to Z are made small, the others stay as they are.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
 _BREAK = re.compile("[^A-Za-zÀ-ÿ]")
+_FIELDS = ("key", "word", "n", "lo", "hi")
+_ROW = "key string, word string, n long, lo long, hi long"
 
 
 def runs_of(text: str, shortest: int) -> Iterator[list[str]]:
@@ -154,7 +158,7 @@ def keyed(words: DataFrame, order: str) -> DataFrame:
 
         return of
 
-    return map_rows(words, "key string, word string, n long, lo long, hi long", make)
+    return map_rows(words, _ROW, make)
 
 
 def path_of(key: str) -> list[int]:
@@ -168,7 +172,7 @@ def cut_again(rows: DataFrame) -> DataFrame:
         left: dict[tuple[int, ...], list[int]] = {}
 
         def of(batch):
-            out = {x: [] for x in ("key", "word", "n", "lo", "hi")}
+            out = {x: [] for x in _FIELDS}
             for row in zip(*(batch.column(x).to_pylist() for x in out), strict=True):
                 path = tuple(path_of(row[0]))
                 if path not in left:
@@ -181,71 +185,60 @@ def cut_again(rows: DataFrame) -> DataFrame:
 
         return of
 
-    return map_rows(rows, "key string, word string, n long, lo long, hi long", make)
+    return map_rows(rows, _ROW, make)
 
 
-def grouped(words: DataFrame, order: str, group: int = GROUP) -> DataFrame:
-    """The keyed words, with no more than `group` of a key: larger groups are cut by further bands while two bits are left."""
+def tiled(rows: DataFrame, group: int) -> DataFrame:
+    """Rows of groups whose words have few masks, dealt to tiles: each two tiles of a group, and each one alone, are a key."""
+    tiles = F.ceil(F.col("size") / group).cast("long")
+    own = F.pmod(F.crc32(F.col("word").cast("binary")), tiles)
+    dealt = rows.withColumn("_t", tiles).withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_t") - 1)))
+    key = F.concat("key", F.lit("|"), F.concat_ws(".", "_t", F.least("_own", "_with"), F.greatest("_own", "_with")))
+    return dealt.select(key.alias("key"), *_FIELDS[1:])
+
+
+def tile_of(key: str, names: list[str]) -> np.ndarray | None:
+    """Which of a key's two tiles each word is in; None where the key is one whole group or one tile."""
+    if "|" not in key:
+        return None
+    t, a, b = map(int, key.split("|")[1].split("."))
+    return None if a == b else np.array([zlib.crc32(w.encode()) % t == b for w in names])
+
+
+def grouped(words: DataFrame, order: str, group: int = GROUP, cuts: int = CUTS) -> DataFrame:
+    """The keyed words, with about `group` of a key at most: larger groups are cut by further bands, and those that are still
+    too large then, because their words have few masks, are dealt to tiles."""
     rows, done = stored(keyed(words, order)), None
-    while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > group)
+    for left in range(cuts, -1, -1):
+        sizes = stored(rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > group))
         if not sizes.limit(1).count():
-            return rows if done is None else done.unionByName(rows)
-        sizes = stored(sizes)
-        left = len(cut(path_of(sizes.first()[0]))[1])  # all keys of a round have as many cuts
-        if left < 3:
-            return rows if done is None else done.unionByName(rows)
-        # a key that fewer than `group` rows have is not in sizes, so that table is at most a part of 1 in `group` of all rows
-        hot = join_by_key(rows, sizes, "key", F.col("size"), rows.count()).drop("size")
+            break
+        hot = join_by_key(rows, sizes, "key", F.col("size"), rows.count())
         small = rows.join(sizes.select("key"), "key", "left_anti")
         done = small if done is None else done.unionByName(small)
-        rows = stored(cut_again(hot))
-
-
-def candidates(lo: np.ndarray, hi: np.ndarray, bits: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of masks that differ in one or two of the bits, each once: sorted by each of three bands, those of a run are
-    compared; a run of more than RUN is cut by bands again."""
-    n = len(lo)
-    if n < 2 or not bits:
-        return
-    if n <= 48 or len(bits) < 3:
-        step = max(1, AT_ONCE // n)
-        for a in range(0, n, step):
-            i = np.repeat(np.arange(a, min(a + step, n)), n)
-            j = np.tile(np.arange(n), min(a + step, n) - a)
-            yield _near(lo, hi, i[i < j], j[i < j], [])
-        return
-    earlier: list[list[int]] = []
-    for band in bands(bits):
-        a, b = halves(band)
-        key = ((lo & a) * np.int64(0x9E3779B97F4A7C1) ^ (hi & b) * np.int64(0x3C6EF372FE94F82B)) if b else lo & a
+        rows = stored(cut_again(hot.drop("size")) if left else tiled(hot, group))
+    return rows if done is None else done.unionByName(rows)
+
+
+def halves_shared(names: list[str], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of words of `size` letters or one fewer that share the half in which their one edit is not: the letters before
+    the middle, or else those after it."""
+    middle = (size - 1) // 2
+    heads, tails = ({}, {})
+    head = np.array([heads.setdefault(w[:middle], len(heads)) for w in names])
+    tail = np.array([tails.setdefault(w[middle - size :], len(tails)) for w in names])
+    for key, other in ((head, None), (tail, head)):
         order = np.argsort(key, kind="stable")
         at = key[order]
         starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        ends = np.append(starts[1:], n)
-        large = ends - starts > RUN
-        rest = sorted(set(bits) - set(band))
-        for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
-            own = order[s:e]
-            for i, j in candidates(lo[own], hi[own], rest):
-                i, j = own[i], own[j]
-                yield _near(lo, hi, i, j, earlier)
-        end = np.repeat(np.where(large, starts, ends), ends - starts)
-        here, d = np.arange(n), 1
+        ends = np.append(starts[1:], len(at))
+        end, here, d = np.repeat(ends, ends - starts), np.arange(len(at)), 1
         while len(here := here[here + d < end[here]]):
-            yield _near(lo, hi, order[here], order[here + d], earlier)
+            i, j = order[here], order[here + d]
+            if other is not None:
+                i, j = i[other[i] != other[j]], j[other[i] != other[j]]
+            yield i, j
             d += 1
-        earlier.append(band)
-
-
-def _near(lo: np.ndarray, hi: np.ndarray, i: np.ndarray, j: np.ndarray, earlier: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    a, b = lo[i] ^ lo[j], hi[i] ^ hi[j]
-    turned = np.bitwise_count(a) + np.bitwise_count(b)
-    good = (turned == 1) | (turned == 2)
-    for band in earlier:
-        x, y = halves(band)
-        good &= ((a & x) != 0) | ((b & y) != 0)
-    return i[good], j[good]
 
 
 def one_edit(letters: np.ndarray, size: int, long: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -268,41 +261,41 @@ def one_edit(letters: np.ndarray, size: int, long: np.ndarray, i: np.ndarray, j:
     return out
 
 
-def near_words(words: DataFrame, group: int = GROUP) -> DataFrame:
-    """(word, n_near, best): how many near words a word has and the most frequent of them, as (-n, word)."""
-
-    def make():
-        def of(table):
-            key = table.column("key")[0].as_py()
-            size, (earlier, bits) = int(key.split("/")[0]), cut(path_of(key))
-            names = table.column("word").to_pylist()
-            long = np.array([len(w) == size for w in names])
-            lo, hi, n = (table.column(x).to_numpy() for x in ("lo", "hi", "n"))
-            letters, many, best = None, Counter(), {}
-            for i, j in candidates(lo, hi, bits) if long.any() else ():
-                turned = np.bitwise_count(lo[i] ^ lo[j]) + np.bitwise_count(hi[i] ^ hi[j])
-                good = np.where(turned == 1, long[i] != long[j], long[i] & long[j])
-                for band in earlier:
-                    x, y = halves(band)
-                    good &= ((lo[i] ^ lo[j]) & x != 0) | ((hi[i] ^ hi[j]) & y != 0)
-                i, j = i[good], j[good]
-                if not len(i):
-                    continue
-                if letters is None:
-                    letters = np.frombuffer(b"".join([w.encode("latin-1").ljust(size) for w in names]), np.uint8).reshape(len(names), size)
-                good = one_edit(letters, size, long, i, j)
-                for a, b in zip(i[good].tolist(), j[good].tolist(), strict=True):
-                    for x, y in ((a, b), (b, a)):
-                        many[x] += 1
-                        other = (-int(n[y]), names[y])
-                        if x not in best or other < best[x]:
-                            best[x] = other
-            return {"word": [names[x] for x in many], "n_near": list(many.values()), "best": [{"less": best[x][0], "word": best[x][1]} for x in many]}
+def near_in(table: pa.Table) -> dict:
+    """The near words of the words of one key: how many each has there, and the most frequent."""
+    key = table.column("key")[0].as_py()
+    size, earlier = int(key.split("/")[0]), [halves(band) for band in cut(path_of(key.split("|")[0]))[0]]
+    names, n = table.column("word").to_pylist(), table.column("n").to_pylist()
+    long, tile = np.array([len(w) == size for w in names]), tile_of(key, names)
+    lo, hi = (table.column(x).to_numpy() for x in ("lo", "hi"))
+    letters, many, best = None, Counter(), {}
+    for i, j in halves_shared(names, size) if long.any() else ():
+        a, b = lo[i] ^ lo[j], hi[i] ^ hi[j]
+        turned = np.bitwise_count(a) + np.bitwise_count(b)
+        good = np.where(turned == 2, long[i] & long[j], (turned == 1) & (long[i] != long[j]))
+        for x, y in earlier:
+            good &= ((a & x) != 0) | ((b & y) != 0)
+        if tile is not None:
+            good &= tile[i] != tile[j]
+        i, j = i[good], j[good]
+        if not len(i):
+            continue
+        if letters is None:
+            letters = np.frombuffer(b"".join([w.encode("latin-1").ljust(size) for w in names]), np.uint8).reshape(len(names), size)
+        good = one_edit(letters, size, long, i, j)
+        for a, b in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            for x, y in ((a, b), (b, a)):
+                many[x] += 1
+                other = (-n[y], names[y])
+                if x not in best or other < best[x]:
+                    best[x] = other
+    return {"word": [names[x] for x in many], "n_near": list(many.values()), "best": [{"less": best[x][0], "word": best[x][1]} for x in many]}
 
-        return of
 
+def near_words(words: DataFrame, group: int = GROUP) -> DataFrame:
+    """(word, n_near, best): how many near words a word has and the most frequent of them, as (-n, word)."""
     rows = grouped(words, letter_order(words), group)
-    found = map_groups(rows, ["key"], "word string, n_near long, best struct<less:long,word:string>", make)
+    found = map_groups(rows, ["key"], "word string, n_near long, best struct<less:long,word:string>", lambda: near_in)
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
 
 
