@@ -26,6 +26,28 @@ def _plain_letters() -> dict[str, str]:
 MARKED, PLAIN = map("".join, zip(*_plain_letters().items(), strict=True))
 
 
+#: Latin spellings of Cyrillic and Greek letters, small ones; signs without a sound are left out.
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+}
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+    "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o", "ά": "a", "έ": "e", "ή": "e", "ί": "i", "ό": "o", "ύ": "u", "ώ": "o",
+}
+
+
+def latin(x: Column) -> Column:
+    """Small Cyrillic and Greek letters in Latin spelling; texts without any are left alone."""
+    out, letters = x, CYRILLIC | GREEK
+    for c, spelled in letters.items():
+        if len(spelled) > 1:
+            out = F.replace(out, F.lit(c), F.lit(spelled))
+    single = {c: s for c, s in letters.items() if len(s) == 1}
+    out = F.translate(out, "".join(single) + "ъь", "".join(single.values()))
+    return F.when(x.rlike("[\u0370-\u04ff]"), out).otherwise(x)
+
+
 def plain(x: Column) -> Column:
     """Latin letters without marks, ligatures spelled out."""
     for c, spelled in SPELLED.items():
@@ -38,10 +60,11 @@ def blank_to_null(x: Column) -> Column:
 
 
 def normalized_name(x: Column) -> Column:
-    """Plain lower-case letters and digits, without one legal suffix at the end, single blanks."""
-    low = F.lower(F.trim(plain(x)))
+    """Plain lower-case letters and digits, without one legal suffix at the end, single blanks. Cyrillic and Greek letters are
+    spelled in Latin ones; letters of other scripts stay as they are, so their names are told apart."""
+    low = latin(F.lower(F.trim(plain(x))))
     cut = F.regexp_replace(low, rf"\b({'|'.join(map(re.escape, LEGAL_SUFFIXES))})\.?\s*$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9\s]", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(cut, r"[^\p{L}\p{N}\s]", ""), r"\s+", " "))
 
 
 def investor_name(x: Column) -> Column:
@@ -124,9 +147,10 @@ def stage_of(raised: Column, valuation: Column) -> Column:
 
 
 def segment_of(country: Column, stage: Column) -> Column:
-    low, st = F.lower(F.coalesce(country, F.lit(""))), F.lower(F.coalesce(stage, F.lit("")))
-    place = F.when(low.isin("uk", "gb", "united kingdom"), "UK").otherwise("US")
-    return F.concat_ws("_", place, F.when(st.rlike("early|growth|series"), "EarlyGrowth").otherwise("Seed"))
+    """Place and stage. Any "a" or "b" in the stage makes it early growth, as published: "angel" and "bridge" too."""
+    tidy_ = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    place = F.when(F.upper(tidy_(country)).isin("UK", "GB", "UNITED KINGDOM"), "UK").otherwise("US")
+    return F.concat_ws("_", place, F.when(F.lower(tidy_(stage)).rlike("[ab]|early|growth"), "EarlyGrowth").otherwise("Seed"))
 
 
 def tier_of(source: Column) -> Column:

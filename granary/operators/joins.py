@@ -74,15 +74,3 @@ def preferred(left: DataFrame, left_id: str, ways: list[tuple[DataFrame, Column]
     w = W.partitionBy(left_id).orderBy("pref", *order)
     best = parts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     return left.join(best, left_id, "left")
-
-
-def by_name(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_name: str, right_id: str) -> DataFrame:
-    """right_id of the same name (lower case), else of the first right row whose name contains the left one. The second
-    step only sees rows that the first left over, and words of names: both names are cut to words, the left name's first
-    word finds right names that have it, and contains() decides."""
-    l, r = left.withColumn("_n", F.lower(F.trim(left_name))), right.select(F.col(right_id).alias("_rid"), F.lower(F.trim(right_name)).alias("_rn"))  # noqa: E741
-    exact = l.join(r, l["_n"] == r["_rn"]).groupBy(left_id).agg(F.min("_rid").alias("_rid")).withColumn("how", F.lit("exact"))
-    rest = l.join(exact, left_id, "left_anti").withColumn("_w", F.split("_n", " ")[0])
-    words = r.select("*", F.explode(F.array_distinct(F.split("_rn", " "))).alias("_rw"))
-    near = rest.join(words, (rest["_w"] == words["_rw"]) & words["_rn"].contains(rest["_n"])).groupBy(left_id).agg(F.min("_rid").alias("_rid")).withColumn("how", F.lit("contains"))
-    return left.join(exact.unionByName(near), left_id, "left").withColumnRenamed("_rid", right_id)

@@ -3,22 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.functions.parsing import normalized_name
+from granary.functions.parsing import investor_name, normalized_name
+from granary.operators.containment import by_name
 from granary.operators.graph import components
 
 
 def resolve(rows: DataFrame, order: str, source: str, source_id: str, name: str, country: str) -> DataFrame:
     """Adds entity_id (the order of the row that created it) and how: rows of a known (source, id) follow the first of
-    them; of these leaders the first of each normalised name and country creates an entity, the others match it."""
-    by_id = W.partitionBy(source, source_id)
-    named = rows.withColumn("_name", normalized_name(F.col(name))).withColumn("_lead", F.min(order).over(by_id))
-    leaders = named.where(F.col(order) == F.col("_lead"))
-    own = leaders.select(F.col(order).alias("_lead"), F.min(order).over(W.partitionBy("_name", country)).alias("entity_id"))
+    them; of these leaders the first of each normalised name and country (in any case) creates an entity, the others match it.
+    A null source or id, an empty or null name and a null country match nothing. Firsts are groupings, joined to the rows
+    again, so no id's or name's rows meet in one window."""
+    named = rows.withColumns({"_name": F.nullif(normalized_name(F.col(name)), F.lit("")), "_place": F.lower(country)})
+    by_id = rows.where(F.col(source).isNotNull() & F.col(source_id).isNotNull()).groupBy(source, source_id).agg(F.min(order).alias("_lead"))
+    led = named.join(by_id, [source, source_id], "left").withColumn("_lead", F.coalesce("_lead", order))
+    leaders = led.where(F.col(order) == F.col("_lead")).select("_lead", "_name", "_place")
+    known = leaders.where("_name is not null and _place is not null").groupBy("_name", "_place").agg(F.min("_lead").alias("_first"))
+    own = leaders.join(known, ["_name", "_place"], "left").select("_lead", F.coalesce("_first", "_lead").alias("entity_id"))
     how = F.when(F.col(order) != F.col("_lead"), "source_id").when(F.col("entity_id") != F.col(order), "name_country").otherwise("created")
-    return named.join(own, "_lead").withColumn("how", how).drop("_lead", "_name")
+    return led.join(own, "_lead").withColumn("how", how).select(*rows.columns, "entity_id", "how")
+
+
+def investor_references(leads: DataFrame, references: DataFrame, lead_id: str, lead: str, legal: str) -> DataFrame:
+    """leads with ref_id, tier, assets, how and quality of their reference (ref_id, tier, assets): that of the same investor's name, the least
+    id first, else of those that contain it the best tier, then the largest assets."""
+    near = [F.col("tier"), F.coalesce(-F.col("assets"), F.lit(float("inf"))).alias("less"), F.col("ref_id")]
+    found = by_name(leads, references, lead_id, investor_name(F.col(lead)), investor_name(F.col(legal)), ["ref_id", "tier", "assets"], [F.col("ref_id")], near)
+    #: The quality of each tier.
+    return found.withColumn("quality", F.when(F.col("tier") == "A", 1.0).when(F.col("tier") == "B", 0.75).when(F.col("tier").isNotNull(), 0.45))
 
 
 #: Names of a tile of a block: a block of more is compared tile by tile.
@@ -29,18 +42,20 @@ def fuzzy_clusters(rows: DataFrame, key: str, name: str, block: list[str], least
     """(id, root) of rows whose names are similar: candidates share the block's columns and the first four letters of
     the normalised name, similarity is 1 - edit distance / length, clusters are connected components. Equal names are
     compared once; a large block is many pairs of tiles, so none is one task."""
-    n = rows.withColumn("_n", normalized_name(F.col(name))).withColumn("_p", F.substring("_n", 1, 4)).select(key, "_n", "_p", *block)
-    by = ["_p", *block]
-    names = n.groupBy("_n", *by).agg(F.min(key).alias("a"))
-    same = n.join(names, ["_n", *by]).select("a", F.col(key).alias("b")).where("a <> b")
+    blocks = [f"_b{i}" for i in range(len(block))]  # names of their own, as those of rows may be any
+    n = rows.select(F.col(key).alias("_key"), normalized_name(F.col(name)).alias("_n"), *[F.col(b).alias(x) for b, x in zip(block, blocks, strict=True)])
+    n = n.where("_n <> ''").withColumn("_p", F.substring("_n", 1, 4))
+    by = ["_p", *blocks]
+    names = n.groupBy("_n", *by).agg(F.min("_key").alias("_a"))
+    same = n.join(names, ["_n", *by]).select("_a", F.col("_key").alias("_c")).where("_a <> _c")
     tiles = names.groupBy(*by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
-    placed = names.join(tiles, by).withColumn("_t", F.pmod(F.xxhash64("a"), F.col("_tiles")).cast("int"))
+    placed = names.join(tiles, by).withColumn("_t", F.pmod(F.xxhash64("_a"), F.col("_tiles")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
-    left = placed.select("a", F.col("_n").alias("na"), *by, F.col("_t").alias("_i"), every.alias("_j"))
-    right = placed.select(F.col("a").alias("b"), F.col("_n").alias("nb"), *by, F.col("_t").alias("_j"), every.alias("_i"))
-    far = F.levenshtein("na", "nb") / F.greatest(F.length("na"), F.length("nb"), F.lit(1))
-    links = left.join(right, [*by, "_i", "_j"]).where((F.col("a") < F.col("b")) & (1 - far >= least)).select("a", "b")
-    return components(links.union(same), "a", "b")
+    left = placed.select("_a", F.col("_n").alias("_na"), *by, F.col("_t").alias("_i"), every.alias("_j"))
+    right = placed.select(F.col("_a").alias("_c"), F.col("_n").alias("_nc"), *by, F.col("_t").alias("_j"), every.alias("_i"))
+    far = F.levenshtein("_na", "_nc") / F.greatest(F.length("_na"), F.length("_nc"), F.lit(1))
+    links = left.join(right, [*by, "_i", "_j"]).where((F.col("_a") < F.col("_c")) & (1 - far >= least)).select("_a", "_c")
+    return components(links.union(same), "_a", "_c")
 
 
 def merged(facts: DataFrame, roots: DataFrame, key: str, drop: bool) -> DataFrame:

@@ -9,6 +9,7 @@ from granary.operators import joins as J
 from granary.operators import upserts as U
 from granary.operators import windows as V
 from granary.plans import backtest as B
+from granary.plans import entities as E
 from granary.plans import inference as I
 from granary.plans import pilot as P
 from granary.plans import scoring as R
@@ -78,11 +79,31 @@ def matched_pairs(t):
     return both.select("company_id", F.when(F.col("a").isNull() | F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "match").otherwise("differ").alias("verdict"))
 
 
-@query("jn11_investor_match", "WITH i AS (SELECT s_suppkey, 'customer#' || lpad((s_suppkey * 3)::VARCHAR, 9, '0') AS n FROM supplier) SELECT s_suppkey, c_custkey AS matched, c_acctbal AS assets FROM i LEFT JOIN customer ON lower(c_name) = n")
+_ADVISERS = """refs AS (SELECT c_custkey AS ref_id, CASE WHEN c_custkey % 3 = 0 THEN 'The ' ELSE '' END || upper(c_mktsegment) || ' ' || n_name || ' ' || right(c_name, 2) || CASE WHEN c_custkey % 2 = 0 THEN ' Capital, L.P.' ELSE ' Ventures LLC' END AS legal,
+    CASE WHEN c_acctbal > 9000 THEN 'A' WHEN c_acctbal > 4000 THEN 'B' ELSE 'C' END AS tier, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS assets FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    leads AS (SELECT o_orderkey AS round_id, CASE o_orderkey % 5 WHEN 0 THEN upper(c_mktsegment) || ' ' || n_name || ' ' || right(c_name, 2) || ' Partners' WHEN 1 THEN substr(c_mktsegment, 3, 4) || ' ' WHEN 2 THEN substr(c_mktsegment, 4) || ' ' || n_name WHEN 3 THEN 'Capital Partners' ELSE o_orderpriority END AS lead FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+_INVESTOR = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), '\b(the|inc|llc|ltd|limited|plc|corp|corporation|partners|capital|ventures)\b', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(
+    "jn11_investor_match",
+    f"""WITH {_ADVISERS}, l AS (SELECT round_id, {_INVESTOR.format("lead")} AS n FROM leads), r AS (SELECT *, {_INVESTOR.format("legal")} AS rn FROM refs), q AS (SELECT DISTINCT n FROM l WHERE n <> ''),
+    e AS (SELECT n, min(ref_id) AS ref_id FROM q JOIN r ON rn = n GROUP BY 1), c AS (SELECT n, ref_id, row_number() OVER (PARTITION BY n ORDER BY tier, assets DESC NULLS LAST, ref_id) AS k FROM q JOIN r ON contains(rn, n) WHERE n NOT IN (SELECT n FROM e)),
+    b AS (SELECT n, ref_id, 'exact' AS how FROM e UNION ALL SELECT n, ref_id, 'contains' FROM c WHERE k = 1)
+    SELECT round_id, b.ref_id, how, CASE tier WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.75 WHEN 'C' THEN 0.45 END::DOUBLE AS quality FROM l LEFT JOIN b ON b.n = l.n LEFT JOIN refs ON refs.ref_id = b.ref_id""",
+)
 def investor_match(t):
-    left = t.supplier.select("s_suppkey", F.concat(F.lit("Customer#"), F.lpad((F.col("s_suppkey") * 3).cast("string"), 9, "0")).alias("name"))
-    found = J.by_name(left, t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("full")), "s_suppkey", "name", "full", "key")
-    return found.join(t.customer.select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("assets")), "key", "left").select("s_suppkey", F.col("key").alias("matched"), "assets")
+    """Lead investors of rounds and their references: the same normalised name, else of the names that contain it the best tier,
+    then the largest assets."""
+    place = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    k, own = F.col("c_custkey"), F.concat_ws(" ", F.upper("c_mktsegment"), "n_name", F.right("c_name", F.lit(2)))
+    legal = F.concat(F.when(k % 3 == 0, "The ").otherwise(""), own, F.when(k % 2 == 0, " Capital, L.P.").otherwise(" Ventures LLC"))
+    tier = F.when(F.col("c_acctbal") > 9000, "A").when(F.col("c_acctbal") > 4000, "B").otherwise("C")
+    refs = place.select(k.alias("ref_id"), legal.alias("legal"), tier.alias("tier"), F.when(k % 5 != 0, F.col("c_acctbal")).alias("assets"))
+    o = F.col("o_orderkey") % 5
+    lead = F.when(o == 0, F.concat(own, F.lit(" Partners"))).when(o == 1, F.concat(F.substring("c_mktsegment", 3, 4), F.lit(" "))).when(o == 2, F.concat_ws(" ", F.substring("c_mktsegment", 4, 99), "n_name")).when(o == 3, "Capital Partners").otherwise(F.col("o_orderpriority"))
+    leads = t.orders.join(place, F.col("o_custkey") == k).select(F.col("o_orderkey").alias("round_id"), lead.alias("lead"))
+    return E.investor_references(leads, refs, "round_id", "lead", "legal").select("round_id", "ref_id", "how", "quality")
 
 
 @query(

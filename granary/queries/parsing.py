@@ -9,19 +9,19 @@ from granary.queries.base import query
 
 
 #: Endings of names: two legal suffixes, none, and letters beyond ASCII.
-_ENDINGS = ("", " SARL", " L.L.C.", " LP", " Pvt", " Œuvre Ltd", " Łódź Private", " Straße GmbH", " Søn Co.")
-_ENDING = "CASE company_id % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ENDINGS)) + " END"
+_ENDINGS = ("", " SARL", " L.L.C.", " LP", " Pvt", " Œuvre Ltd", " Łódź Private", " Straße GmbH", " Søn Co.", " Жуков Щи Ltd", " Αθήνα Ψυχή", " 北京公司 Inc")
+_ENDING = "CASE company_id % 12 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ENDINGS)) + " END"
 
 
 @query(
     "fn_names",
-    f"""WITH n AS (SELECT company_id, name, lower(trim(strip_accents(replace(replace(replace(replace(name || {_ENDING}, 'Œ', 'OE'), 'Ł', 'L'), 'ß', 'ss'), 'ø', 'o')))) AS low FROM companies)
-    SELECT company_id, trim(regexp_replace(regexp_replace(regexp_replace(low, '\\b(limited|ltd|inc|incorporated|llc|l\\.l\\.c\\.|plc|p\\.l\\.c\\.|corp|corporation|co|company|gmbh|ag|sa|sas|sarl|pty|pvt|private)\\.?\\s*$', ''), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS legal,
+    f"""WITH n AS (SELECT company_id, name, replace(replace(lower(trim(strip_accents(replace(replace(replace(replace(name || {_ENDING}, 'Œ', 'OE'), 'Ł', 'L'), 'ß', 'ss'), 'ø', 'o')))), 'жуков щи', 'zhukov shchi'), 'αθηνα ψυχη', 'athena psukhe') AS low FROM companies)
+    SELECT company_id, trim(regexp_replace(regexp_replace(regexp_replace(low, '\\b(limited|ltd|inc|incorporated|llc|l\\.l\\.c\\.|plc|p\\.l\\.c\\.|corp|corporation|co|company|gmbh|ag|sa|sas|sarl|pty|pvt|private)\\.?\\s*$', ''), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS legal,
     trim(regexp_replace(regexp_replace(regexp_replace(lower('The ' || name || ' Capital Partners'), '[^a-z0-9]+', ' ', 'g'), '\\b(the|inc|llc|ltd|limited|plc|corp|corporation|partners|capital|ventures)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS investor,
     trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS watchlist FROM n""",
 )
 def names(t):
-    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("company_id") % 9 + 1).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("company_id") % 12 + 1).cast("int"))
     return t.companies.select("company_id", P.normalized_name(F.concat("name", ending)).alias("legal"), P.investor_name(F.concat(F.lit("The "), "name", F.lit(" Capital Partners"))).alias("investor"), P.watchlist_name(F.col("name")).alias("watchlist"))
 
 
@@ -87,7 +87,7 @@ def ids(t):
     CASE round_id % 6 WHEN 0 THEN 'rule_506c' WHEN 1 THEN 'rule_506b' WHEN 2 THEN 'rule_504' WHEN 3 THEN 'section_4a5' WHEN 4 THEN 'rule_506' ELSE 'reg_d' END AS exemption,
     CASE round_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'exited' WHEN 2 THEN 'trading' WHEN 3 THEN 'failed' ELSE 'unknown' END AS outcome,
     CASE WHEN amount * 4 >= 1000000 OR pre_money >= 5000000 THEN 'early_growth' ELSE 'seed' END AS stage,
-    CASE round_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, CASE WHEN round_id % 2 = 0 THEN 'UK' ELSE 'US' END || '_' || CASE WHEN round_id % 3 = 0 THEN 'EarlyGrowth' ELSE 'Seed' END AS segment,
+    CASE round_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, CASE WHEN round_id % 2 = 0 THEN 'UK' ELSE 'US' END || '_' || CASE WHEN round_id % 5 < 3 THEN 'EarlyGrowth' ELSE 'Seed' END AS segment,
     CASE round_id % 4 WHEN 0 THEN 'fintech' WHEN 1 THEN 'health' ELSE 'other' END AS sector FROM rounds""",
 )
 def categories(t):
@@ -100,7 +100,7 @@ def categories(t):
         P.outcome_of(pick(5, "Dissolved", "Acquired by X", "Active", "in liquidation", "?")).alias("outcome"),
         P.stage_of(F.col("amount") * 4, F.col("pre_money")).alias("stage"),
         P.tier_of(pick(3, "sec_edgar", "Manual research", "blog")).alias("tier"),
-        P.segment_of(pick(2, "United Kingdom", "USA"), pick(3, "early_growth", "seed", "pre-seed")).alias("segment"),
+        P.segment_of(pick(2, " gb ", "USA"), pick(5, "early_growth", "Angel", " bridge", "seed", "pre-seed")).alias("segment"),
         P.allowed(pick(4, "FinTech ", "health", "astrology", None), ("fintech", "health", "energy")).alias("sector"),
     )
 

@@ -10,6 +10,7 @@ from granary.plans import comparables as C
 from granary.plans import entities as E
 from granary.plans import feature_store as S
 from granary.plans import labels as L
+from granary.plans import linkage as K
 from granary.plans import operations as O
 from granary.plans import scoring as R
 from granary.plans import truth as T
@@ -112,16 +113,26 @@ def progress(t):
     return L.progress(rounds, t.filings, "1998-06-01")
 
 
+#: Names in several scripts, an empty and a null one; what each is once normalised.
+_FIRMS = ("Firm", "Альфа", "Бета", "Ωμέγα", "北京", "", None)
+_NORMAL = ("firm", "alfa", "beta", "omega", "北京", "", "")
+
+
 def arrivals(t):
-    return t.companies.select(F.col("company_id").alias("ord"), (F.col("company_id") % 3).cast("string").alias("source"), (F.col("company_id") % 400).alias("source_id"), F.concat(F.lit("Firm "), (F.col("company_id") % 90).cast("string"), F.when(F.col("company_id") % 2 == 0, " Ltd.").otherwise("")).alias("name"), "country")
+    k = F.col("company_id")
+    firm = F.element_at(F.array(*map(F.lit, _FIRMS)), (k % 7 + 1).cast("int"))
+    name = F.when(k % 7 == 5, F.lit(" - ")).when(firm.isNotNull(), F.concat(firm, F.lit(" "), (k % 30).cast("string"), F.when(k % 2 == 0, " Ltd.").otherwise("")))
+    source_id = F.when(k % 11 != 0, k % 400)
+    return t.companies.select(k.alias("ord"), (k % 3).cast("string").alias("source"), source_id.alias("source_id"), name.alias("name"), F.when(k % 13 == 0, F.lower("country")).when(k % 17 != 0, F.col("country")).alias("country"))
 
 
-_ARRIVALS = "arrivals AS (SELECT company_id AS ord, (company_id % 3)::VARCHAR AS source, company_id % 400 AS source_id, 'firm ' || (company_id % 90) AS name, country FROM companies)"
+_ARRIVALS = f"""arrivals AS (SELECT company_id AS ord, (company_id % 3)::VARCHAR AS source, CASE WHEN company_id % 11 <> 0 THEN company_id % 400 END AS source_id,
+    CASE WHEN company_id % 7 < 5 THEN CASE company_id % 7 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_NORMAL[:5]))} END || ' ' || (company_id % 30) END AS name, CASE WHEN company_id % 13 = 0 OR company_id % 17 <> 0 THEN lower(country) END AS country FROM companies)"""
 
 
 @query(
     "er3_resolve",
-    f"""WITH {_ARRIVALS}, l AS (SELECT *, min(ord) OVER (PARTITION BY source, source_id) AS lead FROM arrivals), e AS (SELECT ord AS lead, min(ord) OVER (PARTITION BY name, country) AS entity_id FROM l WHERE ord = lead)
+    f"""WITH {_ARRIVALS}, l AS (SELECT *, CASE WHEN source_id IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY source, source_id) END AS lead FROM arrivals), e AS (SELECT ord AS lead, CASE WHEN name IS NULL OR country IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY name, country) END AS entity_id FROM l WHERE ord = lead)
     SELECT l.ord, e.entity_id, CASE WHEN l.ord <> l.lead THEN 'source_id' WHEN e.entity_id <> l.ord THEN 'name_country' ELSE 'created' END AS how FROM l JOIN e ON e.lead = l.lead""",
 )
 def resolve(t):
@@ -137,6 +148,24 @@ def fuzzy(t):
     return E.fuzzy_clusters(t.part.select("p_partkey", "p_name", "p_brand"), "p_partkey", "p_name", ["p_brand"], 0.7)
 
 
+def written_twice(t):
+    """Customers under made-up names, and each third of them once more with a slip in the name, some without a sector."""
+    k = F.col("c_custkey")
+    word = lambda a, n: F.translate(F.substring(F.md5(k.cast("string")), a, n), "0123456789", "ghijklmnop")
+    own = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select((k * 2).alias("id"), k.alias("truth"), F.concat_ws(" ", word(1, 8), word(11, 6)).alias("name"), F.col("n_name").alias("country"), F.col("c_mktsegment").alias("sector"))
+    at = (F.col("truth") % 5 + 2).cast("int")
+    cut = F.concat(F.substring("name", F.lit(1), at), F.expr("substring(name, truth % 5 + 4)"))
+    slip = F.when(F.col("truth") % 2 == 0, cut).otherwise(F.concat("name", F.lit(" Ltd")))
+    again = own.where("truth % 3 = 0").select((F.col("id") + 1).alias("id"), "truth", slip.alias("name"), "country", F.when(F.col("truth") % 4 != 0, F.col("sector")).alias("sector"))
+    return own.unionByName(again)
+
+
+@query("er5_linkage")
+def linkage(t):
+    links = K.linked(written_twice(t), "id", "name", ["country", "sector"])
+    return K.clusters(links).select("id", "root", F.round("score", 4).alias("score"), "merged")
+
+
 @query("er6_merge", "SELECT fact_id, CASE WHEN entity_id % 10 = 3 THEN entity_id - 1 ELSE entity_id END AS entity_id, false AS dropped FROM facts UNION ALL SELECT fact_id, entity_id, true FROM facts WHERE entity_id % 10 <> 3")
 def merge_entities(t):
     roots = t.facts.select(F.col("entity_id").alias("id")).distinct().withColumn("root", F.when(F.col("id") % 10 == 3, F.col("id") - 1).otherwise(F.col("id")))
