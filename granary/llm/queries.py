@@ -38,7 +38,7 @@ def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", F.col("_removed").alias("removed"))
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), long_words=line_dedup.LONG_WORDS).select("doc_id", "text", F.col("_removed").alias("removed"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names: each operator's defined results."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ def test_line_dedup(docs, none, spark):
     assert {r.doc_id for r in rows if r.text is None} == {3}
     long_line = " ".join(f"w{i}" for i in range(60))
     two = spark.createDataFrame([(9, f"a\n{long_line}\nb"), (4, f"c\n{long_line}"), (None, "z"), (11, "one\ntwo")], "doc_id long, text string")
-    got = {r.doc_id: (r.text, r._removed) for r in line_dedup.dedup(two).collect()}
+    got = {r.doc_id: (r.text, r._removed) for r in line_dedup.dedup(two, long_words=40).collect()}
     assert got == {9: ("a\nb", 1), 4: (f"c\n{long_line}", 0), None: ("z", 0), 11: ("one\ntwo", 0)}
 
 
@@ -94,7 +96,7 @@ def test_line_dedup_of_runs(spark, monkeypatch):
     texts, want = {}, {}
     for n in range(2, 9):  # passages of 2 to 8 short lines between other lines
         for j in range(6):
-            passage = [f"passage {n} {j} line {i} of some plain words here" for i in range(n)]
+            passage = [f"passage {n} {j} line {i} of some plain words here" + " and more of them" * (12 // n) for i in range(n)]
             if n > 4:
                 passage[2] = ""
             for k in (0, 1000):
@@ -104,14 +106,14 @@ def test_line_dedup_of_runs(spark, monkeypatch):
                 want[i] = texts[i] if k == 0 else "\n".join(around)
     texts |= {5000: "x one\nx one\nx one", 5001: "short heading\n\nown words a", 5002: "short heading\n\nown words b"}
     # lines that overlap the first place stay; of one short line in common nothing goes
-    want |= {5000: "x one\nx one", 5001: texts[5001], 5002: texts[5002]}
+    want |= {5000: texts[5000], 5001: texts[5001], 5002: texts[5002]}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
     odd = [i for i in want if got[i] != want[i]]
     assert not odd, [(got[i], want[i]) for i in odd[:2]]
     # different texts under one hash are told apart by their bytes
     plain = F.xxhash64
-    monkeypatch.setattr(F, "xxhash64", lambda *cols: plain(*cols) if len(cols) == 2 else F.pmod(F.crc32(cols[0].cast("binary")), F.lit(3)))
+    monkeypatch.setattr(F, "xxhash64", lambda *cols: plain(*cols) if isinstance(cols[0], str) else F.pmod(F.crc32(cols[0].cast("binary")), F.lit(3)))
     got = {r.doc_id: r.text for r in line_dedup.dedup(df).collect()}
     assert not [i for i in want if got[i] != want[i]]
 
@@ -119,14 +121,33 @@ def test_line_dedup_of_runs(spark, monkeypatch):
 def test_line_dedup_of_single_lines(spark):
     long_line = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, f"a\n{long_line}\nb"), (2, f"c\n{long_line}\nd"), (3, long_line)], "doc_id long, text string")
-    assert {r.doc_id: r._removed for r in line_dedup.dedup(df).collect()} == {1: 0, 2: 1, 3: 1}
-    assert {r.doc_id: r._removed for r in line_dedup.dedup(df, long_words=None).collect()} == {1: 0, 2: 0, 3: 0}
+    assert {r.doc_id: r._removed for r in line_dedup.dedup(df, long_words=40).collect()} == {1: 0, 2: 1, 3: 1}
+    assert {r.doc_id: r._removed for r in line_dedup.dedup(df).collect()} == {1: 0, 2: 0, 3: 0}
     # a passage that a third of all rows share, and one text in many rows
     rows = [(i, f"own {i}\n{long_line}\nshared end" if i % 3 == 0 else "x y\nz" if i % 3 == 1 else f"other {i}") for i in range(3000)]
-    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), passage_words=2).collect()}
     assert got == {i: t if i < 3 or i % 3 == 2 else f"own {i}" if i % 3 == 0 else "" for i, t in rows}
 
 
+def test_line_dedup_by_chunks(spark):
+    lines = [f"short {i}" for i in range(30)]
+    rows = [(1, "\n".join(["own a", *lines, "own b"])), (2, "\n".join(["own c", *lines, "own d"])), (3, "own e\nshort 3\nshort 4\nown f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = lambda spacing, words=None: {r.doc_id: r.text for r in line_dedup.dedup(df, spacing, words).collect()}
+    # the chunks find the run, which is followed to both its ends; a lone pair of short lines stays
+    assert by(4) == {1: rows[0][1], 2: "own c\nown d", 3: rows[2][1]}
+    # one chunk for a whole text is found nowhere else, so that only words can make a passage of the run
+    assert by(1 << 30) == dict(rows) and by(1 << 30, 50)[2] == "own c\nown d" and by(1 << 30, 4)[3] == "own e\nown f"
+
+
+def test_line_dedup_of_many_lines(spark):
+    text = "\n".join(f"line number {i} here" for i in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, f"own first\n{text}\nown last")], "doc_id long, text string")
+    began = time.time()
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == {1: text, 2: "own first\nown last"}
+    assert time.time() - began < 60  # some seconds alone; hours if it grew with the square
+
+
 def test_mixing(docs, none):
     mixed = mixing.mix(docs)
     rows = mixed.collect()
