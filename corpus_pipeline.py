@@ -22,7 +22,7 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(docs.select(*COLUMNS)).where((F.col("_removed") == 0) | (F.trim("text") != ""))
+    done = line_dedup.dedup(docs.select(*COLUMNS), long_words=line_dedup.LONG_WORDS).where((F.col("_removed") == 0) | (F.trim("text") != ""))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
