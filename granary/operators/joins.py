@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.operators.intervals import ranged
+
 
 def _timeline(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, value: Column, strict: bool) -> DataFrame:
     """Rows of both sides on one time line for each key: _on, _time, _side (0 right rows that count at their own time, 1 left
@@ -58,10 +60,9 @@ def prior_sum(left: DataFrame, right: DataFrame, on: str, left_id: str, left_tim
 
 
 def within(left: DataFrame, right: DataFrame, on: str, low: Column, high: Column, time: str, name: str, left_id: str) -> DataFrame:
-    """Flags left rows that have a right row of their key with low < time <= high."""
-    r = right.select(F.col(on).alias("_on"), F.col(time).alias("_time"))
-    hit = left.join(r, (left[on] == r["_on"]) & (r["_time"] > low) & (r["_time"] <= high), "left_semi").select(left_id).withColumn(name, F.lit(True))
-    return left.join(hit, left_id, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    """Flags left rows that have a right row of their key with low < time <= high, in days."""
+    met = ranged(left, right, on, F.date_add(low, 1), high, time, left_id).select(left_id, F.lit(True).alias(name))
+    return left.join(met, left_id, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def preferred(left: DataFrame, left_id: str, ways: list[tuple[DataFrame, Column]], order: list[Column], values: list[str]) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.intervals import ranged
+from granary.operators.joins import asof
+
 #: Forms that end an offering, annual reports, progress updates.
 ENDED, ANNUAL, PROGRESS = ("C-TR", "C-TR-W", "C-W", "C-U-W", "C/A-W"), ("C-AR", "C-AR/A"), ("C-U",)
 
@@ -57,10 +60,8 @@ def progress(rounds: DataFrame, filings: DataFrame, cutoff: str, mature_months:
     the last filing up to the round."""
     end = F.lit(cutoff).cast("date")
     own = rounds.where(F.add_months("round_date", mature_months) <= end).select("round_id", "company_id", "round_date")
-    f = filings.select("company_id", "filing_date", "revenue")
-    d = F.col("filing_date")
-    after = (d > F.add_months("round_date", 6)) & (d <= F.least(F.add_months("round_date", 24), end))
-    both = own.join(f, "company_id").where((d <= F.col("round_date")) | after)
-    sums = both.groupBy("round_id").agg(F.max_by(F.when(~after, F.col("revenue")), F.when(~after, F.struct("filing_date", "revenue"))).alias("_before"), F.max(F.when(after, F.col("revenue"))).alias("_after"))
-    found = own.join(sums, "round_id", "left")
-    return found.select("round_id", F.coalesce(F.col("_after") >= 2 * F.col("_before"), F.lit(False)).alias("progress"))
+    before = asof(own, filings.select("company_id", "filing_date", F.col("revenue").alias("before")), "company_id", "round_date", "filing_date", ["before"], "before", "round_id")
+    since, until = F.date_add(F.add_months("round_date", 6), 1), F.least(F.add_months("round_date", 24), end)
+    after = ranged(own, filings, "company_id", since, until, "filing_date", "round_id", "revenue")
+    found = before.select("round_id", "before").join(after.select("round_id", "most"), "round_id", "left")
+    return found.select("round_id", F.coalesce(F.col("most") >= 2 * F.col("before"), F.lit(False)).alias("progress"))

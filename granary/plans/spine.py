@@ -24,12 +24,42 @@ def round_facts(rounds: DataFrame, financials: DataFrame) -> DataFrame:
     return fact_rows(wide, ["round_id"], ["amount", "pre_money", "cash", "burn", "runway"])
 
 
-def narrative_terms(rounds: DataFrame, texts: DataFrame) -> DataFrame:
-    """Terms named in the latest text of a company up to each round's date."""
-    left = rounds.select("round_id", "company_id", "round_date")
-    best = asof(left, texts, "company_id", "round_date", "filed", ["text"], "text_id", "round_id")
-    found = terms(F.col("text"))
-    return best.select("round_id", *[found[c].alias(c) for c in ("valuation_cap", "discount_rate", "pro_rata")]).where("valuation_cap is not null or discount_rate is not null or pro_rata is not null")
+#: Characters that a text has at least to be read for terms.
+SHORTEST = 180
+
+
+def number_of(cik):
+    return F.nullif(F.regexp_replace(cik.cast("string"), "^0+", ""), F.lit(""))
+
+
+def term_facts(texts: DataFrame, text_id: str, text: str) -> DataFrame:
+    """(text_id, field, number, said): every term that a text names, numbers apart from words."""
+    rows = []
+    for field, c in terms(F.col(text)).items():
+        words = field in ("maturity_date", "participation", "lead_investor", "pro_rata")
+        number, said = (F.lit(None).cast("double"), c.cast("string")) if words else (c.cast("double"), F.lit(None).cast("string"))
+        rows.append(F.struct(F.lit(field).alias("field"), number.alias("number"), said.alias("said")))
+    found = texts.select(text_id, F.explode(F.array(*rows)).alias("_f")).select(text_id, "_f.*")
+    return found.where("number is not null or coalesce(said, '') <> ''")
+
+
+def narrative_terms(rounds: DataFrame, texts: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """(round_id, field, number, said, text_id, as_of, tier) of the terms in one text for each American round: the latest up to its date
+    of the company itself, and only where there is none the latest of the same number. A round without a date takes the last of all. Both
+    looks are as-of reads of two time lines; texts move by id alone and each is read for terms once."""
+    long = texts.where(F.length("text") >= shortest)
+    at = F.coalesce("round_date", F.lit("9999-12-31").cast("date")).alias("_at")
+    left = rounds.where("country = 'US'").select("round_id", "company_id", number_of(F.col("cik")).alias("number"), "round_date", at)
+    dated = long.select("company_id", number_of(F.col("cik")).alias("number"), F.col("filed").alias("_filed"), F.col("text_id").alias("_text"))
+
+    def latest(on: str, name: str) -> DataFrame:
+        best = asof(left, dated.select(on, "_filed", "_text"), on, "_at", "_filed", ["_text"], "_text", "round_id")
+        return best.select("round_id", "round_date", F.when(F.col("_text").isNotNull(), F.struct(F.col("_filed").alias("filed"), F.col("_text").alias("text_id"))).alias(name))
+
+    both = latest("company_id", "_own").join(latest("number", "_other").drop("round_date"), "round_id")
+    chosen = both.select("round_id", "round_date", F.coalesce("_own", "_other").alias("_t")).where("_t is not null").select("round_id", "round_date", "_t.*")
+    facts = term_facts(long, "text_id", "text")
+    return chosen.join(facts, "text_id").select("round_id", "field", "number", "said", "text_id", F.coalesce("filed", "round_date").alias("as_of"), F.lit("B").alias("tier"))
 
 
 def cross_referenced(main: DataFrame, other: DataFrame, known: DataFrame, today: str) -> DataFrame:
@@ -60,10 +90,15 @@ def backfilled(deals: DataFrame) -> DataFrame:
     )
 
 
-def family(rows: DataFrame, country: str, stage: str, least: int, pool: DataFrame | None = None) -> DataFrame:
-    """Rows of a country and stage; with fewer than `least` of them all rows (of pool)."""
-    own = rows.where((F.upper("country") == country) & (F.lower("stage") == stage))
-    return own if own.limit(least).count() >= least else (rows if pool is None else pool)
+#: Rows of a family at least, to train and to test on.
+LEAST_TRAIN, LEAST_TEST = 120, 30
+
+
+def family(train: DataFrame, test: DataFrame, country: str, stage: str, least_train: int = LEAST_TRAIN, least_test: int = LEAST_TEST) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows of a country and stage to train and to test on; where either are too few both are all rows, and the third is True."""
+    own = (F.upper("country") == country) & (F.lower("stage") == stage)
+    few = train.where(own).limit(least_train).count() < least_train or test.where(own).limit(least_test).count() < least_test
+    return (train, test, True) if few else (train.where(own), test.where(own), False)
 
 
 def visible(rows: DataFrame, roles: DataFrame, user: str, owner: str = "owner") -> DataFrame:

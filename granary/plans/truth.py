@@ -42,10 +42,25 @@ def reconcile(facts: DataFrame, keys: list[str], value: str, source: str, time:
     return out.select(*keys, F.col("_w.v").alias("value"), F.col("_w.t").alias("tier"), F.col("_w.d").alias("as_of"), "conflict", "n_facts", F.concat_ws(",", "sources").alias("sources"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"))
 
 
-def roll_up(truths: DataFrame, key: str, field: str, needed: list[str]) -> DataFrame:
-    """One row for each round: completeness over the needed fields, mean confidence, conflicts, best tier and a band."""
-    sums = truths.groupBy(key).agg(
-        (F.count_if(F.col(field).isin(needed)) / len(needed)).alias("completeness"),
+#: Fields that every round needs, and those that loans which convert and shares need besides.
+ALWAYS, IF_CONVERTIBLE, IF_SHARES = ("round_type", "instrument_type", "amount_raised"), ("valuation_cap", "discount_rate"), ("pre_money_valuation", "post_money_valuation")
+#: Parts of an instrument's or round's name that say that it converts.
+CONVERTIBLE = ("safe", "note", "convertible", "debt")
+
+
+def needed_fields(instrument: Column, round_type: Column) -> Column:
+    """The fields that a round of an instrument must have to be complete."""
+    named = F.lower(F.concat_ws("\n", instrument, round_type))
+    of = lambda fields: F.array(*map(F.lit, ALWAYS + fields))
+    return F.when(named.rlike("|".join(CONVERTIBLE)), of(IF_CONVERTIBLE)).otherwise(of(IF_SHARES))
+
+
+def roll_up(truths: DataFrame, key: str, field: str, needed: list[str] | Column) -> DataFrame:
+    """One row for each round: completeness over the needed fields (a list, or a column that is the same for all rows of a
+    round, such as needed_fields), mean confidence, conflicts, best tier and a band."""
+    needed = needed if isinstance(needed, Column) else F.array(*map(F.lit, needed))
+    sums = truths.withColumn("_needed", needed).groupBy(key).agg(
+        (F.count_if(F.array_contains("_needed", F.col(field))) / F.max(F.size("_needed"))).alias("completeness"),
         F.avg("confidence").alias("confidence"),
         F.count_if(F.col("conflict") != "none").alias("conflicts"),
         F.min("tier").alias("tier"),

@@ -36,16 +36,43 @@ def round_facts(t):
     return N.round_facts(rounds, financials(t))
 
 
+#: Sentences of offering texts by the round's number k: when they stand, what they say, and the term as a number or as words in SQL.
+_SENTENCES = (
+    ("k % 2 = 0", "concat('A valuation cap of $', k % 9 + 1, ' million; ')", "valuation_cap", "(k % 9 + 1) * 1000000.0::DOUBLE", None),
+    ("k % 3 = 0", "'with a discount rate of 15%; '", "discount_rate", "0.15::DOUBLE", None),
+    ("k % 5 = 0", "'bearing an interest rate of 6%; '", "interest_rate", "0.06::DOUBLE", None),
+    ("k % 7 = 0", "concat('at a pre-money valuation of $', k % 40 + 1, ' million; ')", "pre_money", "(k % 40 + 1) * 1000000.0::DOUBLE", None),
+    ("k % 11 = 0", "concat('a post-money valuation of $', k % 50 + 2, ' million; ')", "post_money", "(k % 50 + 2) * 1000000.0::DOUBLE", None),
+    ("k % 6 = 0", "'a 1x liquidation preference; '", "liquidation_pref", "1.0::DOUBLE", None),
+    ("k % 8 = 0", "'maturity date: 2026-05-01; '", "maturity_date", None, "'2026-05-01'"),
+    ("k % 10 IN (3, 7)", "CASE WHEN k % 10 = 3 THEN 'non-participating preferred; ' ELSE 'participating preferred; ' END", "participation", None, "CASE WHEN k % 10 = 3 THEN 'non_participating' ELSE 'participating' END"),
+    ("k % 4 IN (1, 3)", "CASE WHEN k % 4 = 1 THEN 'pro rata rights apply; ' ELSE 'no pro rata rights; ' END", "pro_rata", None, "CASE WHEN k % 4 = 1 THEN 'true' ELSE 'false' END"),
+    ("k % 13 = 0", "'led by Example Ventures; '", "lead_investor", None, "'Example Ventures'"),
+)
+_OPENING = "Offering statement of the issuer named herein; the securities are offered under the usual exemptions and carry the rights described in the attached agreement and in its exhibits, to which the reader is referred; "
+_TEXT = f"concat(CASE WHEN k % 9 = 4 THEN 'Offering statement; ' ELSE '{_OPENING}' END, " + ", ".join(f"CASE WHEN {when} THEN {says} ELSE '' END" for when, says, *_ in _SENTENCES) + ")"
+_TERM_ROWS = " UNION ALL ".join(f"SELECT text_id, '{field}' AS field, {number or 'NULL::DOUBLE'} AS number, {said or 'NULL'} AS said FROM long WHERE {when}" for when, _, field, number, said in _SENTENCES)
+
+
 @query(
     "tt3_narrative_terms",
-    """WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS text_id, l_partkey % 200 AS company_id, l_shipdate::DATE AS filed, (l_orderkey % 9 + 1) * 1000000.0::DOUBLE AS cap, CASE WHEN l_linenumber = 2 THEN true END AS rata FROM lineitem WHERE l_linenumber IN (2, 3)),
-    m AS (SELECT r.round_id, max({'d': filed, 'i': text_id, 'c': cap, 'p': rata}) AS m FROM rounds r JOIN x ON x.company_id = r.company_id AND filed <= round_date GROUP BY 1)
-    SELECT round_id, m.c AS valuation_cap, NULL::DOUBLE AS discount_rate, m.p AS pro_rata FROM m""",
+    f"""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS text_id, CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey % 700 END AS company_id, CASE WHEN l_linenumber <> 5 THEN '00' || (l_suppkey * 7 + l_linenumber) % 500 END AS cik, l_shipdate::DATE AS filed, l_orderkey AS k, {_TEXT} AS text FROM lineitem),
+    long AS (SELECT *, nullif(ltrim(cik, '0'), '') AS number FROM x WHERE length(text) >= 180), r AS (SELECT round_id, company_id, nullif(cik::VARCHAR, '0') AS number, CASE WHEN round_id % 50 <> 7 THEN round_date END AS round_date FROM rounds JOIN companies USING (company_id) WHERE country = 'US'),
+    own AS (SELECT round_id, max({{'d': filed, 'i': text_id}}) AS m FROM r JOIN long ON long.company_id = r.company_id AND filed <= coalesce(round_date, DATE '9999-12-31') GROUP BY 1), other AS (SELECT round_id, max({{'d': filed, 'i': text_id}}) AS m FROM r JOIN long ON long.number = r.number AND filed <= coalesce(round_date, DATE '9999-12-31') GROUP BY 1),
+    chosen AS (SELECT round_id, coalesce(own.m, other.m) AS m FROM r LEFT JOIN own USING (round_id) LEFT JOIN other USING (round_id)), facts_ AS ({_TERM_ROWS})
+    SELECT round_id, field, number, said, text_id, m.d AS as_of, 'B' AS tier FROM chosen JOIN facts_ ON text_id = m.i""",
 )
 def narrative_terms(t):
-    cap = F.concat(F.lit("A valuation cap of $"), (F.col("l_orderkey") % 9 + 1).cast("string"), F.lit(" million."), F.when(F.col("l_linenumber") == 2, " Pro rata rights apply.").otherwise(""))
-    texts = t.lineitem.where("l_linenumber in (2, 3)").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("text_id"), (F.col("l_partkey") % 200).alias("company_id"), F.to_date("l_shipdate").alias("filed"), cap.alias("text"))
-    return N.narrative_terms(t.rounds, texts)
+    line = F.col("l_linenumber")
+    texts = t.lineitem.select(
+        (F.col("l_orderkey") * 10 + line).alias("text_id"),
+        F.when(line % 3 != 0, F.col("l_partkey") % 700).alias("company_id"),
+        F.when(line != 5, F.concat(F.lit("00"), ((F.col("l_suppkey") * 7 + line) % 500).cast("string"))).alias("cik"),
+        F.to_date("l_shipdate").alias("filed"),
+        F.col("l_orderkey").alias("k"),
+    ).withColumn("text", F.expr(_TEXT.replace("'", '"')))
+    rounds = t.rounds.join(t.companies.select("company_id", "cik", "country"), "company_id").withColumn("round_date", F.when(F.col("round_id") % 50 != 7, F.col("round_date")))
+    return N.narrative_terms(rounds, texts)
 
 
 @query(
@@ -165,9 +192,22 @@ def feature_load(t):
     return J.asof(rows, f, "key", "deal_date", "filing_date", ["revenue"], "filing_id", "deal_id").select("deal_id", "failed", "amount", "revenue")
 
 
-@query("bt3_family", "SELECT deal_id, country, stage FROM deals WHERE country = 'UK' AND stage = 'seed'")
+@query(
+    "bt3_family",
+    """WITH d AS (SELECT deal_id, deal_date, country, stage, CASE WHEN deal_date <= DATE '1997-12-31' THEN 'train' ELSE 'test' END AS part FROM deals), f AS (SELECT c.country, s.stage FROM (VALUES ('UK'), ('FR')) c(country), (VALUES ('seed'), ('early_growth')) s(stage)),
+    n AS (SELECT f.country AS fc, f.stage AS fs, count(*) FILTER (part = 'train') >= 120 AND count(*) FILTER (part = 'test') >= 30 AS enough FROM f LEFT JOIN d ON d.country = f.country AND d.stage = f.stage GROUP BY 1, 2)
+    SELECT fc || '_' || fs AS family, part, NOT enough AS pooled, count(*) AS n, min(deal_id) AS first_deal FROM n JOIN d ON NOT enough OR (d.country = fc AND d.stage = fs) GROUP BY 1, 2, 3""",
+)
 def family(t):
-    return N.family(t.deals, "UK", "seed", 30).select("deal_id", "country", "stage")
+    """Families with rows enough to train and test on, and two without any, which take all rows."""
+    cut, out = F.lit("1997-12-31").cast("date"), None
+    for country in ("UK", "FR"):
+        for stage in ("seed", "early_growth"):
+            parts = N.family(t.deals.where(F.col("deal_date") <= cut), t.deals.where(F.col("deal_date") > cut), country, stage)
+            for part, rows in zip(("train", "test"), parts[:2], strict=True):
+                one = rows.groupBy(F.lit(f"{country}_{stage}").alias("family"), F.lit(part).alias("part"), F.lit(parts[2]).alias("pooled")).agg(F.count("*").alias("n"), F.min("deal_id").alias("first_deal"))
+                out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(

@@ -213,12 +213,21 @@ def reconcile(t):
     return truths(t).withColumn("confidence", F.round("confidence", 6))
 
 
-_ROLL = """rolled AS (SELECT entity_id, count(*) FILTER (feature_name IN ('click', 'purchase', 'view')) / 3 AS completeness, avg(confidence) AS confidence, count(*) FILTER (conflict <> 'none') AS conflicts, min(tier) AS tier, max(as_of) AS as_of FROM truth GROUP BY 1),
+#: What the facts' names stand for in a round's truth.
+_FIELDS = {"click": "round_type", "view": "instrument_type", "purchase": "amount_raised", "error": "valuation_cap", "signup": "pre_money_valuation"}
+_INSTRUMENTS = ("SAFE", "Convertible Note", "Common Stock", None)
+_ROLL = """named AS (SELECT *, CASE WHEN entity_id % 4 IN (0, 1) OR entity_id % 7 = 3 THEN ['click', 'view', 'purchase', 'error', 'none'] ELSE ['click', 'view', 'purchase', 'signup', 'none'] END AS needed FROM truth),
+    rolled AS (SELECT entity_id, count(*) FILTER (list_contains(needed, feature_name)) / 5 AS completeness, avg(confidence) AS confidence, count(*) FILTER (conflict <> 'none') AS conflicts, min(tier) AS tier, max(as_of) AS as_of FROM named GROUP BY 1),
     banded AS (SELECT *, CASE WHEN confidence >= 0.8 AND conflicts = 0 AND completeness >= 0.85 THEN 'high' WHEN confidence >= 0.65 AND conflicts <= 1 AND completeness >= 0.6 THEN 'medium' ELSE 'low' END AS band FROM rolled)"""
 
 
 def rolled(t):
-    return T.roll_up(truths(t), "entity_id", "feature_name", ["click", "purchase", "view"])
+    """Truths of rounds under four instruments; some say in the round's type that they convert."""
+    of = lambda table, x: F.create_map(*[F.lit(v) for pair in table.items() for v in pair])[x]
+    k = F.col("entity_id")
+    instrument = F.element_at(F.array(*map(F.lit, _INSTRUMENTS)), (k % 4 + 1).cast("int"))
+    named = truths(t).withColumns({"field": of(_FIELDS, F.col("feature_name")), "needed": T.needed_fields(instrument, F.when(k % 7 == 3, "Bridge note").otherwise("Seed"))})
+    return T.roll_up(named, "entity_id", "field", F.col("needed"))
 
 
 @query("tt6_roll_up", f"WITH {_TRUTH}, {_ROLL} SELECT entity_id, round(completeness, 6) AS completeness, round(confidence, 6) AS confidence, conflicts, tier, as_of, band FROM banded")
@@ -267,10 +276,11 @@ def model_matrix(t):
 
 @query("bt5_train_and_score", None)
 def train_and_score(t):
-    rows = B.matrix(t.deals, ["pre_money", "equity", "amount"], ["sector", "country", "stage"]).join(t.deals.select("deal_id", "deal_date"), "deal_id")
+    rows = B.matrix(t.deals, ["pre_money", "equity", "amount"], ["sector", "country", "stage"]).join(t.deals.select("deal_id", "deal_date", "outcome"), "deal_id")
     cut = F.lit("1997-12-31").cast("date")
     inputs = ["pre_money", "equity", "amount", "sector", "country", "stage"]
-    return B.trained(rows.where(F.col("deal_date") <= cut), rows.where(F.col("deal_date") > cut), inputs, "deal_id")[0].select("deal_id", "failed", "p_failed", "score")
+    known = rows.where(F.col("outcome").isin("failed", "trading"))  # unknown and exited ones teach nothing
+    return B.trained(known.where(F.col("deal_date") <= cut), rows.where(F.col("deal_date") > cut), inputs, "deal_id")[0].select("deal_id", "failed", "p_failed", "score")
 
 
 @query("bt9_baselines", "SELECT deal_id, round(('0x' || substr(md5('42' || deal_id::VARCHAR), 1, 8))::BIGINT / 4294967295.0::DOUBLE * 100, 6) AS random, CASE WHEN has_revenue AND has_institution AND eis_eligible THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS heuristic FROM deals")

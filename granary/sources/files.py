@@ -72,6 +72,26 @@ def joined_filings(main: DataFrame, others: list[DataFrame], key: str, order: st
     return out
 
 
+#: What an issuer's row takes from its submission if it has no such column, and from its offering in any case.
+IF_LACKING = ("filing_date", "submissiontype", "sic_code")
+FROM_OFFERING = ("totalofferingamount", "totalamountsold", "totalremaining", "sale_date", "federalexemptions_items_list", "industrygrouptype")
+
+
+def notice_filings(issuers: DataFrame, submissions: DataFrame, offerings: DataFrame, key: str = "accessionnumber", order: str = "line") -> DataFrame:
+    """Issuers with the columns of their submission and offering, of each the last row of an accession number. A submission's
+    columns fill only columns that issuers lack; an offering's replace those of issuers, empty ones too. Issuers without a number drop out."""
+    out = issuers.where(F.col(key) != "")
+    for other, names, always in ((submissions, IF_LACKING, False), (offerings, FROM_OFFERING, True)):
+        names = [c for c in names if c in other.columns and (always or c not in out.columns)]
+        if not names:
+            continue
+        last = other.where(F.col(key) != "").groupBy(key).agg(F.max_by(F.struct(*names), order).alias("_o"))
+        pick = lambda c: F.when(F.col("_o").isNotNull(), F.col(f"_o.{c}")).otherwise(F.col(c) if c in issuers.columns else F.lit(None)).alias(c)
+        kept = [c for c in out.columns if c not in names]
+        out = out.join(last, key, "left").select(*kept, *[pick(c) for c in names])
+    return out
+
+
 def index_lines(lines: DataFrame, column: str = "value", forms: tuple[str, ...] = FORMS) -> DataFrame:
     """Entries of a form index: the form first, then the name and, from the right, id, date and file."""
     pattern = r"^(\S+(?: \S+)?)\s{2,}(.*\S)\s{2,}(\d+)\s+(\d{4}-?\d{2}-?\d{2})\s+(\S+)\s*$"

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.operators.upserts import keep_last
-
 
 def tumbling(events: DataFrame, width: str, late: str | None = None) -> DataFrame:
     """Counts and sums of each kind of event in windows of one width."""
@@ -34,20 +32,3 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append"
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
-
-
-def upsert_into(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """Keeps at path the last row of each key: every micro-batch is joined to the snapshot before and written as the next
-    snapshot; rows that a restart brings twice change nothing."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        base = f"{path}/v{epoch - 1}"
-        rows = batch
-        if epoch > 0:
-            rows = spark.read.parquet(base).unionByName(batch)
-        keep_last(rows, keys, F.desc(order)).write.mode("overwrite").parquet(f"{path}/v{epoch}")
-
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return q

@@ -136,9 +136,6 @@ def test_streams(spark, tmp_path):
     assert last == {(r.start, r.event_type): (r.n, r.total) for r in E.tumbling(df, "1 hour").collect()}
     keyed = stream().withColumn("dedupe_key", (F.col("event_id") % 4).cast("string"))
     assert E.run_once(E.alerts_once(keyed, "12 hours"), "alerts", str(tmp_path / "c2")).count() == 4
-    E.upsert_into(stream(), str(tmp_path / "snap"), ["user_id"], "event_id", str(tmp_path / "c3"))
-    snap = sorted((tmp_path / "snap").iterdir())[-1]
-    assert sorted((r.user_id, r.event_id) for r in spark.read.parquet(str(snap)).collect()) == [(0, 39), (1, 37), (2, 38)]
 
 
 def test_walk_forward_training_has_precedence(spark):
