@@ -224,20 +224,15 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-_AMOUNT = r"([\d,]+(?:\.\d+)?\s*(?:k|m|b|million|billion)?)"
-_IS = r"(?:\s*(?:of|is|:|=))?\s*"
-_OF = r"(?:\s*(?:of|:|=))?\s*"
-_SHARE = r"(\d{1,2}(?:\.\d+)?)\s*%"
-_DATE = r"([A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})"
 #: Patterns of terms in offering texts (lower case but for dates and names), tried in order.
 TERM_PATTERNS = {
-    "pre_money": (rf"pre[-\s]?money\s+valuation{_IS}\$?\s*{_AMOUNT}",),
-    "post_money": (rf"post[-\s]?money\s+valuation{_IS}\$?\s*{_AMOUNT}",),
-    "valuation_cap": (rf"valuation\s+cap{_OF}\$?\s*{_AMOUNT}",),
-    "discount_rate": (rf"discount(?:\s+rate)?{_OF}{_SHARE}", rf"{_SHARE}\s*discount"),
-    "interest_rate": (rf"interest(?:\s+rate)?{_OF}{_SHARE}", rf"{_SHARE}\s*interest"),
-    "maturity_date": (rf"(?i)matur(?:ity|es?)(?:\s+date)?(?:\s*(?:on|:|=))?\s*{_DATE}",),
-    "liquidation_pref": (r"(\d(?:\.\d+)?)x\s+liquidation\s+preference", rf"liquidation\s+preference{_OF}(\d(?:\.\d+)?)x"),
+    "pre_money": (r"pre[-\s]?money\s+valuation(?:\s*(?:of|is|:|=))?\s*\$?\s*([\d,]+(?:\.\d+)?\s*(?:k|m|b|million|billion)?)",),
+    "post_money": (r"post[-\s]?money\s+valuation(?:\s*(?:of|is|:|=))?\s*\$?\s*([\d,]+(?:\.\d+)?\s*(?:k|m|b|million|billion)?)",),
+    "valuation_cap": (r"valuation\s+cap(?:\s*(?:of|:|=))?\s*\$?\s*([\d,]+(?:\.\d+)?\s*(?:k|m|b|million|billion)?)",),
+    "discount_rate": (r"discount(?:\s+rate)?(?:\s*(?:of|:|=))?\s*(\d{1,2}(?:\.\d+)?)\s*%", r"(\d{1,2}(?:\.\d+)?)\s*%\s*discount",),
+    "interest_rate": (r"interest(?:\s+rate)?(?:\s*(?:of|:|=))?\s*(\d{1,2}(?:\.\d+)?)\s*%", r"(\d{1,2}(?:\.\d+)?)\s*%\s*interest",),
+    "maturity_date": (r"(?i)matur(?:ity|es?)(?:\s+date)?(?:\s*(?:on|:|=))?\s*([A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})",),
+    "liquidation_pref": (r"(\d(?:\.\d+)?)x\s+liquidation\s+preference", r"liquidation\s+preference(?:\s*(?:of|:|=))?\s*(\d(?:\.\d+)?)x",),
     "lead_investor": (r"(?:led\s+by|lead\s+investor[:\s])\s*([A-Z][A-Za-z0-9&.,' -]{2,60})",),
 }
 #: Patterns of terms in filings of notes.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.graph import checkpoints
+
 from granary.operators.windows import capped
 
 #: Metric, comparison, threshold, whether it must pass.
@@ -63,22 +65,6 @@ def matrix(deals: DataFrame, numeric: list[str], categorical: list[str]) -> Data
     return deals.select("deal_id", "failed", *[F.when(some, F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in numeric], *[F.pmod(F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary")), F.lit(100000)).cast("double").alias(c) for c in categorical])
 
 
-def train_and_score(train: DataFrame, test: DataFrame, inputs: list[str], label: str = "failed") -> DataFrame:
-    """Gradient-boosted trees with inverse-frequency weights of at most ten; test rows with p_failed and score."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    share = train.agg(F.avg(label)).first()[0] or 0.5
-    share = min(max(share, 1e-6), 1 - 1e-6)
-    weighted = train.withColumn("_w", F.least(F.lit(10.0), F.when(F.col(label) == 1, 0.5 / share).otherwise(0.5 / (1 - share))))
-    vectors = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep")
-    filled = lambda df: vectors.transform(df.fillna(0.0, inputs))
-    model = GBTClassifier(labelCol=label, featuresCol="_x", weightCol="_w", maxIter=10, maxDepth=3, seed=42).fit(filled(weighted))
-    p = vector_to_array("probability")[1]
-    return model.transform(filled(test)).withColumn("p_failed", p).withColumn("score", (1 - F.col("p_failed")) * 100).drop("_x", "rawPrediction", "probability", "prediction")
-
-
 #: Rows from which on probabilities are calibrated, and by an isotonic fit instead of a sigmoid.
 LEAST_CALIBRATED, LEAST_ISOTONIC = 120, 500
 FOLDS = 3
@@ -146,26 +132,37 @@ def trained(train: DataFrame, test: DataFrame, inputs: list[str], key: str, labe
     return scored.withColumn("p_failed", F.col(f"_{best}")).withColumn("score", (1 - F.col("p_failed")) * 100).drop(*[f"_{x}" for x in names]), best, areas
 
 
-def progress_model(train: DataFrame, test: DataFrame, inputs: list[str], label: str, least_train: int = 30, least_test: int = 10) -> DataFrame | None:
-    """train_and_score() for progress labels; None with too few rows or one class."""
+def progress_model(train: DataFrame, test: DataFrame, inputs: list[str], key: str, label: str, least_train: int = 30, least_test: int = 10) -> DataFrame | None:
+    """trained() for progress labels; None with too few rows or one class."""
     counts = train.agg(F.count(label).alias("n"), F.min(label).alias("a"), F.max(label).alias("b")).first()
     if counts.n < least_train or counts.a == counts.b or test.limit(least_test).count() < least_test:
         return None
-    return train_and_score(train, test, inputs, label)
+    return trained(train, test, inputs, key, label)[0]
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their rank from 0 by an order that has no ties, sorted by ranges: each partition counts its own rows and begins after those
+    of the partitions before it. One number for each partition comes to the driver."""
+    checkpoints(rows.sparkSession)
+    place = F.monotonically_increasing_id()  # partition and place in it, in 33 bits
+    held = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    starts, before = [], 0
+    for r in held.groupBy("_part").agg(F.max("_at").alias("most")).orderBy("_part").collect():
+        starts.append((r["_part"], before))
+        before += r.most + 1
+    begins = rows.sparkSession.createDataFrame(starts, "_part long, _from long")
+    return held.join(F.broadcast(begins), "_part").withColumn(name, F.col("_at") + F.col("_from")).drop("_part", "_at", "_from")
+
+
+def permuted(rows: DataFrame, column: str, key: str, seed: int) -> DataFrame:
+    """rows with the values of one column dealt out anew: two hashed orders of the rows, joined by rank."""
+    order = lambda salt: [F.xxhash64(F.lit(salt), key), F.col(key)]
+    values = ranked(rows.select(key, column), order(seed), "_rank").select("_rank", F.col(column).alias("_value"))
+    mixed = ranked(rows, order(-seed - 1), "_rank").join(values, "_rank")
+    return mixed.withColumn(column, F.col("_value")).select(*rows.columns)
 
 
 def permutation_importance(score, rows: DataFrame, inputs: list[str], key: str, repeats: int = 5, seed: int = 42) -> dict[str, float]:
-    """How much score(rows), a number, falls on average when one input is shuffled: its values are dealt out anew by two
-    hashed orders of the rows, joined by rank. It is for test sets, which are sorted in one task."""
-    from pyspark.sql import Window as W
-
-    base, out = score(rows), {}
-    ranked = lambda df, salt: df.withColumn("_o", F.xxhash64(F.lit(salt), key)).withColumn("_r", F.row_number().over(W.orderBy("_o", key)))
-    for column in inputs:
-        drops = []
-        for i in range(repeats):
-            values = ranked(rows.select(key, column), seed + i).select("_r", F.col(column).alias("_v"))
-            mixed = ranked(rows, -seed - i - 1).join(values, "_r").withColumn(column, F.col("_v")).drop("_r", "_v", "_o")
-            drops.append(base - score(mixed))
-        out[column] = sum(drops) / repeats
-    return out
+    """How much score(rows), a number, falls on average when one input is permuted."""
+    base = score(rows)
+    return {c: sum(base - score(permuted(rows, c, key, seed + i)) for i in range(repeats)) / repeats for c in inputs}

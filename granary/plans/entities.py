@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.parsing import investor_name, normalized_name
 from granary.operators.containment import by_name
-from granary.operators.graph import components
+from granary.operators.graph import checkpoints, components
 
 
 def resolve(rows: DataFrame, order: str, source: str, source_id: str, name: str, country: str) -> DataFrame:
@@ -60,10 +60,48 @@ def fuzzy_clusters(rows: DataFrame, key: str, name: str, block: list[str], least
 
 def merged(facts: DataFrame, roots: DataFrame, key: str, drop: bool) -> DataFrame:
     """Facts after a merge: those of merged entities point to the entity that stays, or go if drop."""
-    gone = roots.where("id <> root").select(F.col("id").alias(key), "root")
+    gone = roots.where("id <> root").select(F.col("id").alias(key), F.col("root").alias("_root"))
     if drop:
-        return facts.join(gone, key, "left_anti")
-    return facts.join(gone, key, "left").withColumn(key, F.coalesce("root", F.col(key))).drop("root")
+        return facts.join(gone, key, "left_anti").select(*facts.columns)
+    return facts.join(gone, key, "left").withColumn(key, F.coalesce("_root", F.col(key))).select(*facts.columns)
+
+
+#: Tables whose rows of a merged entity go, and those whose rows move to the one that stays.
+DROPPING, MOVING = ("feature_store", "backtest_holdout"), ("entity_links", "companies", "evaluations", "investments", "anti_portfolio", "deal_funnel")
+
+
+def resolved(merges: DataFrame, keep: str = "keep_id", merge: str = "merge_id") -> DataFrame:
+    """(id, root) of merged entities with chains followed to their end: each round every id jumps to where its target goes, so a
+    chain of n takes log n rounds. Of several targets of one id the least counts; a circle raises."""
+    links = merges.where(f"{keep} <> {merge}").groupBy(F.col(merge).alias("id")).agg(F.min(keep).alias("root")).checkpoint()
+    for _ in range(64):
+        ahead = links.select(F.col("id").alias("root"), F.col("root").alias("_next"))
+        step = links.join(ahead, "root", "left").select("id", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")).checkpoint()
+        if step.where("id = root").limit(1).count():
+            raise ValueError("merges go round in a circle")
+        links = step.drop("_moved")
+        if not step.where("_moved").limit(1).count():
+            return links
+    raise ValueError("merges go round in a circle")
+
+
+def merged_tables(tables: dict[str, DataFrame], merges: DataFrame, key: str = "entity_id") -> dict[str, DataFrame]:
+    """All tables after the merges: DROPPING ones lose the rows of merged entities, MOVING ones point to the entity that stays, and
+    canonical_entities (by id) loses the merged ones. Other tables stay as they are."""
+    checkpoints(merges.sparkSession)
+    roots, out = resolved(merges), dict(tables)
+    for name in DROPPING + MOVING:
+        if name in tables:
+            out[name] = merged(tables[name], roots, key, name in DROPPING)
+    if "canonical_entities" in tables:
+        out["canonical_entities"] = tables["canonical_entities"].join(roots.select("id"), "id", "left_anti")
+    return out
+
+
+def left_over(tables: dict[str, DataFrame], merges: DataFrame, key: str = "entity_id") -> dict[str, int]:
+    """How many rows of each table still name a merged entity; all 0 after merged_tables()."""
+    gone = merges.select(F.col("merge_id").alias("_id")).distinct()
+    return {name: df.join(gone, df[key if key in df.columns else "id"] == gone["_id"], "left_semi").count() for name, df in tables.items()}
 
 
 def grade(f1):

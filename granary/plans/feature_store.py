@@ -10,18 +10,57 @@ from granary.operators.aggregates import pivot_facts
 from granary.operators.upserts import upsert
 from granary.operators.windows import first_by
 
-#: Families and features by type.
-REGISTRY: dict[str, dict[str, str]] = {
-    "campaign": {"numeric": "funding_target amount_raised overfunding_ratio equity_offered_pct pre_money_valuation investor_count funding_velocity_days", "boolean": "eis_seis_eligible", "categorical": "platform"},
-    "company": {"numeric": "company_age_months employee_count revenue_at_raise revenue_growth_rate total_prior_funding", "boolean": "pre_revenue prior_vc_backing", "categorical": "sector revenue_model_type country"},
-    "team": {"numeric": "founder_count domain_experience_years", "boolean": "prior_exits accelerator_alumni"},
-    "financial": {"numeric": "total_assets total_debt debt_to_asset_ratio cash_position burn_rate_monthly gross_margin"},
-    "terms": {"numeric": "valuation_cap discount_rate liquidation_pref_multiple seniority_position", "boolean": "mfn_clause pro_rata_rights qualified_institutional", "categorical": "instrument_type liquidation_participation"},
-    "regulatory": {"numeric": "charges_count director_disqualifications", "boolean": "accounts_overdue", "categorical": "company_status"},
-    "market_regime": {"numeric": "ecf_quarterly_volume", "categorical": "interest_rate_regime equity_market_regime"},
-    "evidence": {"numeric": "data_source_count field_completeness_ratio"},
-}
-FEATURES = {name: (family, kind) for family, kinds in REGISTRY.items() for kind, names in kinds.items() for name in names.split()}
+#: Each feature's family and type.
+REGISTRY = (
+    ("funding_target", "campaign", "numeric"),
+    ("amount_raised", "campaign", "numeric"),
+    ("overfunding_ratio", "campaign", "numeric"),
+    ("equity_offered_pct", "campaign", "numeric"),
+    ("pre_money_valuation", "campaign", "numeric"),
+    ("investor_count", "campaign", "numeric"),
+    ("funding_velocity_days", "campaign", "numeric"),
+    ("eis_seis_eligible", "campaign", "boolean"),
+    ("platform", "campaign", "categorical"),
+    ("company_age_months", "company", "numeric"),
+    ("employee_count", "company", "numeric"),
+    ("revenue_at_raise", "company", "numeric"),
+    ("revenue_growth_rate", "company", "numeric"),
+    ("total_prior_funding", "company", "numeric"),
+    ("pre_revenue", "company", "boolean"),
+    ("prior_vc_backing", "company", "boolean"),
+    ("sector", "company", "categorical"),
+    ("revenue_model_type", "company", "categorical"),
+    ("country", "company", "categorical"),
+    ("founder_count", "team", "numeric"),
+    ("domain_experience_years", "team", "numeric"),
+    ("prior_exits", "team", "boolean"),
+    ("accelerator_alumni", "team", "boolean"),
+    ("total_assets", "financial", "numeric"),
+    ("total_debt", "financial", "numeric"),
+    ("debt_to_asset_ratio", "financial", "numeric"),
+    ("cash_position", "financial", "numeric"),
+    ("burn_rate_monthly", "financial", "numeric"),
+    ("gross_margin", "financial", "numeric"),
+    ("valuation_cap", "terms", "numeric"),
+    ("discount_rate", "terms", "numeric"),
+    ("liquidation_pref_multiple", "terms", "numeric"),
+    ("seniority_position", "terms", "numeric"),
+    ("mfn_clause", "terms", "boolean"),
+    ("pro_rata_rights", "terms", "boolean"),
+    ("qualified_institutional", "terms", "boolean"),
+    ("instrument_type", "terms", "categorical"),
+    ("liquidation_participation", "terms", "categorical"),
+    ("charges_count", "regulatory", "numeric"),
+    ("director_disqualifications", "regulatory", "numeric"),
+    ("accounts_overdue", "regulatory", "boolean"),
+    ("company_status", "regulatory", "categorical"),
+    ("ecf_quarterly_volume", "market_regime", "numeric"),
+    ("interest_rate_regime", "market_regime", "categorical"),
+    ("equity_market_regime", "market_regime", "categorical"),
+    ("data_source_count", "evidence", "numeric"),
+    ("field_completeness_ratio", "evidence", "numeric"),
+)
+FEATURES = {name: (family, kind) for name, family, kind in REGISTRY}
 
 
 def typed(value: Column, kind: str) -> Column:

@@ -15,44 +15,15 @@ from pyspark.sql import functions as F
 FORMS = ("C", "C-U", "C/A", "C-U/A", "C-AR", "C-AR/A", "C-TR")
 
 
-def decoded(raw: bytes) -> str:
-    """UTF-8, else Latin-1."""
-    try:
-        return raw.decode("utf-8-sig")
-    except UnicodeDecodeError:
-        return raw.decode("latin-1")
-
-
 def tidy(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
 
 
 def zipped_tsv(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """Rows of the members whose names end in `member` (any case) of zip files, as (file, line, cells): cells maps
-    upper-case column names to trimmed texts, "" for missing ones. Each archive is one task."""
-    low = member.lower()
+    """(file, line, cells) of the members whose names end in `member` (any case) of zip files, as zipped_lines() reads them."""
+    from granary.sources.archives import zipped_lines
 
-    def rows(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in files:
-            for where, raw in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for name in z.namelist():
-                        if not name.lower().endswith(low):
-                            continue
-                        lines = decoded(z.read(name)).splitlines()
-                        head = [c.strip().upper() for c in lines[0].split("\t")] if lines else []
-                        made = []
-                        for i, line in enumerate(lines[1:]):
-                            cells = [c.strip() for c in line.split("\t")]
-                            made.append((where, i, dict(zip(head, [*cells, *[""] * len(head)], strict=False))))
-                            if len(made) == 10_000:
-                                yield pd.DataFrame(made, columns=["file", "line", "cells"])
-                                made = []
-                        if made:
-                            yield pd.DataFrame(made, columns=["file", "line", "cells"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(rows, "file string, line long, cells map<string,string>")
+    return zipped_lines(spark, path, member).select("file", "line", "cells")
 
 
 def cells(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -110,38 +81,123 @@ def csv_by_synonyms(spark: SparkSession, path: str, synonyms: dict[str, tuple[st
     return raw.select(*[pick(names).alias(k) for k, names in synonyms.items()])
 
 
-#: Columns of four published datasets (tidy names) by the name that they get here.
+#: The columns of four published datasets (tidy names) and the names that they get here.
 DATASETS = {
     "walthoff_borm": {
-        "name": "company_name company", "platform": "platform", "campaign_date": "campaign_date", "campaign_year": "campaign_year", "amount_raised": "amount_raised", "funding_target": "target funding_target", "equity_offered": "equity_offered equity_offered_pct",
-        "pre_money_valuation": "pre_money_valuation valuation", "investor_count": "investor_count investors", "outcome": "outcome status", "outcome_date": "outcome_date", "sector": "sector industry", "country": "country", "company_age_at_raise_months": "age_months company_age",
-        "had_revenue": "had_revenue has_revenue", "revenue_at_raise": "revenue_at_raise", "eis_seis_eligible": "eis_eligible seis_eligible", "founder_count": "founder_count founders", "founder_prior_exits": "prior_exits founder_prior_exits",
-        "accelerator_alumni": "accelerator accelerator_alumni", "overfunding_ratio": "overfunding_ratio",
+        "company_name": "name",
+        "company": "name",
+        "platform": "platform",
+        "campaign_date": "campaign_date",
+        "campaign_year": "campaign_year",
+        "amount_raised": "amount_raised",
+        "target": "funding_target",
+        "funding_target": "funding_target",
+        "equity_offered": "equity_offered",
+        "equity_offered_pct": "equity_offered",
+        "pre_money_valuation": "pre_money_valuation",
+        "valuation": "pre_money_valuation",
+        "investor_count": "investor_count",
+        "investors": "investor_count",
+        "outcome": "outcome",
+        "status": "outcome",
+        "outcome_date": "outcome_date",
+        "sector": "sector",
+        "industry": "sector",
+        "country": "country",
+        "age_months": "company_age_at_raise_months",
+        "company_age": "company_age_at_raise_months",
+        "had_revenue": "had_revenue",
+        "has_revenue": "had_revenue",
+        "revenue_at_raise": "revenue_at_raise",
+        "eis_eligible": "eis_seis_eligible",
+        "seis_eligible": "eis_seis_eligible",
+        "founder_count": "founder_count",
+        "founders": "founder_count",
+        "prior_exits": "founder_prior_exits",
+        "founder_prior_exits": "founder_prior_exits",
+        "accelerator": "accelerator_alumni",
+        "accelerator_alumni": "accelerator_alumni",
+        "overfunding_ratio": "overfunding_ratio",
     },
     "signori_vismara": {
-        "name": "company_name firm_name", "platform": "platform", "campaign_date": "campaign_date", "campaign_year": "year", "amount_raised": "amount_raised raised_eur", "funding_target": "target_eur funding_target", "equity_offered": "equity_pct", "pre_money_valuation": "pre_money_eur",
-        "investor_count": "investors n_investors", "outcome": "outcome status", "sector": "sector", "country": "country", "company_age_at_raise_months": "age_at_campaign", "revenue_at_raise": "revenue_at_raise", "had_revenue": "has_revenue",
+        "company_name": "name",
+        "firm_name": "name",
+        "platform": "platform",
+        "campaign_date": "campaign_date",
+        "year": "campaign_year",
+        "amount_raised": "amount_raised",
+        "raised_eur": "amount_raised",
+        "target_eur": "funding_target",
+        "funding_target": "funding_target",
+        "equity_pct": "equity_offered",
+        "pre_money_eur": "pre_money_valuation",
+        "investors": "investor_count",
+        "n_investors": "investor_count",
+        "outcome": "outcome",
+        "status": "outcome",
+        "sector": "sector",
+        "country": "country",
+        "age_at_campaign": "company_age_at_raise_months",
+        "revenue_at_raise": "revenue_at_raise",
+        "has_revenue": "had_revenue",
     },
     "kleinert": {
-        "name": "company_name startup_name", "platform": "platform", "campaign_date": "campaign_date", "campaign_year": "year", "amount_raised": "amount_raised raised_eur", "funding_target": "funding_goal target_eur", "equity_offered": "equity_pct", "pre_money_valuation": "valuation_eur",
-        "investor_count": "investors", "outcome": "outcome", "failure_flag": "failure", "sector": "sector industry", "country": "country", "company_age_at_raise_months": "age_months", "founder_count": "team_size", "founder_domain_experience_years": "experience_years",
+        "company_name": "name",
+        "startup_name": "name",
+        "platform": "platform",
+        "campaign_date": "campaign_date",
+        "year": "campaign_year",
+        "amount_raised": "amount_raised",
+        "raised_eur": "amount_raised",
+        "funding_goal": "funding_target",
+        "target_eur": "funding_target",
+        "equity_pct": "equity_offered",
+        "valuation_eur": "pre_money_valuation",
+        "investors": "investor_count",
+        "outcome": "outcome",
+        "failure": "failure_flag",
+        "sector": "sector",
+        "industry": "sector",
+        "country": "country",
+        "age_months": "company_age_at_raise_months",
+        "team_size": "founder_count",
+        "experience_years": "founder_domain_experience_years",
     },
     "kingscrowd": {
-        "name": "company_name company", "platform": "platform", "campaign_date": "campaign_date date", "amount_raised": "amount_raised total_raised", "funding_target": "funding_target goal", "pre_money_valuation": "valuation pre_money_valuation", "investor_count": "investor_count investors",
-        "outcome": "outcome", "kingscrowd_rating": "rating", "sector": "sector category", "country": "country", "revenue_at_raise": "revenue", "had_revenue": "has_revenue", "revenue_model": "revenue_model",
+        "company_name": "name",
+        "company": "name",
+        "platform": "platform",
+        "campaign_date": "campaign_date",
+        "date": "campaign_date",
+        "amount_raised": "amount_raised",
+        "total_raised": "amount_raised",
+        "funding_target": "funding_target",
+        "goal": "funding_target",
+        "valuation": "pre_money_valuation",
+        "pre_money_valuation": "pre_money_valuation",
+        "investor_count": "investor_count",
+        "investors": "investor_count",
+        "outcome": "outcome",
+        "rating": "kingscrowd_rating",
+        "sector": "sector",
+        "category": "sector",
+        "country": "country",
+        "revenue": "revenue_at_raise",
+        "has_revenue": "had_revenue",
+        "revenue_model": "revenue_model",
     },
-}
+}
 
 
 def dataset(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The columns of a published dataset's CSV under the names used here, as strings; of columns that get one name the first
     in the file stays, others keep their tidy names, names that the file lacks are null."""
-    known = {alias: column for column, aliases in DATASETS[name].items() for alias in aliases.split()}
+    known = DATASETS[name]
     raw = spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False)
     found: dict[str, str] = {}
     for c in raw.columns:
         found.setdefault(known.get(tidy(c), tidy(c)), c)
-    lacking = [c for c in DATASETS[name] if c not in found]
+    lacking = [c for c in dict.fromkeys(known.values()) if c not in found]
     return raw.select(*[F.col(f"`{c}`").alias(k) for k, c in found.items()], *[F.lit(None).cast("string").alias(c) for c in lacking])
 
 

@@ -156,12 +156,12 @@ def test_archives_and_signals(spark, tmp_path):
 def test_models(spark):
     rows = [(i, int(i % 4 == 0), float(i % 4), float(i * 7 % 10)) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, y int, a double, b double")
-    scored = B.train_and_score(df.where("id < 300"), df.where("id >= 300"), ["a", "b"], "y")
+    scored = B.trained(df.where("id < 300"), df.where("id >= 300"), ["a", "b"], "id", "y", calibrate=False)[0]
     area = lambda d: A.auc(d.withColumn("s", -F.col("a") + 0 * F.col("b")), "y", "s").first().auc
     assert A.auc(scored, "y", "p_failed").first().auc == 1.0 and {c for c in ("p_failed", "score")} <= set(scored.columns)
     fall = B.permutation_importance(area, df, ["a", "b"], "id", repeats=2)
     assert fall["a"] > 0.2 and fall["b"] == 0.0
-    assert B.progress_model(df.where("y = 1"), df, ["a"], "y") is None
+    assert B.progress_model(df.where("y = 1"), df, ["a"], "id", "y") is None
 
 
 def test_tree_json_scores_like_the_model(spark):
