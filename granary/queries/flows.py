@@ -11,7 +11,9 @@ from granary.operators import windows as V
 from granary.plans import backtest as B
 from granary.plans import entities as E
 from granary.plans import inference as I
+from granary.plans import labels as L
 from granary.plans import pilot as P
+from granary.plans import runs as H
 from granary.plans import scoring as R
 from granary.plans import spine as N
 from granary.queries.analytics import WINDOWS
@@ -85,11 +87,22 @@ def cross_reference(t):
     return N.cross_referenced(first, t.filings.where("form_type = 'C-TR'"), t.companies.where("outcome = 'exited'").select("company_id"), "2001-06-01")
 
 
-@query("lb3_rebuild", "SELECT company_id, CASE WHEN outcome = 'unknown' AND n >= 5 THEN 'trading' ELSE outcome END AS outcome, CASE WHEN outcome = 'unknown' AND n >= 5 THEN 3 WHEN outcome = 'unknown' THEN NULL ELSE 2 END::INTEGER AS tier FROM (SELECT c.company_id, c.outcome, count(r.round_id) AS n FROM companies c LEFT JOIN rounds r ON r.company_id = c.company_id GROUP BY 1, 2)")
+_STATUS = ("active", "Dissolved", "liquidation", "open", None)
+
+
+@query(
+    "lb3_rebuild",
+    """WITH c AS (SELECT company_id, CASE company_id % 3 WHEN 0 THEN 'companies_house' WHEN 1 THEN 'sec_dera_cf' ELSE 'academic' END AS source, CASE company_id % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'dissolved' WHEN 2 THEN 'liquidation' WHEN 3 THEN 'open' ELSE 'unknown' END AS status,
+        outcome, (1 + company_id % 4)::INTEGER AS tier FROM companies),
+    n AS (SELECT *, CASE WHEN source <> 'companies_house' THEN outcome WHEN status IN ('dissolved', 'liquidation') THEN 'failed' WHEN status = 'active' THEN 'trading' ELSE 'unknown' END AS new FROM c)
+    SELECT company_id, new AS outcome, CASE WHEN source <> 'companies_house' THEN 'old' ELSE status END AS detail,
+        CASE WHEN new = 'unknown' THEN 3 WHEN source = 'companies_house' AND new IN ('failed', 'trading') THEN 1 WHEN source = 'sec_dera_cf' AND new = 'failed' THEN 1 WHEN source = 'sec_dera_cf' AND new = 'trading' AND tier > 2 THEN 2 ELSE tier END::INTEGER AS tier FROM n""",
+)
 def rebuild(t):
-    n = t.companies.select("company_id", "outcome").join(t.rounds.groupBy("company_id").agg(F.count("*").alias("n")), "company_id", "left")
-    late = (F.col("outcome") == "unknown") & (F.coalesce("n", F.lit(0)) >= 5)
-    return n.select("company_id", F.when(late, "trading").otherwise(F.col("outcome")).alias("outcome"), F.when(late, 3).when(F.col("outcome") != "unknown", 2).alias("tier"))
+    k = F.col("company_id")
+    source = F.when(k % 3 == 0, "companies_house").when(k % 3 == 1, "sec_dera_cf").otherwise("academic")
+    firms = t.companies.select("company_id", source.alias("source"), F.element_at(F.array(*map(F.lit, _STATUS)), (k % 5 + 1).cast("int")).alias("status"))
+    return L.rebuilt(t.companies.select("company_id", "outcome", F.lit("old").alias("detail"), (k % 4 + 1).cast("int").alias("tier")), firms)
 
 
 @query("er4_bulk_create", "SELECT id, country FROM (SELECT company_id % 70 AS id, country, company_id, row_number() OVER (PARTITION BY company_id % 70 ORDER BY company_id) AS r FROM companies) WHERE r = 1 AND id >= 20 UNION ALL SELECT i AS id, 'known' FROM range(20) t(i)")
@@ -231,8 +244,34 @@ def open_signals(t):
     return t.companies.select("company_id", names, F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("confidence"))
 
 
-@query("bt14_backtest_report", None)
-def backtest_report(t):
+_RUNS = """g AS (SELECT sector, country, year(deal_date) AS y, count(*) AS n, avg(score) / 75 AS auc, avg(failed) / 3 AS ece, round(avg(failed), 6) AS rate FROM deals GROUP BY 1, 2, 3),
+    runs AS (SELECT country || '_' || sector AS family, y::BIGINT AS y, round(auc, 6) AS survival_auc, round(ece, 6) AS calibration_ece, auc >= 0.65 AND ece < 0.08 AS all_passed, make_timestamp(2000 + y, 1 + (n % 12)::BIGINT, 1, 0, 0, 0.0::DOUBLE) AS run_date FROM g)"""
+
+
+def logged_runs(t):
+    """A run for each family (country and sector) and test year, in the shape of the run log."""
+    g = t.deals.groupBy("sector", "country", F.year("deal_date").alias("y")).agg(F.count("*").alias("n"), (F.avg("score") / 75).alias("auc"), (F.avg("failed") / 3).alias("ece"))
+    metrics = F.create_map(F.lit("survival_auc"), F.round("auc", 6), F.lit("calibration_ece"), F.round("ece", 6))
+    verdicts = F.create_map(F.lit("survival_auc"), F.col("auc") >= 0.65, F.lit("calibration_ece"), F.col("ece") < 0.08)
+    made = g.select(
+        F.concat_ws("_", "country", "sector").alias("model_family"), F.lit("2001-06-01").cast("date").alias("data_snapshot_date"), F.lit("all before").alias("train_window"), F.col("y").cast("string").alias("test_window"), F.array(F.lit("score")).alias("features_active"), F.array().cast("array<string>").alias("alt_data_signals"),
+        metrics.alias("metrics"), verdicts.alias("pass_fail"), ((F.col("auc") >= 0.65) & (F.col("ece") < 0.08)).alias("all_passed"), F.make_timestamp(F.col("y") + 2000, F.col("n") % 12 + 1, F.lit(1), F.lit(0), F.lit(0), F.lit(0.0)).alias("run_date"),
+    )
+    return made.withColumn("run_id", H.run_key())
+
+
+@query("bt12_latest_runs", f"WITH {_RUNS} SELECT family, y, survival_auc, calibration_ece, all_passed, rank FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY run_date DESC)::INTEGER AS rank FROM runs) WHERE rank <= 3")
+def latest_runs(t):
+    m = F.col("metrics")
+    return H.latest(logged_runs(t), ["model_family"], 3).select(F.col("model_family").alias("family"), F.col("test_window").cast("long").alias("y"), m["survival_auc"].alias("survival_auc"), m["calibration_ece"].alias("calibration_ece"), "all_passed", "rank")
+
+
+@query("bt12_passing_runs", f"WITH {_RUNS} SELECT family, y, rank FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY run_date DESC)::INTEGER AS rank FROM runs WHERE all_passed) WHERE rank <= 1")
+def passing_runs(t):
+    return H.latest(logged_runs(t), ["model_family"], 1, passing=True).select(F.col("model_family").alias("family"), F.col("test_window").cast("long").alias("y"), "rank")
+
+
+def evidence(t):
     """All windows: AUC, calibration error, portfolio against a random one, and the gates, in one table."""
     rows = tested(t).withColumns({"p": 1 - F.col("score") / 100, "random": B.seeded(F.col("deal_id"), "42")})
     by = ["window"]
@@ -244,6 +283,17 @@ def backtest_report(t):
     return B.gated(m, by)
 
 
+@query("bt14_backtest_report", None)
+def backtest_report(t):
+    return evidence(t)
+
+
+def backtest_loop(t, path: str, family: str = "pooled", snapshot: str = "2001-06-01") -> int:
+    """The whole loop: windows are measured and gated, and each window's run is put into the log at path, unless it is there; the
+    number of runs that are new."""
+    return H.record(H.from_gates(evidence(t), "window", family, ["score"], snapshot), path)
+
+
 _MODEL = {
     "inputs": ["pre_money", "equity", "score"], "learning_rate": 0.5, "baseline": -0.5, "calibration": {"x": [0.2, 0.5, 0.8], "y": [0.1, 0.5, 0.95]},
     "trees": [

@@ -174,6 +174,37 @@ def merge_entities(t):
     return kept.unionByName(E.merged(f, roots, "entity_id", True).select("fact_id", "entity_id", F.lit(True).alias("dropped")))
 
 
+_MERGES = "chain AS (SELECT company_id AS id, company_id - company_id % 4 AS root FROM companies WHERE company_id % 4 <> 0 AND company_id % 5 <> 4)"
+_MOVED = {
+    "feature_store": ("facts", "entity_id", True), "backtest_holdout": ("deals", "company_id", True), "entity_links": ("filings", "company_id", False), "companies": ("companies", "company_id", False),
+    "evaluations": ("deals", "company_id", False), "investments": ("rounds", "company_id", False), "anti_portfolio": ("deals", "company_id", False), "deal_funnel": ("facts", "entity_id", False), "canonical_entities": ("companies", "company_id", True),
+}
+
+
+def merges(t):
+    """Chains of up to three: 3 into 2 into 1 into 0, broken where a link is missing."""
+    k = F.col("company_id")
+    pairs = t.companies.where((k % 4 != 0) & (k % 5 != 4)).select(k.alias("merge_id"))
+    # a chain may only go over ids that are merged themselves; others point to its beginning at once
+    before = F.col("merge_id") - 1
+    linked = (before % 4 != 0) & (before % 5 != 4)
+    return pairs.select("merge_id", F.when(linked, before).otherwise(F.col("merge_id") - F.col("merge_id") % 4).alias("keep_id"))
+
+
+@query(
+    "er6_merge_tables",
+    f"WITH {_MERGES} " + " UNION ALL ".join(f"SELECT '{name}' AS name, {f'{key}' if gone else f'coalesce(root, {key})'} AS entity_id, count(*) AS n FROM {table} LEFT JOIN chain ON id = {key} {'WHERE root IS NULL' if gone else ''} GROUP BY 1, 2" for name, (table, key, gone) in _MOVED.items()),
+)
+def merge_tables(t):
+    """Rows of each entity in nine tables after merges by chains, counted."""
+    tables = {name: getattr(t, table).withColumnRenamed(key, "id" if name == "canonical_entities" else "entity_id") for name, (table, key, _) in _MOVED.items()}
+    out = None
+    for name, df in E.merged_tables(tables, merges(t)).items():
+        part = df.groupBy(F.lit(name).alias("name"), F.col("id" if name == "canonical_entities" else "entity_id").alias("entity_id")).agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("er7_validation", "WITH c AS (SELECT country, count(*) FILTER (company_id % 7 <> 0 AND company_id % 5 <> 0) AS tp, count(*) FILTER (company_id % 7 = 0 AND company_id % 5 <> 0) AS fn, count(*) FILTER (company_id % 7 <> 0 AND company_id % 5 = 0) AS fp FROM companies GROUP BY 1), f AS (SELECT country, tp / (tp + fp) AS p, tp / (tp + fn) AS r FROM c) SELECT country, round(2 * p * r / (p + r), 6) AS f1, CASE WHEN 2 * p * r / (p + r) >= 0.95 THEN 'excellent' WHEN 2 * p * r / (p + r) >= 0.85 THEN 'good' WHEN 2 * p * r / (p + r) >= 0.7 THEN 'fair' ELSE 'poor' END AS grade FROM f")
 def validation(t):
     from granary.operators.aggregates import precision_recall
