@@ -26,6 +26,64 @@ def cohort_levels(targets: DataFrame, pool: DataFrame, target_id: str, least: in
     return found.withColumn("_r", F.row_number().over(W.partitionBy(target_id).orderBy("level"))).where("_r = 1").drop("_r")
 
 
+#: Rows that a cohort has at least, of outcomes or of prices.
+LEAST = 20
+
+
+def lattice(rows: DataFrame, measures: list[Column]) -> DataFrame:
+    """Measures of every cohort in one pass of grouping sets: by sector, country and stage in any mixture that a target can ask for. _g says
+    which of the three are left open (4 sector, 2 country, 1 stage)."""
+    a, b, c = F.col("sector"), F.col("country"), F.col("stage")
+    sets = [[a, b, c], [a, b], [a, c], [a], [b, c], [b], [c], []]
+    return rows.groupingSets(sets, a, b, c).agg(*measures, F.grouping_id().alias("_g"))
+
+
+def attempts() -> Column:
+    """The cohorts that a target asks for, from narrow to wide: (level, _g, sector, country, stage), those of a column that it lacks left
+    out. A stage, where there is one, is asked for on all levels but the last."""
+    none, stage = F.lit(None).cast("string"), F.col("stage")
+    open_stage = stage.isNull().cast("int")
+    one = lambda level, g, s, c, st: F.struct(F.lit(level).alias("level"), g.cast("int").alias("_g"), s.alias("sector"), c.alias("country"), st.alias("stage"))
+    made = [
+        F.when(F.col("sector").isNotNull() & F.col("country").isNotNull(), one(1, open_stage, F.col("sector"), F.col("country"), stage)),
+        F.when(F.col("sector").isNotNull(), one(2, 2 + open_stage, F.col("sector"), none, stage)),
+        F.when(F.col("country").isNotNull(), one(3, 4 + open_stage, none, F.col("country"), stage)),
+        F.when(stage.isNotNull(), one(4, F.lit(6), none, none, stage)),
+        one(5, F.lit(7), none, none, none),
+    ]
+    return F.filter(F.array(*made), lambda x: x.isNotNull())
+
+
+def comparables(targets: DataFrame, outcomes: DataFrame, prices: DataFrame, target_id: str, least: int = LEAST, exact: bool = True) -> DataFrame:
+    """For each target (sector, country, stage, each may be null) the narrowest cohort with `least` outcomes or `least` prices, and its figures.
+
+    outcomes have failed and amount, prices have price, revenue, amount, tier and weight. Both are summed up for all cohorts in one
+    pass each; a target only looks up its five. Medians are exact, in memory that grows with a cohort's distinct values; with
+    exact=False they come from mergeable sketches."""
+    middle = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, F.lit(10_000)))
+    ratio = lambda a, b: F.when((F.col(a) > 0) & (F.col(b) > 0), F.col(a) / F.col(b))
+    by_outcome = lattice(outcomes, [F.count("*").alias("outcome_n"), F.avg("failed").alias("failure_rate"), middle(F.when(F.col("amount") > 0, F.col("amount"))).alias("median_raised")])
+    tier = [F.count_if(F.col("tier") == x).alias(f"tier_{x.lower()}") for x in "ABC"]
+    multiples = [f for name, c in (("revenue", ratio("price", "revenue")), ("proxy", ratio("price", "amount"))) for f in (F.count(c).alias(f"{name}_n"), middle(c).alias(f"{name}_multiple"))]
+    by_price = lattice(prices, [F.count("*").alias("price_n"), (F.sum(F.round(F.col("weight") * 100).cast("long")) / F.count("*") / 100).alias("coverage"), *tier, *multiples])
+    asked = targets.select(target_id, F.explode(attempts()).alias("_a")).select(target_id, "_a.*")
+    keys = ["_g", "sector", "country", "stage"]
+
+    def looked(left: DataFrame, right: DataFrame) -> DataFrame:
+        r = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in right.columns if c not in keys])
+        same = F.col("_g") == F.col("_r_g")
+        for k in keys[1:]:
+            same = same & F.col(k).eqNullSafe(F.col(f"_r{k}"))
+        return left.join(r, same, "left").drop(*[f"_r{k}" for k in keys])
+
+    both = looked(looked(asked, by_outcome), by_price).fillna(0, ["outcome_n", "price_n", "tier_a", "tier_b", "tier_c", "revenue_n", "proxy_n"]).fillna(0.0, ["coverage"])
+    figures = ["outcome_n", "failure_rate", "median_raised", "price_n", "coverage", "tier_a", "tier_b", "tier_c", "revenue_n", "revenue_multiple", "proxy_n", "proxy_multiple"]
+    enough = both.where((F.col("outcome_n") >= least) | (F.col("price_n") >= least))
+    best = enough.groupBy(target_id).agg(F.min_by(F.struct("level", *figures), "level").alias("_b")).select(target_id, "_b.*")
+    basis = F.when((F.col("revenue_n") > 0), "revenue_multiple").when(F.col("proxy_n") > 0, "raise_proxy_multiple")
+    return best.withColumns({"basis": basis, "confidence": source_confidence(F.col("outcome_n"), F.col("price_n"), F.col("coverage"))})
+
+
 def first_of_sources(parts: list[DataFrame], key: str) -> DataFrame:
     """Rows of several sources, the first source that has a key wins."""
     both = None

@@ -360,6 +360,36 @@ def cohort_fallback(t):
     return C.cohort_levels(t.companies.select("company_id", "sector", "country", "stage"), pool, "company_id").withColumn("failure_rate", F.round("failure_rate", 6))
 
 
+_COHORTS = """d AS (SELECT deal_id, sector || '-' || (company_id % 7) AS sector, country || '-' || (company_id % 11) AS country, stage, failed, amount, pre_money FROM deals),
+    pr AS (SELECT *, pre_money AS price, CASE WHEN deal_id % 3 <> 0 THEN amount / 4 END AS revenue, CASE deal_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, CASE deal_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE ELSE 0.35::DOUBLE END AS weight FROM d WHERE pre_money > 0),
+    tg AS (SELECT company_id, CASE WHEN company_id % 31 = 0 THEN 'NEW' WHEN company_id % 19 <> 0 THEN sector || '-' || (company_id % 7) END AS sector, CASE WHEN company_id % 23 <> 0 THEN country || '-' || (company_id % 11) END AS country, CASE WHEN company_id % 5 <> 0 THEN stage END AS stage FROM companies),
+    att AS (SELECT company_id, 1 AS level, sector AS s, country AS c, stage AS st FROM tg WHERE sector IS NOT NULL AND country IS NOT NULL UNION ALL SELECT company_id, 2, sector, NULL, stage FROM tg WHERE sector IS NOT NULL UNION ALL SELECT company_id, 3, NULL, country, stage FROM tg WHERE country IS NOT NULL
+      UNION ALL SELECT company_id, 4, NULL, NULL, stage FROM tg WHERE stage IS NOT NULL UNION ALL SELECT company_id, 5, NULL, NULL, NULL FROM tg), k AS (SELECT DISTINCT s, c, st FROM att),
+    o AS (SELECT s, c, st, count(deal_id) AS outcome_n, avg(failed) AS failure_rate, median(amount) FILTER (amount > 0) AS median_raised FROM k LEFT JOIN d ON (s IS NULL OR sector = s) AND (c IS NULL OR country = c) AND (st IS NULL OR stage = st) GROUP BY 1, 2, 3),
+    p AS (SELECT s, c, st, count(deal_id) AS price_n, coalesce(sum(round(weight * 100)::BIGINT) / count(weight) / 100, 0) AS coverage, count(*) FILTER (tier = 'A') AS tier_a, count(*) FILTER (tier = 'B') AS tier_b, count(*) FILTER (tier = 'C') AS tier_c, count(price / revenue) AS revenue_n, median(price / revenue) AS revenue_multiple, count(price / amount) AS proxy_n, median(price / amount) AS proxy_multiple
+      FROM k LEFT JOIN pr ON (s IS NULL OR sector = s) AND (c IS NULL OR country = c) AND (st IS NULL OR stage = st) GROUP BY 1, 2, 3),
+    x AS (SELECT att.company_id, att.level, o.*, p.*, row_number() OVER (PARTITION BY att.company_id ORDER BY att.level) AS r FROM att JOIN o ON o.s IS NOT DISTINCT FROM att.s AND o.c IS NOT DISTINCT FROM att.c AND o.st IS NOT DISTINCT FROM att.st
+      JOIN p ON p.s IS NOT DISTINCT FROM att.s AND p.c IS NOT DISTINCT FROM att.c AND p.st IS NOT DISTINCT FROM att.st WHERE outcome_n >= 20 OR price_n >= 20)"""
+
+
+@query(
+    "cv1_comparables",
+    f"""WITH {_COHORTS} SELECT company_id, level::INTEGER AS level, outcome_n, round(failure_rate, 6) AS failure_rate, round(median_raised, 4) AS median_raised, price_n, coverage, tier_a, tier_b, tier_c, revenue_n, round(revenue_multiple, 6) AS revenue_multiple, proxy_n, round(proxy_multiple, 6) AS proxy_multiple,
+    CASE WHEN revenue_n > 0 THEN 'revenue_multiple' WHEN proxy_n > 0 THEN 'raise_proxy_multiple' END AS basis, CASE WHEN outcome_n >= 200 AND price_n >= 400 AND coverage >= 0.75 THEN 'high' WHEN outcome_n >= 50 AND price_n >= 120 AND coverage >= 0.55 THEN 'medium' ELSE 'low' END AS confidence FROM x WHERE r = 1""",
+)
+def comparable_cohorts(t):
+    """Companies, some of an unknown sector or without sector, country or stage, and the narrowest cohort of deals that is large enough."""
+    k = F.col("company_id")
+    sector, country = F.concat_ws("-", "sector", (k % 7).cast("string")), F.concat_ws("-", "country", (k % 11).cast("string"))
+    deals = t.deals.select("deal_id", sector.alias("sector"), country.alias("country"), "stage", "failed", "amount", "pre_money")
+    d = F.col("deal_id")
+    tier = F.when(d % 4 == 0, "A").when(d % 4 == 1, "B").otherwise("C")
+    prices = deals.where("pre_money > 0").select("*", F.col("pre_money").alias("price"), F.when(d % 3 != 0, F.col("amount") / 4).alias("revenue"), tier.alias("tier")).withColumn("weight", F.when(F.col("tier") == "A", 1.0).when(F.col("tier") == "B", 0.7).otherwise(0.35))
+    targets = t.companies.select("company_id", F.when(k % 31 == 0, "NEW").when(k % 19 != 0, sector).alias("sector"), F.when(k % 23 != 0, country).alias("country"), F.when(k % 5 != 0, F.col("stage")).alias("stage"))
+    found = C.comparables(targets, deals, prices, "company_id")
+    return found.withColumns({c: F.round(c, 4 if c == "median_raised" else 6) for c in ("failure_rate", "median_raised", "revenue_multiple", "proxy_multiple")})
+
+
 _ORIGINS = ("sec_edgar", "Companies_House", "manual", "web", "sec_form_d")
 _ORIGIN = "CASE {0} % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_ORIGINS)) + " END"
 
