@@ -53,3 +53,28 @@ def deltas(runs: DataFrame, run: str, metrics: str, old: int, new: int) -> DataF
     flat = runs.where(F.col(run).isin(old, new)).select(run, F.explode(metrics).alias("metric", "value"))
     both = flat.groupBy("metric").agg(F.max(F.when(F.col(run) == old, F.col("value"))).alias("before"), F.max(F.when(F.col(run) == new, F.col("value"))).alias("after"))
     return both.withColumn("delta", F.col("after") - F.col("before"))
+
+
+#: What a segment's evidence needs (sample, AUC, calibration error), and valuations of high confidence (sample, mean and relative error).
+EVIDENCE, VALUATION = (200, 0.65, 0.10), (30, 1.0, 0.55)
+
+
+def evidence_report(segments: DataFrame, windows: DataFrame, curves: DataFrame, valuations: DataFrame, holdout: DataFrame, last: int = 5) -> DataFrame:
+    """A quarter's evidence by segment: sample, auc, ece, gate_open, its `last` windows by test_end, the calibration curves' error weighted by
+    n, the latest valuations of high confidence, evidence_ok, and, the same in all rows, the locked entities and whether a release is ready:
+    all segments' evidence and valuations hold and some entities are locked. Segments are few; all else is grouped before it is joined."""
+    newest = F.array_sort(F.collect_list("test_end"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
+    shown = windows.groupBy("segment").agg(F.slice(newest, 1, last).alias("windows"))
+    known = curves.where(F.col("abs_error").isNotNull() & (F.col("n") > 0))
+    error = known.groupBy("segment").agg((F.sum(F.col("abs_error") * F.col("n")) / F.sum("n")).alias("curve_error"))
+    high = valuations.where("confidence = 'high'").groupBy("segment").agg(F.max_by(F.struct("n", "mae", "mape"), "quarter").alias("_v"))
+    n, mae, mape = VALUATION
+    allowed = F.coalesce((F.col("_v.n") >= n) & (F.col("_v.mae") <= mae) & (F.col("_v.mape") <= mape), F.lit(False))
+    sample, area, gap = EVIDENCE
+    ok = F.coalesce((F.col("sample") >= sample) & F.col("gate_open") & (F.col("auc") >= area) & (F.col("ece") <= gap), F.lit(False))
+    own = segments.join(shown, "segment", "left").join(error, "segment", "left").join(high, "segment", "left")
+    own = own.select(*segments.columns, ok.alias("evidence_ok"), "windows", "curve_error", F.col("_v.n").alias("high_n"), F.col("_v.mae").alias("high_mae"), F.col("_v.mape").alias("high_mape"), allowed.alias("high_allowed"))
+    locked = holdout.agg(F.count("*").alias("holdout_entities"))
+    ready = own.agg(F.bool_and("evidence_ok").alias("_e"), F.bool_and("high_allowed").alias("_h"))
+    whole = ready.crossJoin(locked).select("holdout_entities", (F.coalesce(F.col("_e") & F.col("_h"), F.lit(False)) & (F.col("holdout_entities") > 0)).alias("release_ready"))  # one row
+    return own.crossJoin(F.broadcast(whole))

@@ -204,6 +204,14 @@ def seed_class(evidence: Column, groups: Column, score: Column) -> Column:
     return F.when((evidence < 45) | (groups < 2), "abstain").when(score >= 72, "invest").when(score >= 58, "deep_diligence").when(score >= 42, "watch").otherwise("pass")
 
 
+def persona_score(amount: Column, latest_amount: Column, had_revenue: Column, stage: Column) -> Column:
+    """What a persona falls back on: a point for an amount, for the latest round's, and for a known stage, two for revenue and one less
+    for none; nothing for what is unknown."""
+    known = lambda c: F.when(F.coalesce(c, F.lit(0.0)) != 0, 1).otherwise(0)
+    revenue = F.when(had_revenue, 2).when(~had_revenue, -1).otherwise(0)
+    return known(amount) + known(latest_amount) + revenue + F.when(stage.isin("seed", "early_growth"), 1).otherwise(0)
+
+
 def persona(kind: str, score: Column) -> dict[str, Column]:
     #: Least score, class and conviction of each persona, best first.
     ladder = {

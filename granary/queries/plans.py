@@ -596,10 +596,21 @@ def seed_score(t):
     return t.deals.select("deal_id", F.round(s, 6).alias("seed"), R.seed_class(e, F.lit(2), s).alias("class"))
 
 
-@query("pl3_personas", "SELECT deal_id, CASE WHEN s >= 3 THEN 'deep_diligence' WHEN s >= 1 THEN 'watch' ELSE 'pass' END AS conservative, CASE WHEN s >= 4 THEN 'invest' WHEN s >= 2 THEN 'deep_diligence' WHEN s >= 1 THEN 'watch' ELSE 'pass' END AS balanced, CASE WHEN s >= 4 THEN 78 WHEN s >= 2 THEN 64 ELSE 52 END::INTEGER AS aggressive FROM (SELECT deal_id, 2 + CASE WHEN has_revenue THEN 2 ELSE -1 END AS s FROM deals)")
+@query(
+    "pl3_personas",
+    """WITH l AS (SELECT company_id, max({'d': round_date, 'i': round_id, 'a': pre_money}) AS m FROM rounds GROUP BY 1),
+    s AS (SELECT deal_id, CASE WHEN coalesce(CASE WHEN equity > 0.05 THEN d.amount ELSE equity END, 0) <> 0 THEN 1 ELSE 0 END + CASE WHEN coalesce(m.a, 0) <> 0 THEN 1 ELSE 0 END + CASE WHEN has_institution AND has_revenue THEN 2 WHEN has_institution THEN -1 ELSE 0 END + CASE WHEN deal_id % 7 <> 0 THEN 1 ELSE 0 END AS s FROM deals d LEFT JOIN l USING (company_id))
+    SELECT deal_id, s::INTEGER AS score, CASE WHEN s >= 3 THEN 'deep_diligence' WHEN s >= 1 THEN 'watch' ELSE 'pass' END AS conservative, CASE WHEN s >= 4 THEN 'invest' WHEN s >= 2 THEN 'deep_diligence' WHEN s >= 1 THEN 'watch' ELSE 'pass' END AS balanced, CASE WHEN s >= 4 THEN 'invest' WHEN s >= 2 THEN 'deep_diligence' ELSE 'watch' END AS aggressive,
+    CASE WHEN s >= 3 THEN 55 WHEN s >= 1 THEN 45 ELSE 35 END::INTEGER AS sure_conservative, CASE WHEN s >= 4 THEN 70 WHEN s >= 2 THEN 58 WHEN s >= 1 THEN 48 ELSE 38 END::INTEGER AS sure_balanced, CASE WHEN s >= 4 THEN 78 WHEN s >= 2 THEN 64 ELSE 52 END::INTEGER AS sure_aggressive FROM s""",
+)
 def personas(t):
-    s = F.lit(2) + F.when(F.col("has_revenue"), 2).otherwise(-1)
-    return t.deals.select("deal_id", R.persona("conservative", s)["class"].alias("conservative"), R.persona("balanced", s)["class"].alias("balanced"), R.persona("aggressive", s)["conviction"].alias("aggressive"))
+    """Deals with unknown, zero and known amounts, the latest round of their company, revenue that may be unknown, and stages."""
+    last = t.rounds.groupBy("company_id").agg(F.max(F.struct("round_date", "round_id", "pre_money"))["pre_money"].alias("latest"))
+    amount = F.when(F.col("equity") > 0.05, F.col("amount")).otherwise(F.col("equity"))
+    score = R.persona_score(amount, F.col("latest"), F.when(F.col("has_institution"), F.col("has_revenue")), F.when(F.col("deal_id") % 7 != 0, F.col("stage")).otherwise("series_c"))
+    d = t.deals.join(last, "company_id", "left").select("deal_id", score.alias("score"))
+    kinds = {k: R.persona(k, F.col("score")) for k in ("conservative", "balanced", "aggressive")}
+    return d.select("deal_id", "score", *[v["class"].alias(k) for k, v in kinds.items()], *[v["conviction"].alias(f"sure_{k}") for k, v in kinds.items()])
 
 
 @query(
@@ -630,10 +641,33 @@ def delivery(t):
     return t.events.select("event_id", O.delivery(F.col("value") > 50, is_quiet(F.hour("ts"), 22, 7), F.when(F.col("event_type") == "error", "high").otherwise("normal"), F.col("event_id") % 5 == 0).alias("state"))
 
 
-@query("ops4_release_readiness", "SELECT country, count(*) AS segments, bool_and(n >= 100 AND rate < 0.25) AS ready FROM (SELECT country, sector, count(*) AS n, avg(failed) AS rate FROM deals GROUP BY 1, 2) GROUP BY 1")
+_EVIDENCE = """seg AS (SELECT country || '_' || CASE stage WHEN 'seed' THEN 'Seed' ELSE 'EarlyGrowth' END AS segment, deal_id, company_id, deal_date, score, failed, amount, pre_money, year(deal_date) AS y FROM deals),
+    s AS (SELECT segment, count(*) AS sample, round(0.5 + avg(failed), 6) AS auc, round(avg(failed) / 4, 6) AS ece, segment <> 'UK_Seed' AS gate_open FROM seg GROUP BY 1),
+    w AS (SELECT segment, y, round(avg(failed), 6) AS rate, row_number() OVER (PARTITION BY segment ORDER BY y DESC) AS r FROM seg GROUP BY 1, 2), last5 AS (SELECT segment, count(*) AS windows, string_agg(y::VARCHAR, ',' ORDER BY y DESC) AS years FROM w WHERE r <= 5 GROUP BY 1),
+    c AS (SELECT segment, floor(score / 10) AS bin, count(*) AS n, abs(avg(failed) - avg(score) / 100) AS err FROM seg GROUP BY 1, 2), cu AS (SELECT segment, round(sum(err * n) / sum(n), 6) AS curve_error FROM c GROUP BY 1),
+    v AS (SELECT segment, y, CASE WHEN deal_id % 3 = 0 THEN 'high' ELSE 'low' END AS conf, count(*) AS n, round(avg(abs(pre_money - amount) / amount) / 6, 6) AS mae, round(avg(abs(pre_money - amount) / pre_money) / 2, 6) AS mape FROM seg WHERE pre_money IS NOT NULL GROUP BY 1, 2, 3),
+    hi AS (SELECT segment, n >= 30 AND mae <= 1.0 AND mape <= 0.55 AS allowed, n, mae, mape FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY y DESC) AS r FROM v WHERE conf = 'high' AND y <= 1998) WHERE r = 1),
+    held AS (SELECT count(DISTINCT company_id) AS n FROM deals WHERE deal_date >= DATE '1998-01-01')"""
+
+
+@query(
+    "ops4_release_readiness",
+    f"""WITH {_EVIDENCE}, e AS (SELECT s.*, sample >= 200 AND gate_open AND auc >= 0.65 AND ece <= 0.10 AS evidence_ok, windows, years, curve_error, hi.n AS high_n, mae AS high_mae, mape AS high_mape, coalesce(allowed, false) AS high_allowed FROM s LEFT JOIN last5 USING (segment) LEFT JOIN cu USING (segment) LEFT JOIN hi USING (segment))
+    SELECT e.*, held.n AS holdout_entities, bool_and(evidence_ok) OVER () AND bool_and(high_allowed) OVER () AND held.n > 0 AS release_ready FROM e, held""",
+)
 def release(t):
-    g = t.deals.groupBy("country", "sector").agg(F.count("*").alias("n"), F.avg("failed").alias("rate"))
-    return g.groupBy("country").agg(F.count("*").alias("segments"), F.bool_and((F.col("n") >= 100) & (F.col("rate") < 0.25)).alias("ready"))
+    """Segments with their sample, windows, calibration curves and valuation errors, and whether all of it allows a release."""
+    segment = F.concat_ws("_", "country", F.when(F.col("stage") == "seed", "Seed").otherwise("EarlyGrowth"))
+    seg = t.deals.select(segment.alias("segment"), "deal_id", "company_id", "deal_date", "score", "failed", "amount", "pre_money", F.year("deal_date").alias("y"))
+    own = seg.groupBy("segment").agg(F.count("*").alias("sample"), F.round(0.5 + F.avg("failed"), 6).alias("auc"), F.round(F.avg("failed") / 4, 6).alias("ece")).withColumn("gate_open", F.col("segment") != "UK_Seed")
+    windows = seg.groupBy("segment", F.col("y").alias("test_end")).agg(F.avg("failed").alias("rate"))
+    curves = seg.groupBy("segment", F.floor(F.col("score") / 10).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("failed") - F.avg("score") / 100).alias("abs_error"))
+    priced = seg.where("pre_money is not null")
+    off = F.abs(F.col("pre_money") - F.col("amount"))
+    values = priced.groupBy("segment", F.col("y").alias("quarter"), F.when(F.col("deal_id") % 3 == 0, "high").otherwise("low").alias("confidence")).agg(F.count("*").alias("n"), F.round(F.avg(off / F.col("amount")) / 6, 6).alias("mae"), F.round(F.avg(off / F.col("pre_money")) / 2, 6).alias("mape"))
+    held = t.deals.where("deal_date >= date '1998-01-01'").select("company_id").distinct()
+    found = O.evidence_report(own, windows, curves, values.where("quarter <= 1998"), held)
+    return found.withColumns({"curve_error": F.round("curve_error", 6), "years": F.array_join("windows", ","), "windows": F.size("windows").cast("long")})
 
 
 @query("ops5_freeze_drift", "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'added' WHEN n_nationkey % 3 = 0 THEN 'changed' ELSE 'same' END AS state FROM nation")
