@@ -203,17 +203,24 @@ def character(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(F.when(sound, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
 
 
+#: Elements of a page that hold no text of it, and the references that are decoded by name.
+NO_TEXT = ("script", "style", "nav", "footer", "header", "noscript", "svg", "iframe")
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+
+
 def html_text(html: Column) -> Column:
-    """Readable text of a page: no scripts, styles, comments or tags, common character references decoded."""
-    x = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>", " ")
+    """Readable text of a page: without elements that hold none, and comments; each tag is a blank, named and decimal character references are
+    decoded. Texts without a reference skip that step."""
+    x = F.regexp_replace(html, rf"(?is)<({'|'.join(NO_TEXT)})[^>]*>.*?</\1>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"(?i)</?(p|div|br|li|ul|h[1-6]|tr|table|section|article|header|footer|nav)\b[^>]*>", " ")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
+    x = F.regexp_replace(x, r"<[^>]+>", " ")
+    named = x
+    for name, char in REFERENCES:
+        named = F.replace(named, F.lit(name), F.lit(char))
+    x = F.when(x.contains("&"), named).otherwise(x)
     numbers = F.array_distinct(F.regexp_extract_all(x, F.lit("&#([0-9]{1,7});"), 1))
-    x = F.aggregate(numbers, x, lambda done, n: F.replace(done, F.concat(F.lit("&#"), n, F.lit(";")), character(n.cast("int"))))
-    return F.trim(F.regexp_replace(x, r"[ \t\r\n]+", " "))
+    decimal = F.aggregate(numbers, x, lambda done, n: F.replace(done, F.concat(F.lit("&#"), n, F.lit(";")), character(n.cast("int"))))
+    return F.trim(F.regexp_replace(F.when(x.contains("&#"), decimal).otherwise(x), r"[ \t\r\n]+", " "))
 
 
 def html_title(html: Column) -> Column:

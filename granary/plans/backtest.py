@@ -57,6 +57,19 @@ def gated(metrics: DataFrame, by: list[str]) -> DataFrame:
     return metrics.select(*by, F.explode(rows).alias("_m")).select(*by, "_m.*")
 
 
+#: Signals without a source so far.
+NOT_YET = ("wayback_active", "job_posting_volume", "app_store_rating", "social_followers", "patent_count", "news_sentiment", "regulatory_flags")
+
+
+def signals(rows: DataFrame, key: str, date: str, last_filing: str) -> DataFrame:
+    """(key, signal, value, confidence) of each row: days since its last filing, and the open signals without a value."""
+    days = F.datediff(date, last_filing).cast("double")
+    sure = F.when(days.isNull(), 0.0).when(days <= 365, 0.9).otherwise(0.5)
+    one = lambda name, value, c: F.struct(F.lit(name).alias("signal"), value.alias("value"), c.alias("confidence"))
+    told = F.array(one("filing_recency_days", days, sure), *[one(n, F.lit(None).cast("double"), F.lit(0.0)) for n in NOT_YET])
+    return rows.select(key, F.explode(told).alias("_s")).select(key, "_s.*")
+
+
 def matrix(deals: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Model inputs: a missing number is 0 if the row has any other, else null; categories are hashed to 100000."""
     some = F.lit(False)

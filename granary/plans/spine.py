@@ -79,15 +79,13 @@ def created(entities: DataFrame, rows: DataFrame, keys: list[str], order: str) -
 
 
 def backfilled(deals: DataFrame) -> DataFrame:
-    """Missing ratio, age and burn from the columns they follow from; what is known stays."""
-    ratio = F.try_divide("amount", F.nullif("target", F.lit(0.0)))
-    return deals.withColumns(
-        {
-            "over": F.coalesce("over", ratio),
-            "age_months": F.coalesce("age_months", F.floor(F.months_between("deal_date", "founded")).cast("int")),
-            "burn": F.coalesce("burn", F.when(F.col("net_income") < 0, F.abs("net_income") / 12)),
-        }
-    )
+    """Missing ratio (four places), age in full months, sector (the company's) and monthly burn of a loss (two places) from the columns
+    they follow from; what is known stays."""
+    ratio = F.when(F.col("target") > 0, F.round(F.col("amount") / F.col("target"), 4))
+    age = F.when(F.col("deal_date") >= F.col("founded"), F.floor(F.months_between("deal_date", "founded")).cast("int"))
+    burn = F.when(F.col("net_income") < 0, F.round(F.abs("net_income") / 12, 2))
+    own = {"over": F.coalesce("over", ratio), "age_months": F.coalesce("age_months", age), "burn": F.coalesce("burn", burn)}
+    return deals.withColumns(own | ({"sector": F.coalesce("sector", "company_sector")} if "company_sector" in deals.columns else {}))
 
 
 #: Rows of a family at least, to train and to test on.

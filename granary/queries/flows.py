@@ -238,10 +238,17 @@ def quarantine(t):
     return U.insert_absent(held, new, ["entity_id", "holdout"])
 
 
-@query("bt16_open_signals", "SELECT company_id, s AS signal, NULL::DOUBLE AS value, 0.0::DOUBLE AS confidence FROM companies, (VALUES ('web_archive'), ('app_ranks'), ('job_posts')) x(s)")
+@query(
+    "bt16_open_signals",
+    f"""WITH l AS (SELECT r.round_id, max(f.filing_date) AS d FROM rounds r JOIN filings f ON f.round_id = r.round_id AND f.filing_date <= r.round_date GROUP BY 1), x AS (SELECT r.round_id, date_diff('day', d, r.round_date) AS days FROM rounds r LEFT JOIN l ON l.round_id = r.round_id)
+    SELECT round_id, 'filing_recency_days' AS signal, days::DOUBLE AS value, CASE WHEN days IS NULL THEN 0.0::DOUBLE WHEN days <= 365 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM x
+    UNION ALL SELECT round_id, s, NULL, 0.0::DOUBLE FROM rounds, (VALUES {", ".join(f"('{s}')" for s in B.NOT_YET)}) v(s)""",
+)
 def open_signals(t):
-    names = F.explode(F.array(*map(F.lit, ("web_archive", "app_ranks", "job_posts")))).alias("signal")
-    return t.companies.select("company_id", names, F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("confidence"))
+    """All eight signals of each round: days since the last filing, and those that nothing measures yet."""
+    left = t.rounds.select("round_id", "round_date").withColumn("key", F.col("round_id"))
+    last = J.asof(left, t.filings.select(F.col("round_id").alias("key"), "filing_date", "filing_id"), "key", "round_date", "filing_date", [], "filing_id", "round_id", hot=False)
+    return B.signals(last, "round_id", "round_date", "filing_date")
 
 
 _RUNS = """g AS (SELECT sector, country, year(deal_date) AS y, count(*) AS n, avg(score) / 75 AS auc, avg(failed) / 3 AS ece, round(avg(failed), 6) AS rate FROM deals GROUP BY 1, 2, 3),
@@ -378,14 +385,14 @@ def retention(t):
     return U.redact(t.conversations, ["text"], "role", "[retention purge applied]", old)
 
 
-@query("ops8_backfills", "SELECT deal_id, CASE WHEN deal_id % 2 = 0 THEN 1.5::DOUBLE ELSE amount / nullif(amount * 0.5, 0) END AS over, CASE WHEN deal_id % 3 = 0 THEN 7 ELSE 24 END::INTEGER AS age_months, CASE WHEN deal_id % 5 = 0 THEN 100.0::DOUBLE WHEN balance < 0 THEN abs(balance) / 12 END AS burn FROM deals JOIN (SELECT company_id AS cid, balance FROM companies) ON cid = company_id")
+@query("ops8_backfills", "SELECT deal_id, CASE WHEN deal_id % 2 = 0 THEN 1.5::DOUBLE WHEN deal_id % 7 <> 0 AND amount > 0 THEN round(amount / (amount * 0.3), 4) END AS over, CASE WHEN deal_id % 3 = 0 THEN 7 WHEN deal_id % 4 <> 0 THEN 24 END::INTEGER AS age_months, CASE WHEN deal_id % 5 = 0 THEN 100.0::DOUBLE WHEN balance < 0 THEN round(abs(balance * 1.0007::DOUBLE) / 12, 2) END AS burn, CASE WHEN deal_id % 9 = 0 AND company_id % 10 = 0 THEN NULL ELSE sector END AS sector FROM deals JOIN (SELECT company_id AS cid, balance FROM companies) ON cid = company_id")
 def backfills(t):
-    k = F.col("deal_id")
-    rows = t.deals.join(t.companies.select("company_id", F.col("balance").alias("net_income")), "company_id").select(
-        "deal_id", "amount", (F.col("amount") * 0.5).alias("target"), "deal_date", F.add_months("deal_date", -24).alias("founded"), "net_income",
-        F.when(k % 2 == 0, 1.5).alias("over"), F.when(k % 3 == 0, 7).alias("age_months"), F.when(k % 5 == 0, 100.0).alias("burn"),
+    k, c = F.col("deal_id"), F.col("company_id")
+    rows = t.deals.join(t.companies.select("company_id", (F.col("balance") * 1.0007).alias("net_income"), F.when(c % 10 != 0, F.col("sector")).alias("company_sector")), "company_id").select(
+        "deal_id", "amount", F.when(k % 7 != 0, F.col("amount") * 0.3).otherwise(0.0).alias("target"), "deal_date", F.add_months("deal_date", F.when(k % 4 != 0, -24).otherwise(6)).alias("founded"), "net_income", "company_sector",
+        F.when(k % 2 == 0, 1.5).alias("over"), F.when(k % 3 == 0, 7).alias("age_months"), F.when(k % 5 == 0, 100.0).alias("burn"), F.when(k % 9 != 0, F.col("sector")).alias("sector"),
     )
-    return N.backfilled(rows).select("deal_id", "over", "age_months", "burn")
+    return N.backfilled(rows).select("deal_id", "over", "age_months", "burn", "sector")
 
 
 @query("ops10_weekly_qa", "WITH s AS (SELECT * FROM (SELECT round_id, pre_money, equity FROM rounds ORDER BY md5('week' || round_id::VARCHAR), round_id LIMIT 200)), f AS (SELECT 'pre_money' AS field, (pre_money IS NOT NULL) AS found, round_id % 11 <> 0 AS truth FROM s UNION ALL SELECT 'equity', equity IS NOT NULL, round_id % 13 <> 0 FROM s), c AS (SELECT field, count(*) FILTER (found AND truth) AS tp, count(*) FILTER (found AND NOT truth) AS fp, count(*) FILTER (NOT found AND truth) AS fn FROM f GROUP BY 1) SELECT field, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM c")

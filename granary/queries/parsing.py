@@ -166,16 +166,20 @@ def filing_terms(t):
     return offering_texts(t).select(F.col("k").alias("round_id"), *[v.alias(c) for c, v in found.items()])
 
 
+#: References, an inline tag inside a word, and elements without text of their own.
+_PIECE = "<p>Caf&#233; &#8212; &quot;x&quot; &#128512; in<b>line</b> &amp;lt;</p><NAV class=x>menu <a>one</a></nav><svg><text>axis</text></svg><iframe src=y>none</iframe><Footer>end</footer>"
+
+
 @query(
     "fn_html_text",
-    """WITH p AS (SELECT page_id, html || '<p>Caf&#233; &#8212; &apos;x&apos; &#128512;</p>' AS html FROM pages), a AS (SELECT page_id, html, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<noscript\\b.*?</noscript>', ' ', 'g') AS x FROM p),
-    b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(p|div|br|li|ul|h[1-6]|tr|table|section|article|header|footer|nav)\\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+    f"""WITH p AS (SELECT page_id, html || '{_PIECE}' AS html FROM pages), a AS (SELECT page_id, html, regexp_replace(html, '(?is){"|".join(f"<{x}[^>]*>.*?</{x}>" for x in P.NO_TEXT)}', ' ', 'g') AS x FROM p),
+    b AS (SELECT page_id, html, regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM a),
     c AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&') AS x FROM b),
-    d AS (SELECT page_id, html, list_reduce(list_prepend(x, list_distinct(regexp_extract_all(x, '&#([0-9]{1,7});', 1))), lambda done, n: replace(done, '&#' || n || ';', chr(n::INTEGER))) AS x FROM c)
+    d AS (SELECT page_id, html, list_reduce(list_prepend(x, list_distinct(regexp_extract_all(x, '&#([0-9]{{1,7}});', 1))), lambda done, n: replace(done, '&#' || n || ';', chr(n::INTEGER))) AS x FROM c)
     SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, trim(regexp_replace(x, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM d""",
 )
 def html(t):
-    page = F.concat("html", F.lit("<p>Caf&#233; &#8212; &apos;x&apos; &#128512;</p>"))
+    page = F.concat("html", F.lit(_PIECE))
     return t.pages.select("page_id", P.html_title(page).alias("title"), P.html_text(page).alias("text"))
 
 
