@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.queries.base import query
+from granary.sources import landed as D
 from granary.sources import files as S
 
 
@@ -46,3 +47,27 @@ def latest_link(t):
 def uploads(t):
     files = t.conversations.select("conv_id", "turn", "text", F.octet_length("text").alias("bytes"))
     return S.accepted_uploads(files, "conv_id", "turn", "bytes", "text").select("conv_id", "turn", "text")
+
+
+@query(
+    "tt4_allotments",
+    """WITH x AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE END AS d, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey % 40 + 1) / 4.0::DOUBLE END AS price, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 900 + 1) * 10.0::DOUBLE END AS shares FROM orders WHERE o_orderstatus <> 'P'),
+    a AS (SELECT c AS company_id, d AS round_date, CASE WHEN shares IS NULL THEN price ELSE price * shares END AS amount, 'T' || lpad(k::VARCHAR, 9, '0') AS record_id FROM x WHERE c % 2 = 0),
+    r AS (SELECT *, company_id || ':' || coalesce(strftime(round_date, '%Y-%m-%d'), 'unknown') || ':uk_share_allotment:equity:' || coalesce(printf('%.2f', amount), 'unknown') AS round_key FROM a)
+    SELECT round_key, max(company_id) AS company_id, max(round_date) AS round_date, max(amount) AS amount, max(record_id) AS record_id, 'A' AS tier FROM r GROUP BY 1""",
+)
+def allotment_rounds(t):
+    """Filing histories written as nested JSON, one for each company, and read again; half of the companies are known."""
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    price = F.when(k % 5 != 0, text((k % 40 + 1) / F.lit(4.0)))
+    shares = F.when(k % 3 != 0, F.concat(text((k % 900 + 1) * 10), F.lit(".0")))
+    values = F.map_from_arrays(F.array(*map(F.lit, ("nominal_value_per_share", "amount", "number_allotted", "total_number_of_shares_allotted"))), F.array(F.when(k % 2 == 0, price), price, F.when(k % 4 < 2, shares), shares))
+    item = F.struct(
+        F.when(F.col("o_orderstatus") == "P", "CS01").when(k % 7 == 0, "sh01").otherwise("SH01").alias("type"), F.when(k % 11 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.lit(None).cast("string").alias("action_date"),
+        F.when(k % 2 == 0, F.concat(F.lit("T"), F.lpad(text(k), 9, "0"))).alias("transaction_id"), F.concat(F.lit("T"), F.lpad(text(k), 9, "0")).alias("barcode"), values.alias("description_values"),
+    )
+    said = t.orders.groupBy(text(F.col("o_custkey")).alias("company_number")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("j"))
+    history = said.select("company_number", F.from_json("j", D.HISTORY.split(", ", 1)[1]).alias("h")).select("company_number", "h.items")
+    own = t.customer.where("c_custkey % 2 = 0").select(text(F.col("c_custkey")).alias("company_number"), F.col("c_custkey").alias("company_id"), F.lit(None).cast("string").alias("country"), F.col("c_mktsegment").alias("sector"))
+    return D.allotments(history, own).select("round_key", "company_id", "round_date", "amount", "record_id", "tier")

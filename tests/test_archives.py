@@ -84,3 +84,26 @@ def test_permutations_equal_numpys(spark):
     givers, takers = np.lexsort((hashes["id"], hashes["a"])), np.lexsort((hashes["id"], hashes["b"]))
     want = dict(zip(hashes["id"][takers], hashes["id"][givers] * 10, strict=True))
     assert {r.id: r.v for r in B.permuted(df, "v", "id", 3).collect()} == want
+
+
+def test_landed_histories_and_filings(spark, tmp_path):
+    from granary.sources import landed as D
+
+    (tmp_path / "h.json").write_text(
+        '{"company_number": "01", "extra": 1, "items": [{"type": "SH01", "date": "2024-03-01", "transaction_id": "t1", "links": {"self": "/x"}, "description_values": {"nominal_value_per_share": "0.5", "number_allotted": 1000}}, {"type": "CS01", "date": "2024-03-02"}, {"type": "sh01", "action_date": "2024-04-01", "barcode": "b2", "description_values": {"amount": "70"}}, {"type": "SH01", "date": "2024-05-01", "barcode": "b3"}]}\n{"company_number": "02", "items": [{"type": "SH01", "date": "2024-01-01"}]}\n{"company_number": "03"}\n'
+    )
+    firms = spark.createDataFrame([("01", 7, None, "tech"), ("03", 9, "UK", "tech")], "company_number string, company_id long, country string, sector string")
+    rounds = D.allotments(D.histories(spark, str(tmp_path / "h.json")), firms)
+    got = {r.record_id: (r.company_id, r.country, str(r.round_date), r.amount, r.round_key) for r in rounds.collect()}
+    assert got == {
+        "t1": (7, "UK", "2024-03-01", 500.0, "7:2024-03-01:uk_share_allotment:equity:500.00"), "b2": (7, "UK", "2024-04-01", 70.0, "7:2024-04-01:uk_share_allotment:equity:70.00"), "b3": (7, "UK", "2024-05-01", None, "7:2024-05-01:uk_share_allotment:equity:unknown"),
+    }
+    facts = {(r.record_id, r.field): r.said for r in D.allotment_facts(rounds).collect()}
+    assert facts["t1", "amount_raised"] == "500.00" and facts["b3", "round_date"] == "2024-05-01" and ("b3", "amount_raised") not in facts
+    (tmp_path / "s.json").write_text('{"cik": "0000000077", "filings": {"recent": {"form": ["10-K", "S-1", "8-K"], "accessionNumber": ["a-0", "a-1-2", "a-3"], "primaryDocument": ["x", "y.htm", "z"], "filingDate": ["2024-01-01", "2024-02-02", "2024-03-03"]}}}\n{"cik": "5", "filings": {"recent": {"form": ["10-K"], "accessionNumber": ["b"], "primaryDocument": ["x"], "filingDate": ["2024-01-01"]}}}\n{"cik": "6"}\n')
+    filings = D.late_filings(D.submissions(spark, str(tmp_path / "s.json")))
+    assert [tuple(map(str, r)) for r in filings.collect()] == [("77", "S-1", "a12", "y.htm", "2024-02-02")]
+    rounds = spark.createDataFrame([(1, 77, "US", "seed", 6e6), (2, 77, "US", "early_growth", 1.0), (3, 77, "US", "seed", 1.0), (4, 77, "UK", "early_growth", 9e6)], "round_id long, cik long, country string, stage string, amount double")
+    docs = spark.createDataFrame([("a12", "with a 1.5x liquidation preference and pro rata rights")], "accession string, text string")
+    got = {(r.round_id, r.field, r.said, r.record_id) for r in D.late_terms(rounds, filings, docs).collect()}
+    assert got == {(i, f, v, "0000000077:a12") for i in (1, 2) for f, v in (("liquidation_pref", "1.5"), ("pro_rata", "true"))}
