@@ -78,12 +78,44 @@ def comparables(targets: DataFrame, outcomes: DataFrame, prices: DataFrame, targ
 
     both = looked(looked(asked, by_outcome), by_price).fillna(0, ["outcome_n", "price_n", "tier_a", "tier_b", "tier_c", "revenue_n", "proxy_n"]).fillna(0.0, ["coverage"])
     figures = ["outcome_n", "failure_rate", "median_raised", "price_n", "coverage", "tier_a", "tier_b", "tier_c", "revenue_n", "revenue_multiple", "proxy_n", "proxy_multiple"]
-    enough = both.where((F.col("outcome_n") >= least) | (F.col("price_n") >= least))
-    best = enough.groupBy(target_id).agg(F.min_by(F.struct("level", *figures), "level").alias("_b")).select(target_id, "_b.*")
+    enough = (F.col("outcome_n") >= least) | (F.col("price_n") >= least)
+    # beside the cohort itself: prices that share all that the target names, and those of its stage
+    chosen = F.min(F.when(enough, F.struct("level", *figures))).alias("_b")
+    best = both.groupBy(target_id).agg(chosen, F.min_by("price_n", "level").alias("matched_n"), F.max(F.when(F.col("level") == 4, F.col("price_n"))).alias("_stage_n")).where("_b is not null")
+    best = best.select(target_id, "_b.*", "matched_n", "_stage_n")
+    best = best.withColumn("aligned_n", F.when(F.col("level") < 5, F.col("price_n")).otherwise(F.coalesce("_stage_n", "price_n"))).drop("_stage_n")
     basis = F.when((F.col("revenue_n") > 0), "revenue_multiple").when(F.col("proxy_n") > 0, "raise_proxy_multiple")
     return best.withColumns({"basis": basis, "confidence": source_confidence(F.col("outcome_n"), F.col("price_n"), F.col("coverage"))})
 
 
+#: Least sizes of revenue and proxy cohorts for each confidence, rows below which a sample is limited, least coverage and share of
+#: the best tier, most share of proxies, and official signals below which these are sparse.
+LARGE, MODERATE, PROXIES, LIMITED, COVERED, BEST_TIER, PROXY_SHARE, OFFICIAL = 250, 60, 120, 80, 0.60, 0.30, 0.55, 20
+
+
+def valued(found: DataFrame, official: Column) -> DataFrame:
+    """comparables() with valuation (low, medium, high) and penalty, the points that weak evidence costs; official counts the signals of
+    registries. A cohort without any multiple has low confidence and is charged for sparse signals alone."""
+    c = F.col
+    by_revenue, some = c("revenue_n") > 0, (c("revenue_n") > 0) | (c("proxy_n") > 0)
+    tier = F.when(c("tier_a") > 0, "A").otherwise("B")
+    start = F.when(by_revenue & (c("revenue_n") >= LARGE) & (c("matched_n") >= LIMITED) & (c("confidence") != "low") & tier.isin("A", "B"), "high").when((by_revenue & (c("revenue_n") >= MODERATE)) | (~by_revenue & (c("proxy_n") >= PROXIES)), "medium").otherwise("low")
+    total = c("tier_a") + c("tier_b") + c("tier_c")
+    share = lambda a, b: F.when(b > 0, a / b)
+    few = lambda n: (n > 0) & (n < LIMITED)
+    faults = [
+        (c("coverage") < COVERED, 1),
+        (F.coalesce(share(c("tier_a"), total), F.lit(0.0)) < BEST_TIER, 1),
+        (~by_revenue | (F.coalesce(share(c("proxy_n"), c("revenue_n") + c("proxy_n")), F.lit(1.0)) > PROXY_SHARE), 1),
+        (few(c("aligned_n")), 1),
+        (few(c("matched_n")), 2),
+    ]
+    sparse = F.coalesce(official, F.lit(0)) < OFFICIAL
+    points = sum((F.when(f, n).otherwise(0) for f, n in faults), F.lit(0))
+    value = downgraded(F.when(some, start).otherwise("low"), *[some & f for f, _ in faults], sparse)
+    return found.withColumns({"valuation": value, "penalty": (F.when(some, points).otherwise(0) + sparse.cast("int")).cast("int")})
+
+
 def first_of_sources(parts: list[DataFrame], key: str) -> DataFrame:
     """Rows of several sources, the first source that has a key wins."""
     both = None

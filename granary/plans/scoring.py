@@ -204,6 +204,14 @@ def seed_class(evidence: Column, groups: Column, score: Column) -> Column:
     return F.when((evidence < 45) | (groups < 2), "abstain").when(score >= 72, "invest").when(score >= 58, "deep_diligence").when(score >= 42, "watch").otherwise("pass")
 
 
+#: Points that a penalty costs, and the most that all cost.
+PENALTY_POINTS, MOST_POINTS = 4, 16
+
+
+def penalised(score: Column, penalty: Column) -> Column:
+    return F.greatest(F.lit(0), score - F.least(F.lit(MOST_POINTS), penalty * PENALTY_POINTS))
+
+
 def persona_score(amount: Column, latest_amount: Column, had_revenue: Column, stage: Column) -> Column:
     """What a persona falls back on: a point for an amount, for the latest round's, and for a known stage, two for revenue and one less
     for none; nothing for what is unknown."""

@@ -18,7 +18,7 @@ from granary.plans import scoring as R
 from granary.plans import spine as N
 from granary.queries.analytics import WINDOWS
 from granary.queries.base import query
-from granary.queries.plans import _GATES, _RUBRIC, _SPLIT, gate_inputs, rubric_inputs, tested
+from granary.queries.plans import _GATES, _RUBRIC, _SPLIT, _VALUED, gate_inputs, rubric_inputs, tested, valued_companies
 
 _FIN = "fin AS (SELECT company_id, filing_date AS period_end, max(revenue) AS cash, max(staff) * 100 AS burn FROM filings WHERE form_type = 'C' GROUP BY 1, 2)"
 
@@ -322,16 +322,21 @@ def tree_inference(t):
 
 @query(
     "sc7_quick_score",
-    f"""WITH {_RUBRIC}, o AS (SELECT deal_id, greatest(0, least(100, floor(ml * 0.6::DOUBLE + (0.20 * text_score + 0.18 * traction + 0.15 * terms + 0.15 * team + 0.12 * financial + 0.10 * signal + 0.10 * market) * 0.4::DOUBLE + 0.5)))::BIGINT AS base FROM c), {_GATES},
-    p AS (SELECT o.deal_id, greatest(0, base - least(16, 4 * (CASE WHEN h.deal_id % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN h.deal_id % 9 = 0 THEN 1 ELSE 0 END)))::BIGINT AS overall, kill, abstain, flagged FROM o JOIN h ON h.deal_id = o.deal_id)
-    SELECT deal_id, overall, CASE WHEN kill THEN 'pass' WHEN abstain THEN 'deep_diligence' WHEN NOT flagged AND overall >= 65 THEN 'invest' WHEN NOT flagged AND overall >= 50 THEN 'deep_diligence' WHEN overall >= 40 THEN 'watch' ELSE 'pass' END AS class FROM p""",
+    f"""WITH {_VALUED}, {_RUBRIC.replace("x AS (", "rx AS (", 1).replace("FROM x", "FROM rx")}, rated AS (SELECT deal_id, greatest(0, least(100, floor(ml * 0.6::DOUBLE + (0.20 * text_score + 0.18 * traction + 0.15 * terms + 0.15 * team + 0.12 * financial + 0.10 * signal + 0.10 * market) * 0.4::DOUBLE + 0.5)))::BIGINT AS base FROM c), {_GATES},
+    w AS (SELECT deal_id, company_id, pre_money AS a, CASE WHEN deal_id % 2 = 0 THEN pre_money * 1.01 WHEN deal_id % 5 = 0 THEN amount END AS b FROM deals), te AS (SELECT deal_id, company_id, (coalesce(abs(a - b) > 0.01 AND abs(a - b) / greatest(abs(a), abs(b), 1.0) > 0.025, false))::INT + (a IS NULL OR coalesce(abs(a - b) > 0.01 AND abs(a - b) / greatest(abs(a), abs(b), 1.0) > 0.025, false))::INT AS t FROM w),
+    q AS (SELECT rated.deal_id, greatest(0, base - least(16, 4 * (coalesce(penalty, 0) + t)))::BIGINT AS overall, coalesce(penalty, 0) + t AS penalty, coalesce(valuation, 'low') AS valuation, kill, abstain, flagged FROM rated JOIN h ON h.deal_id = rated.deal_id JOIN te ON te.deal_id = rated.deal_id LEFT JOIN valued ON valued.company_id = te.company_id)
+    SELECT deal_id, overall, penalty::INTEGER AS penalty, valuation, CASE WHEN kill THEN 'pass' WHEN abstain THEN 'deep_diligence' WHEN NOT flagged AND overall >= 65 THEN 'invest' WHEN NOT flagged AND overall >= 50 THEN 'deep_diligence' WHEN overall >= 40 THEN 'watch' ELSE 'pass' END AS class,
+        NOT kill AND abstain AS rerouted FROM q""",
 )
 def quick_score(t):
-    d, g = rubric_inputs(), gate_inputs()
-    penalties = (F.col("deal_id") % 6 == 0).cast("int") + (F.col("deal_id") % 9 == 0).cast("int")
-    scored = t.deals.select("deal_id", F.greatest(F.lit(0), R.overall(d["ml"], R.rubric(d)) - F.least(F.lit(16), 4 * penalties)).alias("overall"), R.gates(g).alias("g"))
+    """The rubric's score less the points of weak comparables and of terms that disagree; an abstention is sent to deep diligence with a warning."""
+    d, g, k = rubric_inputs(), gate_inputs(), F.col("deal_id")
+    terms = R.term_sources({"pre_money": (F.col("pre_money"), F.when(k % 2 == 0, F.col("pre_money") * 1.01).when(k % 5 == 0, F.col("amount")))})
+    rows = t.deals.join(valued_companies(t).withColumnRenamed("penalty", "_own"), "company_id", "left")
+    penalty = F.coalesce("_own", F.lit(0)) + R.term_penalty(terms, F.lit("medium"))
+    scored = rows.select("deal_id", R.penalised(R.overall(d["ml"], R.rubric(d)), penalty).alias("overall"), penalty.cast("int").alias("penalty"), F.coalesce("valuation", F.lit("low")).alias("valuation"), R.gates(g).alias("g"))
     kind = R.classify(F.col("overall"), F.col("g"))
-    return scored.select("deal_id", "overall", F.when(kind == "abstain", "deep_diligence").otherwise(kind).alias("class"))
+    return scored.select("deal_id", "overall", "penalty", "valuation", F.when(kind == "abstain", "deep_diligence").otherwise(kind).alias("class"), (kind == "abstain").alias("rerouted"))
 
 
 _DECISIONS = "d AS (SELECT deal_id AS item, a::INTEGER AS agent, r::INTEGER AS run, deal_id * 10 + a AS ord, CASE (deal_id * 3 + a * (deal_id % 3) + (deal_id % 11 = r)::INT) % 4 WHEN 0 THEN 'invest' WHEN 1 THEN 'watch' WHEN 2 THEN 'pass' ELSE 'abstain' END AS class, (deal_id + a) % 6 = 0 AS fallback, CASE WHEN deal_id % 3 = 0 THEN 'watch' END AS model_class FROM deals, range(1, 4) x(a), range(1, 4) y(r))"

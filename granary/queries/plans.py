@@ -379,6 +379,11 @@ _COHORTS = """d AS (SELECT deal_id, sector || '-' || (company_id % 7) AS sector,
 )
 def comparable_cohorts(t):
     """Companies, some of an unknown sector or without sector, country or stage, and the narrowest cohort of deals that is large enough."""
+    found = cohorts(t).drop("matched_n", "aligned_n")
+    return found.withColumns({c: F.round(c, 4 if c == "median_raised" else 6) for c in ("failure_rate", "median_raised", "revenue_multiple", "proxy_multiple")})
+
+
+def cohorts(t):
     k = F.col("company_id")
     sector, country = F.concat_ws("-", "sector", (k % 7).cast("string")), F.concat_ws("-", "country", (k % 11).cast("string"))
     deals = t.deals.select("deal_id", sector.alias("sector"), country.alias("country"), "stage", "failed", "amount", "pre_money")
@@ -386,8 +391,26 @@ def comparable_cohorts(t):
     tier = F.when(d % 4 == 0, "A").when(d % 4 == 1, "B").otherwise("C")
     prices = deals.where("pre_money > 0").select("*", F.col("pre_money").alias("price"), F.when(d % 3 != 0, F.col("amount") / 4).alias("revenue"), tier.alias("tier")).withColumn("weight", F.when(F.col("tier") == "A", 1.0).when(F.col("tier") == "B", 0.7).otherwise(0.35))
     targets = t.companies.select("company_id", F.when(k % 31 == 0, "NEW").when(k % 19 != 0, sector).alias("sector"), F.when(k % 23 != 0, country).alias("country"), F.when(k % 5 != 0, F.col("stage")).alias("stage"))
-    found = C.comparables(targets, deals, prices, "company_id")
-    return found.withColumns({c: F.round(c, 4 if c == "median_raised" else 6) for c in ("failure_rate", "median_raised", "revenue_multiple", "proxy_multiple")})
+    return C.comparables(targets, deals, prices, "company_id")
+
+
+_VALUED = f"""{_COHORTS}, every AS (SELECT att.company_id, arg_min(price_n, level) AS matched_n, max(price_n) FILTER (level = 4) AS stage_n FROM att JOIN p ON p.s IS NOT DISTINCT FROM att.s AND p.c IS NOT DISTINCT FROM att.c AND p.st IS NOT DISTINCT FROM att.st GROUP BY 1),
+    official AS (SELECT company_id, count(*) AS signals FROM filings GROUP BY 1),
+    fig AS (SELECT x.*, every.matched_n, CASE WHEN level < 5 THEN price_n ELSE coalesce(stage_n, price_n) END AS aligned_n, coalesce(signals, 0) AS signals, CASE WHEN outcome_n >= 200 AND price_n >= 400 AND coverage >= 0.75 THEN 'high' WHEN outcome_n >= 50 AND price_n >= 120 AND coverage >= 0.55 THEN 'medium' ELSE 'low' END AS own FROM x JOIN every USING (company_id) LEFT JOIN official USING (company_id) WHERE r = 1),
+    fault AS (SELECT *, (coverage < 0.60)::INT AS a, (CASE WHEN price_n > 0 THEN tier_a / price_n ELSE 0 END < 0.30)::INT AS b, (revenue_n = 0 OR proxy_n / (revenue_n + proxy_n) > 0.55)::INT AS c_, (aligned_n > 0 AND aligned_n < 80)::INT AS d_, (matched_n > 0 AND matched_n < 80)::INT AS e, (signals < 20)::INT AS f, revenue_n > 0 OR proxy_n > 0 AS priced,
+      CASE WHEN revenue_n >= 250 AND matched_n >= 80 AND own <> 'low' THEN 2 WHEN revenue_n >= 60 OR (revenue_n = 0 AND proxy_n >= 120) THEN 1 ELSE 0 END AS rank FROM fig),
+    valued AS (SELECT company_id, CASE WHEN priced THEN a + b + c_ + d_ + 2 * e ELSE 0 END + f AS penalty, CASE WHEN NOT priced THEN 'low' WHEN rank - (a + b + c_ + d_ + e + f) >= 2 THEN 'high' WHEN rank - (a + b + c_ + d_ + e + f) = 1 THEN 'medium' ELSE 'low' END AS valuation FROM fault)"""
+
+
+def valued_companies(t):
+    """Each company's valuation confidence and penalty; its filings are the official signals."""
+    signals = t.filings.groupBy("company_id").agg(F.count("*").alias("signals"))
+    return C.valued(cohorts(t).join(signals, "company_id", "left"), F.col("signals")).select("company_id", "valuation", "penalty")
+
+
+@query("cv3_penalties", f"WITH {_VALUED} SELECT company_id, valuation, penalty::INTEGER AS penalty FROM valued")
+def penalties(t):
+    return valued_companies(t)
 
 
 _ORIGINS = ("sec_edgar", "Companies_House", "manual", "web", "sec_form_d")
