@@ -38,7 +38,10 @@ SCALE = 1_000_000_000
 #: Documents of a language that a kept term is in, at least, and terms of a report.
 LEAST, TOP = 10, 10
 #: Counts that a task holds before it sends them on, characters of a text looked at at once.
-HELD, SLICE = 300_000, 1 << 20
+HELD, SLICE = 500_000, 1 << 20
+#: A term's occurrences and documents in one number until they are sent on: documents from this bit on.
+_SHIFT = 40
+_DOCUMENT = 1 << _SHIFT
 #: Tasks that the pairs of one language's sources are spread over, and pairs of entries that are evaluated at once.
 SPREAD, AT_ONCE = 32, 1 << 20
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -64,21 +67,26 @@ def term_counts(documents: DataFrame) -> DataFrame:
         out, held, size = to_arrow(fields), {}, 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, source, t, c, df[t]) for (lang, source), (n, df) in held.items() for t, c in n.items()]
+            parts = [[] for _ in out]
+            for (lang, source), own in held.items():
+                both = np.fromiter(own.values(), np.int64, len(own))
+                columns = (pa.repeat(lang, len(own)), pa.repeat(source, len(own)), pa.array(own.keys(), pa.string()), pa.array(both & (_DOCUMENT - 1)), pa.array(both >> _SHIFT))
+                for part, column in zip(parts, columns, strict=True):
+                    part.append(column)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in parts], schema=out)
 
         for batch in batches:
-            for group in zip(*(batch.column(x).to_pylist() for x in ("lang", "source", "text")), strict=True):
+            for lang, source, text in zip(*(batch.column(x).to_pylist() for x in ("lang", "source", "text")), strict=True):
                 own = Counter()
-                for terms in terms_of(group[2]):
+                for terms in terms_of(text):
                     own.update(terms)
                 if own:
-                    n, df = held.setdefault(group[:2], (Counter(), Counter()))
-                    before = len(n)
-                    n.update(own)
-                    df.update(own.keys())
-                    size += len(n) - before
+                    sums = held.setdefault((lang, source), {})
+                    before, known = len(sums), sums.get
+                    for term, n in own.items():
+                        sums[term] = known(term, 0) + n + _DOCUMENT
+                    size += len(sums) - before
                     if size >= HELD:
                         yield flush()
                         size = 0
