@@ -190,9 +190,11 @@ def audit(documents: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     none = share(F.lit(0), F.col("n"), F.col("v"))
     each = each.select("g.lang", "g.source", "term", share(F.col("c"), F.col("n"), F.col("v")).alias("p"), none.alias("p0"), share(F.col("total"), F.col("n_lang"), F.col("v")).alias("q"))
     vec = F.array_sort(F.collect_list(F.struct("source", "p", "p0", "q"))).alias("vec")
-    terms = stored(each.groupBy("lang", "term").agg(vec))
+    terms = each.groupBy("lang", "term").agg(vec)
+    # a hash of the vector stands before it in keys: sorts then seldom look at vectors, which decide all the same
+    terms = stored(terms.withColumn("vk", F.xxhash64("vec")))
     forget(entries)
-    vectors = stored(terms.groupBy("lang", "vec").agg(F.count("*").alias("times"), F.min("term").alias("first")))
+    vectors = stored(terms.groupBy("vk", "lang", "vec").agg(F.count("*").alias("times"), F.min("term").alias("first")))
 
     # pairs of sources
     alone = vectors.select("lang", "times", F.explode("vec").alias("x")).groupBy("lang", "x.source", "x.p").agg(F.sum("times").alias("times"))
@@ -214,11 +216,12 @@ def audit(documents: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame
     pairs = pairs.select(*columns, ranked)
 
     # terms above the language: of a group the first vectors, of each vector the first terms, then the first of these
-    above = vectors.select("lang", "vec", "first", F.explode("vec").alias("x")).where("x.p > x.q").select("lang", "vec", "first", "x.source", differ(F.col("x.p"), F.col("x.q")).alias("value"))
+    above = vectors.select("vk", "lang", "vec", "first", F.explode("vec").alias("x")).where("x.p > x.q").select("vk", "lang", "vec", "first", "x.source", differ(F.col("x.p"), F.col("x.q")).alias("value"))
     by = W.partitionBy("lang", "source")
-    best = above.withColumn("_r", F.row_number().over(by.orderBy(F.desc("value"), "first"))).where(F.col("_r") <= top).drop("_r", "first")
-    heads = terms.withColumn("_r", F.row_number().over(W.partitionBy("lang", "vec").orderBy("term"))).where(F.col("_r") <= top).select("lang", "vec", "term")
-    named = best.join(heads, ["lang", "vec"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
+    best = stored(above.withColumn("_r", F.row_number().over(by.orderBy(F.desc("value"), "first"))).where(F.col("_r") <= top).drop("_r", "first"))
+    asked = terms.join(best.select("vk", "lang").distinct(), ["vk", "lang"], "left_semi")
+    heads = asked.withColumn("_r", F.row_number().over(W.partitionBy("vk", "lang", "vec").orderBy("term"))).where(F.col("_r") <= top).select("vk", "lang", "vec", "term")
+    named = best.join(heads, ["vk", "lang", "vec"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     listed = named.withColumn("rank", F.row_number().over(by.orderBy(F.desc("value"), "item")).cast("int")).where(F.col("rank") <= top)
     return pairs.union(listed)
 
