@@ -32,6 +32,8 @@ SLAB, SLAB_BYTES = 8192, 1 << 24
 QUERIES = 1024
 #: Slabs that share a key of the join with the queries.
 SHARD = 4
+#: Slabs at most that make up the first one, where they are short.
+FIRSTS = 1024
 #: Shares of the coordinates after which partial sums are tested.
 STEPS = (0.25, 0.5, 0.75)
 
@@ -73,7 +75,7 @@ def scan(q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, x: np.ndarray, id
     cuts = sorted({max(1, int(s * x.shape[1])) for s in STEPS})
     rests = lambda m: [np.sqrt(np.maximum((m[:, c:] ** 2).sum(1), 0)) for c in cuts]
     q_rest, x_rest = rests(qt), rests(xt)
-    low, found = bounds.astype(np.float64), [([], []) for _ in q]
+    low, least, found = bounds.astype(np.float64), bounds.astype(np.int64), [([], []) for _ in q]
     for a in range(0, len(x), piece):
         b = min(len(x), a + piece)
         slack = 1e-9 * q_len * x_len[a] + 1e-6
@@ -85,22 +87,24 @@ def scan(q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, x: np.ndarray, id
             part += qt[rows, done:c] @ xt[a:b, done:c].T
             done = c
             stays &= ~(part + qr[rows, None] * xr[None, a:b] + slack[rows, None] < low[rows, None])
-            if stays.mean() < 0.02:
-                break
+            share = stays.mean()
+            if share < 0.02 or share > 0.5:
+                break  # little is left, or so much that whole products cost less than further tests
         cols = np.flatnonzero(stays.any(0))
         if not len(cols):
             continue
         exact = products(q[rows], x[a:b][cols])
-        for n, i in enumerate(rows):
-            own = np.flatnonzero(stays[n, cols] & (exact[n] >= bounds[i]) & (ids[a:b][cols] != q_ids[i]))
-            if len(own):
-                found[i][0].append(exact[n, own])
-                found[i][1].append(ids[a:b][cols[own]])
-                s, own_ids = np.concatenate(found[i][0]), np.concatenate(found[i][1])
-                top = best(s, own_ids, k)
-                found[i] = ([s[top]], [own_ids[top]])
-                if len(top) == k:
-                    low[i] = max(low[i], float(s[top[-1]]))
+        hits = stays[:, cols] & (exact >= least[rows, None]) & (ids[a:b][cols] != q_ids[rows, None])
+        for n in np.flatnonzero(hits.any(1)):
+            i, own = rows[n], np.flatnonzero(hits[n])
+            found[i][0].append(exact[n, own])
+            found[i][1].append(ids[a:b][cols[own]])
+            s, own_ids = np.concatenate(found[i][0]), np.concatenate(found[i][1])
+            top = best(s, own_ids, k)
+            found[i] = ([s[top]], [own_ids[top]])
+            if len(top) == k:
+                least[i] = max(least[i], s[top[-1]])
+                low[i] = float(least[i])
     for i, (s, own_ids) in enumerate(found):
         if s:
             yield from ((i, int(v), int(w)) for v, w in zip(own_ids[0], s[0], strict=True))
@@ -157,12 +161,15 @@ def search(vectors: DataFrame, queries: Column, k: int = K, slab: int = SLAB, id
             yield row()
 
     slabs = stored(sized.mapInArrow(cut, "len double, ids array<long>, raw binary").withColumn("shard", F.monotonically_increasing_id()))
-    head = good.withColumn("len", length).orderBy(F.desc("len"), "id").limit(slab).select("id", "vec").toPandas()
-    head_ids, head_x = head["id"].to_numpy(), np.zeros((len(head), width))
-    for row, v in zip(head_x, head["vec"], strict=True):
-        row[: len(v)] = quantised(np.asarray(v, dtype=np.float64))
-    n_slabs, asked = slabs.count(), good.where(queries)
-    shards = max(1, -(-n_slabs // SHARD))
+    # the longest vectors come to the driver as the first slabs, one slab's worth at most: an ordered limit of the vectors would bring that many from each partition
+    last, firsts, held = slabs.agg(F.max("shard")).first()[0], [], 0
+    for shard, n in slabs.select("shard", F.size("ids")).orderBy("shard").limit(FIRSTS).collect():
+        if firsts and held + n > slab:
+            break
+        firsts, held = [*firsts, shard], held + n
+    head = slabs.where(F.col("shard") <= firsts[-1]).select("ids", "raw").collect()
+    head_ids, head_x = np.concatenate([np.array(r["ids"], dtype=np.int64) for r in head]), np.concatenate([np.frombuffer(r["raw"]).reshape(-1, width) for r in head])
+    asked = good.where(queries)
     many = F.lit(max(1, -(-asked.count() // QUERIES)))
     sets = asked.groupBy(F.pmod(F.xxhash64("id"), many).alias("part")).agg(F.collect_list(F.struct("id", "vec")).alias("queries"))
 
@@ -181,8 +188,9 @@ def search(vectors: DataFrame, queries: Column, k: int = K, slab: int = SLAB, id
         return of
 
     asking = stored(map_rows(sets.select("queries"), "ids array<long>, raw binary, bounds array<long>, q_len double, low double", make_bounds))
-    dealt = asking.select(F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), "bounds", "q_len", "low", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    pairs = dealt.join(slabs.withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(shards))), "shard").where(F.col("q_len") * F.col("len") * (1 + 1e-9) + 1e-6 >= F.col("low"))
+    dealt = asking.select(F.col("ids").alias("q_ids"), F.col("raw").alias("q_raw"), "bounds", "q_len", "low", F.explode(F.sequence(F.lit(0), F.lit(last >> 33))).alias("shard"))
+    # compressed files say little of what slabs take in memory, so neither side is offered for a broadcast by the driver
+    pairs = dealt.join(slabs.withColumn("shard", F.shiftright("shard", 33).cast("int")).hint("merge"), "shard").where(F.col("q_len") * F.col("len") * (1 + 1e-9) + 1e-6 >= F.col("low"))
 
     def make_scan():
         def of(b):

@@ -126,6 +126,19 @@ def test_products_on_uneven_lengths(spark):
         assert [(r.vec_id, r.score) for r in own] == [(i, s[i]) for i in best]
 
 
+def test_products_bring_one_slab_to_the_driver(spark):
+    df = spark.range(30_000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.hash("id", i) % 1000 / 700).alias("embedding")).repartition(30)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    args = [getattr(store, f"stageList$default${i}")() for i in range(2, 6)]
+    stages = lambda: [x.apply(i) for x in [store.stageList(None, *args)] for i in range(x.size())]
+    before = {s.stageId() for s in stages()}
+    found = mips.search(df, F.col("id") % 5000 == 0, slab=1000)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 6 * 20
+    # a slab has 32 * 8 bytes for each of 1 000 vectors; 1 000 of each of 30 partitions would be 7.7 MB
+    assert max(s.resultSize() for s in stages() if s.stageId() not in before) < 2_000_000
+
+
 def test_quality_held_out(spark, duck):
     rows = queries.op3_quality(spark, SF.replace("0.001", "0.01")).collect()
     truth = dict(duck.sql(f"SELECT doc_id, quality FROM '{SF.replace('0.001', '0.01')}/labels.parquet'").fetchall())
