@@ -65,13 +65,15 @@ def within(left: DataFrame, right: DataFrame, on: str, low: Column, high: Column
     return left.join(met, left_id, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def preferred(left: DataFrame, left_id: str, ways: list[tuple[DataFrame, Column]], order: list[Column], values: list[str]) -> DataFrame:
-    """One of several joins for each left row: ways are (right, condition) from the most to the least preferred, each an
-    equi-join of its own instead of a disjunction; inside a way the first right row by order."""
+def preferred(left: DataFrame, left_id: str, ways: list[tuple[DataFrame, Column, Column]], order: list[str], values: list[str]) -> DataFrame:
+    """One of several joins for each left row: ways are (right, left key, right key) from the most to the least preferred, each an
+    equi-join of its own instead of a disjunction; inside a way the first right row by order, ascending. Of the right rows of a key only that
+    one is joined, so a key that many rows of both sides have makes no pairs."""
+    best = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"_v_{c}") for c in values])
     parts = None
-    for rank, (right, condition) in enumerate(ways):
-        part = left.select("*").join(right, condition).select(left[left_id], *[right[v] for v in values]).withColumn("pref", F.lit(rank))
+    for rank, (right, own, other) in enumerate(ways):
+        firsts = right.groupBy(other.alias("_key")).agg(F.min(best).alias("_b")).where("_key is not null")
+        part = left.select(F.col(left_id).alias("_id"), own.alias("_key")).join(firsts, "_key").select("_id", F.struct(F.lit(rank).alias("pref"), "_b").alias("_p"))
         parts = part if parts is None else parts.unionByName(part)
-    w = W.partitionBy(left_id).orderBy("pref", *order)
-    best = parts.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return left.join(best, left_id, "left")
+    met = parts.groupBy("_id").agg(F.min("_p").alias("_p")).select(F.col("_id").alias(left_id), *[F.col(f"_p._b._v_{c}").alias(c) for c in values], F.col("_p.pref").alias("pref"))
+    return left.join(met, left_id, "left")

@@ -149,8 +149,8 @@ def prior_year(t):
 def preferred(t):
     s, c = t.supplier, t.customer.withColumn("company_id", F.col("c_custkey"))
     one, two, three = c.where("c_custkey % 3 = 0"), c.where("c_custkey % 2 = 0"), c.where("c_mktsegment = 'BUILDING'")
-    ways = [(one, s["s_suppkey"] == one["c_custkey"]), (two, F.lower(F.right(s["s_name"], F.lit(5))) == F.lower(F.right(two["c_name"], F.lit(5)))), (three, s["s_nationkey"] == three["c_nationkey"])]
-    return J.preferred(s, "s_suppkey", ways, [F.col("company_id")], ["company_id"]).select("s_suppkey", "company_id", "pref")
+    ways = [(one, F.col("s_suppkey"), F.col("c_custkey")), (two, F.lower(F.right("s_name", F.lit(5))), F.lower(F.right("c_name", F.lit(5)))), (three, F.col("s_nationkey"), F.col("c_nationkey"))]
+    return J.preferred(s, "s_suppkey", ways, ["company_id"], ["company_id"]).select("s_suppkey", "company_id", "pref")
 
 
 @query(

@@ -270,3 +270,15 @@ def test_trained_models_are_calibrated_and_chosen(spark):
     assert done.count() == test.count() and done.where("p_failed < 0 or p_failed > 1").count() == 0
     few, _, _ = B.trained(train.limit(150), test, ["a", "b"], "deal_id")  # a sigmoid fit
     assert few.where("p_failed between 0 and 1").count() == test.count()
+
+
+def test_preferred_makes_no_pairs_of_a_hot_key(spark):
+    left = spark.range(2000).select("id", (F.col("id") % 3).alias("k")).unionByName(spark.createDataFrame([(5000, None)], "id long, k long"))
+    right = spark.range(3000).select((F.col("id") + 10).alias("rid"), (F.col("id") % 2).alias("k"))
+    ways = [(right.where("rid < 1000"), F.col("id"), F.col("rid")), (right, F.col("k"), F.col("k"))]
+    done = J.preferred(left, "id", ways, ["rid"], ["rid"])
+    got = {r.id: (r.rid, r.pref) for r in done.collect()}
+    want = {i: (i, 0) if 10 <= i < 1000 else (10 + i % 3, 1) if i % 3 < 2 else (None, None) for i in range(2000)}
+    assert got == want | {5000: (None, None)}
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 3  # one right row for each key before each join, and the best way after them
