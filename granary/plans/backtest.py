@@ -70,12 +70,12 @@ def signals(rows: DataFrame, key: str, date: str, last_filing: str) -> DataFrame
     return rows.select(key, F.explode(told).alias("_s")).select(key, "_s.*")
 
 
-def matrix(deals: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """Model inputs: a missing number is 0 if the row has any other, else null; categories are hashed to 100000."""
+def matrix(deals: DataFrame, numeric: list[str], categorical: list[str], kept: tuple[str, ...] = ()) -> DataFrame:
+    """Model inputs: a missing number is 0 if the row has any other, else null; categories are hashed to 100000. Other columns are kept by name."""
     some = F.lit(False)
     for c in numeric:
         some = some | F.col(c).isNotNull()
-    return deals.select("deal_id", "failed", *[F.when(some, F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in numeric], *[F.pmod(F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary")), F.lit(100000)).cast("double").alias(c) for c in categorical])
+    return deals.select("deal_id", "failed", *[F.when(some, F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in numeric], *[F.pmod(F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary")), F.lit(100000)).cast("double").alias(c) for c in categorical], *kept)
 
 
 #: Rows from which on probabilities are calibrated, and by an isotonic fit instead of a sigmoid.
@@ -119,12 +119,15 @@ def trained(train: DataFrame, test: DataFrame, inputs: list[str], key: str, labe
 
     from granary.operators.aggregates import auc
 
+    # models pass over their rows dozens of times, so what these are made from is computed once
+    checkpoints(train.sparkSession)
+    train, test = train.checkpoint(), test.checkpoint()
     n, positive = train.agg(F.count("*"), F.sum(F.col(label).cast("long"))).first()
     positive, negative = max(positive or 0, 1), max(n - (positive or 0), 1)
     vectors = VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep")
     weight = F.when(F.col(label) == 1, min(negative / positive, 10.0)).otherwise(min(positive / negative, 10.0))
     fold = F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(FOLDS))
-    known = vectors.transform(train.fillna(0.0, inputs)).withColumn("_w", weight).withColumn("_fold", fold)
+    known = vectors.transform(train.select(key, label, *inputs).fillna(0.0, inputs)).withColumn("_w", weight).withColumn("_fold", fold)
     scored = vectors.transform(test.fillna(0.0, inputs))
     for kind in ("boosted", "forest"):
         if not calibrate or n < LEAST_CALIBRATED:
@@ -137,7 +140,7 @@ def trained(train: DataFrame, test: DataFrame, inputs: list[str], key: str, labe
             scored = to_chance(_with_chance(model, scored, "_p")).withColumnRenamed("_p", f"_{kind}{i}")
         parts = [f"_{kind}{i}" for i in range(FOLDS)]
         scored = scored.withColumn(f"_{kind}", sum((F.col(c) for c in parts), F.lit(0.0)) / FOLDS).drop(*parts)
-    scored = scored.withColumn("_ensemble", (F.col("_boosted") + F.col("_forest")) / 2).drop("_x")
+    scored = scored.withColumn("_ensemble", (F.col("_boosted") + F.col("_forest")) / 2).drop("_x").checkpoint()
     names = ["boosted", "forest", "ensemble"]
     classes = test.agg(F.count_distinct(label)).first()[0]
     areas = {name: auc(scored, label, f"_{name}", least=1).first().auc if classes > 1 else 0.5 for name in names}

@@ -307,7 +307,7 @@ def model_matrix(t):
 
 @query("bt5_train_and_score", None)
 def train_and_score(t):
-    rows = B.matrix(t.deals, ["pre_money", "equity", "amount"], ["sector", "country", "stage"]).join(t.deals.select("deal_id", "deal_date", "outcome"), "deal_id")
+    rows = B.matrix(t.deals, ["pre_money", "equity", "amount"], ["sector", "country", "stage"], ("deal_date", "outcome"))
     cut = F.lit("1997-12-31").cast("date")
     inputs = ["pre_money", "equity", "amount", "sector", "country", "stage"]
     known = rows.where(F.col("outcome").isin("failed", "trading"))  # unknown and exited ones teach nothing

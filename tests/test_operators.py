@@ -282,3 +282,11 @@ def test_preferred_makes_no_pairs_of_a_hot_key(spark):
     assert got == want | {5000: (None, None)}
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 3  # one right row for each key before each join, and the best way after them
+
+
+def test_models_start_from_rows_computed_once(spark):
+    rows = spark.range(600).select(F.col("id").alias("deal_id"), (F.col("id") % 3 == 0).cast("int").alias("failed"), (F.col("id") % 7).cast("double").alias("a"), F.lit("s").alias("s"), F.lit(1).alias("more"))
+    assert B.matrix(rows, ["a"], ["s"], ("more",)).columns == ["deal_id", "failed", "a", "s", "more"]
+    done = B.trained(rows.where("deal_id < 400"), rows.where("deal_id >= 400"), ["a"], "deal_id", calibrate=False)[0]
+    assert "Range" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert done.count() == 200
