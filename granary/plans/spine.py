@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.parsing import terms
+from granary.operators.graph import checkpoints
 from granary.operators.joins import asof
 from granary.operators.upserts import insert_absent
 
@@ -46,7 +47,7 @@ def term_facts(texts: DataFrame, text_id: str, text: str) -> DataFrame:
 def narrative_terms(rounds: DataFrame, texts: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(round_id, field, number, said, text_id, as_of, tier) of the terms in one text for each American round: the latest up to its date
     of the company itself, and only where there is none the latest of the same number. A round without a date takes the last of all. Both
-    looks are as-of reads of two time lines; texts move by id alone and each is read for terms once."""
+    looks are as-of reads of two time lines; texts move by id alone, and only those that a round takes are read for terms, each once."""
     long = texts.where(F.length("text") >= shortest)
     at = F.coalesce("round_date", F.lit("9999-12-31").cast("date")).alias("_at")
     left = rounds.where("country = 'US'").select("round_id", "company_id", number_of(F.col("cik")).alias("number"), "round_date", at)
@@ -58,7 +59,9 @@ def narrative_terms(rounds: DataFrame, texts: DataFrame, shortest: int = SHORTES
 
     both = latest("company_id", "_own").join(latest("number", "_other").drop("round_date"), "round_id")
     chosen = both.select("round_id", "round_date", F.coalesce("_own", "_other").alias("_t")).where("_t is not null").select("round_id", "round_date", "_t.*")
-    facts = term_facts(long, "text_id", "text")
+    checkpoints(rounds.sparkSession)
+    chosen = chosen.checkpoint()
+    facts = term_facts(long.join(chosen.select("text_id").distinct(), "text_id", "left_semi"), "text_id", "text")
     return chosen.join(facts, "text_id").select("round_id", "field", "number", "said", "text_id", F.coalesce("filed", "round_date").alias("as_of"), F.lit("B").alias("tier"))
 
 

@@ -290,3 +290,13 @@ def test_models_start_from_rows_computed_once(spark):
     done = B.trained(rows.where("deal_id < 400"), rows.where("deal_id >= 400"), ["a"], "deal_id", calibrate=False)[0]
     assert "Range" not in done._jdf.queryExecution().optimizedPlan().toString()
     assert done.count() == 200
+
+
+def test_terms_are_read_in_chosen_texts_alone(spark):
+    from granary.plans import spine
+
+    r = spark.createDataFrame([(1, 1, "7", "US")], "round_id long, company_id long, cik string, country string").withColumn("round_date", F.lit("2020-01-01").cast("date"))
+    t = spark.range(50).select(F.col("id").alias("text_id"), F.lit(1).alias("company_id"), F.lit("7").alias("cik"), F.date_add(F.lit("2019-01-01").cast("date"), F.col("id").cast("int")).alias("filed"), F.rpad(F.lit("a valuation cap of $5 million; "), 200, "x").alias("text"))
+    done = spine.narrative_terms(r, t)
+    assert [(x.text_id, x.number) for x in done.collect()] == [(49, 5e6)]
+    assert "LeftSemi" in done._jdf.queryExecution().optimizedPlan().toString()
