@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.queries.base import query
+from granary.queries.base import query, spread
 from granary.sources import landed as D
 from granary.sources import files as S
 
@@ -27,7 +27,10 @@ def parts(t):
 def xml(t):
     cash = F.when(F.col("balance") > 0, F.concat(F.lit("<n1:cash>"), F.floor("balance").cast("string"), F.lit("</n1:cash>"))).otherwise("")
     doc = F.concat(F.lit('<n1:form xmlns:n1="urn:x"><n1:issuer><n1:name>'), "name", F.lit("</n1:name></n1:issuer>"), cash, F.lit("</n1:form>"))
-    return t.companies.select("company_id", S.xml_field(doc, "form/issuer/name/text()").alias("issuer"), S.xml_field(doc, "form/cash/text()").alias("cash"))
+    fields = S.xml_fields(doc, ["form/issuer/name/text()", "form/cash/text()"])
+    # a small file can hold many rows, so rows are dealt to all cores before they are parsed; explode keeps the array from being made for each field
+    read = spread(t.companies.select("company_id", "name", "balance")).select("company_id", F.explode(F.array(fields)).alias("_f"))
+    return read.select("company_id", F.col("_f")[0].alias("issuer"), F.col("_f")[1].alias("cash"))
 
 
 @query("src13_quoted_csv", "SELECT company_id, 'Say \"' || name || '\", Inc' AS listed, country FROM companies")

@@ -220,10 +220,17 @@ def submission_parts(text: Column) -> Column:
     return F.arrays_zip(get(whole, 1).alias("type"), get(whole, 2).alias("filename"), get(whole, 3).alias("body"))
 
 
-def xml_field(xml: Column, path: str) -> Column:
-    """The text at a path of element names, whatever their namespaces; null if there is none."""
+def xml_fields(xml: Column, paths: list[str]) -> Column:
+    """The texts at paths of element names, whatever their namespaces, as an array that is null where there is none: the XML is parsed
+    once. No XML text can hold the separator U+0001."""
     bare = F.regexp_replace(F.regexp_replace(xml, r"<(/?)[A-Za-z0-9_]+:", "<$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    return F.nullif(F.xpath_string(bare, F.lit(path)), F.lit(""))
+    every = F.xpath_string(bare, F.lit("concat(" + ", '\x01', ".join(["''", *paths]) + ")"))
+    return F.transform(F.slice(F.split(every, "\x01"), 2, len(paths)), lambda v: F.nullif(v, F.lit("")))
+
+
+def xml_field(xml: Column, path: str) -> Column:
+    """The text at one path, as xml_fields."""
+    return xml_fields(xml, [path])[0]
 
 
 def quoted_fields(line: Column, names: list[str]) -> Column:

@@ -300,3 +300,10 @@ def test_terms_are_read_in_chosen_texts_alone(spark):
     done = spine.narrative_terms(r, t)
     assert [(x.text_id, x.number) for x in done.collect()] == [(49, 5e6)]
     assert "LeftSemi" in done._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_xml_fields_are_read_at_once(spark):
+    rows = [(1, '<n1:a xmlns:n1="u"><n1:b>x\ny</n1:b><c>2</c></n1:a>'), (2, "<a><c>3</c><c>4</c></a>"), (3, None), (4, "<a><b></b></a>")]
+    df = spark.createDataFrame(rows, "id long, x string").select("id", S.xml_fields(F.col("x"), ["a/b/text()", "a/c/text()", "a/d/text()"]).alias("f"))
+    assert {r.id: r.f for r in df.collect()} == {1: ["x\ny", "2", None], 2: [None, "3", None], 3: None, 4: [None, None, None]}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("XPathStringEvaluator") == 1
