@@ -13,7 +13,8 @@ from granary.sources import files as S
 def form_index(t):
     line = F.concat(F.rpad("form_type", 12, " "), F.rpad(F.concat(F.lit("Firm "), "company_id"), 40, " "), F.rpad(F.col("cik").cast("string"), 12, " "), F.date_format("filing_date", "yyyy-MM-dd"), F.lit("  edgar/"), "filing_id", F.lit(".txt   "))
     head = t.spark.createDataFrame([("Form Type   Company Name   CIK   Date Filed  File Name",), ("-" * 80,), ("",)], "value string")
-    return S.index_lines(head.unionByName(t.filings.select(line.alias("value"))))
+    filings = spread(t.filings.select("form_type", "company_id", "cik", "filing_date", "filing_id"))
+    return S.index_lines(head.unionByName(filings.select(line.alias("value"))))
 
 
 @query("src10_submission_parts", "SELECT round_id, i::INTEGER AS i, CASE i WHEN 0 THEN 'C' ELSE 'EX-99' END AS type, CASE i WHEN 0 THEN 'amount ' || floor(amount)::BIGINT ELSE 'note' END AS body FROM rounds, range(2) r(i)")

@@ -66,8 +66,10 @@ def notice_filings(issuers: DataFrame, submissions: DataFrame, offerings: DataFr
 def index_lines(lines: DataFrame, column: str = "value", forms: tuple[str, ...] = FORMS) -> DataFrame:
     """Entries of a form index: the form first, then the name and, from the right, id, date and file."""
     pattern = r"^(\S+(?: \S+)?)\s{2,}(.*\S)\s{2,}(\d+)\s+(\d{4}-?\d{2}-?\d{2})\s+(\S+)\s*$"
-    part = lambda i: F.regexp_extract(column, pattern, i)
-    rows = lines.where(F.col(column).rlike(pattern)).select(part(1).alias("form_type"), part(2).alias("company"), part(3).alias("cik"), part(4).alias("date_filed"), part(5).alias("filename"))
+    # no part can hold a line break; the generator keeps the match from being repeated for each column
+    parts = F.split(F.regexp_replace(column, pattern, "$1\n$2\n$3\n$4\n$5"), "\n")
+    found = lines.select(F.explode(F.array(F.when(F.col(column).rlike(pattern), parts))).alias("_p")).where("_p is not null")
+    rows = found.select(*[F.col("_p")[i].alias(c) for i, c in enumerate(("form_type", "company", "cik", "date_filed", "filename"))])
     return rows.where(F.col("form_type").isin(*forms))
 
 

@@ -307,3 +307,12 @@ def test_xml_fields_are_read_at_once(spark):
     df = spark.createDataFrame(rows, "id long, x string").select("id", S.xml_fields(F.col("x"), ["a/b/text()", "a/c/text()", "a/d/text()"]).alias("f"))
     assert {r.id: r.f for r in df.collect()} == {1: ["x\ny", "2", None], 2: [None, "3", None], 3: None, 4: [None, None, None]}
     assert df._jdf.queryExecution().optimizedPlan().toString().count("XPathStringEvaluator") == 1
+
+
+def test_index_lines_match_each_line_twice_at_most(spark):
+    line = "C           Firm  A, x   12  2020-01-02  edgar/1.txt  "
+    df = spark.createDataFrame([(line,), ("C",), ("C\n1\n2\n3\n4",), (None,), ("",), (line.replace("C  ", "D  "),)], "value string")
+    read = S.index_lines(df)
+    assert [tuple(r) for r in read.collect()] == [("C", "Firm  A, x", "12", "2020-01-02", "edgar/1.txt")]
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("regexp_") == 2
