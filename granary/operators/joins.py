@@ -77,3 +77,12 @@ def preferred(left: DataFrame, left_id: str, ways: list[tuple[DataFrame, Column,
         parts = part if parts is None else parts.unionByName(part)
     met = parts.groupBy("_id").agg(F.min("_p").alias("_p")).select(F.col("_id").alias(left_id), *[F.col(f"_p._b._v_{c}").alias(c) for c in values], F.col("_p.pref").alias("pref"))
     return left.join(met, left_id, "left")
+
+
+def side_by_side(tables: list[DataFrame], key: str) -> DataFrame:
+    """Tables with at most one row for each key and columns of different names as one, with nulls where a table lacks the key: a union that
+    is summed up by key, so a task holds one table of groups, where a chain of joins sorts both sides of each join at once."""
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t, allowMissingColumns=True)
+    return every.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns if c != key])

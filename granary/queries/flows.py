@@ -174,15 +174,15 @@ def enrichment(t):
         J.prior_sum(dated, filings.withColumn("one", F.lit(1.0)), key, key, "created", "filing_date", "one", "filings_before"),
         J.prior_sum(items.select("company_id", "created", "sector"), deals, "sector", key, "created", "deal_date", "failed", "sector_failures").drop("sector"),
     ]
-    done = items
-    for step in steps:
-        done = done.join(step.drop("created"), key)
-    done = done.join(t.companies.groupBy("cik").agg(F.min("company_id").alias("bridge")), "cik", "left")
     newest = lambda kind: F.max(F.when(F.col("feature_name") == kind, F.struct("as_of_date", "fact_id", "value")))["value"]
-    done = done.join(t.facts.groupBy(F.col("entity_id").alias("company_id")).agg(newest("purchase").alias("last_purchase"), newest("error").alias("last_error")), "company_id", "left")
+    steps.append(t.facts.groupBy(F.col("entity_id").alias("company_id")).agg(newest("purchase").alias("last_purchase"), newest("error").alias("last_error")))
     last = t.deals.groupBy("company_id").agg(F.max(F.struct("deal_date", "deal_id", "score")).alias("m"))
-    done = done.join(last.select("company_id", F.col("m").alias("own")), "company_id", "left").join(last.select(F.col("company_id").alias("bridge"), F.col("m").alias("other")), "bridge", "left")
-    best = F.coalesce("own", "other")
+    steps.append(last.select("company_id", F.col("m.deal_date").alias("own_date"), F.col("m.deal_id").alias("own_deal"), F.col("m.score").alias("own_score"), F.lit(True).alias("own_known")))
+    done = items.join(J.side_by_side([s.drop("created") for s in steps], key), key)
+    done = done.join(t.companies.groupBy("cik").agg(F.min("company_id").alias("bridge")), "cik", "left")
+    done = done.join(last.select(F.col("company_id").alias("bridge"), F.col("m").alias("other")), "bridge", "left")
+    own = F.struct(F.col("own_date").alias("deal_date"), F.col("own_deal").alias("deal_id"), F.col("own_score").alias("score"))
+    best = F.coalesce(F.when(F.col("own_known"), own), "other")
     shown = ["last_round", "last_amount", F.round("total_before", 2).alias("total_before"), "annual_date", "annual_revenue", "update_date", "filings_before", "bridge", "last_purchase", "last_error", best["deal_id"].alias("evaluation"), best["score"].alias("score"), "sector_failures"]
     return done.select("company_id", *shown)
 

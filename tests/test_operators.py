@@ -316,3 +316,10 @@ def test_index_lines_match_each_line_twice_at_most(spark):
     assert [tuple(r) for r in read.collect()] == [("C", "Firm  A, x", "12", "2020-01-02", "edgar/1.txt")]
     plan = read._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") + plan.count("regexp_") == 2
+
+
+def test_side_by_side_joins_nothing(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "k long, a string"), spark.createDataFrame([(2, 5.0), (3, None)], "k long, b double")
+    done = J.side_by_side([a, b], "k")
+    assert {tuple(r) for r in done.select("k", "a", "b").collect()} == {(1, "x", None), (2, None, 5.0), (3, None, None)}
+    assert "Join" not in done._jdf.queryExecution().optimizedPlan().toString()
