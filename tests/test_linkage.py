@@ -82,6 +82,44 @@ def test_linkage_of_many_records(spark):
     assert len(got & truth) >= 0.97 * len(truth) and len(got - truth) <= 2
 
 
+def test_linkage_counts_pairs_that_agree_in_nothing(spark, monkeypatch):
+    rnd = random.Random(8)
+    part = lambda n, letters="aeiouyhw": "".join(rnd.choice(letters) for _ in range(n))
+    names = ["b" + part(7) + " d" + part(5) for _ in range(70)]  # one sound: all pairs share a block
+    names += [n[:3] + n[4:] for n in names[:9]] + [" ".join(reversed(n.split())) for n in names[9:14]] + [f"q{part(3, 'rstlm')} rare k{part(3, 'xzvf')}" for _ in range(6)] + ["b", "bé ü", "b c d", "b c"]
+    rows = [(i, n, rnd.choice(["UK", "US", None]), rnd.choice(["x", "y", "z", None])) for i, n in enumerate([*names, names[0], names[1]])]
+    df = spark.createDataFrame(rows, "id long, name string, place string, sector string")
+    recs = K.records(df, "id", "name", ["place", "sector"]).groupBy("_n", "_f").agg(F.min("_id").alias("_id"))
+    held = sorted(((r._id, r._n, list(r._f), list(r._keys)) for r in K.keyed(recs).collect()), key=lambda r: r[0])
+
+    def edits(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    want, pairs = {}, set()
+    for i, (a, n, f, keys) in enumerate(held):
+        for b, m, g, others in held[i + 1 :]:
+            x, y = set(n.split()), set(m.split())
+            rare = any(1 < sum(w in h[1].split() for h in held) <= K.RARE for w in x & y)
+            if rare or any(k == o for k, o in zip(keys, others, strict=True)):
+                close, share = 1 - edits(n, m) / max(len(n), len(m)), len(x & y) / len(x | y)
+                p = (3 if n == m else 2 if close >= 0.85 else 1 if close >= 0.7 else 0, 2 if share >= 1 else 1 if share >= 0.5 else 0, *[-1 if None in (u, v) else int(u == v) for u, v in zip(f, g, strict=True)])
+                want[p] = want.get(p, 0) + 1
+                pairs.add((a, b))
+    got, estimate = [], K.estimate
+    monkeypatch.setattr(K, "estimate", lambda counts: got.append(counts) or estimate(counts))
+    for tile in (K.TILE, 7):
+        links = [(r.a, r.b) for r in K.linked(df, "id", "name", ["place", "sector"], 0.0, tile).collect()]
+        assert got.pop() == want and len({*links} & pairs) == len(pairs) and len(links) == len({*links})  # nothing is too little: all pairs are made
+    made = K.compared(K.keyed(recs), 2)
+    assert made.where("not again").count() < len(pairs) / 2  # most are only counted
+
+
 def test_weights_come_from_the_patterns():
     share, match, other = K.estimate({(3, 2, 1): 90, (2, 1, 1): 10, (0, 0, 0): 800, (0, 0, 1): 100, (3, 2, -1): 5})
     assert 0.08 < share < 0.14 and match[0][3] > 0.7 and other[0][0] > 0.9 and match[2][1] > 0.9 > other[2][1]
